@@ -1,0 +1,101 @@
+"""F1–F11 on the scalar cases of the fixtures."""
+
+from pyspark.sql import functions as F
+
+from packetlake.functions import render as R
+from packetlake.functions.saturate import saturate_int32
+
+
+def _one(spark, rows, schema, *cols):
+    df = spark.createDataFrame(rows, schema)
+    return [tuple(r) for r in df.select(*cols).collect()]
+
+
+TIMES = [
+    (1760495631914807673, 1760495631914, "2025/10/15 02:33:51.807", "02:33:51.807673"),
+    (1679812345000, 1679812345, "1970/01/20 10:36:52", "10:36:52"),
+    (1679812345000123, 1679812345, "1970/01/20 10:36:52", "10:36:52.000123"),
+    (1679812345, 1679812345, "1970/01/20 10:36:52", "10:36:52"),
+    (1000000000, 1000000000000, "2001/09/09 01:46:40", "01:46:40"),
+    (0, None, "Invalid timestamp", "Invalid timestamp"),
+    (-1, None, "Invalid timestamp", "Invalid timestamp"),
+    (None, None, "Invalid timestamp", "Invalid timestamp"),
+]
+
+
+def test_times(spark):
+    got = _one(spark, [(t[0],) for t in TIMES], "t bigint", R.epoch_millis("t"),
+               R.format_time("t", include_date=True), R.format_time_ns("t"))
+    for (raw, ms, dated, ns_form), (g_ms, g_dated, g_ns) in zip(TIMES, got):
+        assert g_ms == ms, raw
+        assert g_dated == dated, raw
+        assert g_ns == ns_form, raw
+
+
+def test_time_without_date_and_explicit_unit(spark):
+    got = _one(spark, [(1679812345000,)], "t bigint", R.format_time("t"), R.format_time("t", unit="ms"),
+               R.epoch_millis("t", unit="ms"))
+    assert got == [("10:36:52", "06:32:25", 1679812345000)]
+
+
+def test_to_timestamp(spark):
+    import datetime as dt
+    got = _one(spark, [(1679812345,), (0,)], "t bigint", R.to_timestamp("t"))
+    assert got == [(dt.datetime(1970, 1, 20, 10, 36, 52, 345000),), (None,)]
+
+
+def test_sizes(spark):
+    cases = [(None, "0 B"), (0, "0 B"), (1023, "1023 B"), (1024, "1.0 KB"), (1280, "1.3 KB"),
+             (1048575, "1024.0 KB"), (1048576, "1.0 MB"), (4294967295, "4096.0 MB"), (-5, "0 B")]
+    got = _one(spark, [(c[0],) for c in cases], "n bigint", R.format_size("n"))
+    assert [g[0] for g in got] == [c[1] for c in cases]
+
+
+def test_protocols(spark):
+    cases = [(0, "Unknown"), (1, "HttpRequest"), (2, "Http2Request"), (3, "HttpResponse"), (4, "Http2Response"),
+             (5, "WebSocket"), (6, "Unknown (6)"), (None, "Unknown")]
+    got = _one(spark, [(c[0],) for c in cases], "t bigint", R.protocol_name("t"))
+    assert [g[0] for g in got] == [c[1] for c in cases]
+
+
+def test_saturation(spark):
+    got = _one(spark, [(2147483648,), (-2147483649,), (7,)], "x bigint", saturate_int32("x"))
+    assert [g[0] for g in got] == [2147483647, -2147483648, 7]
+
+
+def test_labels(spark):
+    got = _one(spark, [("1.2.3.4", 80, "curl", 7), ("", None, "", None)],
+               "ip string, port bigint, name string, pid int",
+               R.endpoint_label("ip", "port"), R.process_label("name", "pid"))
+    assert got == [("1.2.3.4:80", "curl (7)"), ("N/A:0", "N/A (N/A)")]
+
+
+def test_hex_dump(spark):
+    data = bytes.fromhex("00FF10AB0102030405060708090A0B0C0D0E0F10")
+    got = _one(spark, [(data,), (b"",)], "b binary", R.hex_dump("b"))
+    assert got[0][0] == ("Binary data (20 bytes):\n0000: 00 ff 10 ab 01 02 03 04  05 06 07 08 09 0a 0b 0c\n"
+                         "0010: 0d 0e 0f 10")
+    assert got[1][0] == "Binary data (0 bytes):"
+
+
+def test_hex_dump_long_offsets(spark):
+    data = bytes(range(256)) * 300  # 76,800 bytes: offsets past ffff get 5 digits
+    got = _one(spark, [(data,)], "b binary", R.hex_dump("b"))[0][0]
+    lines = got.split("\n")
+    assert len(lines) == 1 + 4800
+    assert lines[-1].startswith("12bf0: f0 f1")
+    assert lines[4097].startswith("10000: 00 01")
+
+
+def test_payload_render(spark):
+    got = _one(spark, [(True, "", b"\x01"), (False, "hi", b""), (False, "", b"\xff")],
+               "b boolean, t string, p binary", R.payload_render("b", "t", "p"))
+    assert [g[0] for g in got] == ["Binary data (1 bytes):\n0000: 01", "hi", "No text payload"]
+
+
+def test_packet_issues(spark):
+    df = spark.createDataFrame([(1, 2, "u", 1, 3, True), (None, None, "u", None, 3, None)],
+                               "index bigint, timestamp bigint, uuid string, type bigint, length bigint, is_binary boolean")
+    got = [tuple(r) for r in df.select(R.packet_issues(), R.packet_valid()).collect()]
+    assert got[0] == ([], True)
+    assert got[1] == (["index is missing", "timestamp is missing", "type is missing", "is_binary is missing"], False)
