@@ -29,6 +29,13 @@ def assign_index(df: DataFrame, order_col: str | list[str] = "recv_seq", base: i
     checkpoint_dir(spark)
     keys = [order_col] if isinstance(order_col, str) else list(order_col)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if n == 1:
+        # One partition holds every row whatever happens, so the numbering is
+        # deterministic without sampling, checkpoint or counts.  The caller
+        # picks n = 1 only for inputs it has counted to be small.
+        one = (df.repartition(1).sortWithinPartitions(*keys)
+               .withColumn(out, F.lit(base) + F.monotonically_increasing_id()))
+        return one
     ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys])
               .withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))

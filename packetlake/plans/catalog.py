@@ -300,3 +300,67 @@ def oracle_sql() -> dict[str, str]:
 
 
 __all__ = ["REGISTRY", "queries", "oracle_sql", "TARGET_COLS", "CURSOR"]
+
+
+# ---------------------------------------------------------------- frames (S1–S4) and envelope
+def _frames_of_events(spark, sf) -> DataFrame:
+    from ..sources import frames as FR
+    raw = fixtures.raw_events(prepare(spark), sf)
+    return FR.encode_frames(FR.events_as_frame_rows(raw))
+
+
+def _decode_round_trip(spark, sf) -> DataFrame:
+    from ..sources import frames as FR
+    decoded = FR.decode_frames(_frames_of_events(spark, sf))
+    return hexed(events_to_packets(FR.route_events(decoded), index="recv_seq"))
+
+
+register("decode_frames", O.over_packets(f"SELECT {O.ALL_HEX} FROM packets"))(_decode_round_trip)
+
+_SAT_HB = "cast(least(greatest((cast(pid AS bigint) - 1075) * 30000000, -2147483648), 2147483647) AS int)"
+
+
+def _mixed_frames(spark, sf) -> DataFrame:
+    from ..sources import frames as FR
+    raw = fixtures.raw_events(prepare(spark), sf)
+    k = F.col("recv_seq") % 4
+    rows = FR.events_as_frame_rows(raw).select(
+        "recv_seq",
+        F.when(k == 0, F.lit(FR.KIND_HEARTBEAT)).when(k == 1, F.lit(FR.KIND_LOG))
+         .when(k == 2, F.lit(FR.KIND_EVENT)).otherwise(F.lit("none")).alias("member"),
+        *[c for c in FR.ENCODE_INPUT_COLS if c not in ("recv_seq", "member", "count", "message", "log_info")],
+        ((F.col("pid") - 1075) * 30000000).alias("count"), F.col("pname").alias("message"),
+        F.col("uuid").alias("log_info"))
+    decoded = FR.decode_frames(FR.encode_frames(rows))
+    kind = F.col("kind")
+    return decoded.select(
+        "recv_seq", "kind", F.when(kind == FR.KIND_EVENT, F.col("pname")).alias("pname"),
+        F.when(kind == FR.KIND_HEARTBEAT, saturate_int32("hb_count")).alias("count"),
+        F.col("hb_message").alias("message"), "log_info", "error")
+
+
+register("route_frames", O.over_packets(
+    "SELECT index AS recv_seq, CASE index % 4 WHEN 0 THEN 'heartbeat' WHEN 1 THEN 'process_log' "
+    "WHEN 2 THEN 'event' ELSE 'error' END AS kind, CASE WHEN index % 4 = 2 THEN pname END AS pname, "
+    f"CASE WHEN index % 4 = 0 THEN {_SAT_HB} END AS count, CASE WHEN index % 4 = 0 THEN pname END AS message, "
+    "CASE WHEN index % 4 = 1 THEN uuid END AS log_info, "
+    "CASE WHEN index % 4 = 3 THEN 'missing payload in LogEntry' END AS error FROM packets"))(_mixed_frames)
+
+
+def _envelopes(spark, sf) -> DataFrame:
+    from ..sources import envelope as EN
+    p = packets(spark, sf)
+    i = F.col("index")
+    env = EN.packets_as_envelopes(p, log_type=i % 5, pid_key=i % 3, pname_key=F.call_function("div", i, F.lit(5)) % 4)
+    parsed = EN.parse_envelopes(env)
+    return parsed.select("recv_seq", "kind", F.col("index").alias("packet_index"), "pid", "pname", "payload_utf8",
+                         F.hex("payload_binary").alias("payload_binary"), "count", "message", "log_info")
+
+
+register("json_envelope", O.over_packets(
+    "SELECT index AS recv_seq, CASE index % 5 WHEN 0 THEN 'heartbeat' WHEN 1 THEN 'process_log' ELSE 'event' END AS kind, "
+    "CASE WHEN index % 5 >= 2 THEN index END AS packet_index, CASE WHEN index % 5 >= 2 THEN pid END AS pid, "
+    "CASE WHEN index % 5 >= 2 THEN pname END AS pname, CASE WHEN index % 5 >= 2 THEN payload_utf8 END AS payload_utf8, "
+    "CASE WHEN index % 5 >= 2 THEN hex(payload_binary) END AS payload_binary, "
+    f"CASE WHEN index % 5 = 0 THEN {_SAT_HB} END AS count, CASE WHEN index % 5 = 0 THEN pname END AS message, "
+    "CASE WHEN index % 5 = 1 THEN payload_utf8 END AS log_info FROM packets"))(_envelopes)

@@ -9,11 +9,14 @@ micro-batch (``foreachBatch``):
    (``start_after`` if none); evaluate its filter – a Mode A condition on the
    batch's new rows, a Mode B statement over the whole stored history up to
    this batch (the reference's semantics: a row at or below the cursor that
-   qualifies later is never delivered) – keep ``index > cursor``, and write
-   the rows sorted by ``index`` to the feed's partition of this batch.
-
-Both writes overwrite one ``batch_id`` partition, and the cursor is read from
-what was written, so a batch replayed after a crash (between any two steps)
+   qualifies later is never delivered) – and keep ``index > cursor``;
+3. write what every feed delivers in one job, ``delivered/batch_id=<id>/feed=<name>``,
+   sorted by index; rows and last index per feed are observed during that
+   write (no second pass);
+4. write the batch's manifest (store row + one row per feed): the commit.
+
+All writes overwrite one ``batch_id`` partition and every cursor is read from
+the manifest, so a batch replayed after a crash (between any two steps)
 neither loses nor duplicates rows.
 """
 
@@ -24,15 +27,15 @@ import os
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.query import condition_filter, full_select, is_blank, is_full_select, since_index_no_payload
 from ..operators.verify import FilterSetting
-from ..schema import TARGET_SCHEMA
+from ..schema import TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
-from .store import PacketStore, _missing, _with_batch_id
+from .store import BATCH_ID, STORE_ROW, PacketStore, read_partitioned, with_columns
 
 log = logging.getLogger(__name__)
 
@@ -41,10 +44,7 @@ TICK = "300 milliseconds"          # flush / feed interval
 FLUSH_ROWS = 20                    # rows per flush of the capture socket
 RECONNECT_BACKOFF_S = 0.3          # wait before a failed query is restarted
 
-DELIVERY_MANIFEST = T.StructType([
-    T.StructField("n_rows", T.LongType(), False),
-    T.StructField("cursor", T.LongType(), True),
-])
+DELIVERED_SCHEMA = with_columns(TARGET_SCHEMA, BATCH_ID, T.StructField("feed", T.StringType(), True))
 
 
 class Feed:
@@ -52,6 +52,8 @@ class Feed:
 
     def __init__(self, store: PacketStore, name: str = "default", user_sql: str | None = None,
                  start_after: int | None = None, spark: SparkSession | None = None):
+        if not name or "/" in name or "=" in name:
+            raise ValueError(f"bad feed name {name!r}")
         self.store = store
         self.name = name
         self.start_after = start_after
@@ -62,34 +64,13 @@ class Feed:
     def user_sql(self) -> str | None:
         return self.setting.text
 
-    def _path(self, table: str, batch_id: int | None = None) -> str:
-        base = os.path.join(self.store.root, table, f"feed={self.name}")
-        return base if batch_id is None else os.path.join(base, f"batch_id={int(batch_id)}")
-
-    def _read(self, spark: SparkSession, table: str, schema: T.StructType) -> DataFrame:
-        try:
-            return spark.read.schema(_with_batch_id(schema)).parquet(self._path(table))
-        except Exception as exc:  # noqa: BLE001
-            if not _missing(exc):
-                raise
-            return spark.createDataFrame([], _with_batch_id(schema))
-
     # ---------------------------------------------------------------- state
-    def _manifest_of(self, spark: SparkSession, batch_id: int):
-        try:
-            rows = spark.read.schema(DELIVERY_MANIFEST).parquet(self._path("delivery_manifest", batch_id)).collect()
-        except Exception as exc:  # noqa: BLE001
-            if _missing(exc):
-                return None
-            raise
-        return rows[0] if rows else None
-
-    def cursor_before(self, spark: SparkSession, batch_id: int) -> tuple[int | None, bool]:
+    def cursor_before(self, spark: SparkSession, batch_id: int, prev_rows: list | None) -> tuple[int | None, bool]:
         """(cursor, feed already ran) as of the start of ``batch_id``."""
-        prev = self._manifest_of(spark, batch_id - 1) if batch_id > 0 else None
-        if prev is not None:
-            return prev["cursor"], True
-        m = self._read(spark, "delivery_manifest", DELIVERY_MANIFEST).filter(F.col("batch_id") < batch_id)
+        mine = [r for r in prev_rows or [] if r["feed"] == self.name]
+        if mine:
+            return mine[0]["cursor"], True
+        m = self.store.manifest(spark).filter((F.col("feed") == self.name) & (F.col("batch_id") < batch_id))
         row = m.orderBy(F.col("batch_id").desc()).select("cursor").limit(1).collect()
         if row:
             return row[0]["cursor"], True
@@ -97,13 +78,13 @@ class Feed:
 
     def cursor(self, spark: SparkSession) -> int | None:
         """Last delivered index (survives stop/start); ``start_after`` if none."""
-        m = self._read(spark, "delivery_manifest", DELIVERY_MANIFEST)
+        m = self.store.manifest(spark).filter(F.col("feed") == self.name)
         row = m.orderBy(F.col("batch_id").desc()).select("cursor").limit(1).collect()
         return row[0]["cursor"] if row else self.start_after
 
     # ---------------------------------------------------------------- work
     def select(self, spark: SparkSession, batch_id: int, cursor: int | None, history: bool) -> DataFrame:
-        """Rows this feed delivers for ``batch_id`` (12 columns, ordered)."""
+        """Rows this feed delivers for ``batch_id`` (12 columns, any order)."""
         text = self.user_sql
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
         if not is_blank(text) and is_full_select(text):
@@ -113,56 +94,86 @@ class Feed:
         if history or (text and "select" in text.lower()):
             rows = whole(spark)
         else:
-            rows = self.store.read(spark, "packets", only_batch=batch_id).drop("batch_id")
+            rows = self.store.batch_packets(spark, batch_id)
         if is_blank(text):
             return since_index_no_payload(rows, cursor)
         return condition_filter(rows, text, cursor)
 
-    def deliver(self, spark: SparkSession, batch_id: int) -> tuple[int, int | None]:
-        """Write this batch's rows and the new cursor; returns (rows, cursor)."""
-        cursor, ran = self.cursor_before(spark, batch_id)
-        rows = self.select(spark, batch_id, cursor, history=not ran)
-        rows.select(*[f.name for f in TARGET_SCHEMA.fields]).write.mode("overwrite").parquet(
-            self._path("delivered", batch_id))
-        written = spark.read.schema(TARGET_SCHEMA).parquet(self._path("delivered", batch_id))
-        stats = written.agg(F.count(F.lit(1)).alias("n"), F.max("index").alias("last")).first()
-        n = int(stats["n"])
-        new_cursor = stats["last"] if n else cursor           # Q6: the last *delivered* index
-        spark.createDataFrame([(n, new_cursor)], DELIVERY_MANIFEST).coalesce(1).write.mode("overwrite").parquet(
-            self._path("delivery_manifest", batch_id))
-        return n, new_cursor
-
     # ---------------------------------------------------------------- output
     def delivered(self, spark: SparkSession) -> DataFrame:
         """Everything delivered so far, with the batch that delivered it."""
-        return self._read(spark, "delivered", TARGET_SCHEMA)
+        df = read_partitioned(spark, os.path.join(self.store.root, "delivered"), DELIVERED_SCHEMA)
+        return df.filter(F.col("feed") == self.name).drop("feed")
 
     def ticks(self, spark: SparkSession) -> DataFrame:
         """A2: rows and cursor per tick; ticks that delivered nothing are left out."""
-        return (self._read(spark, "delivery_manifest", DELIVERY_MANIFEST)
-                .filter(F.col("n_rows") > 0).select("batch_id", "n_rows", "cursor"))
+        return (self.store.manifest(spark).filter((F.col("feed") == self.name) & (F.col("n_rows") > 0))
+                .select("batch_id", "n_rows", "cursor"))
+
+    def deliver(self, spark: SparkSession, batch_id: int) -> tuple[int, int | None]:
+        """Deliver this feed alone for an already stored batch (a late start)."""
+        prev = self.store.manifest_rows(spark, batch_id) or []
+        others = [tuple(r) for r in prev if r["feed"] != self.name]
+        rows = deliver_feeds(spark, self.store, [self], batch_id)
+        keep = [r for r in others if r[0] == STORE_ROW]
+        self.store.write_manifest(spark, batch_id, keep + rows)
+        return rows[0][2], rows[0][3]
+
+
+def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int) -> list[tuple]:
+    """Evaluate every feed for a batch and write all deliveries in one job.
+
+    Returns the manifest rows (feed, None, rows delivered, new cursor).
+    """
+    if not feeds:
+        return []
+    prev = store.manifest_rows(spark, batch_id - 1)
+    parts, cursors = [], {}
+    for feed in feeds:
+        cursor, ran = feed.cursor_before(spark, batch_id, prev)
+        cursors[feed.name] = cursor
+        parts.append(feed.select(spark, batch_id, cursor, history=not ran)
+                     .select(*TARGET_COLS).withColumn("feed", F.lit(feed.name)))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    obs = Observation(f"deliver_{batch_id}_{time.monotonic_ns()}")
+    metrics = []
+    for i, feed in enumerate(feeds):
+        mine = F.col("feed") == feed.name
+        metrics += [F.count(F.when(mine, 1)).alias(f"n{i}"), F.max(F.when(mine, F.col("index"))).alias(f"last{i}")]
+    # Observe above the sort: its sampling pass must not count rows twice.
+    (out.orderBy("feed", "index").observe(obs, *metrics)
+     .write.mode("overwrite").partitionBy("feed").parquet(os.path.join(store.root, "delivered", f"batch_id={batch_id}")))
+    got = obs.get
+    rows = []
+    for i, feed in enumerate(feeds):
+        n = int(got[f"n{i}"])
+        cursor = got[f"last{i}"] if n else cursors[feed.name]        # Q6: last *delivered* index
+        rows.append((feed.name, None, n, cursor))
+        log.info("feed %s batch %d: %d rows, cursor %s", feed.name, batch_id, n, cursor)
+    return rows
 
 
 def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch_id: int,
                   fail_after_append: bool = False) -> None:
-    """The body of one micro-batch: append, then deliver every feed."""
+    """The body of one micro-batch: append, deliver every feed, commit."""
     spark = batch.sparkSession
+    prev = store.manifest_rows(spark, batch_id - 1)
+    base = store.next_index(spark, batch_id, prev)
     if "frame" in batch.columns:
         decoded = FR.decode_frames(batch).persist()
         try:
-            store.append_events(FR.route_events(decoded), batch_id)
-            store.append_side(FR.route_heartbeats(decoded), "heartbeats", batch_id)
-            store.append_side(FR.route_process_logs(decoded), "process_logs", batch_id)
-            store.append_side(FR.route_bad_frames(decoded), "bad_frames", batch_id)
+            n = store.append_events(FR.route_events(decoded), batch_id, base)
+            store.append_side(decoded, batch_id)
         finally:
             decoded.unpersist()
     else:
-        store.append_events(batch, batch_id)
+        n = store.append_events(batch, batch_id, base)
     if fail_after_append:
         raise RuntimeError("injected failure between append and delivery")
-    for feed in feeds:
-        n, cursor = feed.deliver(spark, batch_id)
-        log.info("feed %s batch %d: %d rows, cursor %s", feed.name, batch_id, n, cursor)
+    rows = deliver_feeds(spark, store, feeds, batch_id)
+    store.write_manifest(spark, batch_id, [(STORE_ROW, base, n, None)] + rows)
 
 
 def start_capture(source: DataFrame, store: PacketStore, feeds: list[Feed], checkpoint: str,

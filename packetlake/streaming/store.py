@@ -2,15 +2,17 @@
 
 Layout under a root folder every executor can reach::
 
-    packets/batch_id=<id>/        numbered rows of the batch (14 columns)
-    manifest/batch_id=<id>/       one row: first index, rows
-    heartbeats/ process_logs/ bad_frames/   side tables, same partitioning
-
-Every write is an overwrite of exactly one ``batch_id`` partition, so a batch
-that is run again after a failure (same input, same ``batch_id``) writes the
-same rows with the same numbers: effectively exactly-once.  The next free
-index is read from the previous batch's manifest row (O(1) per batch), not
-from a counter in memory.
+    packets/batch_id=<id>/             numbered rows of the batch (14 columns)
+    side/batch_id=<id>/kind=<kind>/    heartbeats, process logs, bad frames
+    manifest/batch_id=<id>/            the batch's commit record: one row for
+                                       the store (first index, rows) and one
+                                       per feed (rows delivered, cursor)
+
+Every write is an overwrite of exactly one ``batch_id`` partition, and the
+manifest is written last, so a batch that is run again after a failure (same
+input, same ``batch_id``) writes the same rows with the same numbers:
+effectively exactly-once.  The next free index is read from the previous
+batch's manifest (O(1) per batch), not from a counter in memory.
 """
 
 from __future__ import annotations
@@ -21,19 +23,37 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.normalise import events_to_packets, normalise_heartbeats
+from ..functions.saturate import saturate_int32
+from ..operators.normalise import events_to_packets
 from ..operators.numbering import assign_index
 from ..schema import BAD_FRAME_SCHEMA, HEARTBEAT_SCHEMA, PACKET_SCHEMA, PROCESS_LOG_SCHEMA
 
+STORE_ROW = ""  # ``feed`` value of the store's own manifest row
 MANIFEST_SCHEMA = T.StructType([
-    T.StructField("first_index", T.LongType(), False),
+    T.StructField("feed", T.StringType(), False),
+    T.StructField("first_index", T.LongType(), True),
     T.StructField("n_rows", T.LongType(), False),
+    T.StructField("cursor", T.LongType(), True),
 ])
+SIDE_SCHEMA = T.StructType([
+    T.StructField("recv_seq", T.LongType(), True),
+    T.StructField("n_bytes", T.LongType(), True),
+    T.StructField("error", T.StringType(), True),
+    T.StructField("timestamp", T.LongType(), True),
+    T.StructField("count", T.IntegerType(), True),
+    T.StructField("message", T.StringType(), True),
+    T.StructField("log_info", T.StringType(), True),
+])
+SIDE_TABLES = {"heartbeats": ("heartbeat", HEARTBEAT_SCHEMA), "process_logs": ("process_log", PROCESS_LOG_SCHEMA),
+               "bad_frames": ("error", BAD_FRAME_SCHEMA)}
 ROWS_PER_NUMBERING_PARTITION = 2_000_000
 
 
-def _with_batch_id(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField("batch_id", T.LongType(), True)])
+def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
+    return T.StructType(schema.fields + list(fields))
+
+
+BATCH_ID = T.StructField("batch_id", T.LongType(), True)
 
 
 def _missing(exc: Exception) -> bool:
@@ -41,12 +61,19 @@ def _missing(exc: Exception) -> bool:
     return "PATH_NOT_FOUND" in text or "does not exist" in text or "UNABLE_TO_INFER_SCHEMA" in text
 
 
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A partitioned Parquet folder with an explicit schema; empty if absent."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as exc:  # noqa: BLE001
+        if not _missing(exc):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 class PacketStore:
     """Append-only packet table plus side tables, partitioned by ``batch_id``."""
 
-    TABLES = {"packets": PACKET_SCHEMA, "manifest": MANIFEST_SCHEMA, "heartbeats": HEARTBEAT_SCHEMA,
-              "process_logs": PROCESS_LOG_SCHEMA, "bad_frames": BAD_FRAME_SCHEMA}
-
     def __init__(self, root: str):
         self.root = root.rstrip("/")
 
@@ -55,75 +82,77 @@ class PacketStore:
         return base if batch_id is None else os.path.join(base, f"batch_id={int(batch_id)}")
 
     # -------------------------------------------------------------- reading
-    def read(self, spark: SparkSession, table: str, upto_batch: int | None = None,
-             only_batch: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-        """A table of the store; ``upto_batch`` keeps partitions ≤ it (pruned)."""
-        schema = schema or self.TABLES[table]
-        try:
-            if only_batch is not None:
-                df = spark.read.schema(schema).parquet(self.path(table, only_batch))
-                return df.withColumn("batch_id", F.lit(int(only_batch)).cast("bigint"))
-            df = spark.read.schema(_with_batch_id(schema)).parquet(self.path(table))
-        except Exception as exc:  # noqa: BLE001
-            if not _missing(exc):
-                raise
-            return spark.createDataFrame([], _with_batch_id(schema))
-        if upto_batch is not None:
-            df = df.filter(F.col("batch_id") <= F.lit(int(upto_batch)))
-        return df
-
     def packets(self, spark: SparkSession, upto_batch: int | None = None) -> DataFrame:
         """The ``packets`` table (14 columns) as of a batch (default: all)."""
-        return self.read(spark, "packets", upto_batch).drop("batch_id")
-
-    def next_index(self, spark: SparkSession, batch_id: int) -> int:
-        """First free index for ``batch_id``: end of the latest earlier batch."""
-        prev = self._manifest_row(spark, batch_id - 1) if batch_id > 0 else None
-        if prev is not None:
-            return prev
-        # No manifest for the previous id (first batch, or ids not consecutive):
-        # fall back to all manifests before this batch – one small row each.
-        m = self.read(spark, "manifest").filter(F.col("batch_id") < F.lit(int(batch_id)))
-        row = m.agg(F.max(F.col("first_index") + F.col("n_rows")).alias("end")).first()
-        return int(row["end"]) if row and row["end"] is not None else 0
-
-    def _manifest_row(self, spark: SparkSession, batch_id: int) -> int | None:
+        df = read_partitioned(spark, self.path("packets"), with_columns(PACKET_SCHEMA, BATCH_ID))
+        if upto_batch is not None:
+            df = df.filter(F.col("batch_id") <= F.lit(int(upto_batch)))
+        return df.drop("batch_id")
+
+    def batch_packets(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows one batch appended (one partition, read directly)."""
+        return read_partitioned(spark, self.path("packets", batch_id), PACKET_SCHEMA)
+
+    def side(self, spark: SparkSession, table: str) -> DataFrame:
+        """``heartbeats``, ``process_logs`` or ``bad_frames``, with ``batch_id``."""
+        kind, schema = SIDE_TABLES[table]
+        df = read_partitioned(spark, self.path("side"),
+                              with_columns(SIDE_SCHEMA, BATCH_ID, T.StructField("kind", T.StringType(), True)))
+        return df.filter(F.col("kind") == kind).select(*[f.name for f in schema.fields], "batch_id")
+
+    def manifest(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
+        if batch_id is not None:
+            return read_partitioned(spark, self.path("manifest", batch_id), MANIFEST_SCHEMA).withColumn(
+                "batch_id", F.lit(int(batch_id)).cast("bigint"))
+        return read_partitioned(spark, self.path("manifest"), with_columns(MANIFEST_SCHEMA, BATCH_ID))
+
+    def manifest_rows(self, spark: SparkSession, batch_id: int) -> list | None:
+        """Rows of one batch's manifest (a handful: store + feeds); None if absent."""
+        if batch_id < 0:
+            return None
         try:
-            rows = self.read(spark, "manifest", only_batch=batch_id).collect()
+            rows = spark.read.schema(MANIFEST_SCHEMA).parquet(self.path("manifest", batch_id)).collect()
         except Exception as exc:  # noqa: BLE001
             if _missing(exc):
                 return None
             raise
-        return (rows[0]["first_index"] + rows[0]["n_rows"]) if rows else None
+        return rows
 
-    # -------------------------------------------------------------- writing
-    def _overwrite(self, df: DataFrame, table: str, batch_id: int) -> None:
-        cols = [f.name for f in self.TABLES[table].fields]
-        df.select(*cols).write.mode("overwrite").parquet(self.path(table, batch_id))
+    def next_index(self, spark: SparkSession, batch_id: int, prev_rows: list | None = None) -> int:
+        """First free index for ``batch_id``: end of the latest earlier batch."""
+        rows = prev_rows if prev_rows is not None else self.manifest_rows(spark, batch_id - 1)
+        mine = [r for r in rows or [] if r["feed"] == STORE_ROW]
+        if mine:
+            return int(mine[0]["first_index"] + mine[0]["n_rows"])
+        # No record for the previous id (first batch, or ids not consecutive):
+        # fall back to all manifests before this batch – one small row each.
+        m = self.manifest(spark).filter((F.col("batch_id") < F.lit(int(batch_id))) & (F.col("feed") == STORE_ROW))
+        row = m.agg(F.max(F.col("first_index") + F.col("n_rows")).alias("end")).first()
+        return int(row["end"]) if row and row["end"] is not None else 0
 
-    def append_events(self, events: DataFrame, batch_id: int) -> tuple[int, int]:
-        """Number decoded events after the previous batch and write them.
+    # -------------------------------------------------------------- writing
+    def append_events(self, events: DataFrame, batch_id: int, base: int) -> int:
+        """Number decoded events from ``base`` in ``recv_seq`` order and write them.
 
         ``events`` has ``recv_seq`` (unique, arrival order) and the decoded event
-        columns with ``payload``.  Returns (first index, rows).  An empty batch
-        writes an empty partition and a manifest row with 0 rows.
+        columns with ``payload``.  Returns the number of rows.  The numbering
+        spreads over one partition per ``ROWS_PER_NUMBERING_PARTITION`` rows.
         """
         spark = events.sparkSession
-        base = self.next_index(spark, batch_id)
         n = events.count()
-        parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                           -(-n // ROWS_PER_NUMBERING_PARTITION)))
-        if n:
-            numbered = assign_index(events, "recv_seq", base=base, out="index", num_partitions=parts)
-            packets = events_to_packets(numbered)
-        else:
-            packets = spark.createDataFrame([], PACKET_SCHEMA)
-        self._overwrite(packets, "packets", batch_id)
-        manifest = spark.createDataFrame([(base, n)], MANIFEST_SCHEMA)
-        self._overwrite(manifest.coalesce(1), "manifest", batch_id)
-        return base, n
-
-    def append_side(self, df: DataFrame, table: str, batch_id: int) -> None:
-        if table == "heartbeats":
-            df = normalise_heartbeats(df)
-        self._overwrite(df, table, batch_id)
+        parts = max(1, -(-n // ROWS_PER_NUMBERING_PARTITION))
+        numbered = assign_index(events, "recv_seq", base=base, out="index", num_partitions=parts)
+        events_to_packets(numbered).write.mode("overwrite").parquet(self.path("packets", batch_id))
+        return n
+
+    def append_side(self, decoded: DataFrame, batch_id: int) -> None:
+        """Heartbeats, process logs and bad frames of a decoded batch, one write."""
+        side = decoded.filter(F.col("kind") != F.lit("event")).select(
+            "recv_seq", "n_bytes", "error", F.col("hb_timestamp").alias("timestamp"),
+            saturate_int32("hb_count").alias("count"), F.col("hb_message").alias("message"), "log_info", "kind")
+        side.write.mode("overwrite").partitionBy("kind").parquet(self.path("side", batch_id))
+
+    def write_manifest(self, spark: SparkSession, batch_id: int, rows: list[tuple]) -> None:
+        """Commit record of a batch: (feed, first_index, n_rows, cursor) rows."""
+        (spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
+         .write.mode("overwrite").parquet(self.path("manifest", batch_id)))

@@ -131,8 +131,8 @@ def test_side_tables(spark, tmp_path):
     batch = spark.createDataFrame(rows, "recv_seq bigint, frame binary")
     store = PacketStore(str(tmp_path / "s"))
     process_batch(store, [], batch, 0)
-    assert [(x["count"], x["message"]) for x in store.read(spark, "heartbeats").collect()] == [(2147483647, "hb")]
-    assert [x["log_info"] for x in store.read(spark, "process_logs").collect()] == ["started"]
-    assert [x["recv_seq"] for x in store.read(spark, "bad_frames").collect()] == [2]
+    assert [(x["count"], x["message"]) for x in store.side(spark, "heartbeats").collect()] == [(2147483647, "hb")]
+    assert [x["log_info"] for x in store.side(spark, "process_logs").collect()] == ["started"]
+    assert [x["recv_seq"] for x in store.side(spark, "bad_frames").collect()] == [2]
     assert store.packets(spark).count() == 0
     assert store.next_index(spark, 1) == 0
