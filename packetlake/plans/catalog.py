@@ -45,11 +45,17 @@ def register(name: str, oracle: str | None):
 
 
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored ``packets`` table of the fixture (written on first use)."""
+    return fixtures.packets_table(prepare(spark), sf_dir)
+
+
+def derived_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``packets`` computed from the raw tables (the ingest path itself)."""
     return fixtures.packets(prepare(spark), sf_dir)
 
 
 def source(sf_dir: str):
-    return lambda session: fixtures.packets(session, sf_dir)
+    return lambda session: fixtures.packets_table(prepare(session), sf_dir)
 
 
 def hexed(df: DataFrame) -> DataFrame:
@@ -125,10 +131,10 @@ register("delivered_count", O.over_packets(
 
 # ---------------------------------------------------------------- payload
 register("payload_classify", O.over_packets("SELECT index, length, is_binary FROM packets"))(
-    lambda spark, sf: packets(spark, sf).select("index", "length", "is_binary"))
+    lambda spark, sf: derived_packets(spark, sf).select("index", "length", "is_binary"))
 register("payload_split", O.over_packets(
     "SELECT index, is_binary, payload_utf8, hex(payload_binary) AS payload_binary FROM packets"))(
-    lambda spark, sf: hexed(packets(spark, sf).select("index", "is_binary", "payload_utf8", "payload_binary")))
+    lambda spark, sf: hexed(derived_packets(spark, sf).select("index", "is_binary", "payload_utf8", "payload_binary")))
 
 # ---------------------------------------------------------------- normalisation
 WIDE_PID_SQL = "(pid - 1075) * 30000000"   # raw wire pid spread over ±2.25e9

@@ -46,14 +46,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster the folder must be set by whoever runs the job (a path every
     executor can reach).  Only a local-mode session without one – tests,
-    benchmarks – gets a fresh scratch folder of its own.
+    benchmarks – gets a fresh scratch folder of its own.  ``checkpoint()``
+    writes below it (Spark adds a folder per application); tables the library
+    writes go to the folder itself.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    configured = sc.getConf().get("spark.checkpoint.dir", None)
+    if configured:
         if not sc.getCheckpointDir():
-            sc.setCheckpointDir(current)
-        return current
+            sc.setCheckpointDir(configured)
+        return configured.rstrip("/")
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/").rsplit("/", 1)[0]
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder")
     path = tempfile.mkdtemp(prefix="packetlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 
 from ..operators.joins import bounded_broadcast_join
 from ..operators.normalise import events_to_packets
+from ..schema import PACKET_SCHEMA
+from ..session import checkpoint_dir
+from . import storage
 
 # Fixed values of the derivation (must equal the oracle SQL).
 DOC_KEYS = 200                       # event e uses document e % 200
@@ -96,3 +99,26 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``packets`` table of the fixture; ``index`` = ``recv_seq`` (gap-free here)."""
     return events_to_packets(raw_events(spark, sf_dir), index="recv_seq")
+
+
+TABLE_VERSION = 1  # bump when the derivation changes
+
+
+def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's ``packets`` written once as a table, then scanned.
+
+    This is the shape of the system: capture is ingested into one stored table
+    and every query scans that table.  It is written under the shared folder
+    named by ``spark.checkpoint.dir``, range-partitioned and sorted by
+    ``index`` so that each file covers one index range: a cursor (``index >
+    n``) or a lookup (``index = n``) skips files and row groups by their
+    min/max statistics, and conditions reach the Parquet reader as pushed
+    filters.  The key changes whenever the input tables change.
+    """
+    sources = [os.path.join(sf_dir, f"{t}.parquet") for t in ("events", "documents")]
+    key = storage.fingerprint(spark, sources)
+    path = os.path.join(checkpoint_dir(spark), "packetlake-tables", f"packets-v{TABLE_VERSION}-{key}")
+    if not storage.exists(spark, os.path.join(path, "_SUCCESS")):
+        (packets(spark, sf_dir).repartitionByRange("index").sortWithinPartitions("index")
+         .write.mode("overwrite").parquet(path))
+    return spark.read.schema(PACKET_SCHEMA).parquet(path)
