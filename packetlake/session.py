@@ -64,3 +64,31 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="packetlake-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(path)
     return path
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``packetlake`` importable by Python workers (once per application).
+
+    Executors unpickle the functions of ``mapInArrow`` by module name; the
+    package is zipped and added with ``addPyFile`` – what ``--py-files`` does
+    for a submitted job – unless the application already shipped it.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _shipped:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="packetlake-py-"), "packetlake.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _dirs, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.join("packetlake", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(out)
+    _shipped.add(app)

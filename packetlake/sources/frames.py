@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import FRAME_SCHEMA, ddl
+from ..session import ship_package
 
 # The wire schema.  Only field numbers and types matter on the
 # wire; the message and package names below are our own.
@@ -112,18 +113,67 @@ def decode_one(frame: bytes | None) -> dict | None:
 
 def _decode_batches(batches):
     schema = _arrow_schema(DECODED_DDL)
+    log_entry = message_classes()[0]
     for rb in batches:
         cols = {c: [] for c in _OUT_COLS}
+        put = {c: cols[c].append for c in _OUT_COLS}
         for seq, frame in zip(rb.column("recv_seq").to_pylist(), rb.column("frame").to_pylist()):
-            row = decode_one(frame)
-            if row is None:
-                continue
-            cols["recv_seq"].append(seq)
-            for c in _OUT_COLS[1:]:
-                cols[c].append(row[c])
+            if frame is None:
+                continue  # not a binary message: ignored
+            member, error, entry = None, None, None
+            try:
+                entry = log_entry.FromString(frame)
+                member = entry.WhichOneof("payload")
+                if member is None:
+                    error = MISSING_PAYLOAD
+            except Exception as exc:  # noqa: BLE001 – any decode failure is quarantined
+                error = f"decode error: {exc}"
+            put["recv_seq"](seq)
+            put["n_bytes"](len(frame))
+            put["error"](error)
+            if member == "event_payload":
+                ev = entry.event_payload
+                put["kind"](KIND_EVENT)
+                for name in _EVENT_COLS:
+                    put[name](getattr(ev, name))
+            else:
+                for name in _EVENT_COLS:
+                    put[name](None)
+            if member == "heartbeat_payload":
+                hb = entry.heartbeat_payload
+                put["kind"](KIND_HEARTBEAT)
+                put["hb_timestamp"](hb.timestamp)
+                put["hb_count"](hb.count)
+                put["hb_message"](hb.message)
+            else:
+                put["hb_timestamp"](None)
+                put["hb_count"](None)
+                put["hb_message"](None)
+            if member == "run_log":
+                put["kind"](KIND_LOG)
+                put["log_info"](entry.run_log)
+            else:
+                put["log_info"](None)
+            if error is not None:
+                put["kind"](KIND_ERROR)
         yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
 
+def spread(df: DataFrame, key: str = "recv_seq") -> DataFrame:
+    """Give Python-heavy per-row work at least one partition per core.
+
+    Input splits normally outnumber the cores many times over and nothing
+    happens; a small input (one file, one micro-batch) is hashed on ``key`` –
+    deterministic, so a re-run task sees the same rows.
+    """
+    if df.isStreaming:
+        return df  # the micro-batch (``foreachBatch``) is spread instead
+    parallelism = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= parallelism:
+        return df
+    return df.repartition(parallelism, F.col(key))
+
+
 def frame_source(spark: SparkSession, path: str, stream: bool = False,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Frames stored as Parquet (``recv_seq``, ``frame``), batch or stream."""
@@ -143,7 +193,8 @@ def kafka_frames(kafka_df: DataFrame) -> DataFrame:
 
 def decode_frames(frames: DataFrame) -> DataFrame:
     """One decoded row per frame (schema ``DECODED_DDL``)."""
-    return frames.select("recv_seq", "frame").mapInArrow(_decode_batches, DECODED_DDL)
+    ship_package(frames.sparkSession)
+    return spread(frames.select("recv_seq", "frame")).mapInArrow(_decode_batches, DECODED_DDL)
 
 
 # S3: routes
@@ -202,7 +253,8 @@ ENCODE_INPUT_COLS = ["recv_seq", "member", "log_type", *_EVENT_COLS, "count", "m
 def encode_frames(rows: DataFrame) -> DataFrame:
     """Serialize rows into frames.  ``rows`` has ``ENCODE_INPUT_COLS``; ``member``
     picks the oneof member (``event``/``heartbeat``/``process_log``, else none)."""
-    return rows.select(*ENCODE_INPUT_COLS).mapInArrow(_encode_batches, FRAME_DDL)
+    ship_package(rows.sparkSession)
+    return spread(rows.select(*ENCODE_INPUT_COLS)).mapInArrow(_encode_batches, FRAME_DDL)
 
 
 def events_as_frame_rows(raw: DataFrame, log_type: int = 2) -> DataFrame:

@@ -27,3 +27,30 @@ def fingerprint(spark: SparkSession, paths: list[str]) -> str:
         size = fs.getContentSummary(p).getLength()
         h.update(f"{path}|{size}|{st.getModificationTime()}".encode())
     return h.hexdigest()[:16]
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file in one step: temp name, then rename over the old one."""
+    fs, p = _fs(spark, path)
+    jvm = spark.sparkContext._jvm
+    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    out = fs.create(tmp, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(p):
+        fs.delete(p, False)
+    if not fs.rename(tmp, p):
+        raise OSError(f"could not commit {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Contents of a small file, or None if it does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    jvm = spark.sparkContext._jvm
+    buf = jvm.java.io.ByteArrayOutputStream()
+    jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(p), buf, 65536, True)
+    return bytes(buf.toByteArray()).decode("utf-8")

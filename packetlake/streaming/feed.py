@@ -164,7 +164,8 @@ def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch
     if "frame" in batch.columns:
         decoded = FR.decode_frames(batch).persist()
         try:
-            n = store.append_events(FR.route_events(decoded), batch_id, base)
+            n_frames = decoded.count()          # fills the cache; bounds the event count
+            n = store.append_events(FR.route_events(decoded), batch_id, base, size_hint=n_frames)
             store.append_side(decoded, batch_id)
         finally:
             decoded.unpersist()

@@ -4,9 +4,9 @@ Layout under a root folder every executor can reach::
 
     packets/batch_id=<id>/             numbered rows of the batch (14 columns)
     side/batch_id=<id>/kind=<kind>/    heartbeats, process logs, bad frames
-    manifest/batch_id=<id>/            the batch's commit record: one row for
-                                       the store (first index, rows) and one
-                                       per feed (rows delivered, cursor)
+    manifest/batch_id=<id>/manifest.json  the batch's commit record: one line
+                                       for the store (first index, rows) and
+                                       one per feed (rows delivered, cursor)
 
 Every write is an overwrite of exactly one ``batch_id`` partition, and the
 manifest is written last, so a batch that is run again after a failure (same
@@ -17,9 +17,12 @@ batch's manifest (O(1) per batch), not from a counter in memory.
 
 from __future__ import annotations
 
+import json
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+
+from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,6 +30,7 @@ from ..functions.saturate import saturate_int32
 from ..operators.normalise import events_to_packets
 from ..operators.numbering import assign_index
 from ..schema import BAD_FRAME_SCHEMA, HEARTBEAT_SCHEMA, PACKET_SCHEMA, PROCESS_LOG_SCHEMA
+from ..sources import storage
 
 STORE_ROW = ""  # ``feed`` value of the store's own manifest row
 MANIFEST_SCHEMA = T.StructType([
@@ -61,10 +65,12 @@ def _missing(exc: Exception) -> bool:
     return "PATH_NOT_FOUND" in text or "does not exist" in text or "UNABLE_TO_INFER_SCHEMA" in text
 
 
-def read_partitioned(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A partitioned Parquet folder with an explicit schema; empty if absent."""
+def read_partitioned(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
+    """A partitioned folder with an explicit schema; empty if absent."""
+    if not storage.exists(spark, path):
+        return spark.createDataFrame([], schema)
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).format(fmt).load(path)
     except Exception as exc:  # noqa: BLE001
         if not _missing(exc):
             raise
@@ -100,23 +106,18 @@ class PacketStore:
                               with_columns(SIDE_SCHEMA, BATCH_ID, T.StructField("kind", T.StringType(), True)))
         return df.filter(F.col("kind") == kind).select(*[f.name for f in schema.fields], "batch_id")
 
-    def manifest(self, spark: SparkSession, batch_id: int | None = None) -> DataFrame:
-        if batch_id is not None:
-            return read_partitioned(spark, self.path("manifest", batch_id), MANIFEST_SCHEMA).withColumn(
-                "batch_id", F.lit(int(batch_id)).cast("bigint"))
-        return read_partitioned(spark, self.path("manifest"), with_columns(MANIFEST_SCHEMA, BATCH_ID))
+    def manifest(self, spark: SparkSession) -> DataFrame:
+        """All commit records, one row per (batch, store or feed)."""
+        return read_partitioned(spark, self.path("manifest"), with_columns(MANIFEST_SCHEMA, BATCH_ID), "json")
 
     def manifest_rows(self, spark: SparkSession, batch_id: int) -> list | None:
         """Rows of one batch's manifest (a handful: store + feeds); None if absent."""
         if batch_id < 0:
             return None
-        try:
-            rows = spark.read.schema(MANIFEST_SCHEMA).parquet(self.path("manifest", batch_id)).collect()
-        except Exception as exc:  # noqa: BLE001
-            if _missing(exc):
-                return None
-            raise
-        return rows
+        text = storage.read_text(spark, os.path.join(self.path("manifest", batch_id), "manifest.json"))
+        if text is None:
+            return None
+        return [Row(**json.loads(line)) for line in text.splitlines() if line.strip()]
 
     def next_index(self, spark: SparkSession, batch_id: int, prev_rows: list | None = None) -> int:
         """First free index for ``batch_id``: end of the latest earlier batch."""
@@ -131,19 +132,22 @@ class PacketStore:
         return int(row["end"]) if row and row["end"] is not None else 0
 
     # -------------------------------------------------------------- writing
-    def append_events(self, events: DataFrame, batch_id: int, base: int) -> int:
+    def append_events(self, events: DataFrame, batch_id: int, base: int, size_hint: int | None = None) -> int:
         """Number decoded events from ``base`` in ``recv_seq`` order and write them.
 
         ``events`` has ``recv_seq`` (unique, arrival order) and the decoded event
-        columns with ``payload``.  Returns the number of rows.  The numbering
-        spreads over one partition per ``ROWS_PER_NUMBERING_PARTITION`` rows.
+        columns with ``payload``.  Returns the number of rows, observed during
+        the write.  The numbering spreads over one partition per
+        ``ROWS_PER_NUMBERING_PARTITION`` rows of ``size_hint`` (an upper bound
+        of the row count; counted when not given).
         """
-        spark = events.sparkSession
-        n = events.count()
-        parts = max(1, -(-n // ROWS_PER_NUMBERING_PARTITION))
+        size = events.count() if size_hint is None else size_hint
+        parts = max(1, -(-size // ROWS_PER_NUMBERING_PARTITION))
         numbered = assign_index(events, "recv_seq", base=base, out="index", num_partitions=parts)
-        events_to_packets(numbered).write.mode("overwrite").parquet(self.path("packets", batch_id))
-        return n
+        obs = Observation(f"append_{batch_id}_{time.monotonic_ns()}")
+        (events_to_packets(numbered).observe(obs, F.count(F.lit(1)).alias("n"))
+         .write.mode("overwrite").parquet(self.path("packets", batch_id)))
+        return int(obs.get["n"])
 
     def append_side(self, decoded: DataFrame, batch_id: int) -> None:
         """Heartbeats, process logs and bad frames of a decoded batch, one write."""
@@ -153,6 +157,11 @@ class PacketStore:
         side.write.mode("overwrite").partitionBy("kind").parquet(self.path("side", batch_id))
 
     def write_manifest(self, spark: SparkSession, batch_id: int, rows: list[tuple]) -> None:
-        """Commit record of a batch: (feed, first_index, n_rows, cursor) rows."""
-        (spark.createDataFrame(rows, MANIFEST_SCHEMA).coalesce(1)
-         .write.mode("overwrite").parquet(self.path("manifest", batch_id)))
+        """Commit record of a batch: (feed, first_index, n_rows, cursor) rows.
+
+        A few lines, written by the driver straight to the shared file system
+        (temp file + rename) – no Spark job for a handful of numbers.
+        """
+        names = [f.name for f in MANIFEST_SCHEMA.fields]
+        text = "".join(json.dumps(dict(zip(names, r))) + "\n" for r in rows)
+        storage.write_text(spark, os.path.join(self.path("manifest", batch_id), "manifest.json"), text)
