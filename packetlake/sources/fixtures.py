@@ -9,6 +9,7 @@ as decoded frames do.  ``recv_seq`` (arrival order) is ``event_id``.
 from __future__ import annotations
 
 import os
+import threading
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,6 +103,7 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TABLE_VERSION = 1  # bump when the derivation changes
+_table_lock = threading.Lock()
 
 
 def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +120,8 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = [os.path.join(sf_dir, f"{t}.parquet") for t in ("events", "documents")]
     key = storage.fingerprint(spark, sources)
     path = os.path.join(checkpoint_dir(spark), "packetlake-tables", f"packets-v{TABLE_VERSION}-{key}")
-    if not storage.exists(spark, os.path.join(path, "_SUCCESS")):
-        (packets(spark, sf_dir).repartitionByRange("index").sortWithinPartitions("index")
-         .write.mode("overwrite").parquet(path))
+    with _table_lock:
+        if not storage.exists(spark, os.path.join(path, "_SUCCESS")):
+            (packets(spark, sf_dir).repartitionByRange("index").sortWithinPartitions("index")
+             .write.mode("overwrite").parquet(path))
     return spark.read.schema(PACKET_SCHEMA).parquet(path)
