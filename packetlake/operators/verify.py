@@ -6,7 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..schema import PACKET_SCHEMA, TARGET_SCHEMA
-from .query import customized, is_blank
+from .query import customized, is_blank, is_full_select, run_user_sql
+
+# Logical operators after which every output row still comes from one input
+# row (no aggregate, join, window, limit, set difference or generator).
+ROW_LOCAL_NODES = {"Project", "Filter", "Union", "Distinct", "Sort", "SubqueryAlias", "View", "WithCTE",
+                   "CTERelationDef", "CTERelationRef", "LogicalRelation", "LocalRelation", "LogicalRDD"}
 
 
 def schema_problems(schema: T.StructType) -> list[str]:
@@ -48,12 +53,38 @@ def verify_filter(spark: SparkSession, user_sql: str | None) -> str | None:
     return None
 
 
+def is_row_local(df: DataFrame) -> bool:
+    """True when the analysed plan only selects, filters and unions rows.
+
+    Such a statement gives, for the new rows of a batch, exactly what it gives
+    over the whole history restricted to those rows – ``index`` is unique, so
+    even a ``DISTINCT`` cannot merge a new row with an old one – and a feed may
+    evaluate it on the new batch alone.
+    """
+    stack = [df._jdf.queryExecution().analyzed()]
+    while stack:
+        node = stack.pop()
+        if node.nodeName() not in ROW_LOCAL_NODES or node.subqueries().size() > 0:
+            return False
+        children = node.children()
+        stack.extend(children.apply(i) for i in range(children.size()))
+    return True
+
+
+def full_sql_is_row_local(spark: SparkSession, user_sql: str | None) -> bool:
+    """Whether a Mode B filter may be evaluated on new rows only."""
+    if is_blank(user_sql) or not is_full_select(user_sql):
+        return False
+    return is_row_local(run_user_sql(lambda s: s.createDataFrame([], PACKET_SCHEMA), user_sql, base=spark))
+
+
 class FilterSetting:
     """V3: a stored filter, checked only when its text changes."""
 
     def __init__(self, spark: SparkSession, text: str | None = None):
         self.spark = spark
         self.text: str | None = None
+        self.row_local = False
         self.checks = 0
         if text is not None:
             self.set(text)
@@ -66,3 +97,4 @@ class FilterSetting:
         if error:
             raise ValueError(f"filter refused: {error}")
         self.text = text
+        self.row_local = full_sql_is_row_local(self.spark, text)

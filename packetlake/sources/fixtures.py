@@ -102,7 +102,23 @@ def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_to_packets(raw_events(spark, sf_dir), index="recv_seq")
 
 
-TABLE_VERSION = 1  # bump when the derivation changes
+TABLE_VERSION = 1  # bump when the table layout changes
+
+
+def _code_version() -> str:
+    """Source text of the modules that decide the table's values."""
+    import hashlib
+
+    from ..functions import payload, saturate
+    from ..operators import joins, normalise
+
+    h = hashlib.sha1()
+    for mod in (payload, saturate, joins, normalise):
+        with open(mod.__file__, "rb") as f:
+            h.update(f.read())
+    with open(__file__, "rb") as f:
+        h.update(f.read())
+    return h.hexdigest()
 _table_lock = threading.Lock()
 
 
@@ -118,7 +134,7 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters.  The key changes whenever the input tables change.
     """
     sources = [os.path.join(sf_dir, f"{t}.parquet") for t in ("events", "documents")]
-    key = storage.fingerprint(spark, sources)
+    key = storage.fingerprint(spark, sources, extra=_code_version())
     path = os.path.join(checkpoint_dir(spark), "packetlake-tables", f"packets-v{TABLE_VERSION}-{key}")
     with _table_lock:
         if not storage.exists(spark, os.path.join(path, "_SUCCESS")):

@@ -18,9 +18,9 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
+def fingerprint(spark: SparkSession, paths: list[str], extra: str = "") -> str:
     """A short key that changes when any of the files (or folders) change."""
-    h = hashlib.sha1()
+    h = hashlib.sha1(extra.encode())
     for path in paths:
         fs, p = _fs(spark, path)
         st = fs.getFileStatus(p)

@@ -9,7 +9,9 @@ micro-batch (``foreachBatch``):
    (``start_after`` if none); evaluate its filter – a Mode A condition on the
    batch's new rows, a Mode B statement over the whole stored history up to
    this batch (the reference's semantics: a row at or below the cursor that
-   qualifies later is never delivered) – and keep ``index > cursor``;
+   qualifies later is never delivered) – and keep ``index > cursor``.  A Mode B
+   statement that only selects, filters and unions rows gives the same rows
+   on the new batch alone and is evaluated there (``verify.is_row_local``);
 3. write what every feed delivers in one job, ``delivered/batch_id=<id>/feed=<name>``,
    sorted by index; rows and last index per feed are observed during that
    write (no second pass);
@@ -88,6 +90,10 @@ class Feed:
         text = self.user_sql
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
         if not is_blank(text) and is_full_select(text):
+            if self.setting.row_local and not history:
+                # Only selects, filters and unions: the new rows say it all.
+                new = lambda s: self.store.batch_packets(s, batch_id)
+                return full_select(new, text, cursor, base=spark)
             return full_select(whole, text, cursor, base=spark)                        # T5
         # Mode A needs only the new rows (T4), unless the feed starts late or the
         # condition reads other rows through a subquery.

@@ -136,3 +136,50 @@ def test_side_tables(spark, tmp_path):
     assert [x["recv_seq"] for x in store.side(spark, "bad_frames").collect()] == [2]
     assert store.packets(spark).count() == 0
     assert store.next_index(spark, 1) == 0
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(cuts=st.lists(st.integers(min_value=1, max_value=29), min_size=1, max_size=3, unique=True))
+def test_ticks_add_up_to_one_batch_query(spark, tmp_path_factory, cuts):
+    """For any split of the input, the union of all ticks = the batch query."""
+    from packetlake.operators.query import condition_filter
+
+    raw = fixtures.raw_events(spark, SF001).filter(F.col("recv_seq") < 30).cache()
+    root = str(tmp_path_factory.mktemp("split"))
+    store = PacketStore(root)
+    cond = "dst_port IN (80, 443) OR is_binary = true"
+    feed = Feed(store, "f", cond)
+    bounds = [0] + sorted(cuts) + [30]
+    for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        batch = raw.filter((F.col("recv_seq") >= lo) & (F.col("recv_seq") < hi))
+        process_batch(store, [feed], batch, b)
+    got = sorted(r["index"] for r in feed.delivered(spark).collect())
+    want = sorted(r["index"] for r in condition_filter(fixtures.packets(spark, SF001), cond).filter("index < 30").collect())
+    assert got == want
+    raw.unpersist()
+
+
+def test_restart_after_failure(spark, two_batches):
+    from packetlake.streaming.feed import run_with_restarts
+
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    feed = Feed(store, "f")
+    calls = []
+
+    def body(batch, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 2:
+            raise RuntimeError("lost the source")
+        process_batch(store, [feed], batch, batch_id)
+
+    def start():
+        return (_stream(spark, frames_dir).writeStream.foreachBatch(body)
+                .option("checkpointLocation", os.path.join(root, "_ckpt")).trigger(availableNow=True).start())
+
+    run_with_restarts(start, max_restarts=2, backoff_s=0.01)
+    assert calls == [0, 1, 1]
+    assert sorted(r["index"] for r in feed.delivered(spark).collect()) == list(range(10))

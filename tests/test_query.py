@@ -144,3 +144,18 @@ def test_condition_is_pushed_into_scan(spark, tmp_path):
     plan = _plan(spark, df)
     assert "StartsWith(pname,chrome)" in plan and "GreaterThan(index,100)" in plan
     assert "payload_binary" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+@pytest.mark.parametrize("sql,local", [
+    ("SELECT * FROM packets WHERE pname = 'curl' UNION SELECT * FROM packets WHERE pname = 'wget'", True),
+    ("WITH big AS (SELECT * FROM packets WHERE length >= 1000) SELECT * FROM big WHERE pname <> 'curl'", True),
+    ("SELECT * FROM (SELECT * FROM packets WHERE dst_port = 443) AS t WHERE pname = 'wget'", True),
+    ("SELECT * FROM packets WHERE index < 3 LIMIT 3", False),
+    ("SELECT * FROM packets WHERE index = (SELECT max(index) FROM packets)", False),
+    ("SELECT p.* FROM packets p JOIN packets q ON p.index = q.index + 1", False),
+    ("SELECT * FROM packets EXCEPT SELECT * FROM packets WHERE pname = 'curl'", False),
+    ("dst_port = 80", False),
+])
+def test_row_local_full_sql(spark, sql, local):
+    from packetlake.operators.verify import full_sql_is_row_local
+    assert full_sql_is_row_local(spark, sql) is local
