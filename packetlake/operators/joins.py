@@ -10,9 +10,6 @@ BROADCAST_LIMIT_BYTES = 64 << 20
 # Number of copies of the small side when it is too big to broadcast.
 DEFAULT_SALTS = 64
 
-_measured: dict[int, tuple[int, int]] = {}
-
-
 def measure(df: DataFrame, width: Column) -> tuple[int, int]:
     """(rows, approximate bytes) of ``df``; ``width`` is a per-row byte count.
 
@@ -27,7 +24,8 @@ def measure(df: DataFrame, width: Column) -> tuple[int, int]:
 def bounded_broadcast_join(big: DataFrame, small: DataFrame, big_key: str, small_key: str,
                            width: Column, salt: Column, how: str = "inner",
                            limit_bytes: int = BROADCAST_LIMIT_BYTES,
-                           salts: int = DEFAULT_SALTS) -> DataFrame:
+                           salts: int = DEFAULT_SALTS,
+                           measured: tuple[int, int] | None = None) -> DataFrame:
     """Equi-join ``big`` to ``small``, broadcasting ``small`` only if it is small.
 
     ``width`` estimates the bytes of one ``small`` row; the measured total
@@ -36,9 +34,10 @@ def bounded_broadcast_join(big: DataFrame, small: DataFrame, big_key: str, small
     each ``big`` row picks one copy by ``salt`` – a *deterministic* expression
     of the big row (a hash of its own columns), so a re-run map task sends
     every row to the same reducer.  A hot key on the big side thus spreads over
-    ``salts`` reducers instead of one.
+    ``salts`` reducers instead of one.  ``measured`` passes a measurement the
+    caller already holds for unchanged input.
     """
-    n, nbytes = measure(small, width)
+    n, nbytes = measured if measured is not None else measure(small, width)
     if nbytes + 32 * n <= limit_bytes:
         return big.join(F.broadcast(small), big[big_key] == small[small_key], how)
     salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))

@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import bounded_broadcast_join
+from ..operators.joins import bounded_broadcast_join, measure
 from ..operators.normalise import events_to_packets
+from ..operators.partitioning import spread
 from ..schema import PACKET_SCHEMA
 from ..session import checkpoint_dir
 from . import storage
@@ -32,6 +33,9 @@ THIRD_STATE_EVERY = 97                                            # kind 6 when
 # 4 document text, 5 empty, 6 120 × 'a' then 0xff (text prefix, invalid whole)
 
 
+_doc_sizes: dict[str, tuple[int, int]] = {}  # (rows, bytes) of the document side, by file fingerprint
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -58,6 +62,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decoded events with byte payloads (FIXTURES §2), schema ``RAW_EVENT_SCHEMA``."""
     ev = table(spark, sf_dir, "events")
     ts_type = ev.schema["ts"].dataType
+    ev = spread(ev.select("event_id", "ts", "user_id", "props"), "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     kind = F.col("_kind")
     e = ev.select(
@@ -80,8 +85,12 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = (table(spark, sf_dir, "documents")
             .filter((F.col("doc_id") >= 0) & (F.col("doc_id") < DOC_KEYS))
             .select("doc_id", "text"))
-    joined = bounded_broadcast_join(e, docs, "_doc", "doc_id", width=F.octet_length("text"),
-                                    salt=F.xxhash64("recv_seq"))
+    width = F.octet_length("text")
+    docs_key = storage.fingerprint(spark, [os.path.join(sf_dir, "documents.parquet")])
+    if docs_key not in _doc_sizes:
+        _doc_sizes[docs_key] = measure(docs, width)
+    joined = bounded_broadcast_join(e, docs, "_doc", "doc_id", width=width, salt=F.xxhash64("recv_seq"),
+                                    measured=_doc_sizes[docs_key])
     text = (F.when(kind == 0, F.concat(F.lit("GET /item/"), F.col("_user").cast("string"),
                                        F.lit(" HTTP/1.1\nHost: " + HTTP_HOST)))
             .when(kind == 1, F.col("_props"))

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.partitioning import spread
 from ..schema import FRAME_SCHEMA, ddl
 from ..session import ship_package
 
@@ -159,21 +160,6 @@ def _decode_batches(batches):
         yield pa.RecordBatch.from_pydict(cols, schema=schema)
 
 
-def spread(df: DataFrame, key: str = "recv_seq") -> DataFrame:
-    """Give Python-heavy per-row work at least one partition per core.
-
-    Input splits normally outnumber the cores many times over and nothing
-    happens; a small input (one file, one micro-batch) is hashed on ``key`` –
-    deterministic, so a re-run task sees the same rows.
-    """
-    if df.isStreaming:
-        return df  # the micro-batch (``foreachBatch``) is spread instead
-    parallelism = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= parallelism:
-        return df
-    return df.repartition(parallelism, F.col(key))
-
-
 def frame_source(spark: SparkSession, path: str, stream: bool = False,
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Frames stored as Parquet (``recv_seq``, ``frame``), batch or stream."""
@@ -194,7 +180,7 @@ def kafka_frames(kafka_df: DataFrame) -> DataFrame:
 def decode_frames(frames: DataFrame) -> DataFrame:
     """One decoded row per frame (schema ``DECODED_DDL``)."""
     ship_package(frames.sparkSession)
-    return spread(frames.select("recv_seq", "frame")).mapInArrow(_decode_batches, DECODED_DDL)
+    return spread(frames.select("recv_seq", "frame"), "recv_seq").mapInArrow(_decode_batches, DECODED_DDL)
 
 
 # S3: routes
@@ -254,7 +240,7 @@ def encode_frames(rows: DataFrame) -> DataFrame:
     """Serialize rows into frames.  ``rows`` has ``ENCODE_INPUT_COLS``; ``member``
     picks the oneof member (``event``/``heartbeat``/``process_log``, else none)."""
     ship_package(rows.sparkSession)
-    return spread(rows.select(*ENCODE_INPUT_COLS)).mapInArrow(_encode_batches, FRAME_DDL)
+    return spread(rows.select(*ENCODE_INPUT_COLS), "recv_seq").mapInArrow(_encode_batches, FRAME_DDL)
 
 
 def events_as_frame_rows(raw: DataFrame, log_type: int = 2) -> DataFrame:
