@@ -90,26 +90,30 @@ def sql_session(base: SparkSession) -> SparkSession:
     return iso
 
 
-def run_user_sql(source: PacketSource, sql: str, base: SparkSession | None = None) -> DataFrame:
-    """The user's statement as a DataFrame over a private ``packets`` view."""
+def run_user_sql(source: PacketSource, sql: str, base: SparkSession | None = None,
+                 session: SparkSession | None = None) -> DataFrame:
+    """The user's statement as a DataFrame over a private ``packets`` view.
+
+    ``session`` reuses a session made by ``sql_session`` (one per feed).
+    """
     if isinstance(source, DataFrame):
         session = source.sparkSession
         source.createOrReplaceTempView(VIEW_NAME)
     else:
-        session = sql_session(base or SparkSession.active())
+        session = session or sql_session(base or SparkSession.active())
         source(session).createOrReplaceTempView(VIEW_NAME)
     return session.sql(clean_full_sql(sql))
 
 
 # P7
 def full_select(source: PacketSource, sql: str, after: int | None = None,
-                base: SparkSession | None = None) -> DataFrame:
+                base: SparkSession | None = None, session: SparkSession | None = None) -> DataFrame:
     """Mode B: ``SELECT <12> FROM (<sql>) AS user_view WHERE index > n ORDER BY index``.
 
     The 12-column contract is enforced by the ``select``: a result without one
     of them is refused at analysis time.
     """
-    user_view = run_user_sql(source, sql, base)
+    user_view = run_user_sql(source, sql, base, session)
     return _after(user_view.select(*TARGET_COLS), after).orderBy("index")
 
 

@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.query import condition_filter, full_select, is_blank, is_full_select, since_index_no_payload
+from ..operators.query import (condition_filter, full_select, is_blank, is_full_select, since_index_no_payload,
+                               sql_session)
 from ..operators.verify import FilterSetting
 from ..schema import TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
@@ -61,6 +62,13 @@ class Feed:
         self.start_after = start_after
         self.setting = FilterSetting(spark or SparkSession.active())
         self.setting.set(user_sql)          # V3: refused here if it cannot run
+        self._sql_session: SparkSession | None = None
+
+    def _session(self, spark: SparkSession) -> SparkSession:
+        """The feed's own session for full SQL (its ``packets`` view is private)."""
+        if self._sql_session is None or self._sql_session.sparkContext is not spark.sparkContext:
+            self._sql_session = sql_session(spark)
+        return self._sql_session
 
     @property
     def user_sql(self) -> str | None:
@@ -90,11 +98,12 @@ class Feed:
         text = self.user_sql
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
         if not is_blank(text) and is_full_select(text):
+            session = self._session(spark)
             if self.setting.row_local and not history:
                 # Only selects, filters and unions: the new rows say it all.
                 new = lambda s: self.store.batch_packets(s, batch_id)
-                return full_select(new, text, cursor, base=spark)
-            return full_select(whole, text, cursor, base=spark)                        # T5
+                return full_select(new, text, cursor, session=session)
+            return full_select(whole, text, cursor, session=session)                   # T5
         # Mode A needs only the new rows (T4), unless the feed starts late or the
         # condition reads other rows through a subquery.
         if history or (text and "select" in text.lower()):
