@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from ..operators.query import (condition_filter, full_select, is_blank, is_full_select, since_index_no_payload,
                                sql_session)
 from ..operators.verify import FilterSetting
-from ..schema import TARGET_COLS, TARGET_SCHEMA
+from ..schema import PACKET_SCHEMA, TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
 from .store import BATCH_ID, STORE_ROW, PacketStore, read_partitioned, with_columns
 
@@ -227,3 +227,24 @@ def run_with_restarts(start: Callable[[], object], max_restarts: int = 3,
                 raise
             log.warning("capture query failed; restart %d after %.1fs", attempt, backoff_s)
             time.sleep(backoff_s)
+
+
+def condition_stream(spark: SparkSession, store: PacketStore, condition: str | None,
+                     after: int | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """T4: a Mode A feed as a native streaming query over the store's files.
+
+    New ``packets`` files become new input; the condition and the cursor are
+    plain streaming filters (append mode, no state).  Write it with any
+    streaming sink – e.g. ``.writeStream.format("parquet")`` with its own
+    checkpoint gives exactly-once delivery, decoupled from ingest.  Rows of one
+    micro-batch are not sorted: a streaming plan cannot sort appended rows.
+    """
+    reader = spark.readStream.schema(with_columns(PACKET_SCHEMA, BATCH_ID))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
+    rows = reader.parquet(store.path("packets"))
+    if not is_blank(condition):
+        rows = rows.filter(condition.strip())
+    if after is not None:
+        rows = rows.filter(F.col("index") > F.lit(int(after)))
+    return rows.select(*TARGET_COLS, "batch_id")

@@ -183,3 +183,21 @@ def test_restart_after_failure(spark, two_batches):
     run_with_restarts(start, max_restarts=2, backoff_s=0.01)
     assert calls == [0, 1, 1]
     assert sorted(r["index"] for r in feed.delivered(spark).collect()) == list(range(10))
+
+
+def test_native_condition_stream(spark, two_batches):
+    """T4: Mode A as a stateless streaming filter over the store's files."""
+    from packetlake.streaming.feed import condition_stream
+
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    _run(spark, root, [], frames_dir)
+    out = os.path.join(root, "native_out")
+    q = (condition_stream(spark, store, "index IN (2, 7) OR pname = 'curl'", after=0)
+         .writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", os.path.join(root, "_native_ckpt")).trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(r["index"] for r in spark.read.parquet(out).collect())
+    want = sorted(r["index"] for r in store.packets(spark).filter("(index IN (2, 7) OR pname = 'curl') AND index > 0")
+                  .collect())
+    assert got == want and 2 in got and 7 in got
