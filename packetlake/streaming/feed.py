@@ -38,6 +38,7 @@ from ..operators.query import (condition_filter, full_select, is_blank, is_full_
 from ..operators.verify import FilterSetting
 from ..schema import PACKET_SCHEMA, TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
+from ..sources import storage
 from .store import BATCH_ID, STORE_ROW, PacketStore, read_partitioned, with_columns
 
 log = logging.getLogger(__name__)
@@ -80,6 +81,8 @@ class Feed:
         mine = [r for r in prev_rows or [] if r["feed"] == self.name]
         if mine:
             return mine[0]["cursor"], True
+        if not storage.exists(spark, self.store.path("manifest")):
+            return self.start_after, False
         m = self.store.manifest(spark).filter((F.col("feed") == self.name) & (F.col("batch_id") < batch_id))
         row = m.orderBy(F.col("batch_id").desc()).select("cursor").limit(1).collect()
         if row:

@@ -127,6 +127,8 @@ class PacketStore:
             return int(mine[0]["first_index"] + mine[0]["n_rows"])
         # No record for the previous id (first batch, or ids not consecutive):
         # fall back to all manifests before this batch – one small row each.
+        if not storage.exists(spark, self.path("manifest")):
+            return 0
         m = self.manifest(spark).filter((F.col("batch_id") < F.lit(int(batch_id))) & (F.col("feed") == STORE_ROW))
         row = m.agg(F.max(F.col("first_index") + F.col("n_rows")).alias("end")).first()
         return int(row["end"]) if row and row["end"] is not None else 0
