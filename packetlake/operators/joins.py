@@ -40,7 +40,9 @@ def bounded_broadcast_join(big: DataFrame, small: DataFrame, big_key: str, small
     n, nbytes = measured if measured is not None else measure(small, width)
     if nbytes + 32 * n <= limit_bytes:
         return big.join(F.broadcast(small), big[big_key] == small[small_key], how)
-    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # Measured too big: keep Spark from broadcasting it on an optimistic
+    # estimate; sort-merge spills where a hash table would not.
+    salted_small = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).hint("merge")
     salted_big = big.withColumn("_salt", F.pmod(salt, F.lit(salts)))
     cond = (salted_big[big_key] == salted_small[small_key]) & (salted_big["_salt"] == salted_small["_salt"])
     return salted_big.join(salted_small, cond, how).drop(salted_big["_salt"]).drop(salted_small["_salt"])

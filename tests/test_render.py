@@ -99,3 +99,9 @@ def test_packet_issues(spark):
     got = [tuple(r) for r in df.select(R.packet_issues(), R.packet_valid()).collect()]
     assert got[0] == ([], True)
     assert got[1] == (["index is missing", "timestamp is missing", "type is missing", "is_binary is missing"], False)
+
+
+def test_other_zone(spark):
+    got = _one(spark, [(1679812345000,)], "t bigint", R.format_time("t", unit="ms", zone="Asia/Shanghai"),
+               R.format_time_ns("t", include_date=True, zone="Asia/Shanghai"))
+    assert got == [("14:32:25", "1970/01/20 18:36:52")]
