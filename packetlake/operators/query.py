@@ -34,10 +34,11 @@ VIEW_NAME = "packets"
 USER_SQL_CONF = {"spark.sql.ansi.doubleQuotedIdentifiers": "true"}
 
 
-def _frame(source: PacketSource, session: SparkSession | None = None) -> DataFrame:
+def _frame(source: PacketSource, base: SparkSession | None = None) -> DataFrame:
+    """A DataFrame as given, or a callable source built in a user-SQL session."""
     if isinstance(source, DataFrame):
         return source
-    return source(session or SparkSession.active())
+    return source(sql_session(base or SparkSession.active()))
 
 
 def _after(df: DataFrame, after: int | None) -> DataFrame:

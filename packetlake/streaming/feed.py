@@ -100,8 +100,8 @@ class Feed:
         """Rows this feed delivers for ``batch_id`` (12 columns, any order)."""
         text = self.user_sql
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
+        session = self._session(spark)
         if not is_blank(text) and is_full_select(text):
-            session = self._session(spark)
             if self.setting.row_local and not history:
                 # Only selects, filters and unions: the new rows say it all.
                 new = lambda s: self.store.batch_packets(s, batch_id)
@@ -110,9 +110,9 @@ class Feed:
         # Mode A needs only the new rows (T4), unless the feed starts late or the
         # condition reads other rows through a subquery.
         if history or (text and "select" in text.lower()):
-            rows = whole(spark)
+            rows = whole(session)
         else:
-            rows = self.store.batch_packets(spark, batch_id)
+            rows = self.store.batch_packets(session, batch_id)
         if is_blank(text):
             return since_index_no_payload(rows, cursor)
         return condition_filter(rows, text, cursor)

@@ -159,3 +159,9 @@ def test_condition_is_pushed_into_scan(spark, tmp_path):
 def test_row_local_full_sql(spark, sql, local):
     from packetlake.operators.verify import full_sql_is_row_local
     assert full_sql_is_row_local(spark, sql) is local
+
+
+def test_double_quotes_name_columns_in_conditions_too(spark):
+    from packetlake.sources import fixtures
+    df = Q.customized(lambda s: fixtures.packets_table(s, SF01), '"pname" = \'curl\'', 100, base=spark)
+    assert df.count() == 1979
