@@ -84,34 +84,6 @@ def message_classes():
     return get("LogEntry"), get("Event"), get("Heartbeat")
 
 
-def decode_one(frame: bytes | None) -> dict | None:
-    """Decode one frame into the flat decoded row (without ``recv_seq``); None = ignore."""
-    if frame is None:
-        return None  # not a binary message: ignored, as a text message on the socket would be
-    log_entry = message_classes()[0]
-    row = dict.fromkeys(_OUT_COLS[1:])
-    row["n_bytes"] = len(frame)
-    try:
-        entry = log_entry.FromString(bytes(frame))
-    except Exception as exc:  # noqa: BLE001 – any decode failure is quarantined
-        row.update(kind=KIND_ERROR, error=f"decode error: {exc}")
-        return row
-    member = entry.WhichOneof("payload")
-    if member == "event_payload":
-        ev = entry.event_payload
-        row["kind"] = KIND_EVENT
-        for name in _EVENT_COLS:
-            row[name] = getattr(ev, name)
-    elif member == "heartbeat_payload":
-        hb = entry.heartbeat_payload
-        row.update(kind=KIND_HEARTBEAT, hb_timestamp=hb.timestamp, hb_count=hb.count, hb_message=hb.message)
-    elif member == "run_log":
-        row.update(kind=KIND_LOG, log_info=entry.run_log)
-    else:
-        row.update(kind=KIND_ERROR, error=MISSING_PAYLOAD)
-    return row
-
-
 def _decode_batches(batches):
     schema = _arrow_schema(DECODED_DDL)
     log_entry = message_classes()[0]

@@ -45,7 +45,6 @@ log = logging.getLogger(__name__)
 
 # Operating constants of the capture pipeline.
 TICK = "300 milliseconds"          # flush / feed interval
-FLUSH_ROWS = 20                    # rows per flush of the capture socket
 RECONNECT_BACKOFF_S = 0.3          # wait before a failed query is restarted
 
 DELIVERED_SCHEMA = with_columns(TARGET_SCHEMA, BATCH_ID, T.StructField("feed", T.StringType(), True))

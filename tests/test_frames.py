@@ -57,3 +57,11 @@ def test_stream_source(spark, tmp_path):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     assert spark.table("decoded_frames").count() == 7
+
+
+def test_kafka_adapter(spark):
+    kafka_like = spark.createDataFrame([(b"\x08\x02", 0, 5), (b"\x01", 1, 5)],
+                                       "value binary, partition int, offset long")
+    frames = FR.kafka_frames(kafka_like).collect()
+    assert sorted((r["recv_seq"], bytes(r["frame"])) for r in frames) == [(5 * 4096, b"\x08\x02"),
+                                                                         (5 * 4096 + 1, b"\x01")]
