@@ -46,6 +46,7 @@ log = logging.getLogger(__name__)
 # Operating constants of the capture pipeline.
 TICK = "300 milliseconds"          # flush / feed interval
 RECONNECT_BACKOFF_S = 0.3          # wait before a failed query is restarted
+SINGLE_SORT_ROWS = 2_000_000       # a delivery bounded below this is sorted in one task
 
 DELIVERED_SCHEMA = with_columns(TARGET_SCHEMA, BATCH_ID, T.StructField("feed", T.StringType(), True))
 
@@ -95,6 +96,15 @@ class Feed:
         return row[0]["cursor"] if row else self.start_after
 
     # ---------------------------------------------------------------- work
+    def reads_history(self, history: bool) -> bool:
+        """Whether this tick's evaluation reads more than the new batch."""
+        text = self.user_sql
+        if history:
+            return True
+        if not is_blank(text) and is_full_select(text):
+            return not self.setting.row_local
+        return bool(text and "select" in text.lower())
+
     def select(self, spark: SparkSession, batch_id: int, cursor: int | None, history: bool) -> DataFrame:
         """Rows this feed delivers for ``batch_id`` (12 columns, any order)."""
         text = self.user_sql
@@ -137,18 +147,23 @@ class Feed:
         return rows[0][2], rows[0][3]
 
 
-def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int) -> list[tuple]:
+def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
+                  batch_rows: int | None = None) -> list[tuple]:
     """Evaluate every feed for a batch and write all deliveries in one job.
 
-    Returns the manifest rows (feed, None, rows delivered, new cursor).
+    Returns the manifest rows (feed, None, rows delivered, new cursor).  When
+    every feed reads only the new batch (``batch_rows`` of them), the delivery
+    is bounded by feeds × rows and, below ``SINGLE_SORT_ROWS``, is sorted in
+    one task; otherwise it is range-partitioned and sorted globally.
     """
     if not feeds:
         return []
     prev = store.manifest_rows(spark, batch_id - 1)
-    parts, cursors = [], {}
+    parts, cursors, wide = [], {}, batch_rows is None
     for feed in feeds:
         cursor, ran = feed.cursor_before(spark, batch_id, prev)
         cursors[feed.name] = cursor
+        wide = wide or feed.reads_history(history=not ran)
         parts.append(feed.select(spark, batch_id, cursor, history=not ran)
                      .select(*TARGET_COLS).withColumn("feed", F.lit(feed.name)))
     out = parts[0]
@@ -159,8 +174,12 @@ def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], ba
     for i, feed in enumerate(feeds):
         mine = F.col("feed") == feed.name
         metrics += [F.count(F.when(mine, 1)).alias(f"n{i}"), F.max(F.when(mine, F.col("index"))).alias(f"last{i}")]
-    # Observe above the sort: its sampling pass must not count rows twice.
-    (out.orderBy("feed", "index").observe(obs, *metrics)
+    if wide or batch_rows * len(feeds) > SINGLE_SORT_ROWS:
+        ordered = out.orderBy("feed", "index")
+    else:
+        ordered = out.repartition(1).sortWithinPartitions("feed", "index")
+    # Observe above the sort: a range sort's sampling pass must not count rows twice.
+    (ordered.observe(obs, *metrics)
      .write.mode("overwrite").partitionBy("feed").parquet(os.path.join(store.root, "delivered", f"batch_id={batch_id}")))
     got = obs.get
     rows = []
@@ -190,7 +209,7 @@ def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch
         n = store.append_events(batch, batch_id, base)
     if fail_after_append:
         raise RuntimeError("injected failure between append and delivery")
-    rows = deliver_feeds(spark, store, feeds, batch_id)
+    rows = deliver_feeds(spark, store, feeds, batch_id, batch_rows=n)
     store.write_manifest(spark, batch_id, [(STORE_ROW, base, n, None)] + rows)
 
 

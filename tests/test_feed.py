@@ -201,3 +201,18 @@ def test_native_condition_stream(spark, two_batches):
     want = sorted(r["index"] for r in store.packets(spark).filter("(index IN (2, 7) OR pname = 'curl') AND index > 0")
                   .collect())
     assert got == want and 2 in got and 7 in got
+
+
+def test_processing_time_trigger(spark, two_batches):
+    """The capture query on a 300 ms tick, one file per micro-batch."""
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    feed = Feed(store, "f", "pname = 'curl'")
+    q = start_capture(_stream(spark, frames_dir), store, [feed], os.path.join(root, "_ckpt"), tick="300 milliseconds")
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r["index"] for r in store.packets(spark).collect()) == list(range(10))
+    assert sorted(r["index"] for r in feed.delivered(spark).collect()) == [0, 5]
+    assert store.manifest(spark).select("batch_id").distinct().count() == 2
