@@ -109,6 +109,10 @@ def _mode_b(sql: str):
 for _name, _sql in FULL_SQL.items():
     register(_name, O.full(Q.clean_full_sql(_sql), CURSOR))(_mode_b(_sql))
 
+# U1 with one scan: the OR of the branch conditions (``index`` is unique).
+register("union_by_index", O.full(Q.clean_full_sql(FULL_SQL["union_distinct"]), CURSOR))(
+    lambda spark, sf: Q.union_by_index(packets(spark, sf), ["pname = 'curl'", "pname = 'wget'"], CURSOR))
+
 # ---------------------------------------------------------------- plain reads
 register("all_packets", O.over_packets(f"SELECT {O.ALL_HEX} FROM packets"))(
     lambda spark, sf: hexed(Q.all_packets(packets(spark, sf))))
