@@ -164,11 +164,26 @@ def lookup_many(packets: DataFrame, ids: DataFrame, id_col: str = "index") -> Da
 def offset(df: DataFrame, n: int, order_col: str = "index") -> DataFrame:
     """Rows after the first ``n`` in ``order_col`` order (the table's order).
 
-    Spark's own ``OFFSET`` gathers every row into one partition; here rows are
-    numbered by the distributed plan of ``assign_index`` and filtered.
+    Spark's own ``OFFSET`` gathers every row into one partition.  For an
+    integral key with distinct values the ``n``-th value is found by histogram
+    selection (a few pruned scans of the key column) and the rest is a pushed
+    filter; otherwise rows are numbered by the distributed plan of
+    ``assign_index`` and filtered.
     """
     from .numbering import assign_index
+    from .selection import INTEGRAL, Ties, nth_smallest
 
+    if n <= 0:
+        return df.orderBy(order_col)
+    if isinstance(df.schema[order_col].dataType, INTEGRAL):
+        try:
+            first_kept = nth_smallest(df, order_col, int(n))
+        except Ties:
+            first_kept = "ties"
+        if first_kept is None:
+            return df.limit(0)
+        if first_kept != "ties":
+            return df.filter(F.col(order_col) >= F.lit(first_kept)).orderBy(order_col)
     ranked = assign_index(df, order_col=order_col, out="_rank")
     return ranked.filter(F.col("_rank") >= F.lit(int(n))).drop("_rank").orderBy(order_col)
 
