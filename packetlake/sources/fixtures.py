@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import threading
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -147,6 +148,11 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "packetlake-tables", f"packets-v{TABLE_VERSION}-{key}")
     with _table_lock:
         if not storage.exists(spark, os.path.join(path, "_SUCCESS")):
+            # Written aside and renamed into place: a concurrent writer of the
+            # same table never sees (or deletes) a half-written folder.
+            tmp = f"{path}.tmp-{uuid.uuid4().hex}"
             (packets(spark, sf_dir).repartitionByRange("index").sortWithinPartitions("index")
-             .write.mode("overwrite").parquet(path))
+             .write.parquet(tmp))
+            if not storage.rename(spark, tmp, path):
+                storage.delete(spark, tmp)
     return spark.read.schema(PACKET_SCHEMA).parquet(path)

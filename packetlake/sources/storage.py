@@ -73,3 +73,18 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     buf = jvm.java.io.ByteArrayOutputStream()
     jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(p), buf, 65536, True)
     return bytes(buf.toByteArray()).decode("utf-8")
+
+
+def rename(spark: SparkSession, src: str, dst: str) -> bool:
+    """Move ``src`` to ``dst``; False if ``dst`` exists already (someone else won)."""
+    fs, s = _fs(spark, src)
+    _, d = _fs(spark, dst)
+    if fs.exists(d):
+        return False
+    return bool(fs.rename(s, d))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    if fs.exists(p):
+        fs.delete(p, True)
