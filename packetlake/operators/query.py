@@ -198,3 +198,15 @@ def union_by_index(packets: DataFrame, conditions: list[str], after: int | None
 # A1
 def delivered_count(delivered: DataFrame) -> DataFrame:
     return delivered.agg(F.count(F.lit(1)).alias("delivered"))
+
+
+# A2 (batch form)
+def tick_counts(packets: DataFrame, condition: str | None, rows_per_tick: int, after: int | None = None) -> DataFrame:
+    """Rows delivered and cursor after each tick of a Mode A feed whose ticks
+    bring ``rows_per_tick`` new rows each; ticks that deliver nothing are absent.
+
+    One aggregation with map-side partial counts; its output has one row per tick.
+    """
+    delivered = condition_filter(packets, condition, after)
+    tick = F.call_function("div", F.col("index"), F.lit(int(rows_per_tick))).alias("tick")
+    return delivered.groupBy(tick).agg(F.count(F.lit(1)).alias("n_rows"), F.max("index").alias("cursor"))
