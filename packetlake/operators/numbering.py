@@ -24,11 +24,13 @@ def assign_index(df: DataFrame, order_col: str | list[str] = "recv_seq", base: i
     """Number ``df`` base, base+1, … by ascending ``order_col`` (unique key).
 
     ``order_col`` may be a list: rows are then ordered by those columns in turn.
+    ``num_partitions`` fixes the range partitions (1: one task, for inputs the
+    caller counted to be small); by default AQE sizes them.
     """
     spark = df.sparkSession
     checkpoint_dir(spark)
     keys = [order_col] if isinstance(order_col, str) else list(order_col)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions
     if n == 1:
         # One partition holds every row whatever happens, so the numbering is
         # deterministic without sampling, checkpoint or counts.  The caller
@@ -36,8 +38,11 @@ def assign_index(df: DataFrame, order_col: str | list[str] = "recv_seq", base: i
         one = (df.repartition(1).sortWithinPartitions(*keys)
                .withColumn(out, F.lit(base) + F.monotonically_increasing_id()))
         return one
-    ranged = (df.repartitionByRange(n, *[F.col(k) for k in keys])
-              .withColumn("_part", F.spark_partition_id())
+    # Without a count, AQE sizes the range partitions; it only merges adjacent
+    # ranges, so partition order still follows the key.
+    cols = [F.col(k) for k in keys]
+    ranged = (df.repartitionByRange(n, *cols) if n else df.repartitionByRange(*cols))
+    ranged = (ranged.withColumn("_part", F.spark_partition_id())
               .checkpoint(eager=True))
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     # One row per partition: a single-partition window over it is bounded.
