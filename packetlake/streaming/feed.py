@@ -138,17 +138,21 @@ class Feed:
                 .select("batch_id", "n_rows", "cursor"))
 
     def deliver(self, spark: SparkSession, batch_id: int) -> tuple[int, int | None]:
-        """Deliver this feed alone for an already stored batch (a late start)."""
+        """Deliver this feed alone for an already stored batch (a late start).
+
+        Only this feed's folder and manifest line of the batch are replaced;
+        what other feeds delivered for the batch stays as it is.
+        """
         prev = self.store.manifest_rows(spark, batch_id) or []
-        others = [tuple(r) for r in prev if r["feed"] != self.name]
-        rows = deliver_feeds(spark, self.store, [self], batch_id)
-        keep = [r for r in others if r[0] == STORE_ROW]
-        self.store.write_manifest(spark, batch_id, keep + rows)
+        others = [tuple(r[f] for f in ("feed", "first_index", "n_rows", "cursor"))
+                  for r in prev if r["feed"] != self.name]
+        rows = deliver_feeds(spark, self.store, [self], batch_id, only_own_folder=True)
+        self.store.write_manifest(spark, batch_id, others + rows)
         return rows[0][2], rows[0][3]
 
 
 def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
-                  batch_rows: int | None = None) -> list[tuple]:
+                  batch_rows: int | None = None, only_own_folder: bool = False) -> list[tuple]:
     """Evaluate every feed for a batch and write all deliveries in one job.
 
     Returns the manifest rows (feed, None, rows delivered, new cursor).  When
@@ -179,8 +183,12 @@ def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], ba
     else:
         ordered = out.repartition(1).sortWithinPartitions("feed", "index")
     # Observe above the sort: a range sort's sampling pass must not count rows twice.
-    (ordered.observe(obs, *metrics)
-     .write.mode("overwrite").partitionBy("feed").parquet(os.path.join(store.root, "delivered", f"batch_id={batch_id}")))
+    batch_dir = os.path.join(store.root, "delivered", f"batch_id={batch_id}")
+    if only_own_folder:   # one feed: replace its folder only
+        (ordered.observe(obs, *metrics).drop("feed")
+         .write.mode("overwrite").parquet(os.path.join(batch_dir, f"feed={feeds[0].name}")))
+    else:                 # every feed of the batch: replace the batch folder
+        ordered.observe(obs, *metrics).write.mode("overwrite").partitionBy("feed").parquet(batch_dir)
     got = obs.get
     rows = []
     for i, feed in enumerate(feeds):

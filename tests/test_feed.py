@@ -90,10 +90,15 @@ def test_stop_and_start_with_another_filter(spark, tmp_path):
 def test_late_feed_reads_history(spark, two_batches):
     root, frames_dir = two_batches
     store = PacketStore(root)
-    _run(spark, root, [], frames_dir)
+    early = Feed(store, "early", "index < 2 OR index = 8")
+    _run(spark, root, [early], frames_dir)
     late = Feed(store, "late", "index > 5 OR index = 1")
     n, cursor = late.deliver(spark, 1)
     assert (n, cursor) == (5, 9)
+    # The early feed's deliveries and cursor for that batch are untouched.
+    assert _by_batch(spark, early) == [[0, 1], [8]]
+    assert early.cursor(spark) == 8 and late.cursor(spark) == 9
+    assert store.next_index(spark, 2) == 10
 
 
 def test_crash_between_append_and_deliver(spark, two_batches):
