@@ -49,10 +49,15 @@ def _fingerprint(spark: SparkSession, paths: list[str], extra: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file in one step: temp name, then rename over the old one."""
+    """Write a small file in one step: temp name, then rename over the old one.
+
+    The temp name starts with ``_``, which Spark's file readers skip, so a
+    crash between the two steps leaves nothing a reader would pick up.
+    """
     fs, p = _fs(spark, path)
     jvm = spark.sparkContext._jvm
-    tmp = jvm.org.apache.hadoop.fs.Path(path + ".tmp")
+    folder, name = path.rsplit("/", 1)
+    tmp = jvm.org.apache.hadoop.fs.Path(f"{folder}/_{name}.tmp")
     out = fs.create(tmp, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
