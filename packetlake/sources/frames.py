@@ -149,10 +149,15 @@ def kafka_frames(kafka_df: DataFrame) -> DataFrame:
     return kafka_df.select(seq.cast("bigint").alias("recv_seq"), F.col("value").alias("frame"))
 
 
-def decode_frames(frames: DataFrame) -> DataFrame:
-    """One decoded row per frame (schema ``DECODED_DDL``)."""
+def decode_frames(frames: DataFrame, spread_input: bool = True) -> DataFrame:
+    """One decoded row per frame (schema ``DECODED_DDL``).
+
+    ``spread_input=False`` decodes on the input's own splits (a micro-batch,
+    where a shuffle costs more than the decoding it would spread).
+    """
     ship_package(frames.sparkSession)
-    return spread(frames.select("recv_seq", "frame"), "recv_seq").mapInArrow(_decode_batches, DECODED_DDL)
+    cols = frames.select("recv_seq", "frame")
+    return (spread(cols, "recv_seq") if spread_input else cols).mapInArrow(_decode_batches, DECODED_DDL)
 
 
 # S3: routes

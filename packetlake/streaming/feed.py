@@ -206,11 +206,13 @@ def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch
     prev = store.manifest_rows(spark, batch_id - 1)
     base = store.next_index(spark, batch_id, prev)
     if "frame" in batch.columns:
-        decoded = FR.decode_frames(batch).persist()
+        obs = Observation(f"decode_{batch_id}_{time.monotonic_ns()}")
+        decoded = FR.decode_frames(batch, spread_input=False).persist()
         try:
-            n_frames = decoded.count()          # fills the cache; bounds the event count
+            # Fills the cache, bounds the event count and counts the side rows.
+            n_frames = decoded.observe(obs, F.count(F.when(F.col("kind") != FR.KIND_EVENT, 1)).alias("side")).count()
             n = store.append_events(FR.route_events(decoded), batch_id, base, size_hint=n_frames)
-            store.append_side(decoded, batch_id)
+            store.append_side(decoded, batch_id, n_side=int(obs.get["side"]))
         finally:
             decoded.unpersist()
     else:

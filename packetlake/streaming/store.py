@@ -151,8 +151,14 @@ class PacketStore:
          .write.mode("overwrite").parquet(self.path("packets", batch_id)))
         return int(obs.get["n"])
 
-    def append_side(self, decoded: DataFrame, batch_id: int) -> None:
-        """Heartbeats, process logs and bad frames of a decoded batch, one write."""
+    def append_side(self, decoded: DataFrame, batch_id: int, n_side: int | None = None) -> None:
+        """Heartbeats, process logs and bad frames of a decoded batch, one write.
+
+        ``n_side = 0`` (known from the decoding pass) skips the write: a replay of
+        the batch decodes the same frames and has no side rows either.
+        """
+        if n_side == 0:
+            return
         side = decoded.filter(F.col("kind") != F.lit("event")).select(
             "recv_seq", "n_bytes", "error", F.col("hb_timestamp").alias("timestamp"),
             saturate_int32("hb_count").alias("count"), F.col("hb_message").alias("message"), "log_info", "kind")
