@@ -26,3 +26,17 @@ def test_plan_has_no_global_window(spark):
     df = spark.range(100).withColumnRenamed("id", "recv_seq")
     plan = assign_index(df)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan.split("BroadcastExchange")[0]
+
+
+from hypothesis import given, settings, strategies as st
+
+
+@settings(max_examples=6, deadline=None)
+@given(n=st.integers(min_value=0, max_value=3000), in_parts=st.integers(min_value=1, max_value=9),
+       out_parts=st.one_of(st.none(), st.integers(min_value=1, max_value=12)),
+       base=st.integers(min_value=0, max_value=10**12))
+def test_gap_free_property(spark, n, in_parts, out_parts, base):
+    df = spark.range(n).select((F.col("id") * 7919 % 1000003 - 500000).alias("recv_seq")).repartition(in_parts)
+    out = assign_index(df, "recv_seq", base=base, num_partitions=out_parts).collect()
+    pairs = sorted((r["recv_seq"], r["index"]) for r in out)
+    assert [p[1] for p in pairs] == list(range(base, base + n))
