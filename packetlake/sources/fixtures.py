@@ -59,11 +59,17 @@ def _case(key: Column, values: list) -> Column:
     return expr
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decoded events with byte payloads (FIXTURES §2), schema ``RAW_EVENT_SCHEMA``."""
+def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
+    """Decoded events with byte payloads (FIXTURES §2), schema ``RAW_EVENT_SCHEMA``.
+
+    ``by_range`` range-partitions the events by ``event_id`` (= ``recv_seq``)
+    before anything is derived: the range sampler then reads only the scan,
+    and every later step is narrow, so the ranges reach the output as they are.
+    """
     ev = table(spark, sf_dir, "events")
     ts_type = ev.schema["ts"].dataType
-    ev = spread(ev.select("event_id", "ts", "user_id", "props"), "event_id")
+    ev = ev.select("event_id", "ts", "user_id", "props")
+    ev = ev.repartitionByRange("event_id") if by_range else spread(ev, "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     kind = F.col("_kind")
     e = ev.select(
@@ -107,9 +113,9 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "pid", "pname", "type", "length", "payload"))
 
 
-def packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
     """The ``packets`` table of the fixture; ``index`` = ``recv_seq`` (gap-free here)."""
-    return events_to_packets(raw_events(spark, sf_dir), index="recv_seq")
+    return events_to_packets(raw_events(spark, sf_dir, by_range), index="recv_seq")
 
 
 TABLE_VERSION = 1  # bump when the table layout changes
@@ -151,7 +157,7 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             # Written aside and renamed into place: a concurrent writer of the
             # same table never sees (or deletes) a half-written folder.
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            (packets(spark, sf_dir).repartitionByRange("index").sortWithinPartitions("index")
+            (packets(spark, sf_dir, by_range=True).sortWithinPartitions("index")
              .write.parquet(tmp))
             if not storage.rename(spark, tmp, path):
                 storage.delete(spark, tmp)
