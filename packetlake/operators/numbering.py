@@ -34,8 +34,9 @@ def assign_index(df: DataFrame, order_col: str | list[str] = "recv_seq", base: i
     if n == 1:
         # One partition holds every row whatever happens, so the numbering is
         # deterministic without sampling, checkpoint or counts.  The caller
-        # picks n = 1 only for inputs it has counted to be small.
-        one = (df.repartition(1).sortWithinPartitions(*keys)
+        # picks n = 1 only for inputs it has counted to be small (and, in the
+        # capture path, cached), so merging partitions needs no shuffle.
+        one = (df.coalesce(1).sortWithinPartitions(*keys)
                .withColumn(out, F.lit(base) + F.monotonically_increasing_id()))
         return one
     # Without a count, AQE sizes the range partitions; it only merges adjacent
