@@ -55,12 +55,17 @@ class Feed:
     """A named filter whose matching rows are delivered once each, in index order."""
 
     def __init__(self, store: PacketStore, name: str = "default", user_sql: str | None = None,
-                 start_after: int | None = None, spark: SparkSession | None = None):
+                 start_after: int | None = None, spark: SparkSession | None = None,
+                 on_deliver: Callable[[DataFrame, int], None] | None = None):
+        """``on_deliver(rows, batch_id)`` is called with each tick's rows (sorted
+        by index) after they are written and before the batch commits: a
+        failing callback makes the batch run again (at-least-once for it)."""
         if not name or "/" in name or "=" in name:
             raise ValueError(f"bad feed name {name!r}")
         self.store = store
         self.name = name
         self.start_after = start_after
+        self.on_deliver = on_deliver
         self.setting = FilterSetting(spark or SparkSession.active())
         self.setting.set(user_sql)          # V3: refused here if it cannot run
         self._sql_session: SparkSession | None = None
@@ -127,6 +132,11 @@ class Feed:
         return condition_filter(rows, text, cursor)
 
     # ---------------------------------------------------------------- output
+    def delivered_in(self, spark: SparkSession, batch_id: int) -> DataFrame:
+        """The rows one tick delivered, in index order."""
+        path = os.path.join(self.store.root, "delivered", f"batch_id={batch_id}", f"feed={self.name}")
+        return read_partitioned(spark, path, TARGET_SCHEMA).orderBy("index")
+
     def delivered(self, spark: SparkSession) -> DataFrame:
         """Everything delivered so far, with the batch that delivered it."""
         df = read_partitioned(spark, os.path.join(self.store.root, "delivered"), DELIVERED_SCHEMA)
@@ -196,6 +206,8 @@ def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], ba
         cursor = got[f"last{i}"] if n else cursors[feed.name]        # Q6: last *delivered* index
         rows.append((feed.name, None, n, cursor))
         log.info("feed %s batch %d: %d rows, cursor %s", feed.name, batch_id, n, cursor)
+        if n and feed.on_deliver is not None:
+            feed.on_deliver(feed.delivered_in(spark, batch_id), batch_id)
     return rows
 
 
