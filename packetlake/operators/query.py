@@ -35,10 +35,16 @@ USER_SQL_CONF = {"spark.sql.ansi.doubleQuotedIdentifiers": "true"}
 
 
 def _frame(source: PacketSource, base: SparkSession | None = None) -> DataFrame:
-    """A DataFrame as given, or a callable source built in a user-SQL session."""
+    """A DataFrame as given, or a callable source built in a user-SQL session.
+
+    The built table is also the session's ``packets`` view, so a subquery
+    inside a condition (``index IN (SELECT … FROM packets …)``) reads it.
+    """
     if isinstance(source, DataFrame):
         return source
-    return source(sql_session(base or SparkSession.active()))
+    df = source(sql_session(base or SparkSession.active()))
+    df.createOrReplaceTempView(VIEW_NAME)
+    return df
 
 
 def _after(df: DataFrame, after: int | None) -> DataFrame:

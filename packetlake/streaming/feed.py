@@ -125,6 +125,7 @@ class Feed:
         # condition reads other rows through a subquery.
         if history or (text and "select" in text.lower()):
             rows = whole(session)
+            rows.createOrReplaceTempView("packets")   # for subqueries in the condition
         else:
             rows = self.store.batch_packets(session, batch_id)
         if is_blank(text):

@@ -246,3 +246,11 @@ def test_on_deliver_callback(spark, two_batches):
     from packetlake.streaming.feed import run_with_restarts
     run_with_restarts(start, max_restarts=2, backoff_s=0.01)
     assert seen == [(0, [0, 3]), (1, [6, 9])]
+
+
+def test_condition_with_subquery_feed(spark, two_batches):
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    feed = Feed(store, "latest_curl", "index = (SELECT max(index) FROM packets WHERE pname = 'curl')")
+    _run(spark, root, [feed], frames_dir)
+    assert _by_batch(spark, feed) == [[0], [5]]

@@ -165,3 +165,11 @@ def test_double_quotes_name_columns_in_conditions_too(spark):
     from packetlake.sources import fixtures
     df = Q.customized(lambda s: fixtures.packets_table(s, SF01), '"pname" = \'curl\'', 100, base=spark)
     assert df.count() == 1979
+
+
+def test_condition_with_subquery_reads_packets(spark):
+    from packetlake.sources import fixtures
+    cond = "index IN (SELECT max(index) FROM packets WHERE pname = 'wget')"
+    assert verify_filter(spark, cond) is None
+    out = Q.customized(lambda s: fixtures.packets_table(s, SF01), cond, 100, base=spark).collect()
+    assert [r["index"] for r in out] == [9996]
