@@ -254,3 +254,24 @@ def test_condition_with_subquery_feed(spark, two_batches):
     feed = Feed(store, "latest_curl", "index = (SELECT max(index) FROM packets WHERE pname = 'curl')")
     _run(spark, root, [feed], frames_dir)
     assert _by_batch(spark, feed) == [[0], [5]]
+
+
+@settings(max_examples=3, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(cuts=st.lists(st.integers(min_value=1, max_value=29), min_size=1, max_size=3, unique=True))
+def test_row_local_full_sql_equals_history(spark, tmp_path_factory, cuts):
+    """A row-local Mode B statement read on new rows only delivers what the
+    same statement over the whole history delivers, for any split."""
+    raw = fixtures.raw_events(spark, SF001).filter(F.col("recv_seq") < 30).cache()
+    sql = ("SELECT * FROM packets WHERE pname = 'curl' UNION "
+           "SELECT * FROM packets WHERE dst_port = 8080 OR is_binary = true")
+    store = PacketStore(str(tmp_path_factory.mktemp("rowlocal")))
+    fast, slow = Feed(store, "fast", sql), Feed(store, "slow", sql)
+    assert fast.setting.row_local
+    slow.setting.row_local = False
+    bounds = [0] + sorted(cuts) + [30]
+    for b, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
+        process_batch(store, [fast, slow], raw.filter((F.col("recv_seq") >= lo) & (F.col("recv_seq") < hi)), b)
+    per_batch = lambda f: sorted((r["batch_id"], r["index"]) for r in f.delivered(spark).collect())
+    assert per_batch(fast) == per_batch(slow)
+    assert len(per_batch(fast)) > 0
+    raw.unpersist()
