@@ -67,9 +67,14 @@ def since_index(packets: DataFrame, after: int | None) -> DataFrame:
     return _after(packets, after).orderBy("index")
 
 
+def _ordered(df: DataFrame, ordered: bool) -> DataFrame:
+    """ORDER BY index, unless the caller sorts a larger result itself."""
+    return df.orderBy("index") if ordered else df
+
+
 # The default feed
-def since_index_no_payload(packets: DataFrame, after: int | None) -> DataFrame:
-    return _after(packets, after).select(*TARGET_COLS).orderBy("index")
+def since_index_no_payload(packets: DataFrame, after: int | None, ordered: bool = True) -> DataFrame:
+    return _ordered(_after(packets, after).select(*TARGET_COLS), ordered)
 
 
 def is_blank(text: str | None) -> bool:
@@ -77,10 +82,11 @@ def is_blank(text: str | None) -> bool:
 
 
 # P5 + P6
-def condition_filter(packets: DataFrame, condition: str | None, after: int | None = None) -> DataFrame:
+def condition_filter(packets: DataFrame, condition: str | None, after: int | None = None,
+                     ordered: bool = True) -> DataFrame:
     """Mode A.  A blank condition keeps every row (``1=1``)."""
     df = packets if is_blank(condition) else packets.filter(condition.strip())
-    return _after(df, after).select(*TARGET_COLS).orderBy("index")
+    return _ordered(_after(df, after).select(*TARGET_COLS), ordered)
 
 
 def clean_full_sql(sql: str) -> str:
@@ -114,14 +120,15 @@ def run_user_sql(source: PacketSource, sql: str, base: SparkSession | None = Non
 
 # P7
 def full_select(source: PacketSource, sql: str, after: int | None = None,
-                base: SparkSession | None = None, session: SparkSession | None = None) -> DataFrame:
+                base: SparkSession | None = None, session: SparkSession | None = None,
+                ordered: bool = True) -> DataFrame:
     """Mode B: ``SELECT <12> FROM (<sql>) AS user_view WHERE index > n ORDER BY index``.
 
     The 12-column contract is enforced by the ``select``: a result without one
     of them is refused at analysis time.
     """
     user_view = run_user_sql(source, sql, base, session)
-    return _after(user_view.select(*TARGET_COLS), after).orderBy("index")
+    return _ordered(_after(user_view.select(*TARGET_COLS), after), ordered)
 
 
 def is_full_select(text: str | None) -> bool:

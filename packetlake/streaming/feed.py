@@ -111,7 +111,8 @@ class Feed:
         return bool(text and "select" in text.lower())
 
     def select(self, spark: SparkSession, batch_id: int, cursor: int | None, history: bool) -> DataFrame:
-        """Rows this feed delivers for ``batch_id`` (12 columns, any order)."""
+        """Rows this feed delivers for ``batch_id`` (12 columns, unsorted: the
+        delivery sorts all feeds together)."""
         text = self.user_sql
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
         session = self._session(spark)
@@ -119,8 +120,8 @@ class Feed:
             if self.setting.row_local and not history:
                 # Only selects, filters and unions: the new rows say it all.
                 new = lambda s: self.store.batch_packets(s, batch_id)
-                return full_select(new, text, cursor, session=session)
-            return full_select(whole, text, cursor, session=session)                   # T5
+                return full_select(new, text, cursor, session=session, ordered=False)
+            return full_select(whole, text, cursor, session=session, ordered=False)    # T5
         # Mode A needs only the new rows (T4), unless the feed starts late or the
         # condition reads other rows through a subquery.
         if history or (text and "select" in text.lower()):
@@ -129,8 +130,8 @@ class Feed:
         else:
             rows = self.store.batch_packets(session, batch_id)
         if is_blank(text):
-            return since_index_no_payload(rows, cursor)
-        return condition_filter(rows, text, cursor)
+            return since_index_no_payload(rows, cursor, ordered=False)
+        return condition_filter(rows, text, cursor, ordered=False)
 
     # ---------------------------------------------------------------- output
     def delivered_in(self, spark: SparkSession, batch_id: int) -> DataFrame:
