@@ -10,6 +10,11 @@ INT32_MAX = 2147483647
 
 
 def saturate_int32(c) -> Column:
-    """Clamp a BIGINT into the int32 range, then cast: 2^31 → 2^31-1."""
+    """Clamp a BIGINT into the int32 range, then cast: 2^31 → 2^31-1; null stays null.
+
+    (``greatest``/``least`` skip nulls, so they would turn a null into a bound.)
+    """
     col = F.col(c) if isinstance(c, str) else c
-    return F.least(F.greatest(col, F.lit(INT32_MIN)), F.lit(INT32_MAX)).cast("int")
+    return (F.when(col > F.lit(INT32_MAX), F.lit(INT32_MAX))
+            .when(col < F.lit(INT32_MIN), F.lit(INT32_MIN))
+            .otherwise(col).cast("int"))

@@ -43,32 +43,38 @@ def array_from_bytes(b: Column) -> Column:
 
 
 def parse_envelopes(df: DataFrame, text: str = "json") -> DataFrame:
-    """One row per envelope: ``kind`` plus the fields of every kind (null when not it)."""
-    env = F.from_json(F.col(text), ENVELOPE_DDL)
-    parsed = df.withColumn("_env", env)
+    """One row per envelope: ``kind`` plus the fields of every kind (null when not it).
+
+    Each payload is parsed once, with the schema of its own kind, into a struct
+    column of its own projection; the output fields are read from those structs
+    (a parse referenced by many columns is not repeated per column).
+    """
+    env = df.withColumn("_env", F.from_json(F.col(text), ENVELOPE_DDL))
     lt = F.col("_env.log_type")
     kind = (F.when(F.col("_env").isNull() | F.col("_env.payload").isNull(), F.lit("error"))
             .when(lt == LOG_TYPE_HEARTBEAT, F.lit("heartbeat"))
             .when(lt == LOG_TYPE_PROCESS_LOG, F.lit("process_log"))
             .otherwise(F.lit("event")))
-    parsed = parsed.withColumn("kind", kind)
     body = F.col("_env.payload")
-    hb = F.from_json(body, HEARTBEAT_DDL)
-    pl = F.from_json(body, PROCESS_LOG_DDL)
-    ev = F.from_json(body, EVENT_DDL)
-    is_ = lambda k: F.col("kind") == k
+    env = env.withColumn("kind", kind)
+    parsed = env.select(
+        *[c for c in df.columns if c != text], "kind",
+        F.when(F.col("kind") == "heartbeat", F.from_json(body, HEARTBEAT_DDL)).alias("_hb"),
+        F.when(F.col("kind") == "process_log", F.from_json(body, PROCESS_LOG_DDL)).alias("_pl"),
+        F.when(F.col("kind") == "event", F.from_json(body, EVENT_DDL)).alias("_ev"))
+    ev, hb = F.col("_ev"), F.col("_hb")
     return parsed.select(
         *[c for c in df.columns if c != text], "kind",
-        F.when(is_("event"), ev["index"]).alias("index"),
-        F.when(is_("event"), ev["timestamp"]).when(is_("heartbeat"), hb["timestamp"]).alias("timestamp"),
-        *[F.when(is_("event"), ev[c]).alias(c) for c in ["uuid", "src_ip", "src_port", "dst_ip", "dst_port"]],
-        F.when(is_("event"), F.coalesce(*[ev[k] for k in PID_KEYS])).cast("int").alias("pid"),
-        F.when(is_("event"), F.coalesce(*[ev[k] for k in PNAME_KEYS])).alias("pname"),
-        *[F.when(is_("event"), ev[c]).alias(c) for c in ["type", "length", "is_binary", "payload_utf8"]],
-        F.when(is_("event"), bytes_from_array(ev["payload_binary"])).alias("payload_binary"),
-        F.when(is_("heartbeat"), saturate_int32(hb["count"])).alias("count"),
-        F.when(is_("heartbeat"), hb["message"]).alias("message"),
-        F.when(is_("process_log"), pl["log_info"]).alias("log_info"),
+        ev["index"].alias("index"),
+        F.coalesce(ev["timestamp"], hb["timestamp"]).alias("timestamp"),
+        *[ev[c].alias(c) for c in ["uuid", "src_ip", "src_port", "dst_ip", "dst_port"]],
+        F.coalesce(*[ev[k] for k in PID_KEYS]).cast("int").alias("pid"),
+        F.coalesce(*[ev[k] for k in PNAME_KEYS]).alias("pname"),
+        *[ev[c].alias(c) for c in ["type", "length", "is_binary", "payload_utf8"]],
+        F.when(ev.isNotNull(), bytes_from_array(ev["payload_binary"])).alias("payload_binary"),
+        saturate_int32(hb["count"]).alias("count"),
+        hb["message"].alias("message"),
+        F.col("_pl")["log_info"].alias("log_info"),
     )
 
 

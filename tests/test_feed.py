@@ -138,6 +138,12 @@ def test_side_tables(spark, tmp_path):
     process_batch(store, [], batch, 0)
     assert [(x["count"], x["message"]) for x in store.side(spark, "heartbeats").collect()] == [(2147483647, "hb")]
     assert [x["log_info"] for x in store.side(spark, "process_logs").collect()] == ["started"]
+    from pyspark.sql import types as T
+
+    from packetlake.streaming.store import BATCH_ID, SIDE_SCHEMA, read_partitioned, with_columns
+    schema = with_columns(SIDE_SCHEMA, BATCH_ID, T.StructField("kind", T.StringType(), True))
+    raw_side = read_partitioned(spark, store.path("side"), schema)
+    assert [r["count"] for r in raw_side.filter("kind = 'process_log'").collect()] == [None]
     assert [x["recv_seq"] for x in store.side(spark, "bad_frames").collect()] == [2]
     assert store.packets(spark).count() == 0
     assert store.next_index(spark, 1) == 0

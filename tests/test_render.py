@@ -59,8 +59,8 @@ def test_protocols(spark):
 
 
 def test_saturation(spark):
-    got = _one(spark, [(2147483648,), (-2147483649,), (7,)], "x bigint", saturate_int32("x"))
-    assert [g[0] for g in got] == [2147483647, -2147483648, 7]
+    got = _one(spark, [(2147483648,), (-2147483649,), (7,), (None,)], "x bigint", saturate_int32("x"))
+    assert [g[0] for g in got] == [2147483647, -2147483648, 7, None]
 
 
 def test_labels(spark):
