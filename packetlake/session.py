@@ -17,10 +17,19 @@ SESSION_DEFAULTS = {
 }
 
 
+# Context settings (fixed when the context starts): checkpoints written by the
+# numbering are removed once nothing refers to them any more.
+CONTEXT_DEFAULTS = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
+
+
 def build_session(master: str | None = None, app: str = "packetlake",
                   shuffle_partitions: int | None = None, **conf: str) -> SparkSession:
     """Create (or fetch) a session with the library defaults applied."""
     builder = SparkSession.builder.appName(app)
+    for key, value in CONTEXT_DEFAULTS.items():
+        builder = builder.config(key, value)
     if master:
         builder = builder.master(master)
     for key, value in SESSION_DEFAULTS.items():
