@@ -335,7 +335,8 @@ register("decode_frames", O.over_packets(f"SELECT {O.ALL_HEX} FROM packets"))(_d
 _SAT_HB = "cast(least(greatest((cast(pid AS bigint) - 1075) * 30000000, -2147483648), 2147483647) AS int)"
 
 
-def _mixed_frames(spark, sf) -> DataFrame:
+def _mixed_decoded(spark, sf) -> DataFrame:
+    """Frames of every kind from the raw events (by ``recv_seq % 4``), decoded."""
     from ..sources import frames as FR
     raw = fixtures.raw_events(prepare(spark), sf)
     k = F.col("recv_seq") % 4
@@ -346,7 +347,12 @@ def _mixed_frames(spark, sf) -> DataFrame:
         *[c for c in FR.ENCODE_INPUT_COLS if c not in ("recv_seq", "member", "count", "message", "log_info")],
         ((F.col("pid") - 1075) * 30000000).alias("count"), F.col("pname").alias("message"),
         F.col("uuid").alias("log_info"))
-    decoded = FR.decode_frames(FR.encode_frames(rows))
+    return FR.decode_frames(FR.encode_frames(rows))
+
+
+def _mixed_frames(spark, sf) -> DataFrame:
+    from ..sources import frames as FR
+    decoded = _mixed_decoded(spark, sf)
     kind = F.col("kind")
     return decoded.select(
         "recv_seq", "kind", F.when(kind == FR.KIND_EVENT, F.col("pname")).alias("pname"),
@@ -361,6 +367,16 @@ register("route_frames", O.over_packets(
     "CASE WHEN index % 4 = 1 THEN uuid END AS log_info, "
     "CASE WHEN index % 4 = 3 THEN 'missing payload in LogEntry' END AS error FROM packets"))(_mixed_frames)
 
+def _route_bad(spark, sf) -> DataFrame:
+    from ..sources import frames as FR
+    return FR.route_bad_frames(_mixed_decoded(spark, sf))
+
+
+# The quarantine route of the same stream (a frame with no member is 2 bytes: log_type = 2).
+register("bad_frames", O.over_packets(
+    "SELECT index AS recv_seq, cast(2 AS bigint) AS n_bytes, 'missing payload in LogEntry' AS error "
+    "FROM packets WHERE index % 4 = 3"))(_route_bad)
+
 
 def _envelopes(spark, sf) -> DataFrame:
     from ..sources import envelope as EN
