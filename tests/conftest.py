@@ -2,6 +2,11 @@ import os
 import sys
 
 import pytest
+from hypothesis import settings
+
+# Property tests draw the same examples on every run (reproducible failures).
+settings.register_profile("repeatable", derandomize=True, print_blob=True)
+settings.load_profile("repeatable")
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
