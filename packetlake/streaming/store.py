@@ -89,12 +89,51 @@ class PacketStore:
 
     # -------------------------------------------------------------- reading
     def packets(self, spark: SparkSession, upto_batch: int | None = None) -> DataFrame:
-        """The ``packets`` table (14 columns) as of a batch (default: all)."""
+        """The ``packets`` table (14 columns) as of a batch (default: all).
+
+        After ``consolidate``, batches up to the consolidated one come from the
+        history table and only the later batch folders are read, by path – the
+        listing no longer grows with every batch ever written.
+        """
+        current = self.history(spark)
+        if current is not None and upto_batch is not None and current["upto"] <= upto_batch:
+            parts = [spark.read.schema(PACKET_SCHEMA).parquet(current["path"])]
+            later = [self.path("packets", b) for b in range(current["upto"] + 1, int(upto_batch) + 1)]
+            later = [p for p in later if storage.exists(spark, p)]
+            if later:
+                parts.append(spark.read.schema(PACKET_SCHEMA).parquet(*later))
+            out = parts[0]
+            for part in parts[1:]:
+                out = out.unionByName(part)
+            return out
         df = read_partitioned(spark, self.path("packets"), with_columns(PACKET_SCHEMA, BATCH_ID))
         if upto_batch is not None:
             df = df.filter(F.col("batch_id") <= F.lit(int(upto_batch)))
         return df.drop("batch_id")
 
+    def history(self, spark: SparkSession) -> dict | None:
+        """The current consolidated history: ``{"upto": batch id, "path": folder}``."""
+        text = storage.read_text(spark, os.path.join(self.root, "history", "CURRENT"))
+        return json.loads(text) if text else None
+
+    def consolidate(self, spark: SparkSession, upto_batch: int) -> str:
+        """Fold the committed batches up to ``upto_batch`` into one history table.
+
+        Runs beside the capture query.  The new table is written completely
+        (range-partitioned and sorted by ``index``, so files hold disjoint index
+        ranges), then the ``CURRENT`` pointer is switched by one rename; readers
+        see the old or the new history, never a part.  Batch folders stay as
+        they are (they are what a replayed batch overwrites).
+        """
+        if self.manifest_rows(spark, upto_batch) is None:
+            raise ValueError(f"batch {upto_batch} is not committed")
+        path = os.path.join(self.root, "history", f"upto={int(upto_batch)}")
+        rows = self.packets(spark, upto_batch)
+        rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").parquet(path)
+        storage.write_text(spark, os.path.join(self.root, "history", "CURRENT"),
+                           json.dumps({"upto": int(upto_batch), "path": path}))
+        return path
+
     def batch_packets(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The rows one batch appended (one partition, read directly)."""
         return read_partitioned(spark, self.path("packets", batch_id), PACKET_SCHEMA)
