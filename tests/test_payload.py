@@ -1,8 +1,6 @@
 """text/binary/third-state split, byte by byte."""
 
-import pytest
 from hypothesis import given, settings, strategies as st
-from pyspark.sql import functions as F
 
 from packetlake.functions.payload import SNIFF_LEN, classify
 

@@ -1,6 +1,5 @@
 """Histogram selection and the offset built on it."""
 
-import random
 
 import pytest
 from hypothesis import given, settings, strategies as st
