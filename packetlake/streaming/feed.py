@@ -58,14 +58,17 @@ class Feed:
                  start_after: int | None = None, spark: SparkSession | None = None,
                  on_deliver: Callable[[DataFrame, int], None] | None = None):
         """``on_deliver(rows, batch_id)`` is called with each tick's rows (sorted
-        by index) after they are written and before the batch commits: a
-        failing callback makes the batch run again (at-least-once for it)."""
+        by index) after they are written and before the batch commits.  A
+        callback that fails is called again once; if it fails again the feed
+        stops with its cursor unmoved, so a feed restarted from ``cursor()``
+        hands the rows over again (at-least-once for the consumer)."""
         if not name or "/" in name or "=" in name:
             raise ValueError(f"bad feed name {name!r}")
         self.store = store
         self.name = name
         self.start_after = start_after
         self.on_deliver = on_deliver
+        self.failure: str | None = None     # set when the feed failed at run time; it then stops
         self.setting = FilterSetting(spark or SparkSession.active())
         self.setting.set(user_sql)          # V3: refused here if it cannot run
         self._sql_session: SparkSession | None = None
@@ -167,13 +170,34 @@ def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], ba
                   batch_rows: int | None = None, only_own_folder: bool = False) -> list[tuple]:
     """Evaluate every feed for a batch and write all deliveries in one job.
 
-    Returns the manifest rows (feed, None, rows delivered, new cursor).  When
+    Returns the manifest rows (feed, None, rows delivered, new cursor).  If
+    the joint write fails, every feed is delivered on its own; a feed that
+    still fails is marked (``Feed.failure``), keeps its cursor and is left out
+    of later batches, while the others go on.  When
     every feed reads only the new batch (``batch_rows`` of them), the delivery
     is bounded by feeds × rows and, below ``SINGLE_SORT_ROWS``, is sorted in
     one task; otherwise it is range-partitioned and sorted globally.
     """
     if not feeds:
         return []
+    try:
+        return _deliver(spark, store, feeds, batch_id, batch_rows, only_own_folder)
+    except Exception as exc:  # noqa: BLE001 – find the failing feed, keep the others
+        log.warning("joint delivery of batch %d failed (%s); delivering feed by feed", batch_id, exc)
+    rows = []
+    for feed in feeds:
+        try:
+            rows += _deliver(spark, store, [feed], batch_id, batch_rows, only_own_folder=True)
+        except Exception as exc:  # noqa: BLE001 – this feed stops, the others and the store go on
+            feed.failure = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
+            log.error("feed %s stopped at batch %d: %s", feed.name, batch_id, feed.failure)
+            cursor, _ = feed.cursor_before(spark, batch_id, store.manifest_rows(spark, batch_id - 1))
+            rows.append((feed.name, None, 0, cursor))
+    return rows
+
+
+def _deliver(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
+             batch_rows: int | None, only_own_folder: bool) -> list[tuple]:
     prev = store.manifest_rows(spark, batch_id - 1)
     parts, cursors, wide = [], {}, batch_rows is None
     for feed in feeds:
@@ -233,7 +257,8 @@ def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch
         n = store.append_events(batch, batch_id, base)
     if fail_after_append:
         raise RuntimeError("injected failure between append and delivery")
-    rows = deliver_feeds(spark, store, feeds, batch_id, batch_rows=n)
+    live = [f for f in feeds if f.failure is None]     # Q13: a failed feed stops alone
+    rows = deliver_feeds(spark, store, live, batch_id, batch_rows=n)
     store.write_manifest(spark, batch_id, [(STORE_ROW, base, n, None)] + rows)
 
 

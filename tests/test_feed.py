@@ -309,3 +309,26 @@ def test_consolidated_history(spark, tmp_path):
     _write_frames(spark, frames2, 4, 9, "b")
     _run(spark, root2, [feed2], frames2)
     assert got == _by_batch(spark, feed2) and got
+
+
+def test_failing_feed_stops_alone(spark, two_batches):
+    """Q13 fixed: a filter that fails on data (not on an empty table) stops its
+    own feed; the other feeds and the store go on."""
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    good = Feed(store, "good", "pname = 'curl'")
+    bad = Feed(store, "bad", "dst_port = 'abc'")          # accepted on an empty table
+    _run(spark, root, [good, bad], frames_dir)
+    assert bad.failure is not None
+    assert _by_batch(spark, good) == [[0], [5]]
+    assert bad.delivered(spark).count() == 0 and bad.cursor(spark) is None
+    assert sorted(r["index"] for r in store.packets(spark).collect()) == list(range(10))
+
+
+def test_single_failing_feed_does_not_stop_ingest(spark, two_batches):
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    bad = Feed(store, "bad", "dst_port = 'abc'")
+    _run(spark, root, [bad], frames_dir)
+    assert bad.failure is not None
+    assert store.packets(spark).count() == 10
