@@ -183,30 +183,24 @@ def route_bad_frames(decoded: DataFrame) -> DataFrame:
 
 # Producer side, used to turn table rows into frames (tests and round trips).
 def _encode_batches(batches):
-    log_entry, _, _ = message_classes()
+    log_entry, event, heartbeat = message_classes()
     schema = _arrow_schema(FRAME_DDL)
     for rb in batches:
         data = rb.to_pydict()
         out_seq, out_frame = [], []
         for i, seq in enumerate(data["recv_seq"]):
-            entry = log_entry()
             member = data["member"][i]
-            entry.log_type = int(data["log_type"][i] or 0)
+            fields = {"log_type": int(data["log_type"][i] or 0)}
             if member == KIND_EVENT:
-                for name in _EVENT_COLS:
-                    value = data[name][i]
-                    if value is not None:
-                        setattr(entry.event_payload, name, value)
-                entry.event_payload.SetInParent()
+                fields["event_payload"] = event(**{k: data[k][i] for k in _EVENT_COLS if data[k][i] is not None})
             elif member == KIND_HEARTBEAT:
-                entry.heartbeat_payload.timestamp = data["timestamp"][i] or 0
-                entry.heartbeat_payload.count = data["count"][i] or 0
-                entry.heartbeat_payload.message = data["message"][i] or ""
-                entry.heartbeat_payload.SetInParent()
+                fields["heartbeat_payload"] = heartbeat(timestamp=data["timestamp"][i] or 0,
+                                                        count=data["count"][i] or 0,
+                                                        message=data["message"][i] or "")
             elif member == KIND_LOG:
-                entry.run_log = data["log_info"][i] or ""
+                fields["run_log"] = data["log_info"][i] or ""
             out_seq.append(seq)
-            out_frame.append(entry.SerializeToString())
+            out_frame.append(log_entry(**fields).SerializeToString())
         yield pa.RecordBatch.from_pydict({"recv_seq": out_seq, "frame": out_frame}, schema=schema)
 
 
