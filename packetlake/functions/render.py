@@ -71,12 +71,17 @@ def _sub_ms_micros(ts, unit: str = "auto") -> Column:
 
 # F2
 def to_timestamp(ts, unit: str = "auto") -> Column:
-    """UTC wall-clock ``TIMESTAMP_NTZ`` of a raw timestamp; null if invalid."""
+    """The instant (``TIMESTAMP``) of a raw timestamp; null if invalid."""
+    return F.timestamp_millis(epoch_millis(ts, unit))
+
+
+def _utc_wall_clock(ts, unit: str) -> Column:
+    """UTC wall-clock ``TIMESTAMP_NTZ`` of a raw value, independent of the session zone."""
     return F.timestamp_add("MILLISECOND", epoch_millis(ts, unit), F.expr(_EPOCH_NTZ))
 
 
 def _wall(ts, unit: str, zone: str) -> Column:
-    utc = to_timestamp(ts, unit)
+    utc = _utc_wall_clock(ts, unit)
     if zone.upper() == "UTC":
         return utc
     return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
