@@ -5,7 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from tests.conftest import SF001
-from tools.check_oracle import TABLES, canon
+from tools.check_oracle import TABLES, TYPE_PAIRS, canon
 
 QUERIES = E.queries()
 ORACLES = E.oracle_sql()
@@ -30,8 +30,10 @@ def test_matches_oracle(spark, duck, name):
     rows = [tuple(r) for r in df.collect()]
     res = duck.execute(ORACLES[name])
     cols = [c[0] for c in res.description]
+    types = {c[0]: str(c[1]) for c in res.description}
     expected = res.fetchall()
     assert sorted(df.columns) == sorted(cols)
+    assert {f.name: TYPE_PAIRS.get(f.dataType.simpleString()) for f in df.schema.fields} == types
     assert len(rows) == len(expected)
     assert canon(df.columns, rows) == canon(cols, expected)
 
