@@ -78,6 +78,16 @@ def full_sql_is_row_local(spark: SparkSession, user_sql: str | None) -> bool:
     return is_row_local(run_user_sql(lambda s: s.createDataFrame([], PACKET_SCHEMA), user_sql, base=spark))
 
 
+def filter_is_row_local(spark: SparkSession, user_sql: str | None) -> bool:
+    """Whether a filter of either mode may be evaluated on new rows only (a
+    blank filter or a condition without subqueries: yes)."""
+    if is_blank(user_sql):
+        return True
+    if is_full_select(user_sql):
+        return full_sql_is_row_local(spark, user_sql)
+    return is_row_local(compose_on_empty(spark, user_sql))
+
+
 class FilterSetting:
     """V3: a stored filter, checked only when its text changes."""
 
@@ -97,4 +107,4 @@ class FilterSetting:
         if error:
             raise ValueError(f"filter refused: {error}")
         self.text = text
-        self.row_local = full_sql_is_row_local(self.spark, text)
+        self.row_local = filter_is_row_local(self.spark, text)

@@ -106,12 +106,7 @@ class Feed:
     # ---------------------------------------------------------------- work
     def reads_history(self, history: bool) -> bool:
         """Whether this tick's evaluation reads more than the new batch."""
-        text = self.user_sql
-        if history:
-            return True
-        if not is_blank(text) and is_full_select(text):
-            return not self.setting.row_local
-        return bool(text and "select" in text.lower())
+        return history or not self.setting.row_local
 
     def select(self, spark: SparkSession, batch_id: int, cursor: int | None, history: bool) -> DataFrame:
         """Rows this feed delivers for ``batch_id`` (12 columns, unsorted: the
@@ -127,7 +122,7 @@ class Feed:
             return full_select(whole, text, cursor, session=session, ordered=False)    # T5
         # Mode A needs only the new rows (T4), unless the feed starts late or the
         # condition reads other rows through a subquery.
-        if history or (text and "select" in text.lower()):
+        if history or not self.setting.row_local:
             rows = whole(session)
             rows.createOrReplaceTempView("packets")   # for subqueries in the condition
         else:

@@ -173,3 +173,15 @@ def test_condition_with_subquery_reads_packets(spark):
     assert verify_filter(spark, cond) is None
     out = Q.customized(lambda s: fixtures.packets_table(s, SF01), cond, 100, base=spark).collect()
     assert [r["index"] for r in out] == [9996]
+
+
+@pytest.mark.parametrize("cond,local", [
+    ("", True),
+    ("payload_utf8 LIKE '%select%'", True),
+    ("dst_port IN (80, 443) AND pname = 'curl'", True),
+    ("index = (SELECT max(index) FROM packets)", False),
+    ("index IN (SELECT index FROM packets WHERE pname = 'curl')", False),
+])
+def test_row_local_conditions(spark, cond, local):
+    from packetlake.operators.verify import filter_is_row_local
+    assert filter_is_row_local(spark, cond) is local
