@@ -8,11 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, packing, token_counts, url_filter
+from . import common, mixing, multi_index, packing, simhash_bktree, token_counts, topk_segments, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
 TOKEN_LIMIT = 2048
+QUERY_EVERY = 100      # searches ask for the rows whose vec_id is divisible by this
+
+
+def op1_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_bktree.near_duplicates(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_bktree.hex_code("fp").alias("fingerprint"), "component_id")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,12 +32,20 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op6_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_segments.exact_top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return (mixing.taken_words(*mixing.mix(docs))
             .select("doc_id", "size", "source_size", "target", "taken", "source"))
 
 
+def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
     rules = spark.sql(f"SELECT * FROM VALUES {rows} AS rules(action, host, path)")
@@ -57,10 +71,24 @@ SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.action, 'allow') AS verdict
 FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.n = 1
 """.format(rules=", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES))
 
+_TOP_K_SQL = f"""
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM whole q, whole c WHERE q.vec_id % {QUERY_EVERY} = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash_bktree": op1_simhash_bktree,
     "op2_token_counts": op2_token_counts,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op6_segment_top_k": op6_segment_top_k,
     "op7_source_mixing": op7_source_mixing,
+    "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_url_filter": op9_url_filter,
 }
-ORACLES: dict[str, str] = {"op9_url_filter": _URL_SQL}
+ORACLES: dict[str, str] = {"op6_segment_top_k": _TOP_K_SQL, "op9_url_filter": _URL_SQL}
