@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir, ship_package
 
-# ASCII white space, as bytes.split() takes it: [\x20\x09-\x0D].
-ROWS_PER_BUCKET = 50_000
+
+ROWS_PER_BUCKET = 50_000    # rows that one task ranks or sums in order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

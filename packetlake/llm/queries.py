@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, multi_index, packing, simhash_bktree, token_counts, topk_segments, url_filter
+from . import common, mixing, multi_index, packing, pii, simhash_bktree, token_counts, topk_segments, toxicity_pu, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -27,11 +27,24 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op3_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    model = toxicity_pu.train(docs, common.table(spark, sf_dir, "labels"))
+    return toxicity_pu.score(docs, model).select(
+        "doc_id", F.coalesce(toxicity_pu.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity_pu.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(common.table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
 def op6_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_segments.exact_top_k(common.table(spark, sf_dir, "embeddings"), F.col("vec_id") % QUERY_EVERY == 0)
 
@@ -85,7 +98,9 @@ SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_token_counts": op2_token_counts,
+    "op3_toxicity_pu": op3_toxicity_pu,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_pii_disclosure": op5_pii_disclosure,
     "op6_segment_top_k": op6_segment_top_k,
     "op7_source_mixing": op7_source_mixing,
     "op8_multi_index_hashing": op8_multi_index_hashing,
