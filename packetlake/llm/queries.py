@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, multi_index, packing, pii, simhash_bktree, token_counts, topk_segments, toxicity_pu, url_filter
+from . import common, mixing, multi_index, packing, pii, simhash_bktree, suffix_dedup, token_counts, topk_segments, toxicity_pu, url_filter
 
 # The rules of the URL query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -65,6 +65,10 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(common.table(spark, sf_dir, "pages"), rules)
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
+
+
 _URL_SQL = """
 WITH cut AS (
   SELECT page_id, instr(url, '://') AS at, url FROM pages),
@@ -105,5 +109,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_source_mixing": op7_source_mixing,
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_url_filter": op9_url_filter,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 ORACLES: dict[str, str] = {"op6_segment_top_k": _TOP_K_SQL, "op9_url_filter": _URL_SQL}
