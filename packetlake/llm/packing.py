@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,55 +27,59 @@ from pyspark.sql import functions as F
 from . import common
 from .token_counts import load
 
-CACHE_ROWS = 200_000      # words whose ids a worker keeps before it starts afresh
-CACHE_KEY_CHARS = 64
-# A blank between two other white space characters may lie inside a pre-token.
-_RISKY_BLANK = re.compile(r"\s \s")
-_SAFE_CUT = re.compile(r"(?<=\S)(?= )|(?= \S)")
+def load_ranks(path: str, pattern: str):
+    """The vocabulary of a rank file for the library that encodes by ranks."""
+    import base64
 
+    import tiktoken
 
-def word_chunks(text: str) -> list[str]:
-    """``text`` cut before blanks where a byte-level pre-token must begin.
-
-    No pre-token holds a blank after a non-space character, and a blank before
-    a non-space character begins one, so the cuts do not change the ids.
-    """
-    if _RISKY_BLANK.search(text):
-        return [c for c in _SAFE_CUT.split(text) if c]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + w for w in rest]
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 class Encoder:
-    """Ids of whole texts as little-endian uint32 bytes, through a bounded cache of words."""
+    """Ids of whole texts as little-endian uint32 bytes, as the tokenizer file at ``path`` gives them.
+
+    With the same vocabulary as a rank file, texts are encoded by ranks, which
+    gives the same ids several times faster; the special strings of the tokenizer file are
+    found first, as its library does by default, and what the rank encoder refuses
+    goes through the tokenizer file.
+    """
 
-    def __init__(self, path: str):
-        self.tok, self.cache = load(path), {}
+    def __init__(self, path: str, ranks: tuple[str, str] | None = None):
+        self.tok = load(path)
+        self.ranks = load_ranks(*ranks) if ranks else None
+        self.special = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     def __call__(self, text: str) -> bytes:
-        chunks, cache = word_chunks(text), self.cache
-        found = list(map(cache.get, chunks))
-        if None in found:
-            new = list({c for c, ids in zip(chunks, found, strict=True) if ids is None})
-            got = self.tok.encode_batch_fast(new, add_special_tokens=False)
-            own = {c: np.asarray(e.ids, "<u4").tobytes() for c, e in zip(new, got, strict=True)}
-            found = [own[c] if ids is None else ids for c, ids in zip(chunks, found, strict=True)]
-            if len(cache) > CACHE_ROWS:
-                cache.clear()
-            cache.update((c, ids) for c, ids in own.items() if len(c) <= CACHE_KEY_CHARS)
-        return b"".join(found)
+        if self.ranks is None:
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+        parts = self.split.split(text) if self.split and any(s in text for s in self.special) else [text]
+        try:
+            return b"".join(array("I", [self.special[p]] if p in self.special else self.ranks.encode_ordinary(p)).tobytes() for p in parts)
+        except ValueError:
+            return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, ranks: tuple[str, str] | None) -> Encoder:
+    """One encoder for all tasks of a worker."""
+    return Encoder(path, ranks)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, end_id: int = 2,
-             doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
+             doc_id: str = "doc_id", text: str = "text", keep_ids: bool = False, ranks: tuple[str, str] | None = None) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document, whole texts.
 
     A null or empty text is the end id alone.  Only documents longer than
     ``capacity`` are cut; the first piece takes what does not fill a piece.
-    Repeated rows and null ids give pieces of their own.
+    Repeated rows and null ids give pieces of their own.  ``ranks``: (rank
+    file of the same vocabulary, pattern), see :class:`Encoder`.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(tokenizer_path), np.asarray([end_id], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, ranks), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             keys = batch.column(0).to_pylist()
             rows = ([], [], [], [], [], [])

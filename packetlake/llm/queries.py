@@ -35,9 +35,14 @@ def op3_toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity_pu.THRESHOLD).cast("int").alias("predicted"))
 
 
+def byte_pieces(docs: DataFrame) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
-    return packing.pack(packing.tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")))
+    return packing.pack(byte_pieces(docs))
 
 
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from tests.llm.conftest import SF001
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 ODD = [None, "", " ", "a  b", "a   b", "a\n \nb", " \n x", "x  ", "don't I'll  'S", "<|endoftext|> a <|startoftext|>b", "a\x1c b",
        "Σας ΣΑΣ é", "日本語 テ", "word " * 5000, "x" * 20000, "same", "same"]
 
@@ -85,9 +86,15 @@ def test_packing_round_trip(spark):
     assert bins <= 1.02 * sum(r.length for r in rows) / 1024 + 1
 
 
+def test_ranks_give_the_ids_of_the_tokenizer_file():
+    by_rank = packing.Encoder(BYTES, RANKS)
+    for t in [t or "" for t in ODD] + noise(5000) + ["x" * 200_000, " " * 100_000 + "a", "\n" * 50_000, "1" * 50_000]:
+        assert by_rank(t) == np.asarray(by_rank.tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_packing_odd_rows(spark, make_docs):
     texts = dict(enumerate(ODD + noise(300)))
-    pieces = packing.tokenize(make_docs(texts.items()), BYTES, keep_ids=True)
+    pieces = packing.tokenize(make_docs(texts.items()), BYTES, keep_ids=True, ranks=RANKS)
     rows = packing.pack(pieces).collect()
     check_packing(rows, texts, token_counts.load(BYTES))
     assert all(len(r.ids) == r.length for r in rows)
