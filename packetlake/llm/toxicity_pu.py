@@ -22,12 +22,11 @@ from . import common
 
 TOXIC_ROWS = 4_096        # confirmed toxic texts learned from, at most: those of smallest id hash
 UNLABELLED_ROWS = 12_288  # unlabelled texts learned from, at most: those of smallest id hash
-WORDS_PER_TEXT = 20_000   # distinct words of a text of the training sample
 VOCABULARY = 512          # words the classifier knows, at most
 LEAST_SHARE = 0.01        # of the toxic texts that hold a known word
 LEAST_TEXTS = 4
 PREFIX = 5                # letters of the word beginnings that count as words too
-STEPS, RATE = 600, 0.05
+STEPS, RATE = 400, 0.05
 DECAY = 0.6               # weight decay, shared out over the toxic texts
 THRESHOLD = 0.3
 CACHE_ROWS = 200_000
@@ -50,32 +49,61 @@ def _sample(ids: DataFrame, rows: int, seed: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(rows)
 
 
-def _word_sets(docs: DataFrame, ids: DataFrame, rows: int) -> list[list[str]]:
-    """The distinct words of the sampled texts, at most ``rows`` texts."""
-    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([sorted(words(t))[:WORDS_PER_TEXT] for t in common.texts(batch.column(0))], pa.list_(pa.string()))], names=["words"])
-    some = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").select("text")
-    return common.map_batches(some, work, "words array<string>").limit(rows).toArrow().column("words").to_pylist()
+def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the sampled ids with toxic: whether the id is of the toxic sample."""
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
 
 
-def vocabulary(toxic: list[list[str]], unlabelled: list[list[str]], prior: float) -> list[str]:
-    """Words that tell toxic from clean texts: the clean share of a word is what the prior leaves of its share in all."""
-    in_toxic, in_all = Counter(w for t in toxic for w in t), Counter(w for t in unlabelled for w in t)
-    least, ranked = max(LEAST_TEXTS, LEAST_SHARE * len(toxic)), []
-    for word, n in in_toxic.items():
-        if n >= least:
-            share = n / len(toxic)
-            clean = max(0.0, in_all[word] / max(1, len(unlabelled)) - prior * share) / max(1e-9, 1 - prior)
-            ranked.append((share * np.log((share + 1e-4) / (clean + 1e-4)), word))
-    return [w for gain, w in sorted(ranked, key=lambda x: (-x[0], x[1]))[:VOCABULARY] if gain > 0]
+def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
+    """Words that tell toxic from clean texts: the clean share of a word is what the prior leaves of its share in all.
 
+    Each task counts the texts that hold a word; at most ``VOCABULARY`` words reach the driver.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, texts = (Counter(), Counter()), Counter()
+        for batch in batches:
+            for toxic, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
+                seen[toxic].update(words(text))
+                texts[toxic] += 1
+        for toxic in (0, 1):
+            if texts[toxic]:
+                known = ["", *seen[toxic]]          # the empty word counts the texts
+                n = [texts[toxic], *seen[toxic].values()]
+                yield pa.RecordBatch.from_arrays([pa.array([toxic] * len(known), pa.int32()), pa.array(known, pa.string()), pa.array(n, pa.int64())],
+                                                 names=["toxic", "word", "n"])
+
+    counts = (sampled.mapInArrow(count, "toxic int, word string, n bigint").groupBy("word")
+              .agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("in_toxic"),
+                   F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("in_all")))
+    counts = common.durable(counts.where(F.col("in_toxic") >= LEAST_TEXTS))
+    every = counts.where("word = ''").first()
+    if every is None:
+        return []
+    share = F.col("in_toxic") / F.lit(every["in_toxic"])
+    clean = F.greatest(F.lit(0.0), F.col("in_all") / F.lit(max(1, every["in_all"])) - prior * share) / (1 - prior)
+    gain = share * F.log((share + 1e-4) / (clean + 1e-4))
+    best = (counts.where((F.col("word") != "") & (F.col("in_toxic") >= LEAST_SHARE * every["in_toxic"])).withColumn("gain", gain)
+            .where("gain > 0").orderBy(F.desc("gain"), "word").limit(VOCABULARY))
+    return [r["word"] for r in best.collect()]
+
+
+def presence(sampled: DataFrame, known: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic, unlabelled): which known words each sampled text holds, at most ``rows`` rows of one byte a word."""
+    at = {w: i for i, w in enumerate(known)}
 
-def _presence(texts: list[list[str]], at: dict[str, int]) -> np.ndarray:
-    x = np.zeros((len(texts), len(at)), np.float32)
-    for row, text in zip(x, texts, strict=True):
-        row[[at[w] for w in text if w in at]] = 1
-    return x
+    def work(batch: pa.RecordBatch) -> pa.RecordBatch:
+        held = []
+        for text in common.texts(batch.column(1)):
+            row = np.zeros(len(at), np.uint8)
+            row[[at[w] for w in words(text) if w in at]] = 1
+            held.append(np.packbits(row).tobytes())
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["toxic", "held"])
+
+    found = common.map_batches(sampled, work, "toxic int, held binary").limit(rows).toArrow()
+    toxic = found.column("toxic").to_numpy() == 1
+    bits = np.frombuffer(b"".join(found.column("held").to_pylist()), np.uint8).reshape(len(toxic), -1)
+    x = np.unpackbits(bits, axis=1, count=len(known)).astype(np.float32)
+    return x[toxic], x[~toxic]
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -85,7 +113,7 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 def fit(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float, list[float]]:
     """(weights, bias, risks) of the non-negative risk with logistic loss, by Adam."""
     d = toxic.shape[1]
-    w, m, v, risks = np.zeros(d + 1), np.zeros(d + 1), np.zeros(d + 1), []
+    w, m, v, risks = (*np.zeros((3, d + 1), np.float32), [])
     w[d] = np.log(prior / (1 - prior))
     for step in range(1, STEPS + 1):
         p, u = _sigmoid(toxic @ w[:d] + w[d]), _sigmoid(unlabelled @ w[:d] + w[d])
@@ -98,9 +126,10 @@ def fit(toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.nda
             on_u, on_p = as_negative_u, -prior * (1 - p) / len(p) - as_negative_p
         else:
             on_u, on_p = -as_negative_u, as_negative_p
-        g = np.concatenate([unlabelled.T @ on_u + toxic.T @ on_p + DECAY / len(p) * w[:d], [on_u.sum() + on_p.sum()]])
+        on_u, on_p = on_u.astype(np.float32), on_p.astype(np.float32)
+        g = np.concatenate([unlabelled.T @ on_u + toxic.T @ on_p + np.float32(DECAY / len(p)) * w[:d], [on_u.sum() + on_p.sum()]])
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        w = (w - RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)).astype(np.float32)
     return w[:d], float(w[d]), risks
 
 
@@ -109,26 +138,28 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unla
 
     The prior is the toxic share of those labels; of labels that contradict
     each other the toxic one counts, null labels do not.  Without toxic
-    texts to learn from, every score is 0.
+    texts to learn from, or a word that they share, every score is 0.
     """
     usable = (labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
               .groupBy("doc_id").agg((F.max("toxic") > 0).alias("is_toxic")))
     share = usable.agg(F.avg(F.col("is_toxic").cast("double")).alias("prior")).first()["prior"]
     toxic_ids = _sample(usable.where("is_toxic").select("doc_id"), toxic_rows, 1)
     all_ids = _sample(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id"), unlabelled_rows, 2)
-    toxic = _word_sets(docs, toxic_ids, toxic_rows) if share else []
-    if not toxic:
-        return {"weights": {}, "bias": -np.inf}
-    prior = min(max(float(share), 1e-3), 0.5)
-    unlabelled = _word_sets(docs, all_ids, unlabelled_rows)
-    known = vocabulary(toxic, unlabelled, prior)
-    at = {w: i for i, w in enumerate(known)}
-    w, bias, _ = fit(_presence(toxic, at), _presence(unlabelled, at), prior)
+    nothing = {"weights": {}, "bias": -np.inf}
+    if not share:
+        return nothing
+    ids = common.durable(toxic_ids.select("doc_id", F.lit(1).alias("toxic")).unionByName(all_ids.select("doc_id", F.lit(0).alias("toxic"))))
+    prior, sampled = min(max(float(share), 1e-3), 0.5), _sampled(docs, ids)
+    known = vocabulary(sampled, prior)
+    if not known:
+        return nothing
+    w, bias, _ = fit(*presence(sampled, known, toxic_rows + unlabelled_rows), prior)
     return {"weights": dict(zip(known, w.tolist(), strict=True)), "bias": bias}
 
 
-def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, score) of every row, or the ``keep`` columns and score: whole texts, each known word counted once.
+def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text", keep: list[str] | None = None,
+          out: str = "score") -> DataFrame:
+    """(doc_id, score) of every row, or the ``keep`` columns and the score as ``out``: whole texts, each known word counted once.
 
     A null text counts as empty; its score is what the bias alone gives.
     """
@@ -156,9 +187,9 @@ def score(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "tex
                 logits.append(bias + sum(weights[w] for w in sorted(found)))
             with np.errstate(over="ignore"):
                 scores = 1 / (1 + np.exp(-np.asarray(logits, np.float64)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], out])
 
     kept = keep or [doc_id]
     rows = docs.select(*kept, F.col(text).alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + f", `{out}` double"
     return rows.mapInArrow(work, schema)
