@@ -52,13 +52,17 @@ def fingerprint(raw: bytes, shingle_words: int, seed: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle_words: int = 3, seed: int = 42, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp) of every row, whole texts; fp is the fingerprint as a signed long, null texts are empty."""
+    """(doc_id, digest, fp) of every row, whole texts; fp is the fingerprint as a signed long, null texts are empty.
+
+    digest, a hash of the text, tells rows of one doc_id apart.
+    """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = [fingerprint(raw, shingle_words, seed) for raw in common.raw_texts(batch.column(1))]
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.asarray(codes, np.uint64).view(np.int64))], names=["doc_id", "fp"])
+        codes = [fingerprint(raw, shingle_words, seed) for raw in common.raw_texts(batch.column(2))]
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(np.asarray(codes, np.uint64).view(np.int64))],
+                                          names=["doc_id", "digest", "fp"])
 
-    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return common.map_batches(rows, work, "doc_id bigint, fp bigint")
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
+    return common.map_batches(rows, work, "doc_id bigint, digest bigint, fp bigint")
 
 
 class BKTree:
@@ -183,7 +187,7 @@ def fingerprint_links(codes: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, seed: int = 42,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every row: the smallest doc_id reachable over links of ``radius`` bits.
+    """(doc_id, digest, fp, component_id) of every row: the smallest doc_id reachable over links of ``radius`` bits.
 
     Texts without words (null, empty, white space) have fingerprint 0 and are
     linked like any other.  Repeated rows stay; null ids stay and do not name a
@@ -195,7 +199,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, se
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = common.durable(rooted.join(names, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
 
 
 def hex_code(column: str):
