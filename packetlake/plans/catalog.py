@@ -294,7 +294,7 @@ register("packet_listing", O.over_packets(
     f"{O.protocol('type')} AS protocol, {O.fmt_size('length')} AS size FROM packets"))(
     lambda spark, sf: L.packet_listing(packets(spark, sf)))
 
-DETAIL_IDS = "dst_port = 3306 AND length < 1000"
+DETAIL_IDS = "dst_port = 3306"
 register("packet_detail", O.over_packets(
     f"SELECT index, {O.fmt_time('timestamp', True)} AS time, coalesce(nullif(uuid, ''), 'N/A') AS uuid, "
     f"{O.protocol('type')} AS protocol, {O.fmt_size('length')} AS size, "

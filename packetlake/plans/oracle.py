@@ -31,9 +31,9 @@ WITH ev AS (
                                                   'Host: shop.example.com')
               WHEN e.event_id % 6 = 1 THEN e.props
               WHEN e.event_id % 6 = 2 THEN concat('POST /login password=p', cast(e.event_id AS varchar))
-              WHEN e.event_id % 6 = 4 THEN d.text
+              WHEN e.event_id % 6 = 4 THEN coalesce(d.text, '')
               WHEN e.event_id % 6 = 5 THEN '' END AS txt
-  FROM events e JOIN documents d ON d.doc_id = e.event_id % 200
+  FROM events e LEFT JOIN documents d ON d.doc_id = e.event_id // 6 % (SELECT count(*) FROM documents)
 ),
 packets AS (
   SELECT index, timestamp, uuid, src_ip, src_port, dst_ip, dst_port, pid, pname, type,

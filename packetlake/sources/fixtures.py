@@ -24,7 +24,8 @@ from ..session import checkpoint_dir
 from . import storage
 
 # Fixed values of the derivation (must equal the oracle SQL).
-DOC_KEYS = 200                       # event e uses document e % 200
+DST_HOSTS = 200                      # dst_ip ends in event_id % 200
+KINDS = 6                            # event e of kind 4 uses document (e div 6) % number of documents
 HTTP_HOST = "shop.example.com"
 PNAMES = ["curl", "wget", "chrome", "python3", "mDNSResponder"]   # by event_id % 5
 DST_PORTS = [80, 443, 8080, 53, 3306, 443, 443]                   # by event_id % 7
@@ -34,9 +35,6 @@ THIRD_STATE_EVERY = 97                                            # kind 6 when
 # 4 document text, 5 empty, 6 120 × 'a' then 0xff (text prefix, invalid whole)
 
 
-_doc_sizes: dict[str, tuple[int, int]] = {}  # (rows, bytes) of the document side, by file fingerprint
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
@@ -71,6 +69,8 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
     ev = ev.select("event_id", "ts", "user_id", "props")
     ev = ev.repartitionByRange("event_id") if by_range else spread(ev, "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n_docs, doc_bytes = measure(docs, F.octet_length("text"))
     kind = F.col("_kind")
     e = ev.select(
         eid.alias("recv_seq"),
@@ -79,30 +79,24 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
         F.concat(F.lit("192.168."), (uid % 4).cast("string"), F.lit("."), (uid % 250).cast("string")).alias("src_ip"),
         (F.lit(32768) + eid % 28000).cast("bigint").alias("src_port"),
         F.when(eid % 11 == 0, F.lit(LOOPBACK)).otherwise(
-            F.concat(F.lit("104.16."), (eid % 3).cast("string"), F.lit("."), (eid % DOC_KEYS).cast("string"))).alias("dst_ip"),
+            F.concat(F.lit("104.16."), (eid % 3).cast("string"), F.lit("."), (eid % DST_HOSTS).cast("string"))).alias("dst_ip"),
         _case(eid % 7, DST_PORTS).cast("bigint").alias("dst_port"),
         (F.lit(1000) + uid).cast("bigint").alias("pid"),
         _case(eid % 5, PNAMES).alias("pname"),
         (eid % 7).cast("bigint").alias("type"),
         _kind(eid).alias("_kind"),
-        (eid % DOC_KEYS).alias("_doc"),
+        F.when(_kind(eid) == 4, F.call_function("div", eid, F.lit(KINDS)) % max(n_docs, 1)).alias("_doc"),
         uid.alias("_user"),
         F.col("props").alias("_props"),
     )
-    docs = (table(spark, sf_dir, "documents")
-            .filter((F.col("doc_id") >= 0) & (F.col("doc_id") < DOC_KEYS))
-            .select("doc_id", "text"))
-    width = F.octet_length("text")
-    docs_key = storage.fingerprint(spark, [os.path.join(sf_dir, "documents.parquet")])
-    if docs_key not in _doc_sizes:
-        _doc_sizes[docs_key] = measure(docs, width)
-    joined = bounded_broadcast_join(e, docs, "_doc", "doc_id", width=width, salt=F.xxhash64("recv_seq"),
-                                    measured=_doc_sizes[docs_key])
+    # Only kind 4 looks a document up; the others pass the left join with a null key.
+    joined = bounded_broadcast_join(e, docs, "_doc", "doc_id", width=F.octet_length("text"), salt=F.xxhash64("recv_seq"),
+                                    how="left", measured=(n_docs, doc_bytes))
     text = (F.when(kind == 0, F.concat(F.lit("GET /item/"), F.col("_user").cast("string"),
                                        F.lit(" HTTP/1.1\nHost: " + HTTP_HOST)))
             .when(kind == 1, F.col("_props"))
             .when(kind == 2, F.concat(F.lit("POST /login password=p"), F.col("recv_seq").cast("string")))
-            .when(kind == 4, F.col("text")))
+            .when(kind == 4, F.coalesce("text", F.lit(""))))
     payload = (F.when(kind == 3, F.unhex(F.concat(F.lit("ffd8"), F.col("uuid"))))
                .when(kind == 5, F.lit(bytearray()))
                .when(kind == 6, F.unhex(F.lit("61" * 120 + "ff")))
