@@ -76,12 +76,12 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _URL_SQL = """
 WITH cut AS (
-  SELECT page_id, instr(url, '://') AS at, url FROM pages),
+  SELECT page_id, instr(url, '://') AS mark, url FROM pages),
 parts AS (
   SELECT page_id,
-         CASE WHEN at > 0 THEN translate(regexp_extract(substr(url, at + 3), '^([^/?#]*)', 1),
+         CASE WHEN mark > 0 THEN translate(regexp_extract(substr(url, mark + 3), '^([^/?#]*)', 1),
               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
-         CASE WHEN at > 0 THEN regexp_extract(substr(url, at + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+         CASE WHEN mark > 0 THEN regexp_extract(substr(url, mark + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
   FROM cut),
 rules(action, rhost, rpath) AS (VALUES {rules}),
 fits AS (
