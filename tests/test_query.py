@@ -15,11 +15,11 @@ CORPUS = [
     ("src_ip LIKE '192.168.1.%'", 2605),
     ("pname = 'python' OR pname LIKE 'chrome%'", 1980),
     ("dst_port != 53 AND pname != 'mDNSResponder'", 6787),
-    ("is_binary = false AND (payload_utf8 LIKE '%password%' OR payload_utf8 LIKE '%token%')", 1666),
+    ("is_binary = false AND (payload_utf8 LIKE '%password%' OR payload_utf8 LIKE '%token%')", 1653),
     ("is_binary = false AND payload_utf8 LIKE 'GET %'", 1633),
-    ("is_binary = false AND payload_utf8 LIKE '%example.com%'", 1633),
+    ("is_binary = false AND payload_utf8 LIKE '%example.com%'", 1651),
     ("is_binary = false AND payload_utf8 LIKE '{%}'", 1633),
-    ("(src_ip = '192.168.1.5' OR dst_port = 3306) AND length < 1000", 1299),
+    ("(src_ip = '192.168.1.5' OR dst_port = 3306) AND length < 1000", 1297),
     ("lower(pname) = 'curl'", 1979),
     ("SELECT * FROM packets WHERE pname = 'curl' UNION SELECT * FROM packets WHERE pname = 'wget'", 3959),
 ]
