@@ -221,8 +221,24 @@ def _batch(kind, gram, context, doc, sides, place) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), *[pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]], names=_NAMES)
 
 
+def _after_first(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a row's context also stands in a smaller document of these rows."""
+    order = np.argsort(context)
+    g, c, d = gram[order], context[order], doc[order]
+    starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+    least = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(d))))
+    later = np.zeros(len(doc), bool)
+    later[order] = d > least
+    return later
+
+
 def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
-    """One row per context of a document; of contexts that a document repeats, the later ones are repeats at once."""
+    """One row per context of a document.
+
+    Of contexts that a document repeats, the later ones are repeats at once; so
+    are those that a smaller document of the same batch has.  A passage that a
+    third of the corpus shares thus sends one row a batch to its minimizer.
+    """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
         for doc, digest, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.raw_texts(batch.column(2)), strict=True):
@@ -233,7 +249,11 @@ def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
             again = np.zeros(len(order), bool)
             again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
             parts.append((np.where(again, _REPEAT, _CONTEXT), gram, context, np.full(len(gram), doc), sides, _place(start, count, digest)))
-        return _batch(*[np.concatenate(c) for c in zip(*parts, strict=True)]) if parts else None
+        if not parts:
+            return None
+        kind, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        kind = np.where(_after_first(gram, context, doc), _REPEAT, kind)
+        return _batch(kind, gram, context, doc, sides, place)
 
     return common.map_batches(keyed.select("doc", "digest", "text"), work, _ROW)
 
@@ -273,7 +293,9 @@ def _meet(rows: DataFrame) -> DataFrame:
         if shared.any():
             yield _batch(np.full(shared.sum(), _OPEN), gram[shared], context[shared], doc[shared], sides[shared], place[shared])
 
-    return rows.repartition("gram").mapInArrow(work, _ROW)
+    # Known repeats need not meet their minimizer: they are dealt evenly.
+    key = F.when(F.col("kind") == _REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    return rows.repartition(key).mapInArrow(work, _ROW)
 
 
 def _resolve(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
