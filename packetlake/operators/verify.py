@@ -53,8 +53,40 @@ def verify_filter(spark: SparkSession, user_sql: str | None) -> str | None:
     return None
 
 
+# Expressions whose value depends on when they run.
+CLOCK_EXPRESSIONS = {"CurrentDate", "CurrentTime", "CurrentTimestamp", "CurrentBatchTimestamp", "LocalTimestamp", "Now"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _kind(node) -> str:
+    return node.getClass().getSimpleName()
+
+
+def _reads_clock(expression) -> bool:
+    return _kind(expression) in CLOCK_EXPRESSIONS or any(_reads_clock(c) for c in _items(expression.children()))
+
+
+def _keeps_index(node) -> bool:
+    """Whether what the node calls ``index`` is what its input calls ``index``."""
+    if node.nodeName() == "Project":
+        for e in _items(node.projectList()):
+            if e.name().lower() == "index":
+                source = e.child() if _kind(e) == "Alias" else e
+                if _kind(source) != "AttributeReference" or source.name().lower() != "index":
+                    return False
+    elif node.nodeName() == "Union":
+        names = [[a.name().lower() for a in _items(c.output())] for c in _items(node.children())]
+        at = {n.index("index") if n.count("index") == 1 else -1 for n in names}
+        return len(at) == 1 and -1 not in at
+    return True
+
+
 def is_row_local(df: DataFrame) -> bool:
-    """True when the analysed plan only selects, filters and unions rows.
+    """True when the analysed plan only selects, filters and unions rows, each
+    under its own ``index``, by expressions that always give the same value.
 
     Such a statement gives, for the new rows of a batch, exactly what it gives
     over the whole history restricted to those rows – ``index`` is unique, so
@@ -64,10 +96,11 @@ def is_row_local(df: DataFrame) -> bool:
     stack = [df._jdf.queryExecution().analyzed()]
     while stack:
         node = stack.pop()
-        if node.nodeName() not in ROW_LOCAL_NODES or node.subqueries().size() > 0:
+        if node.nodeName() not in ROW_LOCAL_NODES or node.subqueries().size() > 0 or not _keeps_index(node):
+            return False
+        if any(not e.deterministic() or _reads_clock(e) for e in _items(node.expressions())):
             return False
-        children = node.children()
-        stack.extend(children.apply(i) for i in range(children.size()))
+        stack.extend(_items(node.children()))
     return True
 
 
@@ -94,7 +127,7 @@ class FilterSetting:
     def __init__(self, spark: SparkSession, text: str | None = None):
         self.spark = spark
         self.text: str | None = None
-        self.row_local = False
+        self.row_local = True      # no filter: every row says it for itself
         self.checks = 0
         if text is not None:
             self.set(text)

@@ -80,6 +80,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
     return bytes(buf.toByteArray()).decode("utf-8")
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.mkdirs(p)
+
+
 def rename(spark: SparkSession, src: str, dst: str) -> bool:
     """Move ``src`` to ``dst``; False if ``dst`` exists already (someone else won)."""
     fs, s = _fs(spark, src)

@@ -11,10 +11,12 @@ micro-batch (``foreachBatch``):
    this batch (the reference's semantics: a row at or below the cursor that
    qualifies later is never delivered) – and keep ``index > cursor``.  A Mode B
    statement that only selects, filters and unions rows gives the same rows
-   on the new batch alone and is evaluated there (``verify.is_row_local``);
+   on the new batch alone and is evaluated there (``verify.is_row_local``).  A
+   feed that did not run in the batch before (new, paused or failed) reads the
+   store above its cursor, so it catches up on what it missed;
 3. write what every feed delivers in one job, ``delivered/batch_id=<id>/feed=<name>``,
-   sorted by index; rows and last index per feed are observed during that
-   write (no second pass);
+   each file sorted by index; rows and last index per feed are observed during
+   that write (no second pass), then each consumer is called on its own;
 4. write the batch's manifest (store row + one row per feed): the commit.
 
 All writes overwrite one ``batch_id`` partition and every cursor is read from
@@ -26,6 +28,8 @@ from __future__ import annotations
 
 import logging
 import os
+import re
+import threading
 import time
 from collections.abc import Callable
 
@@ -39,14 +43,15 @@ from ..operators.verify import FilterSetting
 from ..schema import PACKET_SCHEMA, TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
 from ..sources import storage
-from .store import BATCH_ID, STORE_ROW, PacketStore, read_partitioned, with_columns
+from .store import BATCH_ID, FAILED, OK, STORE_ROW, PacketStore, read_partitioned, with_columns
 
 log = logging.getLogger(__name__)
 
 # Operating constants of the capture pipeline.
 TICK = "300 milliseconds"          # flush / feed interval
 RECONNECT_BACKOFF_S = 0.3          # wait before a failed query is restarted
-SINGLE_SORT_ROWS = 2_000_000       # a delivery bounded below this is sorted in one task
+LASTING_SQL_STATES = ("21", "22", "42")   # classes: cardinality, data, syntax or access rule
+MAX_BACKOFF_S = 30.0               # longest wait between restarts
 
 DELIVERED_SCHEMA = with_columns(TARGET_SCHEMA, BATCH_ID, T.StructField("feed", T.StringType(), True))
 
@@ -85,17 +90,21 @@ class Feed:
 
     # ---------------------------------------------------------------- state
     def cursor_before(self, spark: SparkSession, batch_id: int, prev_rows: list | None) -> tuple[int | None, bool]:
-        """(cursor, feed already ran) as of the start of ``batch_id``."""
+        """(cursor, feed ran in the batch before) as of the start of ``batch_id``.
+
+        Only a successful run in the batch just before means that nothing below
+        ``batch_id`` is left to deliver.
+        """
+        if batch_id == 0:
+            return self.start_after, True
         mine = [r for r in prev_rows or [] if r["feed"] == self.name]
         if mine:
-            return mine[0]["cursor"], True
+            return mine[0]["cursor"], mine[0]["state"] != FAILED
         if not storage.exists(spark, self.store.path("manifest")):
             return self.start_after, False
         m = self.store.manifest(spark).filter((F.col("feed") == self.name) & (F.col("batch_id") < batch_id))
         row = m.orderBy(F.col("batch_id").desc()).select("cursor").limit(1).collect()
-        if row:
-            return row[0]["cursor"], True
-        return self.start_after, False
+        return (row[0]["cursor"] if row else self.start_after), False
 
     def cursor(self, spark: SparkSession) -> int | None:
         """Last delivered index (survives stop/start); ``start_after`` if none."""
@@ -154,7 +163,7 @@ class Feed:
         what other feeds delivered for the batch stays as it is.
         """
         prev = self.store.manifest_rows(spark, batch_id) or []
-        others = [tuple(r[f] for f in ("feed", "first_index", "n_rows", "cursor"))
+        others = [tuple(r[f] for f in ("feed", "first_index", "n_rows", "cursor", "state"))
                   for r in prev if r["feed"] != self.name]
         rows = deliver_feeds(spark, self.store, [self], batch_id, only_own_folder=True)
         self.store.write_manifest(spark, batch_id, others + rows)
@@ -162,42 +171,74 @@ class Feed:
 
 
 def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
-                  batch_rows: int | None = None, only_own_folder: bool = False) -> list[tuple]:
+                  only_own_folder: bool = False) -> list[tuple]:
     """Evaluate every feed for a batch and write all deliveries in one job.
 
-    Returns the manifest rows (feed, None, rows delivered, new cursor).  If
-    the joint write fails, every feed is delivered on its own; a feed that
-    still fails is marked (``Feed.failure``), keeps its cursor and is left out
-    of later batches, while the others go on.  When
-    every feed reads only the new batch (``batch_rows`` of them), the delivery
-    is bounded by feeds × rows and, below ``SINGLE_SORT_ROWS``, is sorted in
-    one task; otherwise it is range-partitioned and sorted globally.
+    Returns the manifest rows (feed, None, rows delivered, new cursor, state).
+    If the joint write fails, every feed is delivered on its own; a feed that
+    fails alone too keeps its cursor, while the others go on.  If its statement or
+    data is at fault it is marked (``Feed.failure``) and left out of later
+    batches; after any other error the next batch tries again.  Consumers are called after
+    the write, each on its own.
     """
     if not feeds:
         return []
+    prev = store.manifest_rows(spark, batch_id - 1)
+    before = {feed.name: feed.cursor_before(spark, batch_id, prev) for feed in feeds}
     try:
-        return _deliver(spark, store, feeds, batch_id, batch_rows, only_own_folder)
+        rows = _deliver(spark, store, feeds, batch_id, before, only_own_folder)
     except Exception as exc:  # noqa: BLE001 – find the failing feed, keep the others
         log.warning("joint delivery of batch %d failed (%s); delivering feed by feed", batch_id, exc)
-    rows = []
+        rows = {}
+        for feed in feeds:
+            try:
+                rows |= _deliver(spark, store, [feed], batch_id, before, only_own_folder=True)
+            except Exception as alone:  # noqa: BLE001 – this feed stops, the others and the store go on
+                rows[feed.name] = _failed(feed, batch_id, alone, before, _is_lasting(alone))
     for feed in feeds:
+        if rows[feed.name][2] and feed.on_deliver is not None:
+            error = _hand_over(spark, feed, batch_id)
+            if error is not None:
+                # The cursor stays, so the rows come again: they must not stand in this batch too.
+                (spark.createDataFrame([], TARGET_SCHEMA).write.mode("overwrite")
+                 .parquet(os.path.join(store.root, "delivered", f"batch_id={batch_id}", f"feed={feed.name}")))
+                rows[feed.name] = _failed(feed, batch_id, error, before, lasting=True)
+    return [rows[feed.name] for feed in feeds]
+
+
+def _is_lasting(error: Exception) -> bool:
+    """Whether the statement or its data is at fault, so that a retry would fail as well."""
+    return any(state[:2] in LASTING_SQL_STATES for state in re.findall(r"SQLSTATE: (\w{5})", str(error)))
+
+
+def _failed(feed: Feed, batch_id: int, error: Exception, before: dict, lasting: bool) -> tuple:
+    """A failed feed's manifest row, with the cursor unmoved; a lasting failure stops the feed."""
+    text = str(error).strip()
+    reason = text.splitlines()[0] if text else type(error).__name__
+    if lasting:
+        feed.failure = reason
+    log.error("feed %s %s at batch %d: %s", feed.name, "stopped" if lasting else "failed", batch_id, reason)
+    return (feed.name, None, 0, before[feed.name][0], FAILED)
+
+
+def _hand_over(spark: SparkSession, feed: Feed, batch_id: int) -> Exception | None:
+    """Call a feed's consumer, once more if it fails; the second error, if any."""
+    error = None
+    for _ in range(2):
         try:
-            rows += _deliver(spark, store, [feed], batch_id, batch_rows, only_own_folder=True)
-        except Exception as exc:  # noqa: BLE001 – this feed stops, the others and the store go on
-            feed.failure = str(exc).strip().splitlines()[0] if str(exc).strip() else type(exc).__name__
-            log.error("feed %s stopped at batch %d: %s", feed.name, batch_id, feed.failure)
-            cursor, _ = feed.cursor_before(spark, batch_id, store.manifest_rows(spark, batch_id - 1))
-            rows.append((feed.name, None, 0, cursor))
-    return rows
+            feed.on_deliver(feed.delivered_in(spark, batch_id), batch_id)
+            return None
+        except Exception as exc:  # noqa: BLE001 – a consumer must not stop the others
+            log.warning("consumer of feed %s failed at batch %d: %s", feed.name, batch_id, exc)
+            error = exc
+    return error
 
 
 def _deliver(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
-             batch_rows: int | None, only_own_folder: bool) -> list[tuple]:
-    prev = store.manifest_rows(spark, batch_id - 1)
-    parts, cursors, wide = [], {}, batch_rows is None
+             before: dict, only_own_folder: bool) -> dict[str, tuple]:
+    parts, wide = [], False
     for feed in feeds:
-        cursor, ran = feed.cursor_before(spark, batch_id, prev)
-        cursors[feed.name] = cursor
+        cursor, ran = before[feed.name]
         wide = wide or feed.reads_history(history=not ran)
         parts.append(feed.select(spark, batch_id, cursor, history=not ran)
                      .select(*TARGET_COLS).withColumn("feed", F.lit(feed.name)))
@@ -209,10 +250,8 @@ def _deliver(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_i
     for i, feed in enumerate(feeds):
         mine = F.col("feed") == feed.name
         metrics += [F.count(F.when(mine, 1)).alias(f"n{i}"), F.max(F.when(mine, F.col("index"))).alias(f"last{i}")]
-    if wide or batch_rows * len(feeds) > SINGLE_SORT_ROWS:
-        ordered = out.orderBy("feed", "index")
-    else:
-        ordered = out.repartition(1).sortWithinPartitions("feed", "index")
+    # A batch's files hold disjoint index ranges: sorting each is enough.  History is sorted as a whole.
+    ordered = out.orderBy("feed", "index") if wide else out.sortWithinPartitions("feed", "index")
     # Observe above the sort: a range sort's sampling pass must not count rows twice.
     batch_dir = os.path.join(store.root, "delivered", f"batch_id={batch_id}")
     if only_own_folder:   # one feed: replace its folder only
@@ -221,14 +260,12 @@ def _deliver(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_i
     else:                 # every feed of the batch: replace the batch folder
         ordered.observe(obs, *metrics).write.mode("overwrite").partitionBy("feed").parquet(batch_dir)
     got = obs.get
-    rows = []
+    rows = {}
     for i, feed in enumerate(feeds):
         n = int(got[f"n{i}"])
-        cursor = got[f"last{i}"] if n else cursors[feed.name]        # Q6: last *delivered* index
-        rows.append((feed.name, None, n, cursor))
+        cursor = got[f"last{i}"] if n else before[feed.name][0]        # Q6: last *delivered* index
+        rows[feed.name] = (feed.name, None, n, cursor, OK)
         log.info("feed %s batch %d: %d rows, cursor %s", feed.name, batch_id, n, cursor)
-        if n and feed.on_deliver is not None:
-            feed.on_deliver(feed.delivered_in(spark, batch_id), batch_id)
     return rows
 
 
@@ -253,8 +290,8 @@ def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch
     if fail_after_append:
         raise RuntimeError("injected failure between append and delivery")
     live = [f for f in feeds if f.failure is None]     # Q13: a failed feed stops alone
-    rows = deliver_feeds(spark, store, live, batch_id, batch_rows=n)
-    store.write_manifest(spark, batch_id, [(STORE_ROW, base, n, None)] + rows)
+    rows = deliver_feeds(spark, store, live, batch_id)
+    store.write_manifest(spark, batch_id, [(STORE_ROW, base, n, None, OK)] + rows)
 
 
 def start_capture(source: DataFrame, store: PacketStore, feeds: list[Feed], checkpoint: str,
@@ -277,21 +314,29 @@ def start_capture(source: DataFrame, store: PacketStore, feeds: list[Feed], chec
     return writer.start()
 
 
-def run_with_restarts(start: Callable[[], object], max_restarts: int = 3,
-                      backoff_s: float = RECONNECT_BACKOFF_S):
-    """On a failed query, wait and start it again from its checkpoint."""
-    attempt = 0
+def run_with_restarts(start: Callable[[], object], max_restarts: int | None = None,
+                      backoff_s: float = RECONNECT_BACKOFF_S, stop: threading.Event | None = None):
+    """On a failed query, wait and start it again from its checkpoint.
+
+    Goes on until the query ends by itself or ``stop`` is set.  The wait doubles
+    with every failure in a row up to ``MAX_BACKOFF_S``; a query that completed
+    a batch begins a new row.  ``max_restarts`` bounds the failures in a row.
+    """
+    stop = stop or threading.Event()
+    failures = 0
     while True:
         query = start()
         try:
             query.awaitTermination()
             return query
         except Exception:  # noqa: BLE001 – StreamingQueryException and friends
-            attempt += 1
-            if attempt > max_restarts:
+            failures = 1 if query.recentProgress else failures + 1
+            if max_restarts is not None and failures > max_restarts:
                 raise
-            log.warning("capture query failed; restart %d after %.1fs", attempt, backoff_s)
-            time.sleep(backoff_s)
+            wait = min(backoff_s * 2 ** min(failures - 1, 30), MAX_BACKOFF_S)
+            log.warning("capture query failed; restart in %.1fs", wait)
+            if stop.wait(wait):
+                return query
 
 
 def condition_stream(spark: SparkSession, store: PacketStore, condition: str | None,
@@ -301,7 +346,9 @@ def condition_stream(spark: SparkSession, store: PacketStore, condition: str | N
     New ``packets`` files become new input; the condition and the cursor are
     plain streaming filters (append mode, no state).  Write it with any
     streaming sink – e.g. ``.writeStream.format("parquet")`` with its own
-    checkpoint gives exactly-once delivery, decoupled from ingest.  Rows of one
+    checkpoint gives exactly-once delivery, decoupled from ingest: a batch's
+    folder appears complete by one rename and a replayed batch leaves it as it
+    is (on a store whose folder rename is atomic).  Rows of one
     micro-batch are not sorted: a streaming plan cannot sort appended rows.
     """
     reader = spark.readStream.schema(with_columns(PACKET_SCHEMA, BATCH_ID))

@@ -8,8 +8,9 @@ Layout under a root folder every executor can reach::
                                        for the store (first index, rows) and
                                        one per feed (rows delivered, cursor)
 
-Every write is an overwrite of exactly one ``batch_id`` partition, and the
-manifest is written last, so a batch that is run again after a failure (same
+Every write touches exactly one ``batch_id`` partition (packets are written
+beside the table and renamed into it once complete), and the manifest is
+written last, so a batch that is run again after a failure (same
 input, same ``batch_id``) writes the same rows with the same numbers:
 effectively exactly-once.  The next free index is read from the previous
 batch's manifest (O(1) per batch), not from a counter in memory.
@@ -33,11 +34,13 @@ from ..schema import BAD_FRAME_SCHEMA, HEARTBEAT_SCHEMA, PACKET_SCHEMA, PROCESS_
 from ..sources import storage
 
 STORE_ROW = ""  # ``feed`` value of the store's own manifest row
+OK, FAILED = "ok", "failed"  # ``state`` of a feed's manifest row
 MANIFEST_SCHEMA = T.StructType([
     T.StructField("feed", T.StringType(), False),
     T.StructField("first_index", T.LongType(), True),
     T.StructField("n_rows", T.LongType(), False),
     T.StructField("cursor", T.LongType(), True),
+    T.StructField("state", T.StringType(), True),
 ])
 SIDE_SCHEMA = T.StructType([
     T.StructField("recv_seq", T.LongType(), True),
@@ -60,21 +63,11 @@ def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
 BATCH_ID = T.StructField("batch_id", T.LongType(), True)
 
 
-def _missing(exc: Exception) -> bool:
-    text = str(exc)
-    return "PATH_NOT_FOUND" in text or "does not exist" in text or "UNABLE_TO_INFER_SCHEMA" in text
-
-
 def read_partitioned(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet") -> DataFrame:
     """A partitioned folder with an explicit schema; empty if absent."""
     if not storage.exists(spark, path):
         return spark.createDataFrame([], schema)
-    try:
-        return spark.read.schema(schema).format(fmt).load(path)
-    except Exception as exc:  # noqa: BLE001
-        if not _missing(exc):
-            raise
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).format(fmt).load(path)
 
 
 class PacketStore:
@@ -93,13 +86,13 @@ class PacketStore:
 
         After ``consolidate``, batches up to the consolidated one come from the
         history table and only the later batch folders are read, by path – the
-        listing no longer grows with every batch ever written.
+        listing no longer grows with every batch ever written.  A batch folder
+        missing among them is an error.
         """
         current = self.history(spark)
         if current is not None and upto_batch is not None and current["upto"] <= upto_batch:
             parts = [spark.read.schema(PACKET_SCHEMA).parquet(current["path"])]
             later = [self.path("packets", b) for b in range(current["upto"] + 1, int(upto_batch) + 1)]
-            later = [p for p in later if storage.exists(spark, p)]
             if later:
                 parts.append(spark.read.schema(PACKET_SCHEMA).parquet(*later))
             out = parts[0]
@@ -156,7 +149,7 @@ class PacketStore:
         text = storage.read_text(spark, os.path.join(self.path("manifest", batch_id), "manifest.json"))
         if text is None:
             return None
-        return [Row(**json.loads(line)) for line in text.splitlines() if line.strip()]
+        return [Row(**{"state": None} | json.loads(line)) for line in text.splitlines() if line.strip()]
 
     def next_index(self, spark: SparkSession, batch_id: int, prev_rows: list | None = None) -> int:
         """First free index for ``batch_id``: end of the latest earlier batch."""
@@ -176,19 +169,30 @@ class PacketStore:
     def append_events(self, events: DataFrame, batch_id: int, base: int, size_hint: int | None = None) -> int:
         """Number decoded events from ``base`` in ``recv_seq`` order and write them.
 
+        The rows are written to a staging folder that is then renamed to the
+        batch's.  A replayed batch finds that folder complete and leaves it as it
+        is: its files keep their names, so a stream over them sees each row once.
+
         ``events`` has ``recv_seq`` (unique, arrival order) and the decoded event
         columns with ``payload``.  Returns the number of rows, observed during
         the write.  The numbering spreads over one partition per
         ``ROWS_PER_NUMBERING_PARTITION`` rows of ``size_hint`` (an upper bound
         of the row count; counted when not given).
         """
+        target = self.path("packets", batch_id)
+        if storage.exists(spark := events.sparkSession, target):
+            return self.batch_packets(spark, batch_id).count()
         size = events.count() if size_hint is None else size_hint
         parts = max(1, -(-size // ROWS_PER_NUMBERING_PARTITION))
         numbered = assign_index(events, "recv_seq", base=base, out="index", num_partitions=parts)
         obs = Observation(f"append_{batch_id}_{time.monotonic_ns()}")
         (events_to_packets(numbered).observe(obs, F.count(F.lit(1)).alias("n"))
-         .write.mode("overwrite").parquet(self.path("packets", batch_id)))
-        return int(obs.get["n"])
+         .write.mode("overwrite").parquet(self.path("staging", batch_id)))
+        n = int(obs.get["n"])
+        storage.make_folder(spark, self.path("packets"))
+        if not storage.rename(spark, self.path("staging", batch_id), target):
+            raise OSError(f"could not commit {target}")
+        return n
 
     def append_side(self, decoded: DataFrame, batch_id: int, n_side: int | None = None) -> None:
         """Heartbeats, process logs and bad frames of a decoded batch, one write.
@@ -204,7 +208,7 @@ class PacketStore:
         side.write.mode("overwrite").partitionBy("kind").parquet(self.path("side", batch_id))
 
     def write_manifest(self, spark: SparkSession, batch_id: int, rows: list[tuple]) -> None:
-        """Commit record of a batch: (feed, first_index, n_rows, cursor) rows.
+        """Commit record of a batch: (feed, first_index, n_rows, cursor, state) rows.
 
         A few lines, written by the driver straight to the shared file system
         (temp file + rename) – no Spark job for a handful of numbers.

@@ -332,3 +332,128 @@ def test_single_failing_feed_does_not_stop_ingest(spark, two_batches):
     _run(spark, root, [bad], frames_dir)
     assert bad.failure is not None
     assert store.packets(spark).count() == 10
+
+
+def _feed_batches(spark, tmp_path, n):
+    """``n`` batches of ten events each, as process_batch takes them."""
+    raw = fixtures.raw_events(spark, SF001)
+    return [raw.filter((F.col("recv_seq") >= 10 * b) & (F.col("recv_seq") < 10 * b + 10)) for b in range(n)]
+
+
+def _delivered(spark, feed):
+    return sorted(r["index"] for r in feed.delivered(spark).collect())
+
+
+def test_absent_feed_catches_up(spark, tmp_path):
+    store = PacketStore(str(tmp_path / "store"))
+    always, pausing = Feed(store, "always", "index % 2 = 0"), Feed(store, "pausing", "index % 3 = 0")
+    for b, batch in enumerate(_feed_batches(spark, tmp_path, 4)):
+        process_batch(store, [always, pausing] if b in (0, 3) else [always], batch, b)
+    assert _delivered(spark, pausing) == list(range(0, 40, 3))
+    assert _delivered(spark, always) == list(range(0, 40, 2))
+
+
+def test_failed_consumer_restarted_under_its_name(spark, tmp_path):
+    store = PacketStore(str(tmp_path / "store"))
+    calls = []
+
+    def healthy(rows, batch_id):
+        calls.append(batch_id)
+
+    def failing(rows, batch_id):
+        if batch_id == 1:
+            raise RuntimeError("consumer down")
+
+    good, bad = Feed(store, "good", on_deliver=healthy), Feed(store, "bad", on_deliver=failing)
+    batches = _feed_batches(spark, tmp_path, 4)
+    for b in range(3):
+        process_batch(store, [good, bad], batches[b], b)
+    assert calls == [0, 1, 2]                                  # the healthy consumer once a batch
+    assert bad.failure is not None and bad.cursor(spark) == 9
+    assert _delivered(spark, bad) == list(range(10))
+    again = Feed(store, "bad")
+    process_batch(store, [good, again], batches[3], 3)
+    assert _delivered(spark, again) == list(range(40))
+    assert _delivered(spark, good) == list(range(40))
+
+
+def test_passing_error_is_retried(spark, tmp_path, monkeypatch):
+    store = PacketStore(str(tmp_path / "store"))
+    feed = Feed(store, "f", "index % 4 = 1")
+    select, broken = feed.select, {1}
+
+    def flaky(spark, batch_id, *rest, **more):
+        if batch_id in broken:
+            raise OSError("storage is away")
+        return select(spark, batch_id, *rest, **more)
+
+    monkeypatch.setattr(feed, "select", flaky)
+    for b, batch in enumerate(_feed_batches(spark, tmp_path, 3)):
+        process_batch(store, [feed], batch, b)
+    assert feed.failure is None
+    assert _delivered(spark, feed) == list(range(1, 30, 4))
+
+
+def test_condition_stream_after_a_replayed_batch(spark, tmp_path):
+    from packetlake.streaming.feed import condition_stream
+
+    store, out = PacketStore(str(tmp_path / "store")), str(tmp_path / "out")
+    batches = _feed_batches(spark, tmp_path, 2)
+
+    def drain():
+        (condition_stream(spark, store, None).writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", str(tmp_path / "ckpt")).trigger(availableNow=True).start().awaitTermination())
+
+    process_batch(store, [], batches[0], 0)
+    drain()
+    process_batch(store, [], batches[0], 0)                    # the same batch again
+    process_batch(store, [], batches[1], 1)
+    drain()
+    assert sorted(r["index"] for r in spark.read.parquet(out).collect()) == list(range(20))
+
+
+def test_plain_feed_reads_one_batch_folder(spark, tmp_path):
+    store = PacketStore(str(tmp_path / "store"))
+    feed = Feed(store, "f")
+    assert feed.setting.row_local
+    for b, batch in enumerate(_feed_batches(spark, tmp_path, 2)):
+        process_batch(store, [feed], batch, b)
+    files = feed.select(spark, 1, 9, history=False).inputFiles()
+    assert files and all("batch_id=1" in f for f in files)
+
+
+@pytest.mark.parametrize("sql", [
+    "SELECT index % 5 AS index, * EXCEPT (index) FROM packets",
+    "SELECT * FROM packets WHERE rand() < 0.5",
+    "SELECT * FROM packets WHERE current_timestamp() > TIMESTAMP '2000-01-01 00:00:00'",
+])
+def test_statements_that_need_history(spark, sql):
+    from packetlake.operators.verify import is_row_local
+    from packetlake.schema import PACKET_SCHEMA
+
+    spark.createDataFrame([], PACKET_SCHEMA).createOrReplaceTempView("packets")
+    assert is_row_local(spark.sql("SELECT * FROM packets WHERE pid > 3 UNION SELECT * FROM packets"))
+    assert not is_row_local(spark.sql(sql))
+
+
+def test_restarts_go_on_until_stopped():
+    import threading
+
+    from packetlake.streaming.feed import run_with_restarts
+
+    stop, started = threading.Event(), []
+
+    class Lost:
+        recentProgress = [object()]      # each run completed a batch before it failed
+
+        def awaitTermination(self):
+            if len(started) == 7:
+                stop.set()
+            raise RuntimeError("lost the source")
+
+    def start():
+        started.append(1)
+        return Lost()
+
+    run_with_restarts(start, max_restarts=2, backoff_s=0.001, stop=stop)
+    assert len(started) == 7
