@@ -252,8 +252,9 @@ def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
         if not parts:
             return None
         kind, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-        kind = np.where(_after_first(gram, context, doc), _REPEAT, kind)
-        return _batch(kind, gram, context, doc, sides, place)
+        known = (kind == _REPEAT) | _after_first(gram, context, doc)
+        gram, context, sides = (np.where(known, np.uint64(0), c) for c in (gram, context, sides))   # no longer needed
+        return _batch(np.where(known, _REPEAT, _CONTEXT), gram, context, doc, sides, place)
 
     return common.map_batches(keyed.select("doc", "digest", "text"), work, _ROW)
 
@@ -282,7 +283,8 @@ def _meet(rows: DataFrame) -> DataFrame:
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = doc > least
         if later.any():
-            yield _batch(np.full(later.sum(), _REPEAT), gram[later], context[later], doc[later], sides[later], place[later])
+            none = np.zeros(later.sum(), np.int64)
+            yield _batch(np.full(later.sum(), _REPEAT), none, none, doc[later], none, place[later])
         gram, context, doc, sides, place = (c[~later] for c in (gram, context, doc, sides, place))
         shared = np.zeros(len(gram), bool)
         for key in (sides.view(np.uint64) >> np.uint64(32), sides.view(np.uint64) & np.uint64(0xFFFFFFFF)):
@@ -291,7 +293,8 @@ def _meet(rows: DataFrame) -> DataFrame:
             shared[o[1:][twin]] = True
             shared[o[:-1][twin]] = True
         if shared.any():
-            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], context[shared], doc[shared], sides[shared], place[shared])
+            none = np.zeros(shared.sum(), np.int64)
+            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], none, doc[shared], none, place[shared])
 
     # Known repeats need not meet their minimizer: they are dealt evenly.
     key = F.when(F.col("kind") == _REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
