@@ -51,8 +51,9 @@ def lyndon_groups(text: bytes) -> tuple[list[list[int]], list[int]]:
     turned, n = text.translate(_TURNED), len(text)
     ends, before, done = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(n)
     groups: dict[bytes, list[int]] = {}
-    for i in range(n):
-        groups.setdefault(turned[i:i + 1] + b"\xff", []).append(i)
+    letters = np.frombuffer(turned, np.uint8)
+    for c in np.unique(letters).tolist():
+        groups[bytes([c, 255])] = np.flatnonzero(letters == c).tolist()
     keys, out = list(groups), []
     heapify(keys)
     while keys:
@@ -129,10 +130,12 @@ def repeated_windows(contexts: list[tuple[int, int, int, bytes]], width: int) ->
                     first[digest] = min(start, first.get(digest, start))
             found.extend(s for s in set(spots) if s[0] > least or s[2] > first[s[1]])
 
+    last = b""
     for p in ordered:
-        if run and text[p:p + width] != text[run[-1]:run[-1] + width]:
+        window = text[p:p + width]
+        if window != last:
             close()
-            run = []
+            run, last = [], window
         run.append(p)
     close()
     return found
@@ -221,15 +224,19 @@ def _batch(kind, gram, context, doc, sides, place) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), *[pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]], names=_NAMES)
 
 
-def _after_first(gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether a row's context also stands in a smaller document of these rows."""
-    order = np.argsort(context)
-    g, c, d = gram[order], context[order], doc[order]
-    starts = np.flatnonzero(np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])]))
+def _known_repeats(row: np.ndarray, gram: np.ndarray, context: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a context also stands earlier in its own row or in a smaller document of these rows.
+
+    Contexts come row by row (``row`` is its number), in the order of their starts.
+    """
+    order = np.argsort(context, kind="stable")
+    g, c, d, r = gram[order], context[order], doc[order], row[order]
+    same = (g[1:] == g[:-1]) & (c[1:] == c[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
     least = np.repeat(np.minimum.reduceat(d, starts), np.diff(np.append(starts, len(d))))
-    later = np.zeros(len(doc), bool)
-    later[order] = d > least
-    return later
+    known = np.zeros(len(doc), bool)
+    known[order] = (d > least) | np.concatenate([[False], same & (r[1:] == r[:-1])])
+    return known
 
 
 def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
@@ -241,18 +248,15 @@ def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
     """
     def work(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         parts = []
-        for doc, digest, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.raw_texts(batch.column(2)), strict=True):
-            if len(raw) < width:
-                continue
-            gram, context, sides, start, count = _document_rows(raw, width)
-            order = np.lexsort((start, context, gram))
-            again = np.zeros(len(order), bool)
-            again[order[1:]] = (gram[order[1:]] == gram[order[:-1]]) & (context[order[1:]] == context[order[:-1]])
-            parts.append((np.where(again, _REPEAT, _CONTEXT), gram, context, np.full(len(gram), doc), sides, _place(start, count, digest)))
+        for n, (doc, digest, raw) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                                   common.raw_texts(batch.column(2)), strict=True)):
+            if len(raw) >= width:
+                gram, context, sides, start, count = _document_rows(raw, width)
+                parts.append((np.full(len(gram), n), gram, context, np.full(len(gram), doc), sides, _place(start, count, digest)))
         if not parts:
             return None
-        kind, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
-        known = (kind == _REPEAT) | _after_first(gram, context, doc)
+        row, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        known = _known_repeats(row, gram, context, doc)
         gram, context, sides = (np.where(known, np.uint64(0), c) for c in (gram, context, sides))   # no longer needed
         return _batch(np.where(known, _REPEAT, _CONTEXT), gram, context, doc, sides, place)
 
@@ -309,7 +313,7 @@ def _resolve(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         grams, docs, places, bodies = [], [], [], []
-        for doc, raw, asked in zip(batch.column(0).to_pylist(), common.raw_texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+        for doc, raw, asked in zip(batch.column(1).to_pylist(), common.raw_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
             for one in {(a["gram"], a["place"]) for a in asked}:
                 start, count = _start(one[1]), _count(one[1])
                 grams.append(one[0])
@@ -319,7 +323,8 @@ def _resolve(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
                                            pa.array(bodies, pa.binary())], names=["gram", "doc", "place", "body"])
 
-    pieces = common.map_batches(both.select("doc", "text", "asked"), cut, "gram bigint, doc bigint, place bigint, body binary")
+    # With doc_id the rows are those of the last join, so Spark shuffles the texts once for both.
+    pieces = common.map_batches(both.select("doc_id", "doc", "text", "asked"), cut, "gram bigint, doc bigint, place bigint, body binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held):
