@@ -189,8 +189,11 @@ def offset(df: DataFrame, n: int, order_col: str = "index") -> DataFrame:
     if n <= 0:
         return df.orderBy(order_col)
     if isinstance(df.schema[order_col].dataType, INTEGRAL):
+        nulls = df.filter(F.col(order_col).isNull()).count()      # they come first
         try:
-            first_kept = nth_smallest(df, order_col, int(n))
+            if n < nulls:
+                raise Ties(f"{nulls} rows have no {order_col}")
+            first_kept = nth_smallest(df, order_col, int(n) - nulls)
         except Ties:
             first_kept = "ties"
         if first_kept is None:

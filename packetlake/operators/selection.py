@@ -10,6 +10,8 @@ buckets, whatever the row count or skew (a crowded bucket is just split again).
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,12 +33,13 @@ def nth_smallest(df: DataFrame, col: str, n: int, buckets: int = DEFAULT_BUCKETS
     stats = keys.agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     if stats["n"] <= n:
         return None
+    wide = F.col("k").cast("decimal(20,0)")                      # k - lo may not fit 64 bits
     lo, hi, below = int(stats["lo"]), int(stats["hi"]), 0        # ``below`` rows lie under ``lo``
     count = int(stats["n"])                                      # rows in [lo, hi]
     while lo != hi:
         width = -(-(hi - lo + 1) // buckets)
         rows = (keys.filter((F.col("k") >= lo) & (F.col("k") <= hi))
-                .groupBy(F.call_function("div", F.col("k") - F.lit(lo), F.lit(width)).alias("b"))
+                .groupBy(F.call_function("div", wide - F.lit(Decimal(lo)), F.lit(Decimal(width))).alias("b"))
                 .agg(F.count(F.lit(1)).alias("c")).collect())                 # at most ``buckets`` rows
         for r in sorted(rows, key=lambda r: r["b"]):
             if below + r["c"] > n:

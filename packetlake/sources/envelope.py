@@ -19,14 +19,16 @@ LOG_TYPE_HEARTBEAT, LOG_TYPE_PROCESS_LOG = 0, 1
 PID_KEYS = ["pid", "process_id", "proc_id"]
 PNAME_KEYS = ["pname", "process_name", "proc_name", "comm"]
 
-ENVELOPE_DDL = "log_type INT, payload STRING"
-HEARTBEAT_DDL = "timestamp BIGINT, count BIGINT, message STRING"
-PROCESS_LOG_DDL = "log_info STRING"
+CORRUPT = "_corrupt"   # filled by the parser when a field does not fit its type
+ENVELOPE_DDL = f"log_type INT, payload STRING, {CORRUPT} STRING"
+HEARTBEAT_DDL = f"timestamp BIGINT, count BIGINT, message STRING, {CORRUPT} STRING"
+PROCESS_LOG_DDL = f"log_info STRING, {CORRUPT} STRING"
+MALFORMED = "malformed envelope"
 EVENT_DDL = ", ".join(
     ["index BIGINT", "timestamp BIGINT", "uuid STRING", "src_ip STRING", "src_port BIGINT", "dst_ip STRING",
      "dst_port BIGINT"]
     + [f"{k} BIGINT" for k in PID_KEYS] + [f"{k} STRING" for k in PNAME_KEYS]
-    + ["type BIGINT", "length BIGINT", "is_binary BOOLEAN", "payload_utf8 STRING", "payload_binary ARRAY<INT>"])
+    + ["type BIGINT", "length BIGINT", "is_binary BOOLEAN", "payload_utf8 STRING", "payload_binary ARRAY<INT>", f"{CORRUPT} STRING"])
 
 
 def bytes_from_array(arr: Column) -> Column:
@@ -45,26 +47,42 @@ def array_from_bytes(b: Column) -> Column:
 def parse_envelopes(df: DataFrame, text: str = "json") -> DataFrame:
     """One row per envelope: ``kind`` plus the fields of every kind (null when not it).
 
+    A text that is no envelope is one row of kind ``error`` with its ``n_bytes``
+    and ``error`` (``frames.route_bad_frames`` takes it) and never fails the job: no JSON object, no
+    ``log_type``, a payload that is no object, a field of the wrong type, a pid
+    beyond 32 bits, a byte outside 0–255.
+
     Each payload is parsed once, with the schema of its own kind, into a struct
     column of its own projection; the output fields are read from those structs
     (a parse referenced by many columns is not repeated per column).
     """
-    env = df.withColumn("_env", F.from_json(F.col(text), ENVELOPE_DDL))
-    lt = F.col("_env.log_type")
-    kind = (F.when(F.col("_env").isNull() | F.col("_env.payload").isNull(), F.lit("error"))
+    parse = {"columnNameOfCorruptRecord": CORRUPT}
+    env = df.withColumn("_env", F.from_json(F.col(text), ENVELOPE_DDL, parse))
+    lt, body = F.col("_env.log_type"), F.col("_env.payload")
+    whole = lt.isNotNull() & F.coalesce(F.ltrim(body).startswith("{"), F.lit(False)) & F.col("_env")[CORRUPT].isNull()
+    kind = (F.when(~F.coalesce(whole, F.lit(False)), F.lit("error"))
             .when(lt == LOG_TYPE_HEARTBEAT, F.lit("heartbeat"))
             .when(lt == LOG_TYPE_PROCESS_LOG, F.lit("process_log"))
             .otherwise(F.lit("event")))
-    body = F.col("_env.payload")
     env = env.withColumn("kind", kind)
+    others = [c for c in df.columns if c != text]
     parsed = env.select(
-        *[c for c in df.columns if c != text], "kind",
-        F.when(F.col("kind") == "heartbeat", F.from_json(body, HEARTBEAT_DDL)).alias("_hb"),
-        F.when(F.col("kind") == "process_log", F.from_json(body, PROCESS_LOG_DDL)).alias("_pl"),
-        F.when(F.col("kind") == "event", F.from_json(body, EVENT_DDL)).alias("_ev"))
+        *others, "kind", F.octet_length(text).cast("bigint").alias("n_bytes"),
+        F.when(F.col("kind") == "heartbeat", F.from_json(body, HEARTBEAT_DDL, parse)).alias("_hb"),
+        F.when(F.col("kind") == "process_log", F.from_json(body, PROCESS_LOG_DDL, parse)).alias("_pl"),
+        F.when(F.col("kind") == "event", F.from_json(body, EVENT_DDL, parse)).alias("_ev"))
+    pid = F.coalesce(*[F.col("_ev")[k] for k in PID_KEYS])
+    bad = ((F.col("kind") == "error")
+           | F.coalesce(*[F.col(c)[CORRUPT] for c in ("_hb", "_pl", "_ev")]).isNotNull()
+           | F.coalesce(pid != F.expr("try_cast(coalesce(" + ", ".join(f"_ev.{k}" for k in PID_KEYS) + ") AS INT)"), pid.isNotNull())
+           | F.coalesce(F.exists(F.col("_ev")["payload_binary"], lambda x: x.isNull() | (x < 0) | (x > 255)), F.lit(False)))
+    parsed = parsed.withColumn("_bad", bad).select(
+        *others, F.when(F.col("_bad"), F.lit("error")).otherwise(F.col("kind")).alias("kind"),
+        F.when(F.col("_bad"), F.col("n_bytes")).alias("n_bytes"), F.when(F.col("_bad"), F.lit(MALFORMED)).alias("error"),
+        *[F.when(~F.col("_bad"), F.col(c)).alias(c) for c in ("_hb", "_pl", "_ev")])
     ev, hb = F.col("_ev"), F.col("_hb")
     return parsed.select(
-        *[c for c in df.columns if c != text], "kind",
+        *others, "kind", "n_bytes", "error",
         ev["index"].alias("index"),
         F.coalesce(ev["timestamp"], hb["timestamp"]).alias("timestamp"),
         *[ev[c].alias(c) for c in ["uuid", "src_ip", "src_port", "dst_ip", "dst_port"]],

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import time
 
 from pyspark.sql import SparkSession
 
@@ -19,32 +18,16 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-_FINGERPRINT_TTL_S = 60.0
-_fingerprints: dict[tuple, tuple[float, str]] = {}
-
-
 def fingerprint(spark: SparkSession, paths: list[str], extra: str = "") -> str:
-    """A short key that changes when any of the files (or folders) change.
-
-    Listing a large folder on an object store is slow, so a key is reused for
-    ``_FINGERPRINT_TTL_S`` seconds within one process.
-    """
-    memo = (tuple(paths), extra)
-    hit = _fingerprints.get(memo)
-    if hit and time.monotonic() - hit[0] < _FINGERPRINT_TTL_S:
-        return hit[1]
-    key = _fingerprint(spark, paths, extra)
-    _fingerprints[memo] = (time.monotonic(), key)
-    return key
-
-
-def _fingerprint(spark: SparkSession, paths: list[str], extra: str) -> str:
+    """A short key that changes when any file under the paths changes, comes or goes."""
     h = hashlib.sha1(extra.encode())
     for path in paths:
         fs, p = _fs(spark, path)
-        st = fs.getFileStatus(p)
-        size = fs.getContentSummary(p).getLength()
-        h.update(f"{path}|{size}|{st.getModificationTime()}".encode())
+        files, found = fs.listFiles(p, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()}|{f.getLen()}|{f.getModificationTime()}")
+        h.update("\n".join(sorted(found)).encode())
     return h.hexdigest()[:16]
 
 

@@ -21,3 +21,27 @@ def test_envelopes(spark):
     assert out[3]["kind"] == "event" and (out[3]["pid"], out[3]["pname"]) == (43, "wget")
     assert bytes(out[3]["payload_binary"]) == b""
     assert out[4]["kind"] == "error" and out[5]["kind"] == "error"
+
+
+def test_bad_envelopes_are_errors(spark):
+    from packetlake.sources.frames import route_bad_frames
+
+    bad = [
+        '{"log_type": 2, "payload": {"pid": 1099511627776}}',               # pid beyond 32 bits
+        '{"log_type": 2, "payload": {"payload_binary": [1, 256]}}',
+        '{"log_type": 2, "payload": {"payload_binary": [-1]}}',
+        '{"log_type": 2, "payload": {"src_port": "http"}}',                 # wrong type
+        '{"payload": {"index": 1}}',                                        # no log_type
+        '{"log_type": 2, "payload": 5}',
+        '{"log_type": 2, "payload": [{"index": 1}]}',
+        '{"log_type": "two", "payload": {"index": 1}}',
+        '{"log_type": 0, "payload": {"count": "many"}}',
+        '', 'null', '[]',
+    ]
+    rows = [(i, t) for i, t in enumerate(bad)] + [(100, '{"log_type": 2, "payload": {"pid": 2147483647}}'), (101, None)]
+    parsed = parse_envelopes(spark.createDataFrame(rows, "recv_seq bigint, json string"))
+    out = {r["recv_seq"]: r for r in parsed.collect()}
+    assert out[100]["kind"] == "event" and out[100]["pid"] == 2147483647 and out[100]["error"] is None
+    assert [i for i in out if out[i]["kind"] != "error"] == [100]
+    routed = {r["recv_seq"]: r["n_bytes"] for r in route_bad_frames(parsed).collect()}
+    assert routed == {i: len(t) for i, t in enumerate(bad)} | {101: None}

@@ -40,3 +40,12 @@ def test_offset_paths(spark):
     assert offset(df, 100, "index").count() == 0
     assert offset(df, 0, "index").count() == 100
     assert [r["s"] for r in offset(df, 98, "s").collect()] == ["98", "99"]
+
+
+def test_full_range_and_nulls(spark):
+    ends = [-2**63, -5, 0, 7, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in ends], "k bigint")
+    assert [nth_smallest(df, "k", n, buckets=3) for n in range(5)] == ends
+    mixed = spark.createDataFrame([(None,), (None,), (3,), (1,)], "k bigint")
+    for n in range(5):
+        assert [r["k"] for r in offset(mixed, n, "k").collect()] == [None, None, 1, 3][n:]
