@@ -133,11 +133,6 @@ register("delivered_count", O.over_packets(
     f"SELECT count(*) AS delivered FROM packets WHERE (dst_port IN (80, 443)) AND index > {CURSOR}"))(
     lambda spark, sf: Q.delivered_count(Q.customized(packets(spark, sf), "dst_port IN (80, 443)", CURSOR)))
 
-register("tick_count", O.over_packets(
-    "SELECT index // 1000 AS tick, count(*) AS n_rows, max(index) AS cursor FROM packets "
-    f"WHERE (pname = 'curl' AND length > 1000) AND index > {CURSOR} GROUP BY index // 1000"))(
-    lambda spark, sf: Q.tick_counts(packets(spark, sf), "pname = 'curl' AND length > 1000", 1000, CURSOR))
-
 # ---------------------------------------------------------------- payload
 register("payload_classify", O.over_packets("SELECT index, length, is_binary FROM packets"))(
     lambda spark, sf: derived_packets(spark, sf).select("index", "length", "is_binary"))
@@ -395,3 +390,6 @@ register("json_envelope", O.over_packets(
     "CASE WHEN index % 5 >= 2 THEN hex(payload_binary) END AS payload_binary, "
     f"CASE WHEN index % 5 = 0 THEN {_SAT_HB} END AS count, CASE WHEN index % 5 = 0 THEN pname END AS message, "
     "CASE WHEN index % 5 = 1 THEN payload_utf8 END AS log_info FROM packets"))(_envelopes)
+
+
+from . import streams  # noqa: E402,F401 – registers the queries of the streaming operators
