@@ -12,10 +12,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     Input splits normally outnumber the cores many times over and nothing
     happens.  A small input – one file of one row group, one micro-batch – is
     hashed on ``key``: deterministic, so a re-run task sees the same rows.
-    Streaming inputs pass through (their micro-batches are spread instead).
+    ``df`` reads files and nothing else: its splits are known from their
+    listing, whereas counting those of a plan with a shuffle would run it.
     """
-    if df.isStreaming:
-        return df
     parallelism = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= parallelism:
         return df

@@ -11,12 +11,14 @@ Two ways of asking, chosen by the text itself (``customized``):
   predicate and the ordering are added as DataFrame operations on top.
 
 A packet source is either a DataFrame or a callable ``session -> DataFrame``;
-Mode B registers the view in a fresh session so that concurrent feeds and the
+either way user SQL runs in a session of its own (``USER_SQL_CONF``), so that the
+answer does not depend on the kind of source, and concurrent feeds and the
 caller's own views never see each other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from typing import Union
 
@@ -30,23 +32,35 @@ from .joins import bounded_broadcast_join
 PacketSource = Union[DataFrame, Callable[[SparkSession], DataFrame]]
 
 VIEW_NAME = "packets"
-# Settings of the session in which user SQL runs: "pname" is a column there.
+# Settings of the sessions in which user SQL runs: "pname" is a column there.
 USER_SQL_CONF = {"spark.sql.ansi.doubleQuotedIdentifiers": "true"}
 
 
 def _frame(source: PacketSource, base: SparkSession | None = None) -> DataFrame:
-    """A DataFrame as given, or a callable source built in a user-SQL session.
+    """The packets of a source in a fresh user-SQL session.
 
-    The built table is also the session's ``packets`` view, so a subquery
-    inside a condition (``index IN (SELECT … FROM packets …)``) reads it.
+    They are also the session's ``packets`` view, so a subquery
+    inside a condition (``index IN (SELECT … FROM packets …)``) reads them.
     """
-    if isinstance(source, DataFrame):
-        return source
-    df = source(sql_session(base or SparkSession.active()))
+    df = _moved(source) if isinstance(source, DataFrame) else source(sql_session(base or SparkSession.active()))
     df.createOrReplaceTempView(VIEW_NAME)
     return df
 
 
+def _moved(df: DataFrame) -> DataFrame:
+    """The same rows in a fresh user-SQL session, through a global view that is gone afterwards."""
+    spark, name = df.sparkSession, f"packets_{uuid.uuid4().hex}"
+    df.createGlobalTempView(name)
+    try:
+        return sql_session(spark).table(f"global_temp.{name}")
+    finally:
+        spark.catalog.dropGlobalTempView(name)
+
+
+def _speaks_user_sql(spark: SparkSession) -> bool:
+    return all(spark.conf.get(key, None) == value for key, value in USER_SQL_CONF.items())
+
+
 def _after(df: DataFrame, after: int | None) -> DataFrame:
     """``index > after``; ``None`` means from the first row (row 0 included)."""
     return df if after is None else df.filter(F.col("index") > F.lit(int(after)))
@@ -85,10 +99,22 @@ def is_blank(text: str | None) -> bool:
 def condition_filter(packets: DataFrame, condition: str | None, after: int | None = None,
                      ordered: bool = True) -> DataFrame:
     """Mode A.  A blank condition keeps every row (``1=1``)."""
-    df = packets if is_blank(condition) else packets.filter(condition.strip())
+    df = packets
+    if not is_blank(condition):
+        if not (packets.isStreaming or _speaks_user_sql(packets.sparkSession)):
+            df = _frame(packets)
+        df = df.filter(plain_backslashes(condition.strip()))
     return _ordered(_after(df, after).select(*TARGET_COLS), ordered)
 
 
+def plain_backslashes(sql: str) -> str:
+    """User SQL in which a backslash in a string is a backslash: 'C:\\temp' has no tab.
+
+    A quote in a string is written twice.  In a LIKE pattern a backslash escapes the next character.
+    """
+    return sql.replace("\\", "\\\\")
+
+
 def clean_full_sql(sql: str) -> str:
     """Trim, then cut trailing ``;`` and spaces (the statement is nested)."""
     return sql.strip().rstrip("; ")
@@ -110,12 +136,11 @@ def run_user_sql(source: PacketSource, sql: str, base: SparkSession | None = Non
     ``session`` reuses a session made by ``sql_session`` (one per feed).
     """
     if isinstance(source, DataFrame):
-        session = source.sparkSession
-        source.createOrReplaceTempView(VIEW_NAME)
+        session = _frame(source).sparkSession
     else:
         session = session or sql_session(base or SparkSession.active())
         source(session).createOrReplaceTempView(VIEW_NAME)
-    return session.sql(clean_full_sql(sql))
+    return session.sql(plain_backslashes(clean_full_sql(sql)))
 
 
 # P7
@@ -214,15 +239,3 @@ def union_by_index(packets: DataFrame, conditions: list[str], after: int | None
 # A1
 def delivered_count(delivered: DataFrame) -> DataFrame:
     return delivered.agg(F.count(F.lit(1)).alias("delivered"))
-
-
-# A2 (batch form)
-def tick_counts(packets: DataFrame, condition: str | None, rows_per_tick: int, after: int | None = None) -> DataFrame:
-    """Rows delivered and cursor after each tick of a Mode A feed whose ticks
-    bring ``rows_per_tick`` new rows each; ticks that deliver nothing are absent.
-
-    One aggregation with map-side partial counts; its output has one row per tick.
-    """
-    delivered = condition_filter(packets, condition, after)
-    tick = F.call_function("div", F.col("index"), F.lit(int(rows_per_tick))).alias("tick")
-    return delivered.groupBy(tick).agg(F.count(F.lit(1)).alias("n_rows"), F.max("index").alias("cursor"))

@@ -75,7 +75,7 @@ def tick_frames(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
 
 def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
     made = Capture(root, stores.PacketStore(os.path.join(root, "store")))
-    names = ["all", "web", "resumed", "above_average"]
+    every = [made.feed(spark, n) for n in ("all", "web", "resumed", "above_average")]
     failed = []
 
     def fail_once(batch: DataFrame, batch_id: int) -> None:
@@ -85,7 +85,7 @@ def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
 
     for tick in range(TICKS):
         tick_frames(spark, sf_dir, tick).write.parquet(os.path.join(root, "frames", f"tick-{tick}"))
-        here = [made.feed(spark, n) for n in names if n != "resumed" or tick not in AWAY]
+        here = [f for f in every if f.name != "resumed" or tick not in AWAY]
         feeds.run_with_restarts(lambda: feeds.start_capture(
             FR.frame_source(spark, made.frames, stream=True), made.store, here, os.path.join(root, "_capture"),
             available_now=True, on_batch=fail_once))

@@ -17,7 +17,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.partitioning import spread
 from ..schema import FRAME_SCHEMA, ddl
 from ..session import ship_package
 
@@ -144,20 +143,31 @@ def frame_source(spark: SparkSession, path: str, stream: bool = False,
 
 
 def kafka_frames(kafka_df: DataFrame) -> DataFrame:
-    """Frames from a Kafka source: ``value`` is the frame; order by (partition, offset)."""
-    seq = F.col("offset") * 4096 + F.col("partition")
-    return kafka_df.select(seq.cast("bigint").alias("recv_seq"), F.col("value").alias("frame"))
+    """Frames from a Kafka source: ``value`` is the frame, told apart by topic, partition and offset.
+
+    Each micro-batch is given its arrival order by :func:`arrival_order`.
+    """
+    return kafka_df.select("topic", "partition", "offset", F.col("value").alias("frame"))
 
 
-def decode_frames(frames: DataFrame, spread_input: bool = True) -> DataFrame:
-    """One decoded row per frame (schema ``DECODED_DDL``).
+def arrival_order(batch: DataFrame) -> DataFrame:
+    """(recv_seq, frame) of a batch of Kafka frames, by offset, then topic and partition.
 
-    ``spread_input=False`` decodes on the input's own splits (a micro-batch,
-    where a shuffle costs more than the decoding it would spread).
+    recv_seq is the offset times the number of the batch's partitions, plus the
+    partition's rank among them: unique within the batch, and the same when the
+    batch is replayed.  The driver sees one row per Kafka partition.
     """
+    parts = [tuple(r) for r in batch.select("topic", "partition").distinct().collect()]
+    ranked = [(t, p, i) for i, (t, p) in enumerate(sorted(parts))]
+    ranks = batch.sparkSession.createDataFrame(ranked, "topic string, partition int, _rank bigint")
+    return batch.join(F.broadcast(ranks), ["topic", "partition"]).select(
+        (F.col("offset").cast("bigint") * len(ranked) + F.col("_rank")).alias("recv_seq"), "frame")
+
+
+def decode_frames(frames: DataFrame) -> DataFrame:
+    """One decoded row per frame (schema ``DECODED_DDL``), on the input's own splits."""
     ship_package(frames.sparkSession)
-    cols = frames.select("recv_seq", "frame")
-    return (spread(cols, "recv_seq") if spread_input else cols).mapInArrow(_decode_batches, DECODED_DDL)
+    return frames.select("recv_seq", "frame").mapInArrow(_decode_batches, DECODED_DDL)
 
 
 # S3: routes
@@ -211,7 +221,7 @@ def encode_frames(rows: DataFrame) -> DataFrame:
     """Serialize rows into frames.  ``rows`` has ``ENCODE_INPUT_COLS``; ``member``
     picks the oneof member (``event``/``heartbeat``/``process_log``, else none)."""
     ship_package(rows.sparkSession)
-    return spread(rows.select(*ENCODE_INPUT_COLS), "recv_seq").mapInArrow(_encode_batches, FRAME_DDL)
+    return rows.select(*ENCODE_INPUT_COLS).mapInArrow(_encode_batches, FRAME_DDL)
 
 
 def events_as_frame_rows(raw: DataFrame, log_type: int = 2) -> DataFrame:

@@ -34,7 +34,8 @@ def fingerprint(spark: SparkSession, paths: list[str], extra: str = "") -> str:
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """Write a small file in one step: temp name, then rename over the old one.
 
-    The temp name starts with ``_``, which Spark's file readers skip, so a
+    The rename replaces the old file: a reader finds the old or the new text at
+    any time.  The temp name starts with ``_``, which Spark's file readers skip, so a
     crash between the two steps leaves nothing a reader would pick up.
     """
     fs, p = _fs(spark, path)
@@ -46,10 +47,12 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
-    if fs.exists(p):
-        fs.delete(p, False)
-    if not fs.rename(tmp, p):
-        raise OSError(f"could not commit {path}")
+    files = jvm.org.apache.hadoop.fs
+    rename = getattr(files, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(tmp), fs.makeQualified(p), how)
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

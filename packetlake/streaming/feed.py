@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.query import (condition_filter, full_select, is_blank, is_full_select, since_index_no_payload,
-                               sql_session)
+from ..operators.query import (condition_filter, full_select, is_blank, is_full_select, plain_backslashes,
+                               since_index_no_payload, sql_session)
 from ..operators.verify import FilterSetting
 from ..schema import PACKET_SCHEMA, TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
@@ -271,13 +271,16 @@ def _deliver(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_i
 
 def process_batch(store: PacketStore, feeds: list[Feed], batch: DataFrame, batch_id: int,
                   fail_after_append: bool = False) -> None:
-    """The body of one micro-batch: append, deliver every feed, commit."""
+    """The body of one micro-batch: append, deliver every feed, commit.
+
+    ``batch`` holds frames (of any source, or of ``kafka_frames``) or decoded events.
+    """
     spark = batch.sparkSession
     prev = store.manifest_rows(spark, batch_id - 1)
     base = store.next_index(spark, batch_id, prev)
     if "frame" in batch.columns:
         obs = Observation(f"decode_{batch_id}_{time.monotonic_ns()}")
-        decoded = FR.decode_frames(batch, spread_input=False).persist()
+        decoded = FR.decode_frames(FR.arrival_order(batch) if "offset" in batch.columns else batch).persist()
         try:
             # Fills the cache, bounds the event count and counts the side rows.
             n_frames = decoded.observe(obs, F.count(F.when(F.col("kind") != FR.KIND_EVENT, 1)).alias("side")).count()
@@ -351,12 +354,12 @@ def condition_stream(spark: SparkSession, store: PacketStore, condition: str | N
     is (on a store whose folder rename is atomic).  Rows of one
     micro-batch are not sorted: a streaming plan cannot sort appended rows.
     """
-    reader = spark.readStream.schema(with_columns(PACKET_SCHEMA, BATCH_ID))
+    reader = sql_session(spark).readStream.schema(with_columns(PACKET_SCHEMA, BATCH_ID))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
     rows = reader.parquet(store.path("packets"))
     if not is_blank(condition):
-        rows = rows.filter(condition.strip())
+        rows = rows.filter(plain_backslashes(condition.strip()))
     if after is not None:
         rows = rows.filter(F.col("index") > F.lit(int(after)))
     return rows.select(*TARGET_COLS, "batch_id")

@@ -20,8 +20,8 @@ from __future__ import annotations
 
 import json
 import os
-
 import time
+import uuid
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
@@ -85,8 +85,8 @@ class PacketStore:
         """The ``packets`` table (14 columns) as of a batch (default: all).
 
         After ``consolidate``, batches up to the consolidated one come from the
-        history table and only the later batch folders are read, by path – the
-        listing no longer grows with every batch ever written.  A batch folder
+        history table and only the later batch folders are read.  Up to a given batch they are
+        read by path, so the listing no longer grows with every batch ever written, and a batch folder
         missing among them is an error.
         """
         current = self.history(spark)
@@ -102,6 +102,9 @@ class PacketStore:
         df = read_partitioned(spark, self.path("packets"), with_columns(PACKET_SCHEMA, BATCH_ID))
         if upto_batch is not None:
             df = df.filter(F.col("batch_id") <= F.lit(int(upto_batch)))
+        elif current is not None:
+            later = df.filter(F.col("batch_id") > F.lit(int(current["upto"]))).drop("batch_id")
+            return spark.read.schema(PACKET_SCHEMA).parquet(current["path"]).unionByName(later)
         return df.drop("batch_id")
 
     def history(self, spark: SparkSession) -> dict | None:
@@ -115,12 +118,13 @@ class PacketStore:
         Runs beside the capture query.  The new table is written completely
         (range-partitioned and sorted by ``index``, so files hold disjoint index
         ranges), then the ``CURRENT`` pointer is switched by one rename; readers
-        see the old or the new history, never a part.  Batch folders stay as
+        see the old or the new history, never a part.  Each run writes a folder of its
+        own, so it never overwrites the one it reads.  Batch folders stay as
         they are (they are what a replayed batch overwrites).
         """
         if self.manifest_rows(spark, upto_batch) is None:
             raise ValueError(f"batch {upto_batch} is not committed")
-        path = os.path.join(self.root, "history", f"upto={int(upto_batch)}")
+        path = os.path.join(self.root, "history", f"upto={int(upto_batch)}-{uuid.uuid4().hex}")
         rows = self.packets(spark, upto_batch)
         rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").parquet(path)
         storage.write_text(spark, os.path.join(self.root, "history", "CURRENT"),

@@ -60,8 +60,27 @@ def test_stream_source(spark, tmp_path):
 
 
 def test_kafka_adapter(spark):
-    kafka_like = spark.createDataFrame([(b"\x08\x02", 0, 5), (b"\x01", 1, 5)],
-                                       "value binary, partition int, offset long")
-    frames = FR.kafka_frames(kafka_like).collect()
-    assert sorted((r["recv_seq"], bytes(r["frame"])) for r in frames) == [(5 * 4096, b"\x08\x02"),
-                                                                         (5 * 4096 + 1, b"\x01")]
+    """Partitions beyond any fixed count and equal offsets of two topics stay apart; the order is by offset."""
+    rows = [(b"a", "t", 0, 1), (b"b", "t", 4096, 0), (b"c", "u", 0, 1), (b"d", "t", 0, 0)]
+    kafka_like = spark.createDataFrame(rows, "value binary, topic string, partition int, offset long")
+    frames = FR.arrival_order(FR.kafka_frames(kafka_like)).collect()
+    assert len({r["recv_seq"] for r in frames}) == 4
+    assert [bytes(r["frame"]) for r in sorted(frames, key=lambda r: r["recv_seq"])] == [b"d", b"b", b"a", b"c"]
+
+
+# Written byte by byte from the wire schema (tag = field number * 8 + wire type), apart from the decoder's descriptor.
+EVENT = bytes.fromhex("08 95 9a ef 3a  12 02 75 31  1a 03 31 2e 31  20 bb 03  2a 03 32 2e 32  30 50"
+                      "38 ff ff ff ff ff ff ff ff ff 01  42 04 63 75 72 6c  48 01  50 02  5a 02 ff 00")
+HEARTBEAT = bytes.fromhex("08 05  10 07  1a 02 68 62")
+
+
+def test_wire_bytes(spark):
+    frames = [(0, b"\x08\x02\x12" + bytes([len(EVENT)]) + EVENT), (1, b"\x1a" + bytes([len(HEARTBEAT)]) + HEARTBEAT),
+              (2, bytes.fromhex("08 01  22 03 6c 6f 67"))]
+    rows = {r["recv_seq"]: r for r in FR.decode_frames(spark.createDataFrame(frames, "recv_seq bigint, frame binary")).collect()}
+    e = rows[0]
+    assert (e["kind"], e["timestamp"], e["uuid"], e["src_ip"], e["src_port"], e["dst_ip"], e["dst_port"]) == (
+        "event", 123456789, "u1", "1.1", 443, "2.2", 80)
+    assert (e["pid"], e["pname"], e["type"], e["length"], bytes(e["payload"])) == (-1, "curl", 1, 2, b"\xff\x00")
+    assert (rows[1]["kind"], rows[1]["hb_timestamp"], rows[1]["hb_count"], rows[1]["hb_message"]) == ("heartbeat", 5, 7, "hb")
+    assert (rows[2]["kind"], rows[2]["log_info"]) == ("process_log", "log")

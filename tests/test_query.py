@@ -26,7 +26,7 @@ CORPUS = [
 
 
 def _plan(spark, df) -> str:
-    spark.conf.set("spark.sql.maxMetadataStringLength", "100000")
+    df.sparkSession.conf.set("spark.sql.maxMetadataStringLength", "100000")
     return df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -185,3 +185,20 @@ def test_condition_with_subquery_reads_packets(spark):
 def test_row_local_conditions(spark, cond, local):
     from packetlake.operators.verify import filter_is_row_local
     assert filter_is_row_local(spark, cond) is local
+
+
+def test_one_rule_for_names_and_backslashes(spark):
+    """The answer does not depend on the kind of source, and the caller's own view stays."""
+    rows = [(i, t, False, text) for i, t, text in ((0, "curl", "C:\\temp"), (1, "wget", "C:\temp"), (2, "it's", ""))]
+    given = spark.createDataFrame(rows, "index bigint, pname string, is_binary boolean, payload_utf8 string")
+    from packetlake.schema import PACKET_SCHEMA
+    packets = given.select(*[F.col(f.name) if f.name in given.columns else F.lit(None).cast(f.dataType).alias(f.name)
+                             for f in PACKET_SCHEMA.fields])
+    spark.range(7).createOrReplaceTempView("packets")
+    asked = {'"pname" = \'curl\'': [0], "payload_utf8 = 'C:\\temp'": [0], "payload_utf8 LIKE '%C:\\\\temp%'": [0], "pname = 'it''s'": [2],
+             "index IN (SELECT max(index) FROM packets)": [2], 'SELECT * FROM packets WHERE "pname" = \'wget\'': [1]}
+    for text, expected in asked.items():
+        for source in (packets, lambda s: s.createDataFrame(packets.collect(), packets.schema)):
+            assert [r["index"] for r in Q.customized(source, text, base=spark).collect()] == expected, text
+    assert spark.table("packets").count() == 7
+    spark.catalog.dropTempView("packets")
