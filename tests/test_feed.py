@@ -457,3 +457,35 @@ def test_restarts_go_on_until_stopped():
 
     run_with_restarts(start, max_restarts=2, backoff_s=0.001, stop=stop)
     assert len(started) == 7
+
+
+def test_history_is_read_by_default_and_consolidated_again(spark, two_batches):
+    root, frames_dir = two_batches
+    store = PacketStore(root)
+    _run(spark, root, [], frames_dir)
+    first = store.consolidate(spark, 0)
+    assert any(first in f for f in store.packets(spark).inputFiles())
+    second = store.consolidate(spark, 0)
+    assert second != first and store.history(spark)["path"] == second
+    assert sorted(r["index"] for r in store.packets(spark).collect()) == list(range(10))
+    store.consolidate(spark, 1)
+    assert sorted(r["index"] for r in store.packets(spark).collect()) == list(range(10))
+
+
+def test_kafka_batches_are_numbered_in_arrival_order(spark, tmp_path):
+    store = PacketStore(str(tmp_path / "store"))
+    raw = fixtures.raw_events(spark, SF001).filter("recv_seq < 8")
+    frames = FR.encode_frames(FR.events_as_frame_rows(raw)).withColumnRenamed("frame", "value")
+    kafka = frames.select("value", F.lit("t").alias("topic"), (F.col("recv_seq") % 2).cast("int").alias("partition"),
+                          F.call_function("div", F.col("recv_seq"), F.lit(2)).alias("offset"))
+    process_batch(store, [], FR.kafka_frames(kafka), 0)
+    got = [r["uuid"] for r in store.packets(spark).orderBy("index").collect()]
+    assert got == [r["uuid"] for r in raw.orderBy("recv_seq").collect()]
+
+
+def test_building_the_plans_of_frames_runs_no_job_but_the_measured_join(spark):
+    raw = fixtures.raw_events(spark, SF001)
+    tracker = spark.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    FR.route_events(FR.decode_frames(FR.encode_frames(FR.events_as_frame_rows(raw))))
+    assert len(tracker.getJobIdsForGroup(None)) == before
