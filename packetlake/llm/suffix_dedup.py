@@ -35,6 +35,7 @@ NO_ID = (1 << 63) - 1        # rows without an id come after all others
 _BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 DIGEST_BITS, COUNT_BITS = 25, 7
+CONTEXTS_TOGETHER = 1_024    # of one minimizer; more are grouped by the sides of the minimizer as well
 
 
 # ---------------------------------------------------------------- suffix array by Lyndon grouping
@@ -298,16 +299,32 @@ def _meet(rows: DataFrame) -> DataFrame:
             shared[o[:-1][twin]] = True
         if shared.any():
             none = np.zeros(shared.sum(), np.int64)
-            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], none, doc[shared], none, place[shared])
+            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], none, doc[shared], sides[shared], place[shared])
 
     # Known repeats need not meet their minimizer: they are dealt evenly.
     key = F.when(F.col("kind") == _REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
     return rows.repartition(key).mapInArrow(work, _ROW)
 
 
+def _grouped(open_rows: DataFrame) -> DataFrame:
+    """Open rows with the group that they are sorted in, as ``gram``: their minimizer.
+
+    A minimizer with more than ``CONTEXTS_TOGETHER`` contexts is split by its
+    sides, and a row goes to the group of either side.  A string reaches beyond the
+    minimizer by a side's length to the left or to the right, so all contexts that
+    hold it meet in the group of that side.
+    """
+    hot = common.durable(open_rows.groupBy(F.col("gram").alias("_h")).agg(F.count(F.lit(1)).alias("_n"))
+                         .where(F.col("_n") > CONTEXTS_TOGETHER).select("_h"))
+    left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND((1 << 32) - 1)
+    split = F.array_compact(F.array(*[F.when(side != 0, F.xxhash64("gram", side, F.lit(n))) for n, side in enumerate((left, right))]))
+    groups = F.when(F.col("_h").isNull(), F.array("gram")).otherwise(split)
+    return open_rows.join(hot, F.col("gram") == F.col("_h"), "left").select("doc", "place", F.explode(groups).alias("gram"))
+
+
 def _resolve(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
-    """(doc, place) of repeated windows: the open contexts of each minimizer through one suffix array."""
-    asked = (open_rows.groupBy(F.col("doc").alias("_d"), F.col("place").bitwiseAND((1 << DIGEST_BITS) - 1).alias("_g"))
+    """(doc, place) of repeated windows: the open contexts of each group through one suffix array."""
+    asked = (_grouped(open_rows).groupBy(F.col("doc").alias("_d"), F.col("place").bitwiseAND((1 << DIGEST_BITS) - 1).alias("_g"))
              .agg(F.collect_list(F.struct("gram", "place")).alias("asked")))
     both = keyed.join(asked, (F.col("doc") == F.col("_d")) & (F.col("digest") == F.col("_g")))
 

@@ -89,3 +89,18 @@ def test_odd_rows(spark, make_docs):
             (8, "a" * 99), (9, "é" * 90), (10, line[:99]), (11, "b" * 50 + line[:100]), (12, "ab" * 30000), (2, "start " + line)]
     assert sorted(map(tuple, suffix_dedup.remove_repeats(make_docs(rows)).collect()), key=str) == brute(rows)
     assert suffix_dedup.remove_repeats(make_docs([])).count() == 0
+
+
+def test_hot_minimizers_are_split_by_their_sides(spark, make_docs, monkeypatch):
+    """A phrase in many surroundings: groups of its sides find what one group of its minimizer finds."""
+    monkeypatch.setattr(suffix_dedup, "CONTEXTS_TOGETHER", 2)
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    phrase, heads, tails = word(60), [word(40) for _ in range(5)], [word(40) for _ in range(5)]
+    rows = [(i, word(draw.randrange(30)) + draw.choice(heads)[draw.randrange(20):] + phrase + draw.choice(tails)[:draw.randrange(41)]
+             + word(draw.randrange(30))) for i in range(120)]
+    rows += passages(3)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    found = [tuple(r) for r in suffix_dedup.remove_repeats(make_docs(rows)).collect()]
+    assert sorted(found, key=str) == brute(rows)
+    assert sum(r[2] for r in found) > 0
