@@ -6,7 +6,8 @@ golden-ratio point of a slot, mapped through the sources' cumulative targets,
 names its source, and the slot's rank within its source names the block, around
 the stream again when the source is used up.  Golden-ratio points are spread so
 evenly that a source's share of any run of slots differs from its target by a
-few slots only.
+few slots only; slots at the end of the schedule make up the difference, and the
+last slot of a source is cut, so a source is taken to the word of its target.
 """
 
 from __future__ import annotations
@@ -71,14 +72,14 @@ def block_words(total: int, sources: int, max_block: int = MAX_BLOCK_WORDS, slot
     return max(1, min(max_block, total // (slots_per_source * max(1, sources))))
 
 
-def schedule(targets: DataFrame, block: int, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """(slot, source, rank, source_size): which source each slot takes, and the slot's rank within it.
+def schedule(targets: DataFrame, block: int) -> DataFrame:
+    """(slot, source, rank, source_size, take): which source each slot takes, the slot's rank within it, and the words taken in all.
 
-    Slots beyond ``max_epochs`` rounds of a source are left out, so no
-    document is taken more often.
+    Every source has a slot for each whole block of its target, rounded to words, and one for the rest.  Ranks that
+    the points leave out follow at the end of the schedule; slots beyond the target are left out.
     """
     spark = targets.sparkSession
-    targets = targets.where("target > 0")
+    targets = targets.where("target > 0").withColumn("take", F.round("target").cast("bigint"))
     whole = float(targets.agg(F.coalesce(F.sum("target"), F.lit(0.0)).alias("n")).first()["n"])
     n = math.ceil(whole / block)
     point = F.lit(GOLDEN) * (F.col("id") + 1)
@@ -88,13 +89,19 @@ def schedule(targets: DataFrame, block: int, max_epochs: int = MAX_EPOCHS) -> Da
     cells = CELLS + targets.count()
     width = whole / cells if whole else 1.0
     cell = lambda c: F.least(F.floor(c / width), F.lit(cells - 1))
-    spans = targets.select("source", "source_size", "low", (F.col("low") + F.col("target")).alias("high"),
+    spans = targets.select("source", "source_size", "take", "low", (F.col("low") + F.col("target")).alias("high"),
                            F.explode(F.sequence(cell(F.col("low")), cell(F.col("low") + F.col("target")))).alias("cell"))
     hit = (slots.withColumn("cell", cell(F.col("point"))).join(spans, "cell")
            .where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high"))))
-    hit = common.durable(hit.select("slot", "source", "source_size", "bucket"))
-    ranked = common.running_total(hit, ["source"], ["slot"], F.lit(1), "bucket", "rank").drop("bucket")
-    return ranked.where(F.col("rank") * block < F.col("source_size") * max_epochs)
+    hit = common.durable(hit.select("slot", "source", "source_size", "take", "bucket"))
+    ranked = (common.running_total(hit, ["source"], ["slot"], F.lit(1), "bucket", "rank").drop("bucket")
+              .where(F.col("rank") < _div(F.col("take"), block)).select("slot", "source", "rank", "source_size", "take"))
+    counts = hit.groupBy(F.col("source").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    held = F.least(F.coalesce("_n", F.lit(0)), _div(F.col("take"), block))
+    rest = (targets.join(counts, F.col("source").eqNullSafe(F.col("_s")), "left").where(held * block < F.col("take"))
+            .select("source", "source_size", "take", F.explode(F.sequence(held, _div(F.col("take") - 1, block))).alias("rank")))
+    rest = assign_index(rest.withColumn("_null", F.col("source").isNull()), ["rank", "_null", "source"], base=n, out="slot")
+    return ranked.unionByName(rest.select("slot", "source", "rank", "source_size", "take"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = MAX_EPOCHS, seed: int = 7,
@@ -126,10 +133,10 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
              .withColumn("block", F.explode(F.sequence(_div(F.col("begin"), block), _div(end - 1, block))))
              .withColumn("from", F.greatest(F.col("begin"), F.col("block") * block))
              .withColumn("to", F.least(end, (F.col("block") + 1) * block)))
-    slots = schedule(targets, block, max_epochs)
+    slots = schedule(targets, block)
     # Slot r holds the words [r*block, (r+1)*block) of the source's endless stream, which may run over its end once
     # or more: each round that it touches asks for the blocks of that round.
-    first, last = F.col("rank") * block, F.least((F.col("rank") + 1) * block, F.col("source_size") * max_epochs)
+    first, last = F.col("rank") * block, F.least((F.col("rank") + 1) * block, F.col("take"))
     asked = (slots.withColumn("first", first).withColumn("last", last)
              .withColumn("round", F.explode(F.sequence(_div(F.col("first"), F.col("source_size")),
                                                        _div(F.col("last") - 1, F.col("source_size")))))

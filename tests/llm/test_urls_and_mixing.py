@@ -106,3 +106,15 @@ def test_mix_of_an_empty_table(spark, make_docs):
     assert mixing.taken_words(docs, parts).count() == 0 and parts.count() == 0
     docs, parts = mixing.mix(make_docs([(1, ""), (2, None)]))
     assert [r.taken for r in mixing.taken_words(docs, parts).collect()] == [0, 0]
+
+
+def test_small_sources_in_large_blocks(spark, make_docs, monkeypatch):
+    """Blocks of a large corpus: sources of less than a block are taken to their targets, too."""
+    monkeypatch.setattr(mixing, "block_words", lambda total, sources: mixing.MAX_BLOCK_WORDS)
+    rows = [(i, "w " * 400, "e") for i in range(500)] + [(1000 + i, "w " * 50, "a") for i in range(6)]
+    rows += [(2000 + i, "w " * 50, "c") for i in range(10)] + [(3000 + i, "w " * 50, None) for i in range(20)] + [(4000, "w", "d")]
+    docs, parts = mixing.mix(make_docs(rows))
+    taken = check_mix(mixing.taken_words(docs, parts).collect(), 0.0)
+    assert (taken["a"], taken["c"], taken[None], taken["d"]) == (900, 1500, 3000, 3)
+    slots = parts.select("slot", "source").distinct()
+    assert slots.count() == slots.select("slot").distinct().count()
