@@ -34,7 +34,7 @@ PLACE = 20
 NO_ID = (1 << 63) - 1        # rows without an id come after all others
 _BASE = 0x9E3779B97F4A7C15   # odd, so it has an inverse modulo 2**64
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-DIGEST_BITS, COUNT_BITS = 25, 7
+COUNT_BITS = 7
 CONTEXTS_TOGETHER = 1_024    # of one minimizer; more are grouped by the sides of the minimizer as well
 
 
@@ -199,29 +199,25 @@ def _document_rows(raw: bytes, width: int) -> tuple[np.ndarray, ...]:
 
 
 # ---------------------------------------------------------------- the corpus
-_ROW = "kind int, gram bigint, context bigint, doc bigint, sides bigint, place bigint"
+_ROW = "kind int, gram bigint, context bigint, doc bigint, digest bigint, sides bigint, place bigint"
 _NAMES = [f.split()[0] for f in _ROW.split(", ")]
 _CONTEXT, _REPEAT, _OPEN = 0, 1, 2
 
 
-def _place(start: np.ndarray, count: np.ndarray, digest) -> np.ndarray:
-    return (start.astype(np.int64) << (COUNT_BITS + DIGEST_BITS)) | (count.astype(np.int64) << DIGEST_BITS) | digest
+def _place(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    return (start.astype(np.int64) << COUNT_BITS) | count.astype(np.int64)
 
 
 def _start(place):
-    return place >> (COUNT_BITS + DIGEST_BITS)
+    return place >> COUNT_BITS
 
 
 def _count(place):
-    return place >> DIGEST_BITS & ((1 << COUNT_BITS) - 1)
+    return place & ((1 << COUNT_BITS) - 1)
 
 
-def _digest(place):
-    return place & ((1 << DIGEST_BITS) - 1)
-
-
-def _batch(kind, gram, context, doc, sides, place) -> pa.RecordBatch:
-    columns = [np.asarray(c) for c in (gram, context, doc, sides, place)]
+def _batch(kind, gram, context, doc, digest, sides, place) -> pa.RecordBatch:
+    columns = [np.asarray(c) for c in (gram, context, doc, digest, sides, place)]
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(kind, np.int32)), *[pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns]], names=_NAMES)
 
 
@@ -253,13 +249,13 @@ def _context_rows(keyed: DataFrame, width: int) -> DataFrame:
                                                    common.raw_texts(batch.column(2)), strict=True)):
             if len(raw) >= width:
                 gram, context, sides, start, count = _document_rows(raw, width)
-                parts.append((np.full(len(gram), n), gram, context, np.full(len(gram), doc), sides, _place(start, count, digest)))
+                parts.append((np.full(len(gram), n), gram, context, np.full(len(gram), doc), np.full(len(gram), digest), sides, _place(start, count)))
         if not parts:
             return None
-        row, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
+        row, gram, context, doc, digest, sides, place = (np.concatenate(c) for c in zip(*parts, strict=True))
         known = _known_repeats(row, gram, context, doc)
         gram, context, sides = (np.where(known, np.uint64(0), c) for c in (gram, context, sides))   # no longer needed
-        return _batch(np.where(known, _REPEAT, _CONTEXT), gram, context, doc, sides, place)
+        return _batch(np.where(known, _REPEAT, _CONTEXT), gram, context, doc, digest, sides, place)
 
     return common.map_batches(keyed.select("doc", "digest", "text"), work, _ROW)
 
@@ -270,27 +266,27 @@ def _meet(rows: DataFrame) -> DataFrame:
         kept = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches]
         if not kept:
             return
-        kind, gram, context, doc, sides, place = (np.concatenate(c) for c in zip(*kept, strict=True))
+        kind, gram, context, doc, digest, sides, place = (np.concatenate(c) for c in zip(*kept, strict=True))
         del kept
         known = kind == _REPEAT
         if known.any():
-            yield _batch(kind[known], gram[known], context[known], doc[known], sides[known], place[known])
+            yield _batch(kind[known], gram[known], context[known], doc[known], digest[known], sides[known], place[known])
         order = np.flatnonzero(~known)
         order = order[np.argsort(gram[order], kind="stable")]
         g = gram[order]
         same = g[1:] == g[:-1]
         order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
-        order = order[np.lexsort((place[order], doc[order], context[order], gram[order]))]
+        order = order[np.lexsort((place[order], digest[order], doc[order], context[order], gram[order]))]
         if not len(order):
             return
-        gram, context, doc, sides, place = (c[order] for c in (gram, context, doc, sides, place))
+        gram, context, doc, digest, sides, place = (c[order] for c in (gram, context, doc, digest, sides, place))
         new = np.concatenate([[True], (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])])
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         later = doc > least
         if later.any():
             none = np.zeros(later.sum(), np.int64)
-            yield _batch(np.full(later.sum(), _REPEAT), none, none, doc[later], none, place[later])
-        gram, context, doc, sides, place = (c[~later] for c in (gram, context, doc, sides, place))
+            yield _batch(np.full(later.sum(), _REPEAT), none, none, doc[later], digest[later], none, place[later])
+        gram, context, doc, digest, sides, place = (c[~later] for c in (gram, context, doc, digest, sides, place))
         shared = np.zeros(len(gram), bool)
         for key in (sides.view(np.uint64) >> np.uint64(32), sides.view(np.uint64) & np.uint64(0xFFFFFFFF)):
             o = np.lexsort((key, gram))
@@ -299,10 +295,10 @@ def _meet(rows: DataFrame) -> DataFrame:
             shared[o[:-1][twin]] = True
         if shared.any():
             none = np.zeros(shared.sum(), np.int64)
-            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], none, doc[shared], sides[shared], place[shared])
+            yield _batch(np.full(shared.sum(), _OPEN), gram[shared], none, doc[shared], digest[shared], sides[shared], place[shared])
 
     # Known repeats need not meet their minimizer: they are dealt evenly.
-    key = F.when(F.col("kind") == _REPEAT, F.xxhash64("doc", "place")).otherwise(F.col("gram"))
+    key = F.when(F.col("kind") == _REPEAT, F.xxhash64("doc", "digest", "place")).otherwise(F.col("gram"))
     return rows.repartition(key).mapInArrow(work, _ROW)
 
 
@@ -319,51 +315,55 @@ def _grouped(open_rows: DataFrame) -> DataFrame:
     left, right = F.shiftrightunsigned("sides", 32), F.col("sides").bitwiseAND((1 << 32) - 1)
     split = F.array_compact(F.array(*[F.when(side != 0, F.xxhash64("gram", side, F.lit(n))) for n, side in enumerate((left, right))]))
     groups = F.when(F.col("_h").isNull(), F.array("gram")).otherwise(split)
-    return open_rows.join(hot, F.col("gram") == F.col("_h"), "left").select("doc", "place", F.explode(groups).alias("gram"))
+    return open_rows.join(hot, F.col("gram") == F.col("_h"), "left").select("doc", "digest", "place", F.explode(groups).alias("gram"))
 
 
 def _resolve(keyed: DataFrame, open_rows: DataFrame, width: int) -> DataFrame:
-    """(doc, place) of repeated windows: the open contexts of each group through one suffix array."""
-    asked = (_grouped(open_rows).groupBy(F.col("doc").alias("_d"), F.col("place").bitwiseAND((1 << DIGEST_BITS) - 1).alias("_g"))
+    """(doc, digest, place) of repeated windows: the open contexts of each group through one suffix array."""
+    asked = (_grouped(open_rows).groupBy(F.col("doc").alias("_d"), F.col("digest").alias("_g"))
              .agg(F.collect_list(F.struct("gram", "place")).alias("asked")))
     both = keyed.join(asked, (F.col("doc") == F.col("_d")) & (F.col("digest") == F.col("_g")))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        grams, docs, places, bodies = [], [], [], []
-        for doc, raw, asked in zip(batch.column(1).to_pylist(), common.raw_texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
+        grams, docs, digests, places, bodies = [], [], [], [], []
+        for doc, digest, raw, asked in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), common.raw_texts(batch.column(3)),
+                                           batch.column(4).to_pylist(), strict=True):
             for one in {(a["gram"], a["place"]) for a in asked}:
                 start, count = _start(one[1]), _count(one[1])
                 grams.append(one[0])
                 docs.append(doc)
+                digests.append(digest)
                 places.append(one[1])
                 bodies.append(raw[start:start + count - 1 + width])
-        return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(places, pa.int64()),
-                                           pa.array(bodies, pa.binary())], names=["gram", "doc", "place", "body"])
+        return pa.RecordBatch.from_arrays([pa.array(grams, pa.int64()), pa.array(docs, pa.int64()), pa.array(digests, pa.int64()),
+                                           pa.array(places, pa.int64()), pa.array(bodies, pa.binary())],
+                                          names=["gram", "doc", "digest", "place", "body"])
 
     # With doc_id the rows are those of the last join, so Spark shuffles the texts once for both.
-    pieces = common.map_batches(both.select("doc_id", "doc", "text", "asked"), cut, "gram bigint, doc bigint, place bigint, body binary")
+    pieces = common.map_batches(both.select("doc_id", "doc", "digest", "text", "asked"), cut,
+                                "gram bigint, doc bigint, digest bigint, place bigint, body binary")
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(held):
             if len(held) < 2:
                 return []
-            hits = repeated_windows(sorted({(d, _digest(p), _start(p), b) for d, p, b in held}), width)
-            return [(d, (s << (COUNT_BITS + DIGEST_BITS)) | (1 << DIGEST_BITS) | g) for d, g, s in hits]
+            hits = repeated_windows(sorted({(d, g, _start(p), b) for d, g, p, b in held}), width)
+            return [(d, g, (s << COUNT_BITS) | 1) for d, g, s in hits]
 
         gram, held = None, []
         for batch in batches:
             out = []
-            for key, doc, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for key, doc, digest, place, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if key != gram:
                     out += close(held)
                     gram, held = key, []
-                held.append((doc, place, body))
+                held.append((doc, digest, place, body))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "place"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "digest", "place"])
         if out := close(held):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["doc", "digest", "place"])
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(solve, "doc bigint, place bigint")
+    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(solve, "doc bigint, digest bigint, place bigint")
 
 
 def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -377,11 +377,11 @@ def remove_repeats(docs: DataFrame, width: int = 100, doc_id: str = "doc_id", te
     if not GRAM + 34 <= width <= 150:
         raise ValueError("width must be from 66 to 150")
     keyed = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(doc_id).cast("bigint"), F.lit(NO_ID)).alias("doc"),
-                        F.xxhash64(F.col(text)).bitwiseAND((1 << DIGEST_BITS) - 1).alias("digest"), F.col(text).alias("text"))
+                        F.xxhash64(F.col(text)).alias("digest"), F.col(text).alias("text"))
     met = common.durable(_meet(_context_rows(keyed, width)))
     windows = _resolve(keyed, met.where(F.col("kind") == _OPEN), width)
-    repeats = met.where(F.col("kind") == _REPEAT).select("doc", "place").unionByName(windows)
-    by_doc = (repeats.groupBy(F.col("doc").alias("_d"), F.col("place").bitwiseAND((1 << DIGEST_BITS) - 1).alias("_g"))
+    repeats = met.where(F.col("kind") == _REPEAT).select("doc", "digest", "place").unionByName(windows)
+    by_doc = (repeats.groupBy(F.col("doc").alias("_d"), F.col("digest").alias("_g"))
               .agg(F.collect_list("place").alias("places")))
     joined = keyed.join(by_doc, (F.col("doc") == F.col("_d")) & (F.col("digest") == F.col("_g")), "left").select("doc_id", "text", "places")
 

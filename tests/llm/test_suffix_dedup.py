@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -104,3 +105,15 @@ def test_hot_minimizers_are_split_by_their_sides(spark, make_docs, monkeypatch):
     found = [tuple(r) for r in suffix_dedup.remove_repeats(make_docs(rows)).collect()]
     assert sorted(found, key=str) == brute(rows)
     assert sum(r[2] for r in found) > 0
+
+
+def test_rows_without_an_id_are_told_apart_by_the_whole_hash(spark, make_docs):
+    """Two texts that agree on 25 bits of their hash: the repeat of one is not taken out of the other."""
+    draw = random.Random(5)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    line, front, short = noise(120), noise(400), noise(130)
+    low = lambda t: xxhash.xxh64_intdigest(t.encode(), 42) & ((1 << 25) - 1)
+    long_texts = {low(t): t for t in (f"{i} {front}{line}" for i in range(30_000))}
+    one, other = next((long_texts[low(t)], t) for t in (f"{i} {short}" for i in range(30_000)) if low(t) in long_texts)
+    rows = [(1, line), (None, one), (None, other)]
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(make_docs(rows)).collect()), key=str) == brute(rows)
