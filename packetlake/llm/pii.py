@@ -1,11 +1,12 @@
 """Personal data: patterns, and the terms that reveal them by corpus co-occurrence.
 
-Four patterns find the protected entities.  A term near an entity discloses
-it as far as seeing the term raises the entity's probability: the pointwise
-mutual information over documents, log2(p(e, t) / (p(e) p(t))), against the
-entity's own information, -log2 p(e).  A ratio of 1 means that the term gives
-the entity away.  Terms above one threshold are generalised, above a higher one
-removed.  Document counts of terms and entities cover the whole corpus.
+Four patterns find the protected entities.  A term of a document that holds an
+entity, wherever it stands in it, discloses the entity as far as seeing the term
+raises the entity's probability: the pointwise mutual information over documents,
+log2(p(e, t) / (p(e) p(t))), against the entity's own information, -log2 p(e).
+A ratio of 1 means that the term gives the entity away.  Terms above one
+threshold are generalised, above a higher one removed, wherever they occur.
+Document counts of terms, entities and pairs cover whole texts of the whole corpus.
 """
 
 from __future__ import annotations
@@ -15,20 +16,22 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-WINDOW_WORDS = 4          # terms on either side of an entity that may disclose it
-WINDOW_CHARS = 256        # that they lie within
 LEAST_DOCUMENTS = 3       # with both the entity and the term
 GENERALISE, REMOVE = 0.8, 0.95
 COUNTER_ROWS = 150_000    # terms a task counts before it passes its counts on
 CACHE_ROWS = 200_000
+SALTS = 16                # parts that the rows of a hot entity or term are joined in
+MASK_BITS = 22            # of the table that tells which terms may be disclosing
 
 # Each starts where the pattern's leftmost match must start; what a match takes is as in the pattern itself.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -104,31 +107,41 @@ def _hash(value: str) -> int:
 _WORD = re.compile(r"\S+")
 
 
-def near_terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words around a span, at most ``WINDOW_WORDS`` on either side."""
-    low, high = max(0, start - WINDOW_CHARS), min(len(text), end + WINDOW_CHARS)
-    before = [m.span() for m in _WORD.finditer(text, low, start) if m.start() > low or low == 0][-WINDOW_WORDS:]
-    after = [m.span() for m in _WORD.finditer(text, end, high) if m.end() < high or high == len(text)][:WINDOW_WORDS]
-    out = []
-    for a, b in before + after:
-        while a < b and not text[a].isalnum():
-            a += 1
-        while b > a and not text[b - 1].isalnum():
-            b -= 1
-        if b - a > 1:
-            out.append((text[a:b].lower(), a, b))
+def words_outside(text: str, spans: list[tuple[str, int, int]], pieces: set[str] | None = None) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text, of two characters or more, outside of some spans; a span cuts words.
+
+    ``pieces``, if not empty, are the only words asked for, as they stand between white space.
+    """
+    out, at = [], 0
+    for low, high in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
+        for m in _WORD.finditer(text, at, max(at, low)):
+            if pieces and m.group() not in pieces:
+                continue
+            a, b = m.span()
+            while a < b and not text[a].isalnum():
+                a += 1
+            while b > a and not text[b - 1].isalnum():
+                b -= 1
+            if b - a > 1:
+                out.append((text[a:b].lower(), a, b))
+        at = max(at, high)
     return out
 
 
-_FACTS = ("tag int, doc_id bigint, digest bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, "
-          "base string, base_sha256 string, entity bigint, entity_kind string, term bigint, first int, start int, stop int, n bigint")
-_DOC, _NEAR, _ENTITY, _TERM = 0, 1, 2, 3
+def near_terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words that may disclose the entity of one span: all words of the text outside of it."""
+    return words_outside(text, [("", start, end)])
+
+
+_FACTS = ("tag int, doc_id bigint, digest bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, "
+          "base_sha256 string, row bigint, entities array<bigint>, terms array<bigint>, term bigint, n bigint")
+_DOC, _HELD, _TERM = 0, 1, 2
 
 
 def _facts(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: a row per document, per term near an entity, per entity of a document, and counts of terms."""
+    """One pass over the texts: a row per document, the entities and terms of each that holds entities, and counts of terms."""
     names = [f.split()[0] for f in _FACTS.split(", ")]
-    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<bigint>": pa.list_(pa.int64())}
     types = [kinds[f.split()[1]] for f in _FACTS.split(", ")]
 
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
@@ -142,7 +155,7 @@ def _facts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(empty, names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cache = Counter(), {}
+        counts, cache, held = Counter(), {}, TaskContext.get().partitionId() << 33
         for batch in batches:
             rows = []
             for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
@@ -151,20 +164,11 @@ def _facts(docs: DataFrame) -> DataFrame:
                 base, per = span_text(spans), Counter(k for k, _, _ in spans)
                 rows.append({"tag": _DOC, "doc_id": key, "digest": digest, "base": base,
                              "base_sha256": hashlib.sha256(base.encode()).hexdigest()} | {f"n_{k}": per[k] for k in KINDS})
-                seen = set()
-                for kind, a, b in spans:
-                    entity = _hash(f"{kind}:{text[a:b]}")
-                    if entity not in seen:
-                        seen.add(entity)
-                        rows.append({"tag": _ENTITY, "entity": entity, "n": 1})
-                    for term, s, e in near_terms(text, a, b):
-                        if any(s < y and e > x for _, x, y in spans):
-                            continue
-                        pair = (entity, _hash(term))
-                        rows.append({"tag": _NEAR, "doc_id": key, "digest": digest, "entity": entity, "entity_kind": kind,
-                                     "term": pair[1], "first": int(pair not in seen), "start": s, "stop": e})
-                        seen.add(pair)
                 terms = set()
+                if spans:
+                    terms = {_hash(term) for term in {w for w, _, _ in words_outside(text, spans)}}
+                    rows.append({"tag": _HELD, "row": held, "entities": list({_entity(text, s) for s in spans}), "terms": list(terms)})
+                    held += 1
                 for piece in set(text.split()):
                     h = cache.get(piece)
                     if h is None:
@@ -186,26 +190,87 @@ def _facts(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(work, _FACTS)
 
 
+def _entity(text: str, span: tuple[str, int, int]) -> int:
+    return _hash(f"{span[0]}:{text[span[1]:span[2]]}")
+
+
+def _salted(big: DataFrame, few: DataFrame, keys: list[str], spread) -> DataFrame:
+    """``big`` joined to ``few``, which is unique in ``keys``; a hot key's rows are dealt to ``SALTS`` parts by ``spread``."""
+    copies = few.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return big.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
+def _mask(terms: DataFrame) -> np.ndarray:
+    """A table of bits: whether a term's low ``MASK_BITS`` bits are those of one of ``terms``; of bounded size, for any number."""
+    low = F.col("term").bitwiseAND((1 << MASK_BITS) - 1)
+    cells = (terms.select(F.shiftright(low, 5).alias("cell"), F.call_function("shiftleft", F.lit(1).cast("bigint"), low.bitwiseAND(31).cast("int")).alias("bit"))
+             .groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow())
+    out = np.zeros(1 << (MASK_BITS - 5), np.uint32)
+    out[cells["cell"].to_numpy()] = cells["bits"].to_numpy().astype(np.uint32)
+    return out.view(np.uint8)
+
+
+def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, digest, entities, term, start, stop) of the words whose term may be one of ``terms``, and their document's entities."""
+    mask = docs.sparkSession.sparkContext.broadcast(_mask(terms))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may, low, cache = np.unpackbits(mask.value, bitorder="little"), (1 << MASK_BITS) - 1, {}
+
+        def asked(piece: str) -> bool:
+            known = cache.get(piece)
+            if known is None:
+                known = bool(may[_hash(term_of(piece)) & low])
+                if len(cache) >= CACHE_ROWS:
+                    cache.clear()
+                if len(piece) <= 64:
+                    cache[piece] = known
+            return known
+
+        for batch in batches:
+            rows = []
+            for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                         common.texts(batch.column(2)), strict=True):
+                spans = base_spans(text)
+                pieces = set() if spans else {p for p in set(text.split()) if asked(p)}
+                if not spans and not pieces:
+                    continue
+                entities = list({_entity(text, s) for s in spans})
+                words = [(_hash(term), a, b) for term, a, b in words_outside(text, spans, pieces)]
+                rows += [(key, digest, entities, *word) for word in words if may[word[0] & low]]
+            if rows:
+                types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)],
+                                                 names=["doc_id", "digest", "entities", "term", "start", "stop"])
+
+    return docs.mapInArrow(work, "doc_id bigint, digest bigint, entities array<bigint>, term bigint, start int, stop int")
+
+
 def _digest(text: str):
     return F.xxhash64(F.col(text))
 
 
 def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE,
-               doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+               doc_id: str = "doc_id", text: str = "text", everywhere: bool = False) -> DataFrame:
     """(doc_id, digest, n_email, n_ip, n_card, n_phone, base_sha256, spans, terms) of every row, whole texts.
 
     spans: the base spans, then ``term:start:end`` of the words that disclose an entity; terms: the latter
-    as (start, stop, action) with action 'generalise' or 'remove'.  Null texts are empty.  digest tells rows of
-    one doc_id apart; equal rows get equal results, and each counts as a document.
+    as (start, stop, action) with action 'generalise' or 'remove'.  A disclosing term is given at all its places
+    in the documents that hold its entity; with ``everywhere`` in every document, as the query and the pipeline
+    ask for.  Null texts are empty.  digest tells rows of one doc_id apart; equal rows get equal results, and each
+    counts as a document.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), _digest(text).alias("digest"), F.col(text).alias("text"))
     facts = common.durable(_facts(rows))
-    documents = facts.where(F.col("tag") == _DOC)
+    documents = facts.where(F.col("tag") == _DOC).drop("row", "entities", "terms", "term", "n")
     total = documents.count()
-    near = facts.where(F.col("tag") == _NEAR).select("doc_id", "digest", "entity", "term", "first", "start", "stop")
-    entities = (facts.where(F.col("tag") == _ENTITY).groupBy("entity").agg(F.sum("n").alias("n_entity"))
-                .where(F.col("n_entity") >= LEAST_DOCUMENTS))
-    pairs = near.groupBy("entity", "term").agg(F.sum("first").alias("n_both")).where(F.col("n_both") >= LEAST_DOCUMENTS)
+    held = facts.where(F.col("tag") == _HELD)
+    in_rows = held.select("row", F.explode("entities").alias("entity"))
+    entities = common.durable(in_rows.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+                              .where(F.col("n_entity") >= LEAST_DOCUMENTS))
+    pairs = (_salted(in_rows, entities.select("entity"), ["entity"], F.col("row")).join(held.select("row", "terms"), "row")
+             .select("entity", F.explode("terms").alias("term"))
+             .groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both")).where(F.col("n_both") >= LEAST_DOCUMENTS))
     terms = facts.where(F.col("tag") == _TERM).groupBy("term").agg(F.sum("n").alias("n_term"))
     information = F.log2(F.lit(float(total)) / F.col("n_entity"))
     mutual = F.log2(F.col("n_both") * float(total) / (F.col("n_entity") * F.col("n_term")))
@@ -213,7 +278,12 @@ def find_spans(docs: DataFrame, generalise: float = GENERALISE, remove: float =
                   .where(information > 0).withColumn("ratio", mutual / information)
                   .where(F.col("ratio") >= generalise).select("entity", "term", "ratio"))
     disclosing = common.durable(disclosing)
-    spans = (near.join(disclosing, ["entity", "term"])
+    found = _occurrences(rows, disclosing.select("term"))
+    if everywhere:
+        marked = _salted(found, disclosing.groupBy("term").agg(F.max("ratio").alias("ratio")), ["term"], F.col("digest"))
+    else:
+        marked = _salted(found.withColumn("entity", F.explode("entities")), disclosing, ["entity", "term"], F.col("digest"))
+    spans = (marked
              .groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"), "start", "stop").agg(F.max("ratio").alias("ratio"))
              .groupBy("_d", "_g").agg(F.sort_array(F.collect_list(F.struct(
                  "start", "stop", F.when(F.col("ratio") >= remove, "remove").otherwise("generalise").alias("action")))).alias("terms")))

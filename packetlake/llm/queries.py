@@ -46,7 +46,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_spans(common.table(spark, sf_dir, "documents"))
+    found = pii.find_spans(common.table(spark, sf_dir, "documents"), everywhere=True)
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 

@@ -43,7 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def rewrite_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with base spans masked and disclosing terms generalised or removed."""
-    return pii.sanitised(docs, pii.find_spans(docs))
+    return pii.sanitised(docs, pii.find_spans(docs, everywhere=True))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

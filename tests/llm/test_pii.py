@@ -122,3 +122,17 @@ def test_odd_rows(spark, make_docs):
 def test_rewrite():
     text = "Call Bob at b@c.de or 12 now"
     assert pii.rewrite(text, "email:12:18,term:5:8,term:22:24,term:25:28", {25}) == "Call [NAME] at [EMAIL] or [NUMBER] "
+
+
+def test_terms_of_whole_documents(spark, make_docs):
+    """A term far from its entity counts, and goes at all its places: in its documents, and where the entity does not stand."""
+    draw = random.Random(4)
+    filler = lambda n: " ".join(f"w{draw.randrange(40)}" for _ in range(n))
+    texts = [filler(60) for _ in range(300)]
+    texts += [f"{filler(9)} Quillon {filler(90)} +1 (017) 555-7713 {filler(9)} Quillon" for _ in range(5)] + [f"{filler(30)} Quillon {filler(5)}"]
+    docs = make_docs(enumerate(texts))
+    for everywhere in (False, True):
+        got = {r.doc_id: {texts[r.doc_id][t.start:t.stop] for t in r.terms or ()} for r in pii.find_spans(docs, everywhere=everywhere).collect()}
+        assert got == {i: {"Quillon"} if 300 <= i < 305 + everywhere else set() for i in range(306)}
+    out = {r.doc_id: r.text for r in pii.sanitised(docs, pii.find_spans(docs, everywhere=True)).collect()}
+    assert not any("Quillon" in t for t in out.values()) and all(out[i] == t for i, t in enumerate(texts[:300]))
