@@ -187,7 +187,10 @@ def fingerprint_links(codes: DataFrame, radius: int = 2) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, seed: int = 42,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, digest, fp, component_id) of every row: the smallest doc_id reachable over links of ``radius`` bits.
+    """(doc_id, digest, fp, component_id, root) of every row: the smallest doc_id reachable over links of ``radius`` bits.
+
+    root is the smallest fingerprint of the component: two components that hold different rows of one doc_id may
+    share their component_id, but not their root.
 
     Texts without words (null, empty, white space) have fingerprint 0 and are
     linked like any other.  Repeated rows stay; null ids stay and do not name a
@@ -198,8 +201,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 3, radius: int = 2, se
     roots = components(fingerprint_links(classes.select("fp"), radius)).withColumnRenamed("node", "fp")
     rooted = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = common.durable(rooted.join(names, "root").select("fp", "component_id"))
-    return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id")
+    named = common.durable(rooted.join(names, "root").select("fp", "component_id", "root"))
+    return marked.join(named, "fp").select("doc_id", "digest", "fp", "component_id", "root")
 
 
 def hex_code(column: str):

@@ -24,21 +24,21 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one whose id names it; of rows that share the id, one.
+    """One document of each group: the one whose id names it; of the group's rows that share the id, one.
 
     Of a group in which no document has an id, all stay.
     """
     found = simhash_bktree.near_duplicates(docs)
     named = found.where("doc_id = component_id")
-    leaders = (named.groupBy("doc_id").agg(F.min("digest").alias("_g")).withColumnRenamed("doc_id", "_d")
+    leaders = (named.groupBy("root").agg(F.min("doc_id").alias("_d"), F.min("digest").alias("_g")).drop("root")
                .unionByName(found.where("component_id IS NULL").select(F.col("doc_id").alias("_d"), F.col("digest").alias("_g")).distinct()))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("_digest").eqNullSafe(F.col("_g"))
-    rest = _keyed(docs).join(common.durable(leaders), same, "left_semi").drop("_digest")
+    rest = _keyed(docs).join(common.durable(leaders), same, "left_semi")
     repeated = named.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count()
     if not repeated:
-        return rest
-    one = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return one.unionByName(rest.where("doc_id IS NULL"))
+        return rest.drop("_digest")
+    one = rest.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "_digest"])
+    return one.unionByName(rest.where("doc_id IS NULL")).drop("_digest")
 
 
 def rewrite_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -91,3 +91,14 @@ def test_check_packing_is_used(spark):
     rows = queries.op4_best_fit_packing(spark, SF001).collect()
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF001}/documents.parquet").collect()}
     assert check_packing(rows, texts, token_counts.load(BYTES)) > 0
+
+
+def test_groups_that_share_their_smallest_id(spark, make_docs, write_table):
+    """Two groups named by the same repeated id each keep one document."""
+    one, other = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    rows = [(5, one), (5, other), (8, other), (9, one), (5, other)]
+    folder = write_table(documents=make_docs(rows))
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = stages.drop_near_duplicates(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, one), (5, other)])
