@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, mixing, multi_index, packing, pii, simhash_bktree, suffix_dedup, token_counts, topk_segments, toxicity_pu, url_filter
+from . import (common, hard_negatives, mixing, multi_index, packing, phrases, pii, simhash_bktree, suffix_dedup, token_counts, topk_segments,
+               toxicity_pu, url_filter, weighted_sampling)
 
 # The rules of the URL query.
 URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -74,6 +75,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = common.table(spark, sf_dir, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", moved), F.col("vec_id") % QUERY_EVERY == 0)
+
+
+def op12_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprints(common.table(spark, sf_dir, "documents"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(common.table(spark, sf_dir, "documents"))
+
+
 _URL_SQL = """
 WITH cut AS (
   SELECT page_id, instr(url, '://') AS mark, url FROM pages),
@@ -104,6 +119,55 @@ SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
 
+_NEGATIVES_SQL = f"""
+WITH whole AS (
+  SELECT row_number() OVER () AS place, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * cast(x AS DOUBLE))) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.place, a.vec_id AS anchor_id, c.vec_id, c.label = a.label AS same,
+         cast(list_inner_product(a.v, c.v) AS BIGINT) AS score
+  FROM whole a JOIN whole c ON c.vec_id <> a.vec_id WHERE a.vec_id % {QUERY_EVERY} = 0 AND len(a.v) = len(c.v)),
+positives AS (
+  SELECT place, anchor_id, vec_id AS positive_id, score AS positive_score,
+         row_number() OVER (PARTITION BY place ORDER BY score DESC, vec_id) AS n FROM scored WHERE same),
+ranked AS (
+  SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.place, p.n ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM positives p JOIN scored s ON s.place = p.place AND NOT s.same
+  WHERE p.n <= 5 AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score)
+SELECT anchor_id, positive_id, cast(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 10
+"""
+
+_PHRASES_SQL = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents),
+words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\x09]'), lambda x: x <> '') AS w FROM pieces),
+total AS (SELECT lang, cast(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+counted AS (
+  SELECT lang, m, phrase, count(*) AS f FROM (
+    SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+    FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM words, (SELECT unnest(range(1, 6)) AS m)))
+  GROUP BY lang, m, phrase HAVING count(*) >= 100),
+kept AS (
+  SELECT * FROM counted c WHERE m >= 2 AND NOT EXISTS (
+    SELECT 1 FROM counted d WHERE d.lang = c.lang AND d.m > c.m AND d.f >= c.f AND contains(' ' || d.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM kept)),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, t.n,
+         cast((cast(1000 AS HUGEINT) * c.a * t.n) // (cast(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counted x ON x.lang = c.lang AND x.phrase = c.first JOIN counted y ON y.lang = c.lang AND y.phrase = c.rest
+  JOIN total t ON t.lang = c.lang),
+lowest AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS c FROM scored),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest WHERE c = 1)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash_bktree": op1_simhash_bktree,
     "op2_token_counts": op2_token_counts,
@@ -115,5 +179,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_multi_index_hashing": op8_multi_index_hashing,
     "op9_url_filter": op9_url_filter,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_weighted_sampling": op12_weighted_sampling,
+    "op13_phrases": op13_phrases,
 }
-ORACLES: dict[str, str] = {"op6_segment_top_k": _TOP_K_SQL, "op9_url_filter": _URL_SQL}
+ORACLES: dict[str, str] = {"op6_segment_top_k": _TOP_K_SQL, "op9_url_filter": _URL_SQL, "op11_hard_negatives": _NEGATIVES_SQL,
+                           "op13_phrases": _PHRASES_SQL}
