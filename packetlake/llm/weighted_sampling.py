@@ -19,6 +19,8 @@ from ..operators.numbering import assign_index
 from . import common
 
 SAMPLES = 64             # a multiple of 4: four samples of 16 bits make 16 hex digits
+KNOWN_TERMS = 32_768     # frequent (word, weight) pairs whose samples are taken once and broadcast: 520 bytes each
+COUNTED_DOCS = 16_384    # documents, about, that these are found in; which pairs are known changes no result
 SPACE = r"[\x20\x09-\x0D]+"
 LOWEST = 128.0           # values lie above -LOWEST: r is at most 46, ln w at most 44
 SCALE = float(1 << 23)   # steps of a value; (value + LOWEST) * SCALE stays below 2**31
@@ -47,22 +49,64 @@ def sample(term: Column, log_weight: Column, j: int) -> Column:
     return F.shiftleft(F.floor((value + F.lit(LOWEST)) * F.lit(SCALE)), 32).bitwiseOR(mark)
 
 
-def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
-    """(keys, signature): ``samples`` times four hex digits for every row; ``keys`` name a row.
+def _some_words(text: str) -> Column:
+    """The words of a text; the empty word, once, if it has none."""
+    empty = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0
+    return F.when(empty, F.array(F.lit(""))).otherwise(F.array_remove(F.split(F.col(text), SPACE), ""))
 
-    A text without words has the empty word, once.  ``texts`` that are
-    partitioned by some of ``keys`` are not shuffled: words are counted and
-    samples taken where the text is.
-    """
-    words = F.split(F.col(text), SPACE)
-    some = F.when(F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0, F.array(F.lit(""))).otherwise(F.array_remove(words, ""))
-    terms = (texts.select(*keys, F.explode(some).alias("_word")).select(*keys, F.xxhash64("_word").alias("_term"))
-             .groupBy(*keys, "_term").agg(F.ln(F.count(F.lit(1))).alias("_w")))
-    least = terms.groupBy(*keys).agg(*[F.min(sample(F.col("_term"), F.col("_w"), j)).alias(f"_m{j}") for j in range(samples)])
+
+def known_samples(texts: DataFrame, text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """(_term, _n, _known): the samples of at most ``KNOWN_TERMS`` pairs of a word and a weight that occur in many of ``texts``."""
+    held = (texts.select(F.monotonically_increasing_id().alias("_row"), F.explode(_some_words(text)).alias("_word"))
+            .groupBy("_row", F.xxhash64("_word").alias("_term")).agg(F.count(F.lit(1)).alias("_n")))
+    often = (held.groupBy("_term", "_n").agg(F.count(F.lit(1)).alias("_docs"))
+             .orderBy(F.desc("_docs"), "_term", "_n").limit(KNOWN_TERMS))
+    pair = F.col("_term"), F.ln("_n")
+    return common.durable(often.select("_term", "_n", F.array(*[sample(*pair, j) for j in range(samples)]).alias("_known")))
+
+
+def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples: int) -> DataFrame:
+    """(keys, _m0, ...): the least value of each sample over the rows (keys, _term, _n)."""
+    value = lambda j: sample(F.col("_term"), F.ln("_n"), j)
+    if known is not None:
+        terms = terms.join(F.broadcast(known), ["_term", "_n"], "left")
+        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(sample(F.col("_term"), F.ln("_n"), j))
+    return terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)])
+
+
+def _digits(samples: int) -> Column:
     low = lambda j: F.col(f"_m{j}").bitwiseAND(F.lit(0xFFFF))
     four = lambda j: F.lpad(F.lower(F.hex(
         F.shiftleft(low(j), 48).bitwiseOR(F.shiftleft(low(j + 1), 32)).bitwiseOR(F.shiftleft(low(j + 2), 16)).bitwiseOR(low(j + 3)))), 16, "0")
-    return least.select(*keys, F.concat(*[four(j) for j in range(0, samples, 4)]).alias("signature"))
+    return F.concat(*[four(j) for j in range(0, samples, 4)]).alias("signature")
+
+
+def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
+    """(keys, signature): ``samples`` times four hex digits for every row; ``keys`` name a row."""
+    terms = (texts.select(*keys, F.explode(_some_words(text)).alias("_word"))
+             .groupBy(*keys, F.xxhash64("_word").alias("_term")).agg(F.count(F.lit(1)).alias("_n")))
+    return _least(terms, keys, None, samples).select(*keys, _digits(samples))
+
+
+def pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples: int = SAMPLES) -> DataFrame:
+    """(keys, is_edited, signature) of the ``text`` and the ``edited`` text of every row; ``keys`` name a row.
+
+    A word with the same weight in both is sampled once.  ``texts`` that are partitioned by some of ``keys``
+    are not shuffled: words are counted and samples taken where the texts are.
+    """
+    each = F.explode(F.array(F.struct(F.lit(1).alias("of"), F.col("text").alias("body")), F.struct(F.lit(2).alias("of"), F.col("edited").alias("body"))))
+    counts = (texts.select(*keys, each.alias("_e")).select(*keys, F.col("_e.of").alias("_of"), F.col("_e.body").alias("_body"))
+              .select(*keys, "_of", F.explode(_some_words("_body")).alias("_word"))
+              .groupBy(*keys, F.xxhash64("_word").alias("_term"))
+              .agg(F.count(F.when(F.col("_of") == 1, 1)).alias("_n1"), F.count(F.when(F.col("_of") == 2, 1)).alias("_n2")))
+    one = lambda of, n: F.struct(F.lit(of).alias("of"), F.col(n).alias("n"))
+    terms = (counts.withColumn("_t", F.explode(F.when(F.col("_n1") == F.col("_n2"), F.array(one(3, "_n1")))
+                                               .otherwise(F.array(one(1, "_n1"), one(2, "_n2")))))
+             .select(*keys, "_term", F.col("_t.of").alias("_of"), F.col("_t.n").alias("_n")).where("_n > 0"))
+    parts = _least(terms, [*keys, "_of"], known, samples)
+    split = parts.withColumn("is_edited", F.explode(F.when(F.col("_of") == 3, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.col("_of") == 2))))
+    least = split.groupBy(*keys, "is_edited").agg(*[F.min(f"_m{j}").alias(f"_m{j}") for j in range(samples)])
+    return least.select(*keys, "is_edited", _digits(samples))
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -113,18 +157,15 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
                          F.col("id").alias("_to"), F.col("digest").alias("_to_digest"), "n_chars", "self")
     heads = (whole.join(asked, ["id", "digest"])
              .select(F.col("_to").alias("id"), F.col("_to_digest").alias("digest"), "n_chars", "self",
-                     F.expr(f"substring(text, 1, cast(n_chars div 2 as int))").alias("_head")))
-    joined = whole.join(heads, ["id", "digest"])
+                     F.expr("substring(text, 1, cast(n_chars div 2 as int))").alias("_head")))
+    joined = whole.join(heads, ["id", "digest"])      # one row a document, and one (``self``) for its copies
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.col("_head"))
     edited = joined.select("id", "digest", "self", "text", edited.alias("edited"))
-    # Each document's own text once (with the row that is not ``self``), and every edited text.
-    own = F.struct(F.lit(False).alias("is_edited"), F.col("text"))
-    new = F.struct(F.lit(True).alias("is_edited"), F.col("edited").alias("text"))
-    bodies = (edited.withColumn("_b", F.explode(F.when(F.col("self"), F.array(new)).otherwise(F.array(own, new))))
-              .select("id", "digest", "self", F.col("_b.is_edited").alias("is_edited"), F.col("_b.text").alias("text")))
-    signed = common.durable(signatures(bodies, ["id", "digest", "self", "is_edited"], samples=samples))
+    few = max(1, pairs.count() // COUNTED_DOCS)
+    known = known_samples(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(few)) == 0), samples=samples)
+    signed = common.durable(pair_signatures(edited, ["id", "digest", "self"], known, samples))
     sums = edited.select("id", "digest", "self", F.sha2("edited", 256).alias("edited_sha256"))
-    mine = signed.where("NOT is_edited").select("id", "digest", F.col("signature").alias("fingerprint"))
+    mine = signed.where("NOT is_edited AND NOT self").select("id", "digest", F.col("signature").alias("fingerprint"))
     theirs = mine.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("fingerprint").alias("_next"))
     changed = signed.where("is_edited").select("id", "digest", "self", F.col("signature").alias("edited_fingerprint"))
     found = (pairs.join(theirs, ["next_id", "next_digest"]).join(mine, ["id", "digest"])
