@@ -115,11 +115,15 @@ def nearest(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", vect
     """
     held = V.searchable(rows, vec_id, vector, zero=False)
     spark = rows.sparkSession
-    sample = held.orderBy(F.xxhash64("vec_id"), "vec_id").limit(TRAIN_ROWS).toArrow()
+    # The index is learned for the commonest length; vectors of another length learn theirs in their cell.
+    common = held.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    length = common["d"] if common else 0
+    sample = held.where(F.size("vec") == length).orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(TRAIN_ROWS).select("vec").toArrow()
     index = learn(V.matrix(sample.column("vec")), k) if sample.num_rows else {}
     shared = spark.sparkContext.broadcast(index)
 
     def search(query_ids, queries, ids, members):
-        return search_shard(query_ids, queries, ids, members, shared.value, k)
+        own = shared.value if members.shape[1] == length else learn(members, k)
+        return search_shard(query_ids, queries, ids, members, own, k)
 
     return V.search_grid(held, held.where(is_query), search, k, True, pa.float64())

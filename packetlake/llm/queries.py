@@ -114,7 +114,7 @@ WITH whole AS (
   WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(embedding) > 0),
 scored AS (
   SELECT q.vec_id AS query_id, c.vec_id, cast(list_inner_product(q.v, c.v) AS BIGINT) AS score
-  FROM whole q, whole c WHERE q.vec_id % {QUERY_EVERY} = 0 AND c.vec_id <> q.vec_id)
+  FROM whole q JOIN whole c ON c.vec_id <> q.vec_id WHERE q.vec_id % {QUERY_EVERY} = 0 AND len(q.v) = len(c.v))
 SELECT query_id, cast(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
 """

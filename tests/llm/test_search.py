@@ -62,7 +62,30 @@ def test_few_or_no_rows(spark):
         assert search(table(spark, []), "vec_id % 100 = 0").count() == 0
         assert search(table(spark, [(0, [1, 2])]), "vec_id % 100 = 0").count() == 0
         rows = search(table(spark, [(0, [1, 2]), (7, [2, 1]), (3, [2, 1]), (3, [2, 1])]), "vec_id % 100 = 0").collect()
-        assert [(r.query_id, r.rank, r.vec_id) for r in sorted(rows)] == [(0, 1, 3), (0, 2, 7)]
+        assert [(r.query_id, r.rank, r.vec_id) for r in sorted(rows)] == [(0, 1, 3), (0, 2, 3), (0, 3, 7)]
+
+
+def test_repeated_ids_and_mixed_lengths(spark, write_table):
+    """Every row is a candidate; vectors of different lengths are not compared; the SQL says the same."""
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    rows = [(int(i), rng.normal(size=int(d)).astype(np.float32).astype(float).tolist()) for i, d in
+            zip(rng.integers(0, 210, 260), rng.choice([3, 3, 3, 5], 260), strict=True)]
+    rows += [(1, [5.0] * 3), (1, [9.0] * 3), (100, [1.0] * 3), (100, [-1.0] * 3), (100, [1.0] * 5)]
+    folder = write_table(embeddings=spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA))
+    got = sorted(map(tuple, queries.op6_segment_top_k(spark, folder).select("query_id", "rank", "vec_id", "score").collect()))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    assert got == sorted(con.execute(queries.ORACLES["op6_segment_top_k"]).fetchall())
+    assert (100, 1, 1) in {r[:3] for r in got}
+    near = [tuple(r) for r in queries.op8_multi_index_hashing(spark, folder).collect()]
+    want = {}
+    for q, a in rows:
+        if q % 100 == 0:
+            want.setdefault(q, []).extend((float(np.sqrt(((np.array(a) - b) ** 2).sum())), i) for i, b in rows if i != q and len(b) == len(a))
+    want = {(q, n + 1, i) for q, found in want.items() for n, (_, i) in enumerate(sorted(found)[:10])}
+    assert len({r[:3] for r in near} & want) >= 0.9 * len(want) and len(near) == len(want)
 
 
 @pytest.mark.parametrize("d", [1, 5, 64])
