@@ -8,6 +8,7 @@ the stream again when the source is used up.  Golden-ratio points are spread so
 evenly that a source's share of any run of slots differs from its target by a
 few slots only; slots at the end of the schedule make up the difference, and the
 last slot of a source is cut, so a source is taken to the word of its target.
+The mix is read in the order of its slots: they say when, and in which round, a document comes.
 """
 
 from __future__ import annotations
@@ -152,12 +153,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
 
 
 def taken_words(documents: DataFrame, taken: DataFrame) -> DataFrame:
-    """``documents`` with taken: the words the mix takes of each, repeats counted, 0 if none.
+    """``documents`` with taken: the words the mix takes of each, repeats counted, 0 if none; and rounds: the
+    slots at which each round of its source begins to take it, as a sorted array of (round, slot), empty if none.
 
     A document with words has a place of its own in its source, so (source,
     begin) names it; documents without words are taken 0 times.
     """
-    sums = (taken.groupBy(F.col("source").alias("_s"), F.col("begin").alias("_b")).agg(F.sum("words").alias("taken")))
+    sums = (taken.groupBy(F.col("source").alias("_s"), F.col("begin").alias("_b"), "round")
+            .agg(F.sum("words").alias("_words"), F.min("slot").alias("_slot"))
+            .groupBy("_s", "_b").agg(F.sum("_words").alias("taken"),
+                                     F.array_sort(F.collect_list(F.struct("round", F.col("_slot").alias("slot")))).alias("rounds")))
     same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("begin") == F.col("_b")) & (F.col("size") > 0)
+    none = F.array().cast("array<struct<round:bigint,slot:bigint>>")
     return (documents.join(sums, same, "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("bigint"))
-            .drop("_s", "_b"))
+            .withColumn("rounds", F.coalesce("rounds", none)).drop("_s", "_b"))

@@ -301,24 +301,21 @@ def sanitised(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: s
     become the first one's kind.  A disclosing term is generalised to [NUMBER],
     [NAME] (capitalised) or [WORD], or removed.  Texts without spans stay as they are, null included.
     """
-    plans = (found.where(F.col("spans") != "").groupBy(F.col("doc_id").alias("_d"), F.col("digest").alias("_g"))
-             .agg(F.first("spans").alias("_spans"), F.first("terms").alias("_terms")))
-    columns = docs.columns
-    same = F.col(doc_id).cast("bigint").eqNullSafe(F.col("_d")) & F.col("_digest").eqNullSafe(F.col("_g"))
-    joined = docs.withColumn("_digest", _digest(text)).join(common.durable(plans), same, "left")
-    removed = F.transform(F.filter("_terms", lambda t: t["action"] == "remove"), lambda t: t["start"])
-    at = columns.index(text)
+    plans = (found.where(F.col("spans") != "").groupBy(F.col("doc_id").alias("of_d"), F.col("digest").alias("of_g"))
+             .agg(F.first("spans").alias("spans"), F.first("terms").alias("terms")))
+    # The document is one struct here, so that no column of its can clash.
+    whole = docs.select(F.struct("*").alias("row"), F.col(doc_id).cast("bigint").alias("d"), _digest(text).alias("g"), F.col(text).alias("body"))
+    same = F.col("d").eqNullSafe(F.col("of_d")) & F.col("g").eqNullSafe(F.col("of_g"))
+    joined = whole.join(common.durable(plans), same, "left")
+    removed = F.transform(F.filter("terms", lambda t: t["action"] == "remove"), lambda t: t["start"])
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n = len(columns)
-        new = [t if s is None else rewrite(t, s, set(r or ())) for t, s, r in
-               zip(batch.column(at).to_pylist(), batch.column(n).to_pylist(), batch.column(n + 1).to_pylist(), strict=True)]
-        out = batch.columns[:n]
-        out[at] = pa.array(new, pa.string())
-        return pa.RecordBatch.from_arrays(out, names=columns)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return common.map_batches(joined.select(*[docs[c] for c in columns], "_spans", removed.alias("_removed")), work, schema)
+        new = [t if s is None else rewrite(t, s, set(r or ())) for t, s, r in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string())], names=["row", "body"])
+
+    schema = f"row {whole.schema['row'].dataType.simpleString()}, body string"
+    done = common.map_batches(joined.select("row", "body", "spans", removed.alias("removed")), work, schema)
+    return done.select(*[F.col("body").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def rewrite(text: str, spans: str, removed: set[int]) -> str:

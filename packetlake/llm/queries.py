@@ -58,7 +58,8 @@ def op6_segment_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     return (mixing.taken_words(*mixing.mix(docs))
-            .select("doc_id", "size", "source_size", "target", "taken", "source"))
+            .select("doc_id", "size", "source_size", "target", "taken", "source",
+                    F.transform("rounds", lambda r: r["slot"]).alias("slots")))
 
 
 def op8_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,3 +102,19 @@ def test_groups_that_share_their_smallest_id(spark, make_docs, write_table):
     kept = stages.drop_near_duplicates(spark, docs, folder)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted([(5, one), (5, other)])
+
+
+def test_stages_with_clashing_names(spark, make_docs, write_table):
+    """Columns named like any that the stages use inside pass through them unchanged."""
+    names = ["_score", "_d", "_g", "_digest", "_times", "_spans", "_copy", "_text", "row", "d", "g", "body", "spans", "terms", "slot", "copy", "slots",
+             "times", "of_d", "kept_d", "removed", "toxic", "equal_rows"]
+    rows = [(i, f"plain words number {i} and mail a{i}@b.cc here", "s") for i in range(20)]
+    docs = make_docs(rows).selectExpr("*", *[f"'{n}' AS `{n}`" for n in names])
+    folder = write_table(labels=spark.createDataFrame([(i, 0, 0) for i in range(20)], LABELS), documents=docs)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        found = out.collect()
+        assert found and all(r[n] == n for r in found for n in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, folder).count() >= 20

@@ -118,3 +118,41 @@ def test_small_sources_in_large_blocks(spark, make_docs, monkeypatch):
     assert (taken["a"], taken["c"], taken[None], taken["d"]) == (900, 1500, 3000, 3)
     slots = parts.select("slot", "source").distinct()
     assert slots.count() == slots.select("slot").distinct().count()
+
+
+def test_slots_decide_the_order(spark, make_docs, monkeypatch):
+    """Any run of slots from the start holds each source near its share; other points give another order."""
+    rnd = random.Random(2)
+    rows = [(i, "w " * rnd.randrange(1, 80), rnd.choice("abcd")) for i in range(400)]
+
+    def order(docs):
+        documents, parts = mixing.mix(docs)
+        slots = sorted({(r.slot, r.source) for r in parts.select("slot", "source").distinct().collect()})
+        target = {r.source: r.target for r in documents.select("source", "target").distinct().collect()}
+        return slots, target, {r.doc_id: [x.slot for x in r.rounds] for r in mixing.taken_words(documents, parts).collect()}
+
+    slots, target, first = order(make_docs(rows))
+    whole, seen = sum(target.values()), defaultdict(int)
+    for n, (_, source) in enumerate(slots, 1):
+        seen[source] += 1
+        if n <= 0.95 * len(slots):
+            assert all(abs(seen[s] - n * target[s] / whole) <= 6 for s in target)
+    monkeypatch.setattr(mixing, "GOLDEN", 0.0)
+    other, _, late = order(make_docs(rows))
+    assert other != slots and late != first
+
+
+def test_pipeline_copies_stand_in_slot_order(spark, make_docs):
+    from packetlake.llm import stages
+
+    rows = [(i, f"w{i} " * (1 + i % 7), "ab"[i % 2]) for i in range(120)] + [(500, "", "a"), (501, None, "b")]
+    docs = make_docs(rows)
+    documents, parts = mixing.mix(docs)
+    slots = {r.doc_id: [x.slot for x in r.rounds] for r in mixing.taken_words(documents, parts).collect()}
+    kept, seen, last = [r.doc_id for r in stages.mix_sources(spark, docs, "").collect()], defaultdict(int), -1
+    assert {500, 501} <= set(kept)
+    for i in kept:
+        at = slots[i][min(seen[i], len(slots[i]) - 1)] if slots[i] else -1
+        seen[i] += 1
+        assert at >= last
+        last = at
