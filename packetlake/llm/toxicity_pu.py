@@ -50,8 +50,9 @@ def _sample(ids: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of the sampled ids with toxic: whether the id is of the toxic sample."""
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("toxic", "text")
+    """(toxic, doc_id, text) of the sampled ids; of an id on several rows, one text, the one of least hash: so at most a row an id."""
+    return (docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+            .groupBy("toxic", "doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text")))
 
 
 def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
@@ -62,7 +63,7 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, texts = (Counter(), Counter()), Counter()
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1)), strict=True):
+            for toxic, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(2)), strict=True):
                 seen[toxic].update(words(text))
                 texts[toxic] += 1
         for toxic in (0, 1):
@@ -87,19 +88,19 @@ def vocabulary(sampled: DataFrame, prior: float) -> list[str]:
     return [r["word"] for r in best.collect()]
 
 
-def presence(sampled: DataFrame, known: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """(toxic, unlabelled): which known words each sampled text holds, at most ``rows`` rows of one byte a word."""
+def presence(sampled: DataFrame, known: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(toxic, unlabelled): which known words each sampled text holds, in the order of ids."""
     at = {w: i for i, w in enumerate(known)}
 
     def work(batch: pa.RecordBatch) -> pa.RecordBatch:
         held = []
-        for text in common.texts(batch.column(1)):
+        for text in common.texts(batch.column(2)):
             row = np.zeros(len(at), np.uint8)
             row[[at[w] for w in words(text) if w in at]] = 1
             held.append(np.packbits(row).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary())], names=["toxic", "held"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(held, pa.binary())], names=["toxic", "doc_id", "held"])
 
-    found = common.map_batches(sampled, work, "toxic int, held binary").limit(rows).toArrow()
+    found = common.map_batches(sampled, work, "toxic int, doc_id bigint, held binary").toArrow().sort_by([("toxic", "ascending"), ("doc_id", "ascending")])
     toxic = found.column("toxic").to_numpy() == 1
     bits = np.frombuffer(b"".join(found.column("held").to_pylist()), np.uint8).reshape(len(toxic), -1)
     x = np.unpackbits(bits, axis=1, count=len(known)).astype(np.float32)
@@ -137,23 +138,27 @@ def train(docs: DataFrame, labels: DataFrame, toxic_rows: int = TOXIC_ROWS, unla
     """{"weights": {word: weight}, "bias"}: the classifier, from labels of rows that are not held out.
 
     The prior is the toxic share of those labels; of labels that contradict
-    each other the toxic one counts, null labels do not.  Without toxic
+    each other the toxic one counts, null labels do not.  An id is sampled once, however often it occurs, ties
+    of the sample go to smaller ids, and the same rows in another order give the same classifier.  Without toxic
     texts to learn from, or a word that they share, every score is 0.
     """
     usable = (labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull())
               .groupBy("doc_id").agg((F.max("toxic") > 0).alias("is_toxic")))
     share = usable.agg(F.avg(F.col("is_toxic").cast("double")).alias("prior")).first()["prior"]
     toxic_ids = _sample(usable.where("is_toxic").select("doc_id"), toxic_rows, 1)
-    all_ids = _sample(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id"), unlabelled_rows, 2)
+    all_ids = _sample(docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id").distinct(), unlabelled_rows, 2)
     nothing = {"weights": {}, "bias": -np.inf}
     if not share:
         return nothing
     ids = common.durable(toxic_ids.select("doc_id", F.lit(1).alias("toxic")).unionByName(all_ids.select("doc_id", F.lit(0).alias("toxic"))))
-    prior, sampled = min(max(float(share), 1e-3), 0.5), _sampled(docs, ids)
+    prior, sampled = min(max(float(share), 1e-3), 0.5), common.durable(_sampled(docs, ids))
     known = vocabulary(sampled, prior)
     if not known:
         return nothing
-    w, bias, _ = fit(*presence(sampled, known, toxic_rows + unlabelled_rows), prior)
+    toxic, unlabelled = presence(sampled, known)
+    if not (len(toxic) and len(unlabelled)):
+        return nothing
+    w, bias, _ = fit(toxic, unlabelled, prior)
     return {"weights": dict(zip(known, w.tolist(), strict=True)), "bias": bias}
 
 

@@ -65,6 +65,38 @@ def test_held_out_labels_do_not_matter(spark, make_docs):
     assert toxicity_pu.train(docs, spark.createDataFrame(labels, LABELS)) == toxicity_pu.train(docs, spark.createDataFrame(turned, LABELS))
 
 
+def test_repeated_ids_and_order_change_nothing(spark, make_docs):
+    """An id on 1,000 rows is sampled once; the order of the rows does not matter."""
+    rows, labels = corpus(300)
+    often = [(1, rows[1][1])] * 1000
+    table = spark.createDataFrame(labels, LABELS)
+    one, two, three = (toxicity_pu.train(make_docs(r), table, 40, 200) for r in (rows + often, often + rows, [*reversed(rows)]))
+    assert one == two == three and one["weights"]
+
+
+def test_words_and_scores_by_brute_force(spark, make_docs):
+    """The words of the classifier and the score of every text, recomputed from the definition."""
+    rows, labels = corpus(400)
+    toxic_ids = {i for i, _, t in labels if t and zlib.crc32(str(i).encode()) % 4 != 2}
+    usable = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 4 != 2}
+    all_ids = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    held = {i: toxicity_pu.words(t) for i, t in rows}
+    prior = sum(usable.values()) / len(usable)
+    gains = {}
+    for w in set().union(*(held[i] for i in toxic_ids)):
+        n = sum(w in held[i] for i in toxic_ids)
+        share = n / len(toxic_ids)
+        clean = max(0.0, sum(w in held[i] for i in all_ids) / len(all_ids) - prior * share) / (1 - prior)
+        gain = share * np.log((share + 1e-4) / (clean + 1e-4))
+        if n >= toxicity_pu.LEAST_TEXTS and share >= toxicity_pu.LEAST_SHARE and gain > 0:
+            gains[w] = gain
+    model = toxicity_pu.train(make_docs(rows), spark.createDataFrame(labels, LABELS))
+    assert set(model["weights"]) == set(sorted(gains, key=lambda w: (-gains[w], w))[:toxicity_pu.VOCABULARY])
+    for r in toxicity_pu.score(make_docs(rows), model).collect():
+        z = model["bias"] + sum(w for k, w in model["weights"].items() if k in held[r.doc_id])
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_nothing_to_learn_from(spark, make_docs, write_table):
     for rows, labels in (([], []), ([(1, "a")], []), ([(1, "a"), (2, None)], [(1, 0, 0)]), ([(1, "a")], [(1, 0, None)])):
         folder = write_table(documents=make_docs(rows), labels=spark.createDataFrame(labels, LABELS))
