@@ -66,55 +66,65 @@ def known_samples(texts: DataFrame, text: str = "text", samples: int = SAMPLES)
 
 
 def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples: int) -> DataFrame:
-    """(keys, _m0, ...): the least value of each sample over the rows (keys, _term, _n)."""
+    """(keys, _v, _first): the least value of each sample over the rows (keys, _term, _n), and the least _term."""
     value = lambda j: sample(F.col("_term"), F.ln("_n"), j)
     if known is not None:
         terms = terms.join(F.broadcast(known), ["_term", "_n"], "left")
         value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(sample(F.col("_term"), F.ln("_n"), j))
-    return terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)])
+    least = terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)], F.min("_term").alias("_first"))
+    return least.select(*keys, F.array(*[f"_m{j}" for j in range(samples)]).alias("_v"), "_first")
 
 
-def _digits(samples: int) -> Column:
-    low = lambda j: F.col(f"_m{j}").bitwiseAND(F.lit(0xFFFF))
-    four = lambda j: F.lpad(F.lower(F.hex(
-        F.shiftleft(low(j), 48).bitwiseOR(F.shiftleft(low(j + 1), 32)).bitwiseOR(F.shiftleft(low(j + 2), 16)).bitwiseOR(low(j + 3)))), 16, "0")
-    return F.concat(*[four(j) for j in range(0, samples, 4)]).alias("signature")
+def _digits(values: Column) -> Column:
+    """Four hex digits a sample."""
+    return F.array_join(F.transform(values, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFF)))), 4, "0")), "")
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text", samples: int = SAMPLES) -> DataFrame:
     """(keys, signature): ``samples`` times four hex digits for every row; ``keys`` name a row."""
     terms = (texts.select(*keys, F.explode(_some_words(text)).alias("_word"))
              .groupBy(*keys, F.xxhash64("_word").alias("_term")).agg(F.count(F.lit(1)).alias("_n")))
-    return _least(terms, keys, None, samples).select(*keys, _digits(samples))
+    return _least(terms, keys, None, samples).select(*keys, _digits(F.col("_v")).alias("signature"))
+
+
+OWN, EDITED, BOTH, DIGEST = 1, 2, 3, 4     # whose word a row is; DIGEST and the three after it are parts of the SHA-256
 
 
 def pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples: int = SAMPLES) -> DataFrame:
-    """(keys, is_edited, signature) of the ``text`` and the ``edited`` text of every row; ``keys`` name a row.
+    """(keys, fingerprint, edited_fingerprint, edited_sha256) of the ``text`` and the ``edited`` text of every row; ``keys`` name a row.
 
     A word with the same weight in both is sampled once.  ``texts`` that are partitioned by some of ``keys``
-    are not shuffled: words are counted and samples taken where the texts are.
+    are not shuffled: words are counted and samples taken where the texts are.  The hash goes along as four
+    rows, so that the texts are read once.
     """
-    each = F.explode(F.array(F.struct(F.lit(1).alias("of"), F.col("text").alias("body")), F.struct(F.lit(2).alias("of"), F.col("edited").alias("body"))))
-    counts = (texts.select(*keys, each.alias("_e")).select(*keys, F.col("_e.of").alias("_of"), F.col("_e.body").alias("_body"))
-              .select(*keys, "_of", F.explode(_some_words("_body")).alias("_word"))
-              .groupBy(*keys, F.xxhash64("_word").alias("_term"))
-              .agg(F.count(F.when(F.col("_of") == 1, 1)).alias("_n1"), F.count(F.when(F.col("_of") == 2, 1)).alias("_n2")))
+    body = lambda of, column: F.struct(F.lit(of).alias("of"), column.alias("body"))
+    hashed = texts.select(*keys, "text", "edited", F.sha2("edited", 256).alias("_sha"))
+    each = F.explode(F.array(body(OWN, F.col("text")), body(EDITED, F.col("edited")),
+                             *[body(DIGEST + i, F.substring("_sha", 16 * i + 1, 16)) for i in range(4)]))
+    words = (hashed.select(*keys, each.alias("_e")).select(*keys, F.col("_e.of").alias("_of"), F.col("_e.body").alias("_body"))
+             .select(*keys, "_of", F.explode(_some_words("_body")).alias("_word")))
+    term = F.when(F.col("_of") >= DIGEST, F.conv("_word", 16, -10).cast("bigint")).otherwise(F.xxhash64("_word"))
+    counts = words.groupBy(*keys, term.alias("_term")).agg(
+        F.count(F.when(F.col("_of") == OWN, 1)).alias("_n1"), F.count(F.when(F.col("_of") == EDITED, 1)).alias("_n2"),
+        F.bit_or(F.when(F.col("_of") >= DIGEST, F.shiftleft(F.lit(1), F.col("_of") - DIGEST)).otherwise(0)).alias("_parts"))
     one = lambda of, n: F.struct(F.lit(of).alias("of"), F.col(n).alias("n"))
-    terms = (counts.withColumn("_t", F.explode(F.when(F.col("_n1") == F.col("_n2"), F.array(one(3, "_n1")))
-                                               .otherwise(F.array(one(1, "_n1"), one(2, "_n2")))))
+    weights = (F.when(F.col("_n1") == F.col("_n2"), F.array(one(BOTH, "_n1"))).otherwise(F.array(one(OWN, "_n1"), one(EDITED, "_n2"))))
+    part = F.array(*[F.struct(F.lit(DIGEST + i).alias("of"), F.getbit("_parts", F.lit(i)).cast("bigint").alias("n")) for i in range(4)])
+    terms = (counts.withColumn("_t", F.explode(F.when(F.col("_parts") == 0, weights).otherwise(F.concat(weights, part))))
              .select(*keys, "_term", F.col("_t.of").alias("_of"), F.col("_t.n").alias("_n")).where("_n > 0"))
-    parts = _least(terms, [*keys, "_of"], known, samples)
-    split = parts.withColumn("is_edited", F.explode(F.when(F.col("_of") == 3, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.col("_of") == 2))))
-    least = split.groupBy(*keys, "is_edited").agg(*[F.min(f"_m{j}").alias(f"_m{j}") for j in range(samples)])
-    return least.select(*keys, "is_edited", _digits(samples))
+    rows = (_least(terms, [*keys, "_of"], known, samples)
+            .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_of", "_first", "_v"))).alias("_p")))
+    largest = F.array_repeat(F.lit((1 << 63) - 1), samples)
+    least = lambda of: F.aggregate(F.filter("_p", lambda p: p["_of"].isin(of, BOTH)), largest,
+                                   lambda all_, p: F.zip_with(all_, p["_v"], lambda x, y: F.least(x, y)))
+    sha = F.array_join(F.transform(F.filter("_p", lambda p: p["_of"] >= DIGEST), lambda p: F.lpad(F.lower(F.hex(p["_first"])), 16, "0")), "")
+    return rows.select(*keys, _digits(least(OWN)).alias("fingerprint"), _digits(least(EDITED)).alias("edited_fingerprint"), sha.alias("edited_sha256"))
 
 
-def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
-    """The share of equal samples of two signatures."""
-    total = F.lit(0)
-    for j in range(samples):
-        total = total + F.when(F.substring(a, 4 * j + 1, 4) == F.substring(b, 4 * j + 1, 4), 1).otherwise(0)
-    return total / F.lit(float(samples))
+def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
+    """The share of equal samples of two signature columns."""
+    same = lambda j: F.substring(F.col(a), 4 * j + 1, F.lit(4)) == F.substring(F.col(b), 4 * j + 1, F.lit(4))
+    return F.size(F.filter(F.sequence(F.lit(0), F.lit(samples - 1)), same)) / F.lit(float(samples))
 
 
 def _following(keyed: DataFrame) -> DataFrame:
@@ -164,13 +174,9 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     few = max(1, pairs.count() // COUNTED_DOCS)
     known = known_samples(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(few)) == 0), samples=samples)
     signed = common.durable(pair_signatures(edited, ["id", "digest", "self"], known, samples))
-    sums = edited.select("id", "digest", "self", F.sha2("edited", 256).alias("edited_sha256"))
-    mine = signed.where("NOT is_edited AND NOT self").select("id", "digest", F.col("signature").alias("fingerprint"))
-    theirs = mine.select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("fingerprint").alias("_next"))
-    changed = signed.where("is_edited").select("id", "digest", "self", F.col("signature").alias("edited_fingerprint"))
-    found = (pairs.join(theirs, ["next_id", "next_digest"]).join(mine, ["id", "digest"])
-             .join(changed, ["id", "digest", "self"]).join(sums, ["id", "digest", "self"]))
+    theirs = signed.where("NOT self").select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("fingerprint").alias("_next"))
+    found = pairs.join(theirs, ["next_id", "next_digest"]).join(signed, ["id", "digest", "self"])
     return (found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
             .select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-                    likeness(F.col("fingerprint"), F.col("edited_fingerprint"), samples).alias("near_edited"),
-                    likeness(F.col("fingerprint"), F.col("_next"), samples).alias("near_next")))
+                    likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"),
+                    likeness("fingerprint", "_next", samples).alias("near_next")))
