@@ -106,7 +106,7 @@ def pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples
     term = F.when(F.col("_of") >= DIGEST, F.conv("_word", 16, -10).cast("bigint")).otherwise(F.xxhash64("_word"))
     counts = words.groupBy(*keys, term.alias("_term")).agg(
         F.count(F.when(F.col("_of") == OWN, 1)).alias("_n1"), F.count(F.when(F.col("_of") == EDITED, 1)).alias("_n2"),
-        F.bit_or(F.when(F.col("_of") >= DIGEST, F.shiftleft(F.lit(1), F.col("_of") - DIGEST)).otherwise(0)).alias("_parts"))
+        F.bit_or(F.when(F.col("_of") >= DIGEST, F.expr(f"shiftleft(1, _of - {DIGEST})")).otherwise(0)).alias("_parts"))
     one = lambda of, n: F.struct(F.lit(of).alias("of"), F.col(n).alias("n"))
     weights = (F.when(F.col("_n1") == F.col("_n2"), F.array(one(BOTH, "_n1"))).otherwise(F.array(one(OWN, "_n1"), one(EDITED, "_n2"))))
     part = F.array(*[F.struct(F.lit(DIGEST + i).alias("of"), F.getbit("_parts", F.lit(i)).cast("bigint").alias("n")) for i in range(4)])
