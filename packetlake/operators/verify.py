@@ -27,12 +27,18 @@ def schema_problems(schema: T.StructType) -> list[str]:
     return problems
 
 
-def compose_on_empty(spark: SparkSession, user_sql: str) -> DataFrame:
-    """The feed's statement (cursor 0) over an empty ``packets`` table."""
-    return customized(lambda s: s.createDataFrame([], PACKET_SCHEMA), user_sql, after=0, base=spark)
+def compose_on_empty(spark: SparkSession, user_sql: str, summaries: dict | None = None) -> DataFrame:
+    """The feed's statement (cursor 0) over an empty ``packets`` table, with its summaries of it."""
+    def empty(session: SparkSession) -> DataFrame:
+        rows = session.createDataFrame([], PACKET_SCHEMA)
+        for name, summary in (summaries or {}).items():
+            summary.over(rows).createOrReplaceTempView(name)
+        return rows
 
+    return customized(empty, user_sql, after=0, base=spark)
 
-def verify_filter(spark: SparkSession, user_sql: str | None) -> str | None:
+
+def verify_filter(spark: SparkSession, user_sql: str | None, summaries: dict | None = None) -> str | None:
     """V1: ``None`` if the filter is usable, else the error text.
 
     Parsing and analysis (unknown columns, bad syntax, ``ORDER BY`` in a
@@ -43,7 +49,7 @@ def verify_filter(spark: SparkSession, user_sql: str | None) -> str | None:
     if is_blank(user_sql):
         return None
     try:
-        df = compose_on_empty(spark, user_sql)
+        df = compose_on_empty(spark, user_sql, summaries)
         problems = schema_problems(df.schema)
         if problems:
             return "; ".join(problems)
@@ -124,8 +130,9 @@ def filter_is_row_local(spark: SparkSession, user_sql: str | None) -> bool:
 class FilterSetting:
     """V3: a stored filter, checked only when its text changes."""
 
-    def __init__(self, spark: SparkSession, text: str | None = None):
+    def __init__(self, spark: SparkSession, text: str | None = None, summaries: dict | None = None):
         self.spark = spark
+        self.summaries = summaries or {}
         self.text: str | None = None
         self.row_local = True      # no filter: every row says it for itself
         self.checks = 0
@@ -136,8 +143,9 @@ class FilterSetting:
         if text == self.text:
             return
         self.checks += 1
-        error = verify_filter(self.spark, text)
+        error = verify_filter(self.spark, text, self.summaries)
         if error:
             raise ValueError(f"filter refused: {error}")
         self.text = text
-        self.row_local = filter_is_row_local(self.spark, text)
+        # With summaries the statement says itself what it needs of the history.
+        self.row_local = not self.summaries and filter_is_row_local(self.spark, text)

@@ -63,6 +63,7 @@ def hexed(df: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- Mode A feeds
+# The documented example filters.
 CONDITIONS = {
     # P5 (the minimum slice, also ``entry``)
     "condition_filter": "is_binary = false AND payload_utf8 LIKE '%password%'",
@@ -93,6 +94,7 @@ register("empty_condition", O.feed("1=1", CURSOR))(
     lambda spark, sf: Q.condition_filter(packets(spark, sf), "   ", CURSOR))
 
 # ---------------------------------------------------------------- Mode B feeds
+# Full statements after the documented examples.
 FULL_SQL = {
     "full_select": "SELECT * FROM packets WHERE length > 100 AND is_binary = false ;",
     "mode_dispatch": "  with big AS (SELECT * FROM packets WHERE length >= 1000) "
@@ -301,6 +303,20 @@ register("packet_detail", O.over_packets(
         packets(spark, sf), Q.condition_filter(packets(spark, sf), DETAIL_IDS, CURSOR))))
 
 
+# P13, P14 through the trigram index, P9 for scattered ids through the zone map.
+def _searched(patterns: list[str]):
+    return lambda spark, sf: Q.since_index_no_payload(
+        fixtures.packets_index(prepare(spark), sf).search(patterns, ~F.col("is_binary")), CURSOR)
+
+
+register("payload_search", O.feed(CONDITIONS["pred_like_contains"], CURSOR))(_searched(["%password%", "%token%"]))
+register("payload_search_enclosed", O.feed(CONDITIONS["pred_like_enclosed"], CURSOR))(_searched(["{%}"]))
+register("lookup_scattered", O.over_packets(
+    f"SELECT {O.ALL_HEX} FROM packets WHERE index IN (SELECT event_id * 7 FROM events WHERE event_id % 50 = 0)"))(
+    lambda spark, sf: hexed(fixtures.packets_index(prepare(spark), sf).lookup(
+        fixtures.table(spark, sf, "events").where("event_id % 50 = 0").select((F.col("event_id") * 7).alias("index")))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: spec.build for name, spec in REGISTRY.items()}
 
@@ -360,7 +376,7 @@ register("route_frames", O.over_packets(
     "WHEN 2 THEN 'event' ELSE 'error' END AS kind, CASE WHEN index % 4 = 2 THEN pname END AS pname, "
     f"CASE WHEN index % 4 = 0 THEN {_SAT_HB} END AS count, CASE WHEN index % 4 = 0 THEN pname END AS message, "
     "CASE WHEN index % 4 = 1 THEN uuid END AS log_info, "
-    "CASE WHEN index % 4 = 3 THEN 'missing payload in LogEntry' END AS error FROM packets"))(_mixed_frames)
+    "CASE WHEN index % 4 = 3 THEN 'no payload member is set' END AS error FROM packets"))(_mixed_frames)
 
 def _route_bad(spark, sf) -> DataFrame:
     from ..sources import frames as FR
@@ -369,7 +385,7 @@ def _route_bad(spark, sf) -> DataFrame:
 
 # The quarantine route of the same stream (a frame with no member is 2 bytes: log_type = 2).
 register("bad_frames", O.over_packets(
-    "SELECT index AS recv_seq, cast(2 AS bigint) AS n_bytes, 'missing payload in LogEntry' AS error "
+    "SELECT index AS recv_seq, cast(2 AS bigint) AS n_bytes, 'no payload member is set' AS error "
     "FROM packets WHERE index % 4 = 3"))(_route_bad)
 
 

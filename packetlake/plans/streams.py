@@ -27,6 +27,7 @@ from ..sources import fixtures, storage
 from ..sources import frames as FR
 from ..streaming import feed as feeds
 from ..streaming import store as stores
+from ..streaming.summaries import Summary
 from . import oracle as O
 from .catalog import hexed, register, source
 
@@ -36,6 +37,9 @@ AWAY = (1, 2)                 # ticks that the feed "resumed" is not there for
 CONDITION = "pname = 'curl' AND length > 1000"
 PORTS = "dst_port IN (80, 443)"
 SNAPSHOT = "SELECT * FROM packets WHERE length > (SELECT avg(length) FROM packets)"
+# The same with the mean kept up batch by batch.
+TOTALS = {"totals": Summary({"mean_length": ("avg", "length")})}
+KEPT_UP = "SELECT * FROM packets WHERE length > (SELECT mean_length FROM totals)"
 # Beside its event, event e % 10 = 0 sends a heartbeat, 1 a log line, 2 a frame without a member.
 EXTRAS = [FR.KIND_HEARTBEAT, FR.KIND_LOG, "none"]
 
@@ -54,8 +58,9 @@ class Capture:
         return os.path.join(self.root, "streamed")
 
     def feed(self, spark: SparkSession, name: str) -> feeds.Feed:
-        return feeds.Feed(self.store, name, {"all": None, "web": CONDITION, "resumed": PORTS, "above_average": SNAPSHOT}[name],
-                          spark=spark)
+        return feeds.Feed(self.store, name, {"all": None, "web": CONDITION, "resumed": PORTS, "above_average": SNAPSHOT,
+                                              "above_mean": KEPT_UP}[name],
+                          spark=spark, summaries=TOTALS if name == "above_mean" else None)
 
 
 def tick_frames(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
@@ -75,7 +80,7 @@ def tick_frames(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
 
 def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
     made = Capture(root, stores.PacketStore(os.path.join(root, "store")))
-    every = [made.feed(spark, n) for n in ("all", "web", "resumed", "above_average")]
+    every = [made.feed(spark, n) for n in ("all", "web", "resumed", "above_average", "above_mean")]
     failed = []
 
     def fail_once(batch: DataFrame, batch_id: int) -> None:
@@ -163,7 +168,7 @@ register("side_tables", over_ticks(
     "SELECT CASE index % 10 WHEN 0 THEN 'heartbeat' WHEN 1 THEN 'process_log' ELSE 'error' END AS kind, batch_id, "
     "CASE WHEN index % 10 = 0 THEN cast(least(greatest((cast(pid AS bigint) - 1075) * 30000000, -2147483648), 2147483647) AS int) END AS count, "
     "CASE WHEN index % 10 = 0 THEN pname END AS message, CASE WHEN index % 10 = 1 THEN uuid END AS log_info, "
-    "CASE WHEN index % 10 = 2 THEN 'missing payload in LogEntry' END AS error FROM ticks WHERE index % 10 < 3"))(_side)
+    "CASE WHEN index % 10 = 2 THEN 'no payload member is set' END AS error FROM ticks WHERE index % 10 < 3"))(_side)
 
 # What the feeds were given, with the tick that gave it.
 register("incremental_feed", over_ticks(f"SELECT {O.TARGET}, batch_id FROM ticks"))(_delivered("all"))
@@ -192,6 +197,8 @@ def _snapshot_oracle() -> str:
 
 
 register("feed_snapshot", _snapshot_oracle())(_delivered("above_average"))
+# The same feed from summaries: a tick reads its batch and the state, not the history.
+register("feed_summaries", _snapshot_oracle())(_delivered("above_mean"))
 
 # Every tick of every feed, the ones that delivered nothing too.
 _RUNS = ", ".join(f"('{f}', cast({k} AS bigint))" for f in ("all", "web", "resumed") for k in range(TICKS)

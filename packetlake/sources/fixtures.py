@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..operators.joins import bounded_broadcast_join, measure
 from ..operators.normalise import events_to_packets
 from ..operators.partitioning import spread
+from ..operators.skipping import FileIndex
 from ..schema import PACKET_SCHEMA
 from ..session import checkpoint_dir
 from . import storage
@@ -129,11 +130,13 @@ def _code_version() -> str:
     with open(__file__, "rb") as f:
         h.update(f.read())
     return h.hexdigest()
+
+
 _table_lock = threading.Lock()
 
 
-def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fixture's ``packets`` written once as a table, then scanned.
+def packets_path(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the fixture's ``packets`` written once as a table, then scanned.
 
     This is the shape of the system: capture is ingested into one stored table
     and every query scans that table.  It is written under the shared folder
@@ -155,4 +158,17 @@ def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
              .write.parquet(tmp))
             if not storage.rename(spark, tmp, path):
                 storage.delete(spark, tmp)
-    return spark.read.schema(PACKET_SCHEMA).parquet(path)
+    return path
+
+
+def packets_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fixture's stored ``packets`` table."""
+    return spark.read.schema(PACKET_SCHEMA).parquet(packets_path(spark, sf_dir))
+
+
+def packets_index(spark: SparkSession, sf_dir: str) -> FileIndex:
+    """The stored table with its file index, built on first use."""
+    path = packets_path(spark, sf_dir)
+    index = FileIndex(spark, path, f"{path}-files")
+    with _table_lock:
+        return index if index.built() else index.build()

@@ -34,7 +34,7 @@ HEARTBEAT_FIELDS = [("timestamp", 1, "int64"), ("count", 2, "int64"), ("message"
 # Heartbeat heartbeat_payload = 3; string run_log = 4; }
 
 KIND_EVENT, KIND_HEARTBEAT, KIND_LOG, KIND_ERROR = "event", "heartbeat", "process_log", "error"
-MISSING_PAYLOAD = "missing payload in LogEntry"
+MISSING_PAYLOAD = "no payload member is set"
 
 FRAME_DDL = "recv_seq bigint, frame binary"
 DECODED_DDL = (

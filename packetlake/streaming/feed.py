@@ -44,6 +44,7 @@ from ..schema import PACKET_SCHEMA, TARGET_COLS, TARGET_SCHEMA
 from ..sources import frames as FR
 from ..sources import storage
 from .store import BATCH_ID, FAILED, OK, STORE_ROW, PacketStore, read_partitioned, with_columns
+from .summaries import Summary
 
 log = logging.getLogger(__name__)
 
@@ -61,8 +62,13 @@ class Feed:
 
     def __init__(self, store: PacketStore, name: str = "default", user_sql: str | None = None,
                  start_after: int | None = None, spark: SparkSession | None = None,
-                 on_deliver: Callable[[DataFrame, int], None] | None = None):
-        """``on_deliver(rows, batch_id)`` is called with each tick's rows (sorted
+                 on_deliver: Callable[[DataFrame, int], None] | None = None,
+                 summaries: dict[str, Summary] | None = None):
+        """``summaries`` are views of the whole history that the statement may
+        use by name; its ``packets`` are then the rows above the cursor, so that a
+        tick reads the batch and the summaries' state, not the history.
+
+        ``on_deliver(rows, batch_id)`` is called with each tick's rows (sorted
         by index) after they are written and before the batch commits.  A
         callback that fails is called again once; if it fails again the feed
         stops with its cursor unmoved, so a feed restarted from ``cursor()``
@@ -74,7 +80,8 @@ class Feed:
         self.start_after = start_after
         self.on_deliver = on_deliver
         self.failure: str | None = None     # set when the feed failed at run time; it then stops
-        self.setting = FilterSetting(spark or SparkSession.active())
+        self.summaries = summaries or {}
+        self.setting = FilterSetting(spark or SparkSession.active(), summaries=self.summaries)
         self.setting.set(user_sql)          # V3: refused here if it cannot run
         self._sql_session: SparkSession | None = None
 
@@ -121,6 +128,8 @@ class Feed:
         """Rows this feed delivers for ``batch_id`` (12 columns, unsorted: the
         delivery sorts all feeds together)."""
         text = self.user_sql
+        if self.summaries:
+            return self._select_with_summaries(spark, batch_id, cursor)
         whole = lambda s: self.store.packets(s, upto_batch=batch_id)
         session = self._session(spark)
         if not is_blank(text) and is_full_select(text):
@@ -140,6 +149,49 @@ class Feed:
             return since_index_no_payload(rows, cursor, ordered=False)
         return condition_filter(rows, text, cursor, ordered=False)
 
+    # ---------------------------------------------------------------- summaries
+    def _state_path(self, name: str, batch_id: int) -> str:
+        return os.path.join(self.store.root, "summaries", self.name, name, f"batch_id={batch_id}")
+
+    def _state(self, spark: SparkSession, name: str, summary: Summary, batch_id: int) -> DataFrame:
+        """The partials of all rows up to ``batch_id``: the state of the batch before and this batch's rows.
+
+        Only a feed that did not run in the batch before reads the history, once.
+        """
+        new = summary.partial(self.store.batch_packets(spark, batch_id))
+        before = self._state_path(name, batch_id - 1)
+        if batch_id > 0 and storage.exists(spark, os.path.join(before, "_SUCCESS")):
+            state = summary.merge(spark.read.schema(new.schema).parquet(before), new)
+        elif batch_id > 0:
+            state = summary.partial(self.store.packets(spark, upto_batch=batch_id))
+        else:
+            state = new
+        path = self._state_path(name, batch_id)
+        state.coalesce(1 if not summary.keys else max(1, spark.sparkContext.defaultParallelism)).write.mode("overwrite").parquet(path)
+        return spark.read.schema(new.schema).parquet(path)
+
+    def _above(self, spark: SparkSession, batch_id: int, cursor: int | None) -> DataFrame:
+        """The rows above the cursor, from the batches that hold any: known from their manifests, newest first."""
+        first = batch_id
+        while first > 0:
+            mine = [r for r in self.store.manifest_rows(spark, first - 1) or [] if r["feed"] == STORE_ROW]
+            if cursor is not None and mine and mine[0]["first_index"] + mine[0]["n_rows"] - 1 <= cursor:
+                break
+            first -= 1
+        rows = spark.read.schema(PACKET_SCHEMA).parquet(*[self.store.path("packets", b) for b in range(first, batch_id + 1)])
+        return rows if cursor is None else rows.filter(F.col("index") > F.lit(int(cursor)))
+
+    def _select_with_summaries(self, spark: SparkSession, batch_id: int, cursor: int | None) -> DataFrame:
+        session = self._session(spark)
+        for name, summary in self.summaries.items():
+            summary.finish(self._state(session, name, summary, batch_id)).createOrReplaceTempView(name)
+        rows = lambda s: self._above(s, batch_id, cursor)
+        if is_full_select(self.user_sql):
+            return full_select(rows, self.user_sql, cursor, session=session, ordered=False)
+        above = rows(session)
+        above.createOrReplaceTempView("packets")
+        return condition_filter(above, self.user_sql, cursor, ordered=False)
+
     # ---------------------------------------------------------------- output
     def delivered_in(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The rows one tick delivered, in index order."""
