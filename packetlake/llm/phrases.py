@@ -26,11 +26,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.joins import bounded_broadcast_join
 from . import common
 
 SHARD_WORDS = 1 << 20      # words of a shard; a longer text makes a longer shard
 HELD_WORDS = 1 << 21       # words that a task holds over all languages before it closes its largest shard
 LONGEST = 5
+PART_TOPS = 8              # a task ranks about this many times the phrases that it keeps
 NO_LANGUAGE = "und"
 # What ends a piece, and what separates words.
 _ENDS, _SPACES = b".,;:!?\x0a\x0b\x0c\x0d", b"\x20\x09"
@@ -207,10 +209,6 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang:
     return phrases, total
 
 
-def _big(c) -> F.Column:
-    return c.cast("decimal(38,0)")
-
-
 def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top: int = 2_000, lang: str = "lang", text: str = "text") -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to ``longest`` words.
 
@@ -231,17 +229,23 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = LONGEST, top:
         F.array_join(F.slice("_w", F.col("k") + 1, F.col("length") - F.col("k")), " ").alias("rest"))
     counts = phrases.select("lang", F.col("phrase").alias("_p"), F.col("a").alias("_f"))
     cuts = (cuts.join(counts.withColumnsRenamed({"_p": "first", "_f": "l"}), ["lang", "first"])
-            .join(counts.withColumnsRenamed({"_p": "rest", "_f": "r"}), ["lang", "rest"])
-            .join(total, "lang"))
+            .join(counts.withColumnsRenamed({"_p": "rest", "_f": "r"}), ["lang", "rest"]))
+    # A few rows, as a rule; measured, and salted if it is more, so that a hot language is not joined in one task.
+    named = total.select(F.col("lang").alias("_lang"), "n")
+    cuts = bounded_broadcast_join(cuts, named, "lang", "_lang", width=F.octet_length("_lang") + 8, salt=F.xxhash64("phrase")).drop("_lang")
     score = F.expr("(1000 * cast(a as decimal(18,0)) * cast(n as decimal(18,0))) div (cast(l as decimal(18,0)) * cast(r as decimal(18,0)))")
     lowest = (cuts.withColumn("score", score)
               .groupBy("lang", "phrase", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("_c"))
               .select("lang", "phrase", "a", F.col("_c.l").alias("l"), F.col("_c.r").alias("r"), "n", F.col("_c.score").alias("score")))
     lowest = common.durable(lowest)
-    # A language's best of each part first, so that a hot language is not sorted in one task.
+    # A language's best of each part first, round by round, so that a hot language is not sorted in one task.
     order = [F.desc("score"), F.desc("a"), F.col("phrase")]
-    dealt = F.pmod(F.xxhash64("phrase"), F.lit(common.bucket_count(lowest.count(), 8 * top)))
-    some = (lowest.withColumn("_part", dealt).withColumn("_n", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order)))
-            .where(F.col("_n") <= top).drop("_n", "_part"))
+    some, left = lowest, lowest.count()
+    while left > PART_TOPS * top:
+        parts = common.bucket_count(left, PART_TOPS * top)
+        best = F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))
+        some = (some.withColumn("_part", F.pmod(F.xxhash64("phrase", F.lit(left)), F.lit(parts))).withColumn("_n", best)
+                .where(F.col("_n") <= top).drop("_n", "_part"))
+        left = left // (PART_TOPS // 2)
     return (some.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("bigint"))
             .where(F.col("rank") <= top).select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
