@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from ..operators.joins import bounded_broadcast_join
 from . import common
 
-SHARD_WORDS = 1 << 20      # words of a shard; a longer text makes a longer shard
-HELD_WORDS = 1 << 21       # words that a task holds over all languages before it closes its largest shard
+SHARD_WORDS = 1 << 21      # words of a shard; a longer text makes a longer shard
+HELD_WORDS = 3 << 20       # words that a task holds over all languages before it closes its largest shard
 LONGEST = 5
 PART_TOPS = 8              # a task ranks about this many times the phrases that it keeps
 NO_LANGUAGE = "und"
@@ -182,6 +182,7 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang:
     name = f"phrase_index_{uuid.uuid4().hex}"
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     (build_indexes(docs, lang, text, longest).write.option("compression", "zstd").bucketBy(buckets, "shard").format("parquet").saveAsTable(name))
+    tables = [name]
     try:
         index = spark.table(name)
         total = common.durable(index.groupBy("lang").agg(F.sum("n_words").alias("n")))
@@ -189,10 +190,16 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang:
             "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"), "shard", F.col("w.starts").alias("f"), F.col("w.starts").alias("r"))
         levels = []
         for length in range(1, longest + 1):
-            # One shuffle by phrase serves the sums and the way back to the shards.
+            # One shuffle by phrase serves the sums and the way back to the shards: both sides read all its columns,
+            # so that it is the same exchange.
             dealt = counted.repartition("lang", "phrase")
-            sums = dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("a")).where(F.col("a") >= least)
-            alive = common.durable(dealt.join(sums.hint("shuffle_hash"), ["lang", "phrase"]))
+            every = [F.max(c).alias(f"any_{c}") for c in ("shard", "f", "r")]
+            sums = dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), *every).where((F.col("a") >= least) & (F.col("any_f") + F.col("any_r") >= 0)
+                                                                                            & F.col("any_shard").isNotNull())
+            kept = dealt.join(sums.hint("shuffle_hash"), ["lang", "phrase"]).select("lang", "phrase", "a", "shard", "f", "r", "n")
+            tables.append(f"{name}_{length}")
+            kept.write.option("compression", "zstd").format("parquet").saveAsTable(tables[-1])
+            alive = spark.table(tables[-1])
             levels.append(alive.groupBy("lang", "phrase").agg(F.first("a").alias("a")).withColumn("length", F.lit(length)))
             if length == longest:
                 break
@@ -205,7 +212,8 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang:
             phrases = phrases.unionByName(more)
         phrases = common.durable(phrases.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"))
     finally:
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        for made in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {made}")
     return phrases, total
 
 
