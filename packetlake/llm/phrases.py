@@ -8,9 +8,10 @@ the words that follow the phrase, with their counts, and a phrase one word longe
 first word leaves a phrase that is alive too, which the forward transform tells.
 
 Lengths are taken one after another.  The shards' counts of a length are summed by phrase; only phrases that
-reach the least count go back to their shards, as intervals, to be extended.  No phrase that
-is frequent in all is lost, as its parts are at least as frequent, and what is shuffled stays near the number of
-distinct phrases made of frequent parts.  The indexes are a bucketed table and are not shuffled.
+reach the least count go back to their shards, which find their intervals by searching the index and extend them.
+No phrase that is frequent in all is lost, as its parts are at least as frequent.  Phrases travel as the corpus-wide ids
+of their words, a shard's phrases of one bucket (by the hash of the ids) as one compressed row; buckets grow in number
+with the words of the corpus, not in size.  The indexes are a bucketed table and are not shuffled.
 """
 
 from __future__ import annotations
@@ -21,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,6 +32,8 @@ from . import common
 SHARD_WORDS = 1 << 21      # words of a shard; a longer text makes a longer shard
 HELD_WORDS = 3 << 20       # words that a task holds over all languages before it closes its largest shard
 LONGEST = 5
+BUCKET_WORDS = 1 << 21     # words of the corpus for each bucket of phrases; a bucket has fewer phrases than that, as a rule
+WORD_SLICES = 1 << 20      # the ids of words are numbered within slices of their hash
 PART_TOPS = 8              # a task ranks about this many times the phrases that it keeps
 NO_LANGUAGE = "und"
 # What ends a piece, and what separates words.
@@ -80,6 +82,22 @@ def _rows(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - count), count)
 
 
+def locate(order_f: np.ndarray, order_r: np.ndarray, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, counts: np.ndarray,
+           phrases: np.ndarray):
+    """(f, r, n) of phrases that occur, one column of local ids each; ``order_f`` and ``order_r`` sort the transforms stably."""
+    size = len(forward)
+
+    def search(bwt: np.ndarray, order: np.ndarray, symbols: np.ndarray):
+        keys = bwt[order].astype(np.int64) * size + order
+        low, high = starts[symbols[0]], starts[symbols[0]] + counts[symbols[0]]
+        for symbol in symbols[1:]:
+            low, high = (np.searchsorted(keys, symbol * size + at) for at in (low, high))
+        return low, high
+
+    f, end = search(forward, order_f, phrases[::-1])
+    return f, search(backward, order_r, phrases)[0], end - f
+
+
 def extend(forward: np.ndarray, backward: np.ndarray, f: np.ndarray, r: np.ndarray, n: np.ndarray):
     """(parent, symbol, f, r, n) of every phrase one word longer whose first and last parts are both among the given phrases.
 
@@ -156,61 +174,150 @@ def build_indexes(docs: DataFrame, lang: str = "lang", text: str = "text", depth
     return chosen.mapInArrow(run, _INDEX)
 
 
-def _extend_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joined rows of shards and their alive phrases to (lang, phrase, n, shard, f, r) of the phrases one word longer."""
-    names = ("lang", "phrase", "n", "shard", "f", "r")
-    for batch in batches:
-        for i in range(batch.num_rows):
-            at = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
-            forward, backward = (np.frombuffer(at[k].as_buffer(), np.int32) for k in ("forward", "backward"))
-            alive = at["alive"].values
-            f, r, n = (alive.field(k).to_numpy(zero_copy_only=False) for k in ("f", "r", "n"))
-            parent, symbol, f, r, n = extend(forward, backward, f, r, n)
-            phrase = pc.binary_join_element_wise(alive.field("phrase").take(pa.array(parent)), at["words"].values.take(pa.array(symbol - 1)),
-                                                 pa.scalar(b" ", pa.binary()))
-            for a in range(0, len(n), 65_536):
-                part = slice(a, a + 65_536)
-                rows = len(n[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([at["lang"].as_py()] * rows, pa.string()), phrase[part], pa.array(n[part], pa.int64()),
-                     pa.array(np.full(rows, at["shard"].as_py())), pa.array(f[part]), pa.array(r[part])], names=list(names))
+def pack(columns: np.ndarray) -> bytes:
+    """Integer columns of equal length as one compressed value: the first as differences, bytes of equal weight together."""
+    shifted = np.array(columns, np.int64, order="C")
+    shifted[0] = np.diff(shifted[0], prepend=0)
+    return pa.compress(np.ascontiguousarray(shifted.view(np.uint8).reshape(len(columns), -1, 8).transpose(0, 2, 1)), codec="zstd", asbytes=True)
+
+
+def unpack(blob: pa.Scalar, rows: int, columns: int) -> np.ndarray:
+    raw = pa.decompress(blob.as_buffer(), rows * columns * 8, codec="zstd")
+    planes = np.frombuffer(raw, np.uint8).reshape(columns, 8, rows)
+    out = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(columns, rows)
+    out[0] = np.cumsum(out[0])
+    return out
+
+
+def buckets_of(words: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each phrase, one column of word ids each."""
+    mixed = np.zeros(words.shape[1], np.uint64)
+    for column in words:
+        mixed = (mixed ^ column.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return (mixed % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+
+
+def _extend_shard(at: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word ids, counts) of the phrases of ``length`` words that a shard's alive phrases can be extended to."""
+    forward, backward = (np.frombuffer(at[k].as_buffer(), np.int32) for k in ("forward", "backward"))
+    starts, counts = (np.concatenate([[0], at[k].values.to_numpy(zero_copy_only=False)]) for k in ("starts", "counts"))
+    local, ids = (at["known"].values.field(k).to_numpy(zero_copy_only=False) for k in ("local", "id"))
+    by_id = np.argsort(ids)
+    if length == 2:
+        alive = ids[by_id][None, :]
+    else:
+        packed = at["alive"].values
+        alive = np.concatenate([unpack(b, n.as_py(), length - 1) for b, n in zip(packed.field("blob"), packed.field("rows"), strict=True)], axis=1)
+        alive = alive[:, np.lexsort(alive[::-1])]
+    order_f, order_r = (np.argsort(t, kind="stable") for t in (forward, backward))
+    f, r, n = locate(order_f, order_r, forward, backward, starts, counts, local[by_id][np.searchsorted(ids, alive, sorter=by_id)])
+    parent, symbol, _, _, n = extend(forward, backward, f, r, n)
+    word = np.zeros(len(counts), np.int64)
+    word[local] = ids
+    return np.concatenate([alive[:, parent], word[symbol][None, :]]), n
+
+
+def _extended(length: int, buckets: int):
+    """Rows of shards to (bucket, shard, rows, blob): the phrases of ``length`` words and their counts."""
+    names = ("bucket", "shard", "rows", "blob")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                at = {name: batch.column(j)[i] for j, name in enumerate(batch.schema.names)}
+                words, n = _extend_shard(at, length)
+                if not len(n):
+                    continue
+                bucket = buckets_of(words, buckets)
+                order = np.argsort(bucket, kind="stable")
+                both = np.concatenate([words, n[None, :]])[:, order]
+                there, first = np.unique(bucket[order], return_index=True)
+                for b, lo, hi in zip(there.tolist(), first, np.append(first[1:], len(order)), strict=True):
+                    values = (b, at["shard"].as_py(), int(hi - lo), pack(both[:, lo:hi]))
+                    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=list(names))
+    return run
+
+
+def _summed(length: int, least: int):
+    """A bucket's rows to (shard, rows, blob): the frequent phrases with their sums (shard -1), and which of them each shard has."""
+    def run(bucket: pa.Table) -> pa.Table:
+        rows = bucket["rows"].to_pylist()
+        parts = np.concatenate([unpack(b, n, length + 1) for b, n in zip(bucket["blob"], rows, strict=True)], axis=1)
+        words, order = parts[:-1], np.lexsort(parts[-2::-1])
+        ordered = words[:, order]
+        new = np.concatenate([[True], (ordered[:, 1:] != ordered[:, :-1]).any(axis=0)])
+        sums = np.add.reduceat(parts[-1][order], np.flatnonzero(new))
+        frequent = sums >= least
+        keep = np.empty(len(order), bool)
+        keep[order] = frequent[np.cumsum(new) - 1]
+        out = [(-1, np.concatenate([ordered[:, new][:, frequent], sums[frequent][None, :]]))]
+        ends = np.cumsum(rows)
+        for shard, lo, hi in zip(bucket["shard"].to_pylist(), ends - rows, ends, strict=True):
+            out.append((shard, words[:, lo:hi][:, keep[lo:hi]]))
+        out = [(shard, columns) for shard, columns in out if columns.shape[1]]
+        return pa.table({"shard": pa.array([s for s, _ in out], pa.int64()), "rows": pa.array([c.shape[1] for _, c in out], pa.int64()),
+                         "blob": pa.array([pack(c) for _, c in out], pa.binary())})
+    return run
+
+
+def _named(level: DataFrame, words: DataFrame, length: int) -> DataFrame:
+    """(lang, length, phrase, a) of a level's frequent phrases."""
+    names = [f"w{i}" for i in range(length)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unpack(blob, n, length + 1)], names=[*names, "a"])
+
+    named = level.where("shard = -1").select("rows", "blob").mapInArrow(run, ", ".join(f"{c} bigint" for c in [*names, "a"]))
+    salt = F.xxhash64(*names)
+    for i, name in enumerate(names):
+        side = words.select(F.col("id").alias(f"_{name}"), F.col("phrase").alias(f"t{i}"), *([F.col("lang")] if i == 0 else []))
+        width = F.octet_length(f"t{i}") + 24
+        named = bounded_broadcast_join(named, side, name, f"_{name}", width=width, salt=salt)
+    return named.select("lang", F.lit(length).alias("length"), F.concat_ws(" ", *[F.col(f"t{i}") for i in range(length)]).alias("phrase"), "a")
 
 
 def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang: str = "lang", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(phrases, words): (lang, length, phrase, a) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, n)."""
     spark = docs.sparkSession
     name = f"phrase_index_{uuid.uuid4().hex}"
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    (build_indexes(docs, lang, text, longest).write.option("compression", "zstd").bucketBy(buckets, "shard").format("parquet").saveAsTable(name))
+    partitions = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    (build_indexes(docs, lang, text, longest).write.option("compression", "zstd").bucketBy(partitions, "shard").format("parquet").saveAsTable(name))
     tables = [name]
+
+    def written(df: DataFrame, as_name: str) -> DataFrame:
+        tables.append(f"{name}_{as_name}")
+        df.write.option("compression", "zstd").format("parquet").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
     try:
         index = spark.table(name)
         total = common.durable(index.groupBy("lang").agg(F.sum("n_words").alias("n")))
-        counted = index.select("lang", "shard", F.explode(F.arrays_zip("words", "counts", "starts")).alias("w")).select(
-            "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"), "shard", F.col("w.starts").alias("f"), F.col("w.starts").alias("r"))
-        levels = []
-        for length in range(1, longest + 1):
-            # One shuffle by phrase serves the sums and the way back to the shards: both sides read all its columns,
-            # so that it is the same exchange.
-            dealt = counted.repartition("lang", "phrase")
-            every = [F.max(c).alias(f"any_{c}") for c in ("shard", "f", "r")]
-            sums = dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("a"), *every).where((F.col("a") >= least) & (F.col("any_f") + F.col("any_r") >= 0)
-                                                                                            & F.col("any_shard").isNotNull())
-            kept = dealt.join(sums.hint("shuffle_hash"), ["lang", "phrase"]).select("lang", "phrase", "a", "shard", "f", "r", "n")
-            tables.append(f"{name}_{length}")
-            kept.write.option("compression", "zstd").format("parquet").saveAsTable(tables[-1])
-            alive = spark.table(tables[-1])
-            levels.append(alive.groupBy("lang", "phrase").agg(F.first("a").alias("a")).withColumn("length", F.lit(length)))
-            if length == longest:
-                break
-            lists = alive.groupBy("shard").agg(F.collect_list(F.struct("phrase", "f", "r", "n")).alias("alive"))
-            both = index.select("shard", "lang", "words", "forward", "backward").join(lists.hint("shuffle_hash"), "shard")
-            counted = both.select("lang", "words", "shard", "forward", "backward", "alive").mapInArrow(
-                _extend_shards, "lang string, phrase binary, n bigint, shard bigint, f bigint, r bigint")
-        phrases = levels[0]
-        for more in levels[1:]:
-            phrases = phrases.unionByName(more)
-        phrases = common.durable(phrases.select("lang", "length", F.col("phrase").cast("string").alias("phrase"), "a"))
+        size = total.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        buckets = common.bucket_count(size, BUCKET_WORDS)
+        # Words: one exchange serves the sums, the ids and the way back to the shards.
+        counted = index.select("lang", "shard", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "w")).select(
+            "lang", F.col("w.words").alias("phrase"), F.col("w.counts").alias("n"), "shard", (F.col("at") + 1).alias("local"))
+        slice_of = F.pmod(F.xxhash64("lang", "phrase"), F.lit(WORD_SLICES))
+        dealt = (counted.withColumn("_slice", slice_of).repartition("_slice")
+                 .withColumn("a", F.sum("n").over(Window.partitionBy("_slice", "lang", "phrase"))).where(F.col("a") >= least))
+        number = F.dense_rank().over(Window.partitionBy("_slice").orderBy("lang", "phrase"))
+        frequent = written(dealt.withColumn("id", F.shiftleft("_slice", 40) + number).select("id", "lang", "phrase", "a", "shard", "local"), "words")
+        words = common.durable(frequent.groupBy("id").agg(F.first("lang").alias("lang"), F.first("phrase").cast("string").alias("phrase"),
+                                                          F.first("a").alias("a")))
+        known = written(frequent.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("known")), "known")
+        phrases = words.select("lang", F.lit(1).alias("length"), "phrase", "a")
+        both = index.select("shard", "counts", "starts", "forward", "backward").join(known.hint("shuffle_hash"), "shard")
+        alive = None
+        for length in range(2, longest + 1):
+            shards = both if alive is None else both.join(alive.hint("shuffle_hash"), "shard")
+            spread = shards.mapInArrow(_extended(length, buckets), "bucket bigint, shard bigint, rows bigint, blob binary")
+            level = written(spread.groupBy("bucket").applyInArrow(_summed(length, least), "shard bigint, rows bigint, blob binary"), str(length))
+            phrases = phrases.unionByName(common.durable(_named(level, words, length)))
+            alive = level.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("rows", "blob")).alias("alive"))
     finally:
         for made in tables:
             spark.sql(f"DROP TABLE IF EXISTS {made}")
