@@ -16,7 +16,7 @@ import threading
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import query as Q
@@ -96,6 +96,7 @@ def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
             available_now=True, on_batch=fail_once))
         (feeds.condition_stream(spark, made.store, CONDITION).writeStream.format("parquet").trigger(availableNow=True)
          .option("checkpointLocation", os.path.join(root, "_streamed")).start(made.streamed).awaitTermination())
+    feeds.compact_deliveries(spark, made.store, TICKS - 2)     # the last tick's folders are read beside the folded ones
 
 
 _lock = threading.Lock()
@@ -146,8 +147,7 @@ register("append_batch", O.over_packets(f"SELECT {O.ALL_HEX} FROM packets"))(
 # What each micro-batch committed.
 register("micro_batch", over_ticks(
     "SELECT batch_id, min(index) AS first_index, count(*) AS n_rows FROM ticks GROUP BY batch_id"))(
-    lambda spark, sf: capture(spark, sf).store.manifest(spark).where(F.col("feed") == stores.STORE_ROW)
-    .select("batch_id", "first_index", "n_rows"))
+    lambda spark, sf: capture(spark, sf).store.batches(spark))
 
 
 # The side tables.
@@ -200,6 +200,17 @@ register("feed_snapshot", _snapshot_oracle())(_delivered("above_average"))
 # The same feed from summaries: a tick reads its batch and the state, not the history.
 register("feed_summaries", _snapshot_oracle())(_delivered("above_mean"))
 
+def _runs(spark: SparkSession, sf: str, names: list[str]) -> DataFrame:
+    """Rows and cursor of every tick of the feeds, from the rows they were given; only which ticks ran is the store's record."""
+    store = capture(spark, sf).store
+    ran = store.manifest(spark).where(F.col("feed").isin(*names)).select("feed", "batch_id")
+    given = (feeds.deliveries(spark, store).where(F.col("feed").isin(*names)).groupBy("feed", "batch_id")
+             .agg(F.count(F.lit(1)).alias("n_rows"), F.max("index").alias("last")))
+    so_far = Window.partitionBy("feed").orderBy("batch_id")
+    return ran.join(given, ["feed", "batch_id"], "left").select(
+        "feed", "batch_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.max("last").over(so_far).alias("cursor"))
+
+
 # Every tick of every feed, the ones that delivered nothing too.
 _RUNS = ", ".join(f"('{f}', cast({k} AS bigint))" for f in ("all", "web", "resumed") for k in range(TICKS)
                   if f != "resumed" or k not in AWAY)
@@ -210,8 +221,7 @@ register("feed_trigger", over_ticks(f"""
 runs(feed, batch_id) AS (VALUES {_RUNS})
 SELECT r.feed, r.batch_id, count(g.index) AS n_rows, max(max(g.index)) OVER (PARTITION BY r.feed ORDER BY r.batch_id) AS cursor
 FROM runs r LEFT JOIN given g ON g.feed = r.feed AND g.batch_id = r.batch_id GROUP BY r.feed, r.batch_id"""))(
-    lambda spark, sf: capture(spark, sf).store.manifest(spark).where(F.col("feed").isin("all", "web", "resumed"))
-    .select("feed", "batch_id", "n_rows", "cursor"))
+    lambda spark, sf: _runs(spark, sf, ["all", "web", "resumed"]))
 
 # A2: ticks that delivered something.
 register("tick_count", over_ticks(

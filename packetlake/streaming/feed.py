@@ -26,11 +26,13 @@ neither loses nor duplicates rows.
 
 from __future__ import annotations
 
+import json
 import logging
 import os
 import re
 import threading
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -195,25 +197,32 @@ class Feed:
     # ---------------------------------------------------------------- output
     def delivered_in(self, spark: SparkSession, batch_id: int) -> DataFrame:
         """The rows one tick delivered, in index order."""
-        path = os.path.join(self.store.root, "delivered", f"batch_id={batch_id}", f"feed={self.name}")
-        return read_partitioned(spark, path, TARGET_SCHEMA).orderBy("index")
+        folded = folded_deliveries(spark, self.store)
+        if folded is not None and batch_id <= folded["upto"]:
+            rows = self.delivered(spark).where(F.col("batch_id") == int(batch_id)).drop("batch_id")
+        else:
+            path = os.path.join(self.store.root, "delivered", f"batch_id={batch_id}", f"feed={self.name}")
+            rows = read_partitioned(spark, path, TARGET_SCHEMA)
+        return rows.orderBy("index")
 
     def delivered(self, spark: SparkSession) -> DataFrame:
         """Everything delivered so far, with the batch that delivered it."""
-        df = read_partitioned(spark, os.path.join(self.store.root, "delivered"), DELIVERED_SCHEMA)
-        return df.filter(F.col("feed") == self.name).drop("feed")
+        return deliveries(spark, self.store).filter(F.col("feed") == self.name).drop("feed")
 
     def ticks(self, spark: SparkSession) -> DataFrame:
-        """A2: rows and cursor per tick; ticks that delivered nothing are left out."""
-        return (self.store.manifest(spark).filter((F.col("feed") == self.name) & (F.col("n_rows") > 0))
-                .select("batch_id", "n_rows", "cursor"))
+        """A2: rows and cursor per tick, from the delivered rows; ticks that delivered nothing are left out."""
+        return self.delivered(spark).groupBy("batch_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("index").alias("cursor"))
 
     def deliver(self, spark: SparkSession, batch_id: int) -> tuple[int, int | None]:
         """Deliver this feed alone for an already stored batch (a late start).
 
         Only this feed's folder and manifest line of the batch are replaced;
-        what other feeds delivered for the batch stays as it is.
+        what other feeds delivered for the batch stays as it is.  A batch whose
+        deliveries are folded (``compact_deliveries``) is refused.
         """
+        folded = folded_deliveries(spark, self.store)
+        if folded is not None and batch_id <= folded["upto"]:
+            raise ValueError(f"the deliveries of batch {batch_id} are folded")
         prev = self.store.manifest_rows(spark, batch_id) or []
         others = [tuple(r[f] for f in ("feed", "first_index", "n_rows", "cursor", "state"))
                   for r in prev if r["feed"] != self.name]
@@ -222,6 +231,49 @@ class Feed:
         return rows[0][2], rows[0][3]
 
 
+def folded_deliveries(spark: SparkSession, store: PacketStore) -> dict | None:
+    """The folded deliveries: ``{"upto": batch id, "path": folder}``."""
+    text = storage.read_text(spark, os.path.join(store.root, "delivered_history", "CURRENT"))
+    return json.loads(text) if text else None
+
+
+def deliveries(spark: SparkSession, store: PacketStore) -> DataFrame:
+    """What all feeds were given: the folded table and the batch folders after it."""
+    rows = read_partitioned(spark, os.path.join(store.root, "delivered"), DELIVERED_SCHEMA)
+    folded = folded_deliveries(spark, store)
+    if folded is None:
+        return rows
+    old = spark.read.schema(DELIVERED_SCHEMA).parquet(folded["path"])
+    return old.unionByName(rows.filter(F.col("batch_id") > F.lit(int(folded["upto"]))))
+
+
+def compact_deliveries(spark: SparkSession, store: PacketStore, upto_batch: int, remove: bool = False) -> str:
+    """Fold the deliveries of the committed batches up to ``upto_batch`` into one table, a folder per feed.
+
+    Runs beside the capture query.  A tick leaves a small file per feed; the folded table has files of the advised
+    size, each with a range of one feed's indexes.  It is written whole and then named by one rename, so
+    readers see the batch folders or the table, each row once.  With ``remove`` the
+    folded batch folders and the table before are deleted afterwards; a reader that listed them earlier has to read again.
+    """
+    if store.manifest_rows(spark, upto_batch) is None:
+        raise ValueError(f"batch {upto_batch} is not committed")
+    before = folded_deliveries(spark, store)
+    if before is not None and before["upto"] > upto_batch:
+        raise ValueError(f"deliveries are folded up to batch {before['upto']}")
+    path = os.path.join(store.root, "delivered_history", f"upto={int(upto_batch)}-{uuid.uuid4().hex}")
+    (deliveries(spark, store).filter(F.col("batch_id") <= F.lit(int(upto_batch)))
+     .repartitionByRange("feed", "index").sortWithinPartitions("feed", "index")
+     .write.partitionBy("feed").parquet(path))
+    storage.write_text(spark, os.path.join(store.root, "delivered_history", "CURRENT"),
+                       json.dumps({"upto": int(upto_batch), "path": path}))
+    if remove:
+        for batch in range(before["upto"] + 1 if before is not None else 0, int(upto_batch) + 1):
+            storage.delete(spark, os.path.join(store.root, "delivered", f"batch_id={batch}"))
+        if before is not None and before["path"] != path:
+            storage.delete(spark, before["path"])
+    return path
+
+
 def deliver_feeds(spark: SparkSession, store: PacketStore, feeds: list[Feed], batch_id: int,
                   only_own_folder: bool = False) -> list[tuple]:
     """Evaluate every feed for a batch and write all deliveries in one job.

@@ -135,6 +135,11 @@ class PacketStore:
         """The rows one batch appended (one partition, read directly)."""
         return read_partitioned(spark, self.path("packets", batch_id), PACKET_SCHEMA)
 
+    def batches(self, spark: SparkSession) -> DataFrame:
+        """(batch_id, first_index, n_rows) of the batches that brought rows, from the packets themselves."""
+        rows = read_partitioned(spark, self.path("packets"), with_columns(PACKET_SCHEMA, BATCH_ID))
+        return rows.groupBy("batch_id").agg(F.min("index").alias("first_index"), F.count(F.lit(1)).alias("n_rows"))
+
     def side(self, spark: SparkSession, table: str) -> DataFrame:
         """``heartbeats``, ``process_logs`` or ``bad_frames``, with ``batch_id``."""
         kind, schema = SIDE_TABLES[table]

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlake.sources import fixtures, frames as FR
-from packetlake.streaming.feed import Feed, process_batch, start_capture
+from packetlake.streaming.feed import Feed, compact_deliveries, process_batch, start_capture
 from packetlake.streaming.store import PacketStore
 from tests.conftest import SF001
 
@@ -489,3 +489,35 @@ def test_building_the_plans_of_frames_runs_no_job_but_the_measured_join(spark):
     before = len(tracker.getJobIdsForGroup(None))
     FR.route_events(FR.decode_frames(FR.encode_frames(FR.events_as_frame_rows(raw))))
     assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_folded_deliveries(spark, tmp_path):
+    """The folded table and the batch folders after it hold each delivered row once, also after folding again and removing."""
+    frames_dir, root = str(tmp_path / "frames"), str(tmp_path / "store")
+    store = PacketStore(root)
+    feeds = [Feed(store, "plain"), Feed(store, "none", "index < 0"), Feed(store, "late", "index >= 4")]
+    bounds = [(0, 3), (4, 9), (10, 14)]
+
+    def given():
+        return {f.name: _by_batch(spark, f) for f in feeds}
+
+    for batch, (lo, hi) in enumerate(bounds):
+        _write_frames(spark, frames_dir, lo, hi, f"part-{batch}")
+        _run(spark, root, feeds, frames_dir)
+        want = {"plain": [list(range(a, b + 1)) for a, b in bounds[:batch + 1]], "none": [],
+                "late": [list(range(a, b + 1)) for a, b in bounds[1:batch + 1]]}
+        assert given() == want
+        if batch < 2:
+            compact_deliveries(spark, store, batch, remove=batch == 1)
+            assert given() == want
+    assert not os.path.exists(os.path.join(root, "delivered", "batch_id=1"))
+    assert [r["index"] for r in feeds[0].delivered_in(spark, 1).collect()] == list(range(4, 10))
+    assert [tuple(r) for r in feeds[2].ticks(spark).orderBy("batch_id").collect()] == [(1, 6, 9), (2, 5, 14)]
+    assert [tuple(r) for r in store.batches(spark).orderBy("batch_id").collect()] == [(0, 0, 4), (1, 4, 6), (2, 10, 5)]
+    assert len([f for f in os.listdir(os.path.join(root, "delivered_history")) if f.startswith("upto=")]) == 1
+    with pytest.raises(ValueError):
+        feeds[0].deliver(spark, 1)
+    with pytest.raises(ValueError):
+        compact_deliveries(spark, store, 0)
+    with pytest.raises(ValueError):
+        compact_deliveries(spark, store, 7)
