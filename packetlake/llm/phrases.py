@@ -85,7 +85,7 @@ def _rows(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 def locate(order_f: np.ndarray, order_r: np.ndarray, forward: np.ndarray, backward: np.ndarray, starts: np.ndarray, counts: np.ndarray,
            phrases: np.ndarray):
     """(f, r, n) of phrases that occur, one column of local ids each; ``order_f`` and ``order_r`` sort the transforms stably."""
-    size = len(forward)
+    size, phrases = len(forward), phrases.astype(np.int64)     # products pass 32 bits
 
     def search(bwt: np.ndarray, order: np.ndarray, symbols: np.ndarray):
         keys = bwt[order].astype(np.int64) * size + order
