@@ -88,3 +88,13 @@ def test_phrases_without_alive_ends_are_not_extended():
     start = np.cumsum(counts) - counts
     parent, symbol, *_, n = P.extend(forward, backward, start[1:3], start[1:3], counts[1:3])
     assert [(int(p) + 1, int(c), int(k)) for p, c, k in zip(parent, symbol, n, strict=True)] == [(1, 2, 2)]
+
+
+def test_late_words_are_located():
+    """Positions times ids pass 32 bits, with ids as Spark's integers."""
+    s = np.concatenate([[0], np.arange(1, 60_001), [60_000, 60_000, 59_999, 0]])
+    forward, backward = P.transforms(s)
+    counts = np.bincount(s)
+    orders = [np.argsort(t, kind="stable") for t in (forward, backward)]
+    words = np.array([[60_000, 59_999, 5], [60_000, 60_000, 6]], np.int32)
+    assert P.locate(*orders, forward, backward, np.cumsum(counts) - counts, counts, words)[2].tolist() == [2, 1, 1]
