@@ -7,15 +7,23 @@ when a task is re-run on another executor, count rows per partition (one row
 per partition), turn the counts into start offsets with a window over that
 tiny table, broadcast it back (its size is the partition count), sort each
 partition locally and add the row's position within its partition.
+
+For one integral key (``recv_seq``) ``number_by_key`` needs no checkpoint: quantiles of a
+KLL sketch cut the key into ranges, and a row's number is its range's start plus its place in
+the range, both functions of the keys alone.  A re-run task finds the same numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
+ROWS_PER_RANGE = 131_072
+GRID = 1_024              # ranges cut by one sketch; more are cut by a sketch for each of these
+MAX_RANGES = 65_536       # above MAX_RANGES * ROWS_PER_RANGE rows, ranges grow
+SKETCH_K = 4_096
 _POS_BITS = 33  # monotonically_increasing_id = (partition id << 33) + position
 
 
@@ -58,3 +66,60 @@ def assign_index(df: DataFrame, order_col: str | list[str] = "recv_seq", base: i
                             - F.shiftleft(F.spark_partition_id().cast("bigint"), _POS_BITS)))
     return (numbered.withColumn(out, F.lit(base) + F.col("_start") + F.col("_pos"))
             .drop("_part", "_start", "_pos"))
+
+
+def number_by_key(df: DataFrame, key: str = "recv_seq", base: int = 0, out: str = "index",
+                  rows_per_range: int = ROWS_PER_RANGE, at_most: int | None = None) -> DataFrame:
+    """Number ``df`` base, base+1, … by ascending ``key`` (integral, unique), with a row without a key first.
+
+    Two scans of the key column alone find the ranges and count their rows; the
+    rows themselves are shuffled once, each range to a partition of its own, in order, which is the
+    layout the store keeps.  ``at_most``, an upper bound of the row count, saves both scans
+    where one range holds all rows.  ``df`` must give the same rows each time it is read.
+    """
+    name = f"_{out}_range"
+    keys = df.select(F.col(key).cast("bigint").alias("k"))
+    marks = [] if at_most is not None and at_most <= rows_per_range else range_marks(keys, rows_per_range)
+    starts = [0] * (len(marks) + 1)
+    if marks:
+        counts = {r["r"]: r["n"] for r in keys.groupBy(range_of(F.col("k"), marks).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
+        for i in range(len(marks)):
+            starts[i + 1] = starts[i] + counts.get(i, 0)
+    ranged = (df.withColumn(name, range_of(F.col(key).cast("bigint"), marks))
+              .repartitionById(len(starts), F.col(name)))
+    place = F.row_number().over(Window.partitionBy(name).orderBy(F.col(key).asc_nulls_first()))
+    return (ranged.withColumn(out, F.lit(base - 1).cast("bigint") + F.get(_numbers(starts), F.col(name)) + place)
+            .drop(name))
+
+
+def range_marks(keys: DataFrame, rows_per_range: int = ROWS_PER_RANGE, grid: int = GRID) -> list[int]:
+    """Ascending keys that cut column ``k`` into ranges of about ``rows_per_range`` rows; at most ``MAX_RANGES`` - 1."""
+    def quantiles(parts: int):
+        ranks = F.array(*[F.lit(i / parts) for i in range(1, parts)])
+        return F.kll_sketch_get_quantile_bigint(F.kll_sketch_agg_bigint("k", SKETCH_K), ranks)
+
+    keys = keys.where("k IS NOT NULL")
+    n = keys.count()
+    parts = min(MAX_RANGES, -(-n // rows_per_range))
+    if parts <= 1:
+        return []
+    marks = sorted(set(keys.agg(quantiles(min(grid, parts)).alias("q")).first()["q"]))
+    if (finer := -(-parts // grid)) > 1:
+        within = keys.groupBy(range_of(F.col("k"), marks).alias("r")).agg(quantiles(finer).alias("q"))
+        marks = sorted(set(marks).union(*(r["q"] for r in within.collect())))
+    return marks
+
+
+def range_of(key: Column, marks: list[int]) -> Column:
+    """How many of the ascending ``marks`` are at most ``key``, by bisection; 0 for a null key."""
+    if not marks:
+        return F.lit(0)
+    table = _numbers(marks)
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(marks).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        (at + step <= len(marks)) & (F.get(table, at + step - 1) <= key), at + step).otherwise(at))
+
+
+def _numbers(values: list[int]) -> Column:
+    """A constant array, folded from its text: one literal instead of an expression for each value."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

@@ -18,7 +18,7 @@ from ..functions.saturate import saturate_int32
 from ..operators import listing as L
 from ..operators import query as Q
 from ..operators.normalise import events_to_packets, normalise_heartbeats
-from ..operators.numbering import assign_index
+from ..operators.numbering import assign_index, number_by_key
 from ..schema import TARGET_COLS
 from ..session import prepare
 from ..sources import fixtures
@@ -181,6 +181,13 @@ register("assign_index", "SELECT event_id, row_number() OVER (ORDER BY ts, event
     lambda spark, sf: assign_index(fixtures.table(prepare(spark), sf, "events").select("event_id", "ts"),
                                    order_col=["ts", "event_id"]).select("event_id", "index"))
 
+# By one integral key, here in another order than the files', over ranges small enough that every table has several.
+register("number_by_key", "SELECT event_id, user_id, row_number() OVER (ORDER BY event_id % 1000, event_id) - 1 AS index FROM events")(
+    lambda spark, sf: number_by_key(
+        fixtures.table(prepare(spark), sf, "events").select(
+            "event_id", "user_id", (F.col("event_id") % 1000 * 10 ** 12 + F.col("event_id")).alias("key")),
+        "key", rows_per_range=256).select("event_id", "user_id", "index"))
+
 # ---------------------------------------------------------------- rendering (F1 … F13)
 # Raw timestamps in every unit the rules tell apart, derived from the packets.
 RAW_TS_SQL = ("CASE index % 6 WHEN 0 THEN timestamp WHEN 1 THEN timestamp // 1000 "

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from ..functions.saturate import saturate_int32
 from ..operators.normalise import events_to_packets
-from ..operators.numbering import assign_index
+from ..operators.numbering import number_by_key
 from ..schema import BAD_FRAME_SCHEMA, HEARTBEAT_SCHEMA, PACKET_SCHEMA, PROCESS_LOG_SCHEMA
 from ..sources import storage
 
@@ -53,7 +53,6 @@ SIDE_SCHEMA = T.StructType([
 ])
 SIDE_TABLES = {"heartbeats": ("heartbeat", HEARTBEAT_SCHEMA), "process_logs": ("process_log", PROCESS_LOG_SCHEMA),
                "bad_frames": ("error", BAD_FRAME_SCHEMA)}
-ROWS_PER_NUMBERING_PARTITION = 2_000_000
 
 
 def with_columns(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -184,16 +183,13 @@ class PacketStore:
 
         ``events`` has ``recv_seq`` (unique, arrival order) and the decoded event
         columns with ``payload``.  Returns the number of rows, observed during
-        the write.  The numbering spreads over one partition per
-        ``ROWS_PER_NUMBERING_PARTITION`` rows of ``size_hint`` (an upper bound
-        of the row count; counted when not given).
+        the write.  The numbering spreads over ranges of ``recv_seq``, a file each.
+        ``size_hint`` is an upper bound of the row count.
         """
         target = self.path("packets", batch_id)
         if storage.exists(spark := events.sparkSession, target):
             return self.batch_packets(spark, batch_id).count()
-        size = events.count() if size_hint is None else size_hint
-        parts = max(1, -(-size // ROWS_PER_NUMBERING_PARTITION))
-        numbered = assign_index(events, "recv_seq", base=base, out="index", num_partitions=parts)
+        numbered = number_by_key(events, "recv_seq", base=base, out="index", at_most=size_hint)
         obs = Observation(f"append_{batch_id}_{time.monotonic_ns()}")
         (events_to_packets(numbered).observe(obs, F.count(F.lit(1)).alias("n"))
          .write.mode("overwrite").parquet(self.path("staging", batch_id)))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packetlake.operators.numbering import assign_index
+from packetlake.operators.numbering import assign_index, number_by_key, range_marks, range_of
 
 
 @pytest.mark.parametrize("in_parts,out_parts", [(1, 1), (7, 3), (16, 8), (3, 20)])
@@ -40,3 +40,42 @@ def test_gap_free_property(spark, n, in_parts, out_parts, base):
     out = assign_index(df, "recv_seq", base=base, num_partitions=out_parts).collect()
     pairs = sorted((r["recv_seq"], r["index"]) for r in out)
     assert [p[1] for p in pairs] == list(range(base, base + n))
+
+
+@settings(max_examples=8, deadline=None)
+@given(keys=st.lists(st.one_of(st.integers(-2**63, 2**63 - 1), st.integers(0, 50)), unique=True, max_size=60),
+       parts=st.integers(1, 5), rows=st.integers(1, 20), base=st.integers(0, 10**12), null=st.booleans())
+def test_by_key_equals_sorting(spark, keys, parts, rows, base, null):
+    given_keys = keys + [None] * null
+    df = spark.createDataFrame([(k, f"p{k}") for k in given_keys], "recv_seq bigint, payload string").repartition(parts)
+    out = number_by_key(df, base=base, rows_per_range=rows).orderBy("index").collect()
+    expected = [None] * null + sorted(keys)
+    assert [(r["recv_seq"], r["payload"], r["index"]) for r in out] == [(k, f"p{k}", base + i) for i, k in enumerate(expected)]
+
+
+def test_by_key_with_crowded_keys(spark):
+    """A third of the keys lie side by side, the rest are spread over 2**50: ranges stay even and each is a partition."""
+    n = 30_000
+    df = spark.range(n).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.col("id") * 2**35 + 2**50).alias("recv_seq"))
+    out = number_by_key(df, rows_per_range=1000).withColumn("part", F.spark_partition_id())
+    parts = (out.groupBy("part").agg(F.count("*").alias("n"), F.min("index").alias("lo"), F.max("index").alias("hi"),
+                                     F.min("recv_seq").alias("first"), F.max("recv_seq").alias("last")).orderBy("part").collect())
+    assert len(parts) == 30 and max(p["n"] for p in parts) < 1500
+    at = 0
+    for p in parts:
+        assert (p["lo"], p["hi"]) == (at, at + p["n"] - 1)
+        at += p["n"]
+    assert at == n and all(a["last"] < b["first"] for a, b in zip(parts, parts[1:]))
+
+
+def test_marks_of_two_levels(spark):
+    keys = spark.range(20_000).select((F.col("id") * F.col("id")).alias("k"))
+    marks = range_marks(keys, rows_per_range=200, grid=8)
+    counts = [r["n"] for r in keys.groupBy(range_of(F.col("k"), marks).alias("r")).agg(F.count("*").alias("n")).collect()]
+    assert 90 <= len(marks) <= 110 and sum(counts) == 20_000 and max(counts) < 400
+
+
+def test_by_key_shuffles_rows_once_and_checkpoints_nothing(spark):
+    df = spark.range(5000).select(F.col("id").alias("recv_seq"), F.lit("x").alias("payload"))
+    plan = number_by_key(df, rows_per_range=500)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan and "Join" not in plan
