@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.joins import bounded_broadcast_join, measure
+from ..operators.joins import bounded_broadcast_join, fits, measure
 from ..operators.normalise import events_to_packets
 from ..operators.partitioning import spread
 from ..operators.skipping import FileIndex
@@ -64,14 +64,17 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
     ``by_range`` range-partitions the events by ``event_id`` (= ``recv_seq``)
     before anything is derived: the range sampler then reads only the scan,
     and every later step is narrow, so the ranges reach the output as they are.
+    Documents too big to broadcast are joined by a shuffle on their id instead,
+    and no other shuffle goes before it.
     """
     ev = table(spark, sf_dir, "events")
     ts_type = ev.schema["ts"].dataType
     ev = ev.select("event_id", "ts", "user_id", "props")
-    ev = ev.repartitionByRange("event_id") if by_range else spread(ev, "event_id")
     eid, uid = F.col("event_id"), F.col("user_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs, doc_bytes = measure(docs, F.octet_length("text"))
+    if fits(n_docs, doc_bytes):
+        ev = ev.repartitionByRange("event_id") if by_range else spread(ev, "event_id")
     kind = F.col("_kind")
     e = ev.select(
         eid.alias("recv_seq"),
