@@ -74,7 +74,8 @@ def number_by_key(df: DataFrame, key: str = "recv_seq", base: int = 0, out: str
 
     Two scans of the key column alone find the ranges and count their rows; the
     rows themselves are shuffled once, each range to a partition of its own, in order, which is the
-    layout the store keeps.  ``at_most``, an upper bound of the row count, saves both scans
+    layout the store keeps.  Of more than ``GRID`` small ranges, neighbours share a partition of at most
+    about ``ROWS_PER_RANGE`` rows: tasks then grow with the rows, not with the ranges.  ``at_most``, an upper bound of the row count, saves both scans
     where one range holds all rows.  ``df`` must give the same rows each time it is read.
     """
     name = f"_{out}_range"
@@ -85,6 +86,8 @@ def number_by_key(df: DataFrame, key: str = "recv_seq", base: int = 0, out: str
         counts = {r["r"]: r["n"] for r in keys.groupBy(range_of(F.col("k"), marks).alias("r")).agg(F.count(F.lit(1)).alias("n")).collect()}
         for i in range(len(marks)):
             starts[i + 1] = starts[i] + counts.get(i, 0)
+        shared = ranges_per_partition(len(starts), starts[-1] + counts.get(len(marks), 0))
+        marks, starts = marks[shared - 1::shared], starts[::shared]
     ranged = (df.withColumn(name, range_of(F.col(key).cast("bigint"), marks))
               .repartitionById(len(starts), F.col(name)))
     place = F.row_number().over(Window.partitionBy(name).orderBy(F.col(key).asc_nulls_first()))
@@ -92,6 +95,11 @@ def number_by_key(df: DataFrame, key: str = "recv_seq", base: int = 0, out: str
             .drop(name))
 
 
+def ranges_per_partition(ranges: int, rows: int) -> int:
+    """How many neighbouring ranges share a partition: 1 up to ``GRID`` ranges."""
+    return max(1, min(-(-ranges // GRID), ranges * ROWS_PER_RANGE // max(1, rows)))
+
+
 def range_marks(keys: DataFrame, rows_per_range: int = ROWS_PER_RANGE, grid: int = GRID) -> list[int]:
     """Ascending keys that cut column ``k`` into ranges of about ``rows_per_range`` rows; at most ``MAX_RANGES`` - 1."""
     def quantiles(parts: int):

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from packetlake.operators.numbering import assign_index, number_by_key, range_marks, range_of
+from packetlake.operators.numbering import assign_index, number_by_key, range_marks, range_of, ranges_per_partition
 
 
 @pytest.mark.parametrize("in_parts,out_parts", [(1, 1), (7, 3), (16, 8), (3, 20)])
@@ -79,3 +79,12 @@ def test_by_key_shuffles_rows_once_and_checkpoints_nothing(spark):
     df = spark.range(5000).select(F.col("id").alias("recv_seq"), F.lit("x").alias("payload"))
     plan = number_by_key(df, rows_per_range=500)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and "ExistingRDD" not in plan and "Join" not in plan
+
+
+def test_many_small_ranges_share_partitions(spark):
+    n = 6000
+    df = spark.range(n).select(((F.col("id") * 7) % n).alias("recv_seq"))
+    out = number_by_key(df, rows_per_range=3)
+    assert out.rdd.getNumPartitions() <= 1024
+    assert out.where("recv_seq = index").count() == n
+    assert [ranges_per_partition(*x) for x in ((1, 0), (1024, 10**9), (1025, 10**5), (65_536, 36_000_000), (65_536, 10**12))] == [1, 1, 2, 64, 1]
