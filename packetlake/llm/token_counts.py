@@ -5,9 +5,9 @@ it, so the count of a text is the sum over its white-space separated
 pre-tokens.  Tier 1 is a compact table {pre-token: number of tokens} of
 frequent pre-tokens, at most ``TABLE_ROWS`` entries of at most
 ``MAX_KEY_BYTES`` bytes, broadcast to the workers.  Tier 2 encodes what misses
-with the tokenizer itself, some texts together, through a bounded cache that each worker process keeps.  No
-pre-token of the counted texts is shuffled: the frequent ones are looked for in about ``COUNTED_DOCS`` documents, and
-which pre-tokens the table holds changes the work only, no count.
+with the tokenizer itself, some texts together, through a bounded cache that each worker process keeps.  The
+frequent pre-tokens are the most frequent of all texts, counted exactly: each task sends its counts, a row for
+each distinct pre-token of up to ``COUNTER_ROWS``, and no row for each occurrence.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,9 +26,8 @@ from . import common
 
 TABLE_ROWS = 32_768       # tier 1: entries, so at most about 4 MB
 MAX_KEY_BYTES = 32
-COUNTED_DOCS = 16_384     # documents, about, that the frequent pre-tokens are found in
-SUMMARY_ROWS = 16_384     # most frequent pre-tokens that a task reports
-COUNTER_ROWS = 100_000    # distinct pre-tokens a task counts at a time
+COUNTER_ROWS = 100_000    # distinct pre-tokens a task counts before it sends the counts on
+SUMMARY_ROWS = 16_384     # counts in a record batch
 CACHE_ROWS = 262_144      # tier 2: entries a worker keeps before it starts afresh
 CACHE_KEY_BYTES = 64
 CHUNK_BYTES = 1 << 20     # texts whose misses are encoded in one call; a longer text is a chunk of its own
@@ -55,26 +55,47 @@ def _kept(path: str):
     return load(path), {}
 
 
-def frequent_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(pre_token, n): frequent pre-tokens, at most ``TABLE_ROWS``, counted in about ``COUNTED_DOCS`` documents dealt by a hash of the text."""
+def counted_pre_tokens(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(pre_token, n): how often each pre-token of at most ``MAX_KEY_BYTES`` bytes occurs in all texts."""
+    def sent(seen: Counter) -> Iterator[pa.RecordBatch]:
+        short = [k for k in seen if len(k) <= MAX_KEY_BYTES]
+        for i in range(0, len(short), SUMMARY_ROWS):
+            some = short[i:i + SUMMARY_ROWS]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(some, pa.binary()), pa.array([seen[k] for k in some], pa.int64())], names=["pre_token", "n"])
+
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for batch in batches:
             for raw in common.raw_texts(batch.column(0)):
                 seen.update(raw.split())
                 if len(seen) > COUNTER_ROWS:
-                    seen = Counter(dict(seen.most_common(COUNTER_ROWS // 2)))
-        top = [(k, n) for k, n in seen.most_common(SUMMARY_ROWS) if len(k) <= MAX_KEY_BYTES]
-        if top:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in top], pa.binary()), pa.array([n for _, n in top], pa.int64())],
-                names=["pre_token", "n"])
+                    yield from sent(seen)
+                    seen = Counter()
+        yield from sent(seen)
+
+    return (docs.select(F.col(text).alias("text")).mapInArrow(summarise, "pre_token binary, n bigint")
+            .groupBy("pre_token").agg(F.sum("n").alias("n")))
 
-    few = max(1, docs.count() // COUNTED_DOCS)
-    body = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(few)) == 0)
-    return (body.mapInArrow(summarise, "pre_token binary, n bigint")
-            .groupBy("pre_token").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "pre_token").limit(TABLE_ROWS))
+
+def frequent_pre_tokens(docs: DataFrame, text: str = "text") -> list[bytes]:
+    """The most frequent pre-tokens, at most ``TABLE_ROWS``: all that occur more than a least number of times, found from all counts.
+
+    The driver gets the number of pre-tokens of each of the highest counts, then the
+    pre-tokens above the least: at most ``TABLE_ROWS`` of them, however many share the least count.
+    """
+    counts = counted_pre_tokens(docs, text).persist(StorageLevel.DISK_ONLY)
+    try:
+        held = counts.groupBy("n").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("n")).limit(TABLE_ROWS + 1).collect()
+        least, room = 0, TABLE_ROWS
+        for r in held:
+            room -= r["rows"]
+            if room < 0:
+                least = r["n"]
+                break
+        return [bytes(r["pre_token"]) for r in counts.where(F.col("n") > least).select("pre_token").collect()]
+    finally:
+        counts.unpersist()
 
 
 def count_chunk(raws: list[bytes], frequent: dict, cache: dict, encode) -> list[int]:
@@ -108,7 +129,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     space is one pre-token and is encoded whole.  Special strings inside a text
     hold no white space, so they are handled as the library does by default.
     """
-    top = [bytes(r["pre_token"]) for r in frequent_pre_tokens(docs, text).collect()]
+    top = frequent_pre_tokens(docs, text)
     table = docs.sparkSession.sparkContext.broadcast(dict(zip(top, lengths(load(tokenizer_path), top), strict=True)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

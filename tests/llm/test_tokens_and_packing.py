@@ -34,6 +34,20 @@ def test_counts_match_the_library(spark, make_docs):
     assert got == want
 
 
+def test_pre_tokens_are_counted_in_every_text(spark, make_docs, monkeypatch):
+    """40,000 texts and a counter of two entries: the counts are exact, and the table holds all above the least count that fits."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(40_000).select(F.col("id").alias("doc_id"), F.concat_ws(
+        " ", F.lit("all"), F.when(F.col("id") % 2 == 0, "even"), F.concat(F.lit("w"), F.col("id") % 10), F.lit("x" * 40)).alias("text"))
+    monkeypatch.setattr(token_counts, "COUNTER_ROWS", 2)
+    counts = {bytes(r.pre_token): r.n for r in token_counts.counted_pre_tokens(docs).collect()}
+    assert counts == {b"all": 40_000, b"even": 20_000} | {b"w%d" % i: 4_000 for i in range(10)}
+    assert set(token_counts.frequent_pre_tokens(docs)) == set(counts)
+    monkeypatch.setattr(token_counts, "TABLE_ROWS", 6)
+    assert set(token_counts.frequent_pre_tokens(docs)) == {b"all", b"even"}
+
+
 def test_counts_without_cache_room(spark, make_docs, monkeypatch):
     monkeypatch.setattr(token_counts, "CACHE_ROWS", 3)
     monkeypatch.setattr(token_counts, "SUMMARY_ROWS", 1)
