@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators import query as Q
 from ..operators import verify as V
 from ..schema import TARGET_COLS
-from ..session import checkpoint_dir, prepare
+from ..session import checkpoint_dir, prepare, shuffles_freed
 from ..sources import fixtures, storage
 from ..sources import frames as FR
 from ..streaming import feed as feeds
@@ -63,19 +63,32 @@ class Capture:
                           spark=spark, summaries=TOTALS if name == "above_mean" else None)
 
 
-def tick_frames(spark: SparkSession, sf_dir: str, tick: int) -> DataFrame:
-    """The frames of one part: events whose id lies in the tick's share of the ids, with their extra frames."""
-    raw = fixtures.raw_events(spark, sf_dir)
+def tick_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of all parts: events with their extra frames, and the ``tick`` whose share of the ids holds the event's."""
+    raw = fixtures.raw_events(spark, sf_dir).where("recv_seq IS NOT NULL")
     ids = fixtures.table(spark, sf_dir, "events").agg((F.max("event_id") + 1).alias("_ids"))   # one row
-    mine = (raw.join(F.broadcast(ids), F.call_function("div", F.col("recv_seq") * TICKS, F.col("_ids")) == tick)
-            .drop("_ids"))
     extra = F.when(F.col("recv_seq") % 10 == 0, F.lit(EXTRAS[0]))
     for i, member in enumerate(EXTRAS[1:], 1):
         extra = extra.when(F.col("recv_seq") % 10 == i, F.lit(member))
-    rows = (FR.events_as_frame_rows(mine).withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1))))
+    rows = (FR.events_as_frame_rows(raw).withColumn("_at", F.explode(F.array(F.lit(0), F.lit(1))))
             .withColumn("member", F.when(F.col("_at") == 0, F.col("member")).otherwise(extra)).where("member IS NOT NULL"))
-    return FR.encode_frames(rows.withColumn("count", (F.col("pid") - 1075) * 30000000).withColumn("message", F.col("pname"))
-                            .withColumn("log_info", F.col("uuid")).withColumn("recv_seq", F.col("recv_seq") * 2 + F.col("_at")))
+    frames = FR.encode_frames(rows.withColumn("count", (F.col("pid") - 1075) * 30000000).withColumn("message", F.col("pname"))
+                              .withColumn("log_info", F.col("uuid")).withColumn("recv_seq", F.col("recv_seq") * 2 + F.col("_at")))
+    event = F.shiftright("recv_seq", 1)
+    return (frames.join(F.broadcast(ids)).withColumn("tick", F.call_function("div", event * TICKS, F.col("_ids"))).drop("_ids")
+            .where(F.col("tick").between(0, TICKS - 1)))
+
+
+def _send(spark: SparkSession, root: str, made: str, tick: int) -> None:
+    """One part arrives: its folder is renamed into the watched one; a part without frames is an empty file."""
+    folder = os.path.join(root, "frames", f"tick-{tick}")
+    part = os.path.join(made, f"tick={tick}")
+    if not storage.exists(spark, part):
+        spark.createDataFrame([], FR.FRAME_SCHEMA).write.parquet(folder)
+        return
+    storage.make_folder(spark, os.path.join(root, "frames"))
+    if not storage.rename(spark, part, folder):
+        raise OSError(f"could not move {part}")
 
 
 def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
@@ -88,8 +101,10 @@ def _run_ticks(spark: SparkSession, sf_dir: str, root: str) -> None:
             failed.append(batch_id)
             raise RuntimeError("injected failure of a tick")
 
+    parts = os.path.join(root, "frames-made")     # derived in one job: the documents are joined once for all ticks
+    (tick_frames(spark, sf_dir).write.partitionBy("tick").option("compression", storage.PAYLOAD_CODEC).parquet(parts))
     for tick in range(TICKS):
-        tick_frames(spark, sf_dir, tick).write.parquet(os.path.join(root, "frames", f"tick-{tick}"))
+        _send(spark, root, parts, tick)
         here = [f for f in every if f.name != "resumed" or tick not in AWAY]
         feeds.run_with_restarts(lambda: feeds.start_capture(
             FR.frame_source(spark, made.frames, stream=True), made.store, here, os.path.join(root, "_capture"),
@@ -117,7 +132,8 @@ def capture(spark: SparkSession, sf_dir: str) -> Capture:
         root = storage.read_text(spark, made)
         if root is None:
             root = os.path.join(folder, f"capture-{key}-{uuid.uuid4().hex}")
-            _run_ticks(spark, sf_dir, root)
+            with shuffles_freed(spark):
+                _run_ticks(spark, sf_dir, root)
             storage.write_text(spark, made, root)
     return Capture(root, stores.PacketStore(os.path.join(root, "store")))
 

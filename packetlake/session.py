@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 
@@ -17,6 +19,8 @@ SESSION_DEFAULTS = {
 }
 
 
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 # Context settings (fixed when the context starts): checkpoints written by the
 # numbering are removed once nothing refers to them any more.
 CONTEXT_DEFAULTS = {
@@ -50,6 +54,20 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextlib.contextmanager
+def shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Each query run inside leaves no shuffle files behind: the next one need not find room beside them.
+
+    For jobs that write what they compute and run a DataFrame once; running it again would recompute its shuffles.
+    """
+    before = spark.conf.get(FREE_SHUFFLES)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(FREE_SHUFFLES, before)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -21,7 +21,7 @@ from ..operators.normalise import events_to_packets
 from ..operators.partitioning import spread
 from ..operators.skipping import FileIndex
 from ..schema import PACKET_SCHEMA
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, shuffles_freed
 from . import storage
 
 # Fixed values of the derivation (must equal the oracle SQL).
@@ -64,19 +64,40 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
     ``by_range`` range-partitions the events by ``event_id`` (= ``recv_seq``)
     before anything is derived: the range sampler then reads only the scan,
     and every later step is narrow, so the ranges reach the output as they are.
-    Documents too big to broadcast are joined by a shuffle on their id instead,
-    and no other shuffle goes before it.
+    Documents too big to broadcast are joined by a shuffle on their id instead: only the
+    events that look one up are shuffled, by their key columns; the others stay in their splits.
     """
     ev = table(spark, sf_dir, "events")
     ts_type = ev.schema["ts"].dataType
     ev = ev.select("event_id", "ts", "user_id", "props")
-    eid, uid = F.col("event_id"), F.col("user_id")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n_docs, doc_bytes = measure(docs, F.octet_length("text"))
+    eid, uid = F.col("event_id"), F.col("user_id")
+    uses_doc = _kind(eid).eqNullSafe(4)
+    doc = F.when(uses_doc, F.call_function("div", eid, F.lit(KINDS)) % max(n_docs, 1)).alias("_doc")
+
+    def with_text(rows: DataFrame) -> DataFrame:
+        return bounded_broadcast_join(rows, docs, "_doc", "doc_id", width=F.octet_length("text"), salt=F.xxhash64("event_id"),
+                                      how="left", measured=(n_docs, doc_bytes))
+
     if fits(n_docs, doc_bytes):
         ev = ev.repartitionByRange("event_id") if by_range else spread(ev, "event_id")
-    kind = F.col("_kind")
-    e = ev.select(
+        # Only kind 4 looks a document up; the others pass the left join with a null key.
+        joined = with_text(ev.select("*", doc))
+    else:
+        looking_up = ev.where(uses_doc).select("event_id", "ts", "user_id", doc)
+        others = spread(ev.where(~uses_doc), "event_id")
+        joined = with_text(looking_up).unionByName(others, allowMissingColumns=True)
+    kind = _kind(eid)
+    text = (F.when(kind == 0, F.concat(F.lit("GET /item/"), uid.cast("string"), F.lit(" HTTP/1.1\nHost: " + HTTP_HOST)))
+            .when(kind == 1, F.col("props"))
+            .when(kind == 2, F.concat(F.lit("POST /login password=p"), eid.cast("string")))
+            .when(kind == 4, F.coalesce("text", F.lit(""))))
+    payload = (F.when(kind == 3, F.unhex(F.concat(F.lit("ffd8"), F.md5(eid.cast("string")))))
+               .when(kind == 5, F.lit(bytearray()))
+               .when(kind == 6, F.unhex(F.lit("61" * 120 + "ff")))
+               .otherwise(text.cast("binary")))
+    return (joined.select(
         eid.alias("recv_seq"),
         (epoch_micros(F.col("ts"), ts_type) * 1000).alias("timestamp"),
         F.md5(eid.cast("string")).alias("uuid"),
@@ -88,27 +109,10 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
         (F.lit(1000) + uid).cast("bigint").alias("pid"),
         _case(eid % 5, PNAMES).alias("pname"),
         (eid % 7).cast("bigint").alias("type"),
-        _kind(eid).alias("_kind"),
-        F.when(_kind(eid) == 4, F.call_function("div", eid, F.lit(KINDS)) % max(n_docs, 1)).alias("_doc"),
-        uid.alias("_user"),
-        F.col("props").alias("_props"),
-    )
-    # Only kind 4 looks a document up; the others pass the left join with a null key.
-    joined = bounded_broadcast_join(e, docs, "_doc", "doc_id", width=F.octet_length("text"), salt=F.xxhash64("recv_seq"),
-                                    how="left", measured=(n_docs, doc_bytes))
-    text = (F.when(kind == 0, F.concat(F.lit("GET /item/"), F.col("_user").cast("string"),
-                                       F.lit(" HTTP/1.1\nHost: " + HTTP_HOST)))
-            .when(kind == 1, F.col("_props"))
-            .when(kind == 2, F.concat(F.lit("POST /login password=p"), F.col("recv_seq").cast("string")))
-            .when(kind == 4, F.coalesce("text", F.lit(""))))
-    payload = (F.when(kind == 3, F.unhex(F.concat(F.lit("ffd8"), F.col("uuid"))))
-               .when(kind == 5, F.lit(bytearray()))
-               .when(kind == 6, F.unhex(F.lit("61" * 120 + "ff")))
-               .otherwise(text.cast("binary")))
-    return (joined.withColumn("payload", payload)
-            .withColumn("length", F.octet_length("payload").cast("bigint"))
-            .select("recv_seq", "timestamp", "uuid", "src_ip", "src_port", "dst_ip", "dst_port",
-                    "pid", "pname", "type", "length", "payload"))
+        payload.alias("payload"))
+        .withColumn("length", F.octet_length("payload").cast("bigint"))
+        .select("recv_seq", "timestamp", "uuid", "src_ip", "src_port", "dst_ip", "dst_port",
+                "pid", "pname", "type", "length", "payload"))
 
 
 def packets(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
@@ -157,8 +161,9 @@ def packets_path(spark: SparkSession, sf_dir: str) -> str:
             # Written aside and renamed into place: a concurrent writer of the
             # same table never sees (or deletes) a half-written folder.
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
-            (packets(spark, sf_dir, by_range=True).sortWithinPartitions("index")
-             .write.parquet(tmp))
+            with shuffles_freed(spark):
+                (packets(spark, sf_dir, by_range=True).sortWithinPartitions("index")
+                 .write.option("compression", storage.PAYLOAD_CODEC).parquet(tmp))
             if not storage.rename(spark, tmp, path):
                 storage.delete(spark, tmp)
     return path

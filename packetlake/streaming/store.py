@@ -125,7 +125,7 @@ class PacketStore:
             raise ValueError(f"batch {upto_batch} is not committed")
         path = os.path.join(self.root, "history", f"upto={int(upto_batch)}-{uuid.uuid4().hex}")
         rows = self.packets(spark, upto_batch)
-        rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").parquet(path)
+        rows.repartitionByRange("index").sortWithinPartitions("index").write.mode("overwrite").option("compression", storage.PAYLOAD_CODEC).parquet(path)
         storage.write_text(spark, os.path.join(self.root, "history", "CURRENT"),
                            json.dumps({"upto": int(upto_batch), "path": path}))
         return path
@@ -192,7 +192,7 @@ class PacketStore:
         numbered = number_by_key(events, "recv_seq", base=base, out="index", at_most=size_hint)
         obs = Observation(f"append_{batch_id}_{time.monotonic_ns()}")
         (events_to_packets(numbered).observe(obs, F.count(F.lit(1)).alias("n"))
-         .write.mode("overwrite").parquet(self.path("staging", batch_id)))
+         .write.mode("overwrite").option("compression", storage.PAYLOAD_CODEC).parquet(self.path("staging", batch_id)))
         n = int(obs.get["n"])
         storage.make_folder(spark, self.path("packets"))
         if not storage.rename(spark, self.path("staging", batch_id), target):
