@@ -8,6 +8,11 @@ agree in a sample with the probability sum(min weights) / sum(max weights),
 their generalised Jaccard similarity, so the share of equal samples estimates it.
 Everything is built from DataFrame functions: a word's value and its (word, t)
 are packed into one long, so a signature is a set of plain minima.
+
+The exponential of a word's value is exponentially distributed with rate w, so the least of a text of W words lies
+below DRAWS / W but for one sample in e**DRAWS.  A value above that is not worth its logarithms: it exceeds
+ln c - ln w - r, and (1 - e**-c) * e**-r, a product of the uniform numbers, tells without them.  A
+text with a sample that is not below the bound is sampled again in full, so the bound changes no result.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ KNOWN_TERMS = 32_768     # frequent (word, weight) pairs whose samples are taken
 COUNTED_DOCS = 16_384    # documents, about, that these are found in; which pairs are known changes no result
 SPACE = r"[\x20\x09-\x0D]+"
 LOWEST = 128.0           # values lie above -LOWEST: r is at most 46, ln w at most 44
+DRAWS = 24.0             # values are sampled below DRAWS / words of the text
 SCALE = float(1 << 23)   # steps of a value; (value + LOWEST) * SCALE stays below 2**31
 
 
@@ -49,6 +55,19 @@ def sample(term: Column, log_weight: Column, j: int) -> Column:
     return F.shiftleft(F.floor((value + F.lit(LOWEST)) * F.lit(SCALE)), 32).bitwiseOR(mark)
 
 
+def may_be_least(term: Column, weight: Column, words: Column, j: int) -> Column:
+    """Whether the term's value in sample ``j`` may lie below ln(DRAWS / words); a thousandth covers rounding."""
+    h, g = (F.xxhash64(term.bitwiseXOR(_constant(3 * j + i))) for i in range(2))
+    (u1, u2), (u3, u4) = _uniforms(h), _uniforms(g)
+    return (F.lit(1.0) - u3 * u4) * (u1 * u2) * words <= weight * F.lit(1.001 * DRAWS)
+
+
+def _below(values: Column, words: Column) -> Column:
+    """Whether every sample lies below the bound: then no value left out is less."""
+    bound = F.floor((F.ln(F.lit(DRAWS) / words) + F.lit(LOWEST)) * F.lit(SCALE))
+    return F.forall(values, lambda x: F.shiftright(x, 32) < bound)
+
+
 def _some_words(text: str) -> Column:
     """The words of a text; the empty word, once, if it has none."""
     empty = F.length(F.translate(text, " \t\n\x0b\x0c\r", "")) == 0
@@ -65,12 +84,17 @@ def known_samples(texts: DataFrame, text: str = "text", samples: int = SAMPLES)
     return common.durable(often.select("_term", "_n", F.array(*[sample(*pair, j) for j in range(samples)]).alias("_known")))
 
 
-def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples: int) -> DataFrame:
-    """(keys, _v, _first): the least value of each sample over the rows (keys, _term, _n), and the least _term."""
+def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples: int, words: str | None = None) -> DataFrame:
+    """(keys, _v, _first): the least value of each sample over the rows (keys, _term, _n), and the least _term.
+
+    With ``words``, a column of the texts' sizes, values that are not below the bound may be left out.
+    """
     value = lambda j: sample(F.col("_term"), F.ln("_n"), j)
     if known is not None:
         terms = terms.join(F.broadcast(known), ["_term", "_n"], "left")
-        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(sample(F.col("_term"), F.ln("_n"), j))
+        new = lambda j: sample(F.col("_term"), F.ln("_n"), j)
+        rest = new if words is None else lambda j: F.when(may_be_least(F.col("_term"), F.col("_n"), F.col(words), j), new(j))
+        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(rest(j))
     least = terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)], F.min("_term").alias("_first"))
     return least.select(*keys, F.array(*[f"_m{j}" for j in range(samples)]).alias("_v"), "_first")
 
@@ -93,10 +117,26 @@ OWN, EDITED, BOTH, DIGEST = 1, 2, 3, 4     # whose word a row is; DIGEST and the
 def pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples: int = SAMPLES) -> DataFrame:
     """(keys, fingerprint, edited_fingerprint, edited_sha256) of the ``text`` and the ``edited`` text of every row; ``keys`` name a row.
 
+    Rows with a sample that the bound does not settle are sampled again in full; there are hardly any.
+    """
+    found = common.durable(_pair_signatures(texts, keys, known, samples, bounded=True))
+    left = found.where("NOT _settled").select(*keys)
+    found = found.where("_settled")
+    if not left.isEmpty():
+        found = found.unionByName(_pair_signatures(texts.join(left, keys, "left_semi"), keys, known, samples, bounded=False))
+    return found.drop("_settled")
+
+
+def _pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples: int, bounded: bool) -> DataFrame:
+    """What ``pair_signatures`` returns and ``_settled``: whether no value left out can be less.
+
     A word with the same weight in both is sampled once.  ``texts`` that are partitioned by some of ``keys``
     are not shuffled: words are counted and samples taken where the texts are.  The hash goes along as four
     rows, so that the texts are read once.
     """
+    least_size = F.least(F.size(_some_words("text")), F.size(_some_words("edited")))
+    names, keys = keys, [*keys, "_words"]
+    texts = texts.withColumn("_words", least_size if bounded else F.lit(1))
     body = lambda of, column: F.struct(F.lit(of).alias("of"), column.alias("body"))
     hashed = texts.select(*keys, "text", "edited", F.sha2("edited", 256).alias("_sha"))
     each = F.explode(F.array(body(OWN, F.col("text")), body(EDITED, F.col("edited")),
@@ -112,13 +152,16 @@ def pair_signatures(texts: DataFrame, keys: list[str], known: DataFrame, samples
     part = F.array(*[F.struct(F.lit(DIGEST + i).alias("of"), F.getbit("_parts", F.lit(i)).cast("bigint").alias("n")) for i in range(4)])
     terms = (counts.withColumn("_t", F.explode(F.when(F.col("_parts") == 0, weights).otherwise(F.concat(weights, part))))
              .select(*keys, "_term", F.col("_t.of").alias("_of"), F.col("_t.n").alias("_n")).where("_n > 0"))
-    rows = (_least(terms, [*keys, "_of"], known, samples)
+    rows = (_least(terms, [*keys, "_of"], known, samples, "_words" if bounded else None)
             .groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_of", "_first", "_v"))).alias("_p")))
     largest = F.array_repeat(F.lit((1 << 63) - 1), samples)
     least = lambda of: F.aggregate(F.filter("_p", lambda p: p["_of"].isin(of, BOTH)), largest,
                                    lambda all_, p: F.zip_with(all_, p["_v"], lambda x, y: F.least(x, y)))
     sha = F.array_join(F.transform(F.filter("_p", lambda p: p["_of"] >= DIGEST), lambda p: F.lpad(F.lower(F.hex(p["_first"])), 16, "0")), "")
-    return rows.select(*keys, _digits(least(OWN)).alias("fingerprint"), _digits(least(EDITED)).alias("edited_fingerprint"), sha.alias("edited_sha256"))
+    rows = rows.select(*keys, least(OWN).alias("_own"), least(EDITED).alias("_edited"), sha.alias("edited_sha256"))
+    settled = _below(F.col("_own"), F.col("_words")) & _below(F.col("_edited"), F.col("_words")) if bounded else F.lit(True)
+    return rows.select(*names, _digits(F.col("_own")).alias("fingerprint"), _digits(F.col("_edited")).alias("edited_fingerprint"),
+                       "edited_sha256", settled.alias("_settled"))
 
 
 def likeness(a: str, b: str, samples: int = SAMPLES) -> Column:
@@ -173,7 +216,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sa
     edited = joined.select("id", "digest", "self", "text", edited.alias("edited"))
     few = max(1, pairs.count() // COUNTED_DOCS)
     known = known_samples(rows.where(F.pmod(F.xxhash64("id", "digest"), F.lit(few)) == 0), samples=samples)
-    signed = common.durable(pair_signatures(edited, ["id", "digest", "self"], known, samples))
+    signed = pair_signatures(edited, ["id", "digest", "self"], known, samples)
     theirs = signed.where("NOT self").select(F.col("id").alias("next_id"), F.col("digest").alias("next_digest"), F.col("fingerprint").alias("_next"))
     found = pairs.join(theirs, ["next_id", "next_digest"]).join(signed, ["id", "digest", "self"])
     return (found.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))

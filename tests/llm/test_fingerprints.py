@@ -6,6 +6,7 @@ import struct
 from collections import Counter
 
 import xxhash
+from pyspark.sql import functions as F
 
 from packetlake.llm import queries
 from packetlake.llm import weighted_sampling as W
@@ -110,3 +111,18 @@ def test_known_terms_change_nothing(spark, make_docs, monkeypatch):
 def test_native(spark, make_docs):
     plan = W.fingerprints(make_docs([(1, "a"), (2, "b")]), samples=4)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_bound_changes_nothing(spark, make_docs, monkeypatch):
+    """Texts whose samples the bound does not settle are sampled in full; values are left out at all only with a bound."""
+    rows = [(i, " ".join(f"w{i}x{k % 40}" for k in range(60 + i))) for i in range(6)]
+    monkeypatch.setattr(W, "KNOWN_TERMS", 1)
+    settled = []
+    for draws in (1.0, 24.0):
+        monkeypatch.setattr(W, "DRAWS", draws)
+        monkeypatch.setattr(W, "_below", lambda v, n, f=W._below, seen=settled: seen.append(1) or f(v, n))
+        assert sorted(map(tuple, W.fingerprints(make_docs(rows), samples=8).collect())) == sorted(brute(rows, 8))
+    assert settled
+    terms = spark.range(1000).select(F.xxhash64("id").alias("t"))
+    asked = terms.where(W.may_be_least(F.col("t"), F.lit(1), F.lit(1000), 0)).count()
+    assert 24 <= asked < 400
