@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -29,7 +30,9 @@ KINDS = ("email", "ip", "card", "phone")
 LEAST_DOCUMENTS = 3       # with both the entity and the term
 GENERALISE, REMOVE = 0.8, 0.95
 COUNTER_ROWS = 150_000    # terms a task counts before it passes its counts on
-CACHE_ROWS = 200_000
+CACHE_ROWS = 400_000      # pieces whose terms a task keeps, longer ones than LONGEST_KEPT left out
+LONGEST_KEPT = 64
+SPLIT_TEXTS = 1_000       # texts that are split into words at a time
 SALTS = 16                # parts that the rows of a hot entity or term are joined in
 MASK_BITS = 22            # of the table that tells which terms may be disclosing
 
@@ -37,6 +40,7 @@ MASK_BITS = 22            # of the table that tells which terms may be disclosin
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
+_IP_END = re.compile(r"\.[0-9]+\.[0-9]+\.[0-9]")      # every ip holds it, and it is found from its first character on
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
@@ -68,7 +72,7 @@ def luhn(digits: str) -> bool:
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the four patterns, by kind as listed, then start."""
     found = [("email", a, b) for a, b in emails(text)]
-    if "." in text:
+    if _IP_END.search(text):
         for m in _IP.finditer(text):
             if all(len(p.lstrip("0")) <= 3 and int(p[-4:]) <= 255 for p in m.group().split(".")):
                 found.append(("ip", *m.span()))
@@ -91,6 +95,8 @@ def term_of(piece: str) -> str:
     """The term of a word: lower case, without what is not alphanumeric at its ends."""
     if piece.isalnum():
         return piece.lower()
+    if piece[:-1].isalnum():
+        return piece[:-1].lower()
     a, b = 0, len(piece)
     while a < b and not piece[a].isalnum():
         a += 1
@@ -100,34 +106,75 @@ def term_of(piece: str) -> str:
 
 
 def _hash(value: str) -> int:
-    h = xxhash.xxh64_intdigest(value.encode("utf-8", "surrogatepass"), 5)
+    h = xxhash.xxh64_intdigest(value, 5)
     return h - (1 << 64) if h >> 63 else h
 
 
+class _Kept(dict):
+    """What ``of`` gives for a piece of text, kept for the next time; of bounded size."""
+
+    def __init__(self, of):
+        self.of = of
+
+    def __missing__(self, piece: str):
+        found = self.of(piece)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= CACHE_ROWS:
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(text, piece, pieces): the number of the text that each word is of, and of the word among the different ``pieces``."""
+    words = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+    coded = words.flatten().dictionary_encode()
+    pieces = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    of, piece = pc.list_parent_indices(words).to_numpy(), coded.indices.to_numpy()
+    if "" in pieces:        # white space at an end leaves an empty word
+        there = piece != pieces.index("")
+        of, piece = of[there], piece[there]
+    return of, piece, pieces
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, SPLIT_TEXTS) for batch in batches for at in range(0, batch.num_rows, SPLIT_TEXTS))
+
+
 _WORD = re.compile(r"\S+")
 
 
-def words_outside(text: str, spans: list[tuple[str, int, int]], pieces: set[str] | None = None) -> list[tuple[str, int, int]]:
-    """(term, start, end) of the words of a text, of two characters or more, outside of some spans; a span cuts words.
+def _trimmed(text: str, a: int, b: int) -> tuple[str, int, int] | None:
+    """(term, start, end) of a word without what is not alphanumeric at its ends, if two characters are left."""
+    while a < b and not text[a].isalnum():
+        a += 1
+    while b > a and not text[b - 1].isalnum():
+        b -= 1
+    return (text[a:b].lower(), a, b) if b - a > 1 else None
+
 
-    ``pieces``, if not empty, are the only words asked for, as they stand between white space.
-    """
+def words_outside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """(term, start, end) of the words of a text, of two characters or more, outside of some spans; a span cuts words."""
     out, at = [], 0
     for low, high in [*sorted((a, b) for _, a, b in spans), (len(text), len(text))]:
-        for m in _WORD.finditer(text, at, max(at, low)):
-            if pieces and m.group() not in pieces:
-                continue
-            a, b = m.span()
-            while a < b and not text[a].isalnum():
-                a += 1
-            while b > a and not text[b - 1].isalnum():
-                b -= 1
-            if b - a > 1:
-                out.append((text[a:b].lower(), a, b))
+        out += filter(None, (_trimmed(text, *m.span()) for m in _WORD.finditer(text, at, max(at, low))))
         at = max(at, high)
     return out
 
 
+def words_among(text: str, pieces: set[str]) -> list[tuple[str, int, int]]:
+    """What ``words_outside`` gives, without spans, for the words that stand in ``text`` as one of ``pieces``, by piece."""
+    out = []
+    for piece in pieces:
+        at, size = text.find(piece), len(piece)
+        while at >= 0:
+            end = at + size
+            if (at == 0 or text[at - 1].isspace()) and (end == len(text) or text[end].isspace()) and (word := _trimmed(text, at, end)):
+                out.append(word)
+            at = text.find(piece, at + 1)
+    return out
+
+
 def near_terms(text: str, start: int, end: int) -> list[tuple[str, int, int]]:
     """(term, start, end) of the words that may disclose the entity of one span: all words of the text outside of it."""
     return words_outside(text, [("", start, end)])
@@ -147,7 +194,7 @@ def _facts(docs: DataFrame) -> DataFrame:
     def batch_of(rows: list[dict]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], t) for n, t in zip(names, types, strict=True)], names=names)
 
-    def counts_of(counts: Counter) -> pa.RecordBatch:
+    def counts_of(counts: dict[int, int]) -> pa.RecordBatch:
         empty = [pa.nulls(len(counts), t) for t in types]
         empty[names.index("tag")] = pa.array([_TERM] * len(counts), pa.int32())
         empty[names.index("term")] = pa.array(list(counts), pa.int64())
@@ -155,35 +202,35 @@ def _facts(docs: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays(empty, names=names)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, cache, held = Counter(), {}, TaskContext.get().partitionId() << 33
-        for batch in batches:
+        counts, held = {}, TaskContext.get().partitionId() << 33
+        term = _Kept(lambda piece: _hash(term_of(piece))).__getitem__
+        for batch in _slices(batches):
             rows = []
+            of, piece, pieces = _split(batch.column(2))
+            distinct, number = np.unique(np.fromiter(map(term, pieces), np.int64, len(pieces)), return_inverse=True)
+            held_by = np.sort(of * len(distinct) + number[piece])     # text and term
+            held_by = held_by[np.append(True, held_by[1:] != held_by[:-1])[:len(held_by)]]
+            texts_with = np.bincount(held_by % max(1, len(distinct)), minlength=len(distinct))
+            for key, n in zip(distinct.tolist(), texts_with.tolist(), strict=True):
+                if n:
+                    counts[key] = counts.get(key, 0) + n
             for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
                                          common.texts(batch.column(2)), strict=True):
                 spans = base_spans(text)
                 base, per = span_text(spans), Counter(k for k, _, _ in spans)
                 rows.append({"tag": _DOC, "doc_id": key, "digest": digest, "base": base,
                              "base_sha256": hashlib.sha256(base.encode()).hexdigest()} | {f"n_{k}": per[k] for k in KINDS})
-                terms = set()
                 if spans:
-                    terms = {_hash(term) for term in {w for w, _, _ in words_outside(text, spans)}}
+                    terms = {_hash(word) for word in {w for w, _, _ in words_outside(text, spans)}}
                     rows.append({"tag": _HELD, "row": held, "entities": list({_entity(text, s) for s in spans}), "terms": list(terms)})
                     held += 1
-                for piece in set(text.split()):
-                    h = cache.get(piece)
-                    if h is None:
-                        h = _hash(term_of(piece))
-                        if len(cache) >= CACHE_ROWS:
-                            cache.clear()
-                        if len(piece) <= 64:
-                            cache[piece] = h
-                    terms.add(h)
-                counts.update(terms)
-                if len(counts) >= COUNTER_ROWS:
-                    yield counts_of(counts)
-                    counts = Counter()
+                    for key in terms.difference(map(term, set(text.split()))):     # of words that a span cuts
+                        counts[key] = counts.get(key, 0) + 1
             if rows:
                 yield batch_of(rows)
+            if len(counts) >= COUNTER_ROWS:
+                yield counts_of(counts)
+                counts = {}
         if counts:
             yield counts_of(counts)
 
@@ -215,28 +262,21 @@ def _occurrences(docs: DataFrame, terms: DataFrame) -> DataFrame:
     mask = docs.sparkSession.sparkContext.broadcast(_mask(terms))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        may, low, cache = np.unpackbits(mask.value, bitorder="little"), (1 << MASK_BITS) - 1, {}
-
-        def asked(piece: str) -> bool:
-            known = cache.get(piece)
-            if known is None:
-                known = bool(may[_hash(term_of(piece)) & low])
-                if len(cache) >= CACHE_ROWS:
-                    cache.clear()
-                if len(piece) <= 64:
-                    cache[piece] = known
-            return known
-
-        for batch in batches:
-            rows = []
-            for key, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
-                                         common.texts(batch.column(2)), strict=True):
+        may, low = np.unpackbits(mask.value, bitorder="little").tobytes(), (1 << MASK_BITS) - 1
+        asked = _Kept(lambda piece: may[_hash(term_of(piece)) & low]).__getitem__
+        for batch in _slices(batches):
+            rows, of_text = [], defaultdict(set)
+            of, piece, pieces = _split(batch.column(2))
+            found = np.fromiter(map(asked, pieces), bool, len(pieces))[piece]
+            for i, at in zip(of[found].tolist(), piece[found].tolist(), strict=True):
+                of_text[i].add(pieces[at])
+            for i, (key, digest, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(),
+                                                        common.texts(batch.column(2)), strict=True)):
                 spans = base_spans(text)
-                pieces = set() if spans else {p for p in set(text.split()) if asked(p)}
-                if not spans and not pieces:
+                if not spans and i not in of_text:
                     continue
                 entities = list({_entity(text, s) for s in spans})
-                words = [(_hash(term), a, b) for term, a, b in words_outside(text, spans, pieces)]
+                words = [(_hash(term), a, b) for term, a, b in (words_outside(text, spans) if spans else words_among(text, of_text[i]))]
                 rows += [(key, digest, entities, *word) for word in words if may[word[0] & low]]
             if rows:
                 types = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int32(), pa.int32())

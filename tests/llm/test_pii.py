@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -136,3 +137,17 @@ def test_terms_of_whole_documents(spark, make_docs):
         assert got == {i: {"Quillon"} if 300 <= i < 305 + everywhere else set() for i in range(306)}
     out = {r.doc_id: r.text for r in pii.sanitised(docs, pii.find_spans(docs, everywhere=True)).collect()}
     assert not any("Quillon" in t for t in out.values()) and all(out[i] == t for i, t in enumerate(texts[:300]))
+
+
+@settings(max_examples=300)
+@given(st.lists(st.none() | st.text(alphabet="aB.-é7 \x1c\x85\u2003\n\t", max_size=30), max_size=5))
+def test_texts_are_split_at_once_as_one_by_one(texts):
+    of, piece, pieces = pii._split(pa.array(texts, pa.string()))
+    for i, text in enumerate(texts):
+        words = [pieces[p] for p in piece[of == i]]
+        assert words == (text or "").split()
+        every = pii.words_outside(text or "", [])
+        assert sorted(pii.words_among(text or "", set(words))) == sorted(every)
+        some = set(words[::2])
+        asked = [m.span() for m in re.finditer(r"\S+", text or "") if m.group() in some]
+        assert sorted(pii.words_among(text or "", some)) == sorted(w for w in every if any(a <= w[1] and w[2] <= b for a, b in asked))
