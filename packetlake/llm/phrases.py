@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.joins import bounded_broadcast_join
+from ..session import arrow_batches
 from . import common
 
 SHARD_WORDS = 1 << 21      # words of a shard; a longer text makes a longer shard
@@ -34,6 +35,7 @@ HELD_WORDS = 3 << 20       # words that a task holds over all languages before i
 LONGEST = 5
 BUCKET_WORDS = 1 << 21     # words of the corpus for each bucket of phrases; a bucket has fewer phrases than that, as a rule
 WORD_SLICES = 1 << 20      # the ids of words are numbered within slices of their hash
+BATCH_BYTES = 4 << 20      # of the indexes that a worker gets at a time; a larger shard comes alone
 PART_TOPS = 8              # a task ranks about this many times the phrases that it keeps
 NO_LANGUAGE = "und"
 # What ends a piece, and what separates words.
@@ -103,16 +105,17 @@ def extend(forward: np.ndarray, backward: np.ndarray, f: np.ndarray, r: np.ndarr
 
     ``f`` and ``r`` are where the phrases' intervals start in either index, ``n`` how long they are.
     """
-    following, rows = last_to_first(backward), _rows(r, n)
+    rows = _rows(r, n)
     parent, symbol = np.repeat(np.arange(len(n)), n), backward[rows].astype(np.int64)
     order = np.argsort(parent * (int(symbol.max(initial=0)) + 1) + symbol, kind="stable")
     parent, symbol, rows = parent[order], symbol[order], rows[order]
+    del order
     new = np.flatnonzero(np.concatenate([[True], (parent[1:] != parent[:-1]) | (symbol[1:] != symbol[:-1])])) if len(rows) else rows
     count = np.diff(np.append(new, len(rows)))
-    parent, symbol = parent[new], symbol[new]
+    parent, symbol, rows = parent[new], symbol[new], rows[new]
     # Occurrences with a smaller following symbol come first in the forward interval.
     started = np.cumsum(n) - n
-    f_new, r_new = f[parent] + (new - started[parent]), following[rows[new]]
+    f_new, r_new = f[parent] + (new - started[parent]), last_to_first(backward)[rows]
     reached = np.zeros(len(forward), bool)
     reached[last_to_first(forward)[_rows(f, n)]] = True
     good = np.flatnonzero((symbol > 0) & reached[f_new])
@@ -212,6 +215,7 @@ def _extend_shard(at: dict, length: int) -> tuple[np.ndarray, np.ndarray]:
         alive = alive[:, np.lexsort(alive[::-1])]
     order_f, order_r = (np.argsort(t, kind="stable") for t in (forward, backward))
     f, r, n = locate(order_f, order_r, forward, backward, starts, counts, local[by_id][np.searchsorted(ids, alive, sorter=by_id)])
+    del order_f, order_r
     parent, symbol, _, _, n = extend(forward, backward, f, r, n)
     word = np.zeros(len(counts), np.int64)
     word[local] = ids
@@ -315,8 +319,9 @@ def frequent_phrases(docs: DataFrame, least: int, longest: int = LONGEST, lang:
         for length in range(2, longest + 1):
             shards = both if alive is None else both.join(alive.hint("shuffle_hash"), "shard")
             spread = shards.mapInArrow(_extended(length, buckets), "bucket bigint, shard bigint, rows bigint, blob binary")
-            level = written(spread.groupBy("bucket").applyInArrow(_summed(length, least), "shard bigint, rows bigint, blob binary"), str(length))
-            phrases = phrases.unionByName(common.durable(_named(level, words, length)))
+            with arrow_batches(spark, BATCH_BYTES):
+                level = written(spread.groupBy("bucket").applyInArrow(_summed(length, least), "shard bigint, rows bigint, blob binary"), str(length))
+                phrases = phrases.unionByName(common.durable(_named(level, words, length)))
             alive = level.where("shard >= 0").groupBy("shard").agg(F.collect_list(F.struct("rows", "blob")).alias("alive"))
     finally:
         for made in tables:

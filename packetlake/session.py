@@ -21,6 +21,8 @@ SESSION_DEFAULTS = {
 
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 # Context settings (fixed when the context starts): checkpoints written by the
 # numbering are removed once nothing refers to them any more.
 CONTEXT_DEFAULTS = {
@@ -68,6 +70,17 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(FREE_SHUFFLES, before)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, most_bytes: int) -> Iterator[None]:
+    """Python workers get record batches of at most about so many bytes from the jobs run inside; a larger row is a batch of its own."""
+    before = spark.conf.get(ARROW_BYTES)
+    spark.conf.set(ARROW_BYTES, str(most_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

@@ -3,8 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from packetlake import session
 from packetlake.llm import phrases as P
 from tests.llm.conftest import SF001
 
@@ -98,3 +101,15 @@ def test_late_words_are_located():
     orders = [np.argsort(t, kind="stable") for t in (forward, backward)]
     words = np.array([[60_000, 59_999, 5], [60_000, 60_000, 6]], np.int32)
     assert P.locate(*orders, forward, backward, np.cumsum(counts) - counts, counts, words)[2].tolist() == [2, 1, 1]
+
+
+def test_workers_get_few_shards_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    rows = spark.range(0, 6, 1, 1).select(F.repeat(F.lit("x"), P.BATCH_BYTES).alias("v"))
+    before = spark.conf.get(session.ARROW_BYTES)
+    with session.arrow_batches(spark, P.BATCH_BYTES):
+        assert max(r.n for r in rows.mapInArrow(sizes, "n bigint").collect()) <= 2
+    assert spark.conf.get(session.ARROW_BYTES) == before
