@@ -44,22 +44,28 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
             (h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(float(1 << 32)))
 
 
-def sample(term: Column, log_weight: Column, j: int) -> Column:
-    """The value of a term in sample ``j`` above, 32 bits of (term, t) below: the least wins."""
-    h, g, m = (F.xxhash64(term.bitwiseXOR(_constant(3 * j + i))) for i in range(3))
-    (u1, u2), (u3, u4), (b, _) = _uniforms(h), _uniforms(g), _uniforms(m)
-    r = -F.ln(u1 * u2)
+def products(term: Column, j: int) -> tuple[Column, Column]:
+    """The products of two uniform numbers of a term in sample ``j`` that give r and c."""
+    (u1, u2), (u3, u4) = (_uniforms(F.xxhash64(term.bitwiseXOR(_constant(3 * j + i)))) for i in range(2))
+    return u1 * u2, u3 * u4
+
+
+def sample(term: Column, log_weight: Column, j: int, made: tuple[Column, Column] | None = None) -> Column:
+    """The value of a term in sample ``j`` above, 32 bits of (term, t) below: the least wins.  ``made``: its ``products``."""
+    of_r, of_c = made or products(term, j)
+    m = F.xxhash64(term.bitwiseXOR(_constant(3 * j + 2)))
+    b, _ = _uniforms(m)
+    r = -F.ln(of_r)
     t = F.floor(log_weight / r + b)
-    value = F.ln(-F.ln(u3 * u4)) - r * (t - b + 1)
+    value = F.ln(-F.ln(of_c)) - r * (t - b + 1)
     mark = m.bitwiseXOR(F.shiftleft(t, 8)).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.shiftleft(F.floor((value + F.lit(LOWEST)) * F.lit(SCALE)), 32).bitwiseOR(mark)
 
 
-def may_be_least(term: Column, weight: Column, words: Column, j: int) -> Column:
+def may_be_least(term: Column, weight: Column, words: Column, j: int, made: tuple[Column, Column] | None = None) -> Column:
     """Whether the term's value in sample ``j`` may lie below ln(DRAWS / words); a thousandth covers rounding."""
-    h, g = (F.xxhash64(term.bitwiseXOR(_constant(3 * j + i))) for i in range(2))
-    (u1, u2), (u3, u4) = _uniforms(h), _uniforms(g)
-    return (F.lit(1.0) - u3 * u4) * (u1 * u2) * words <= weight * F.lit(1.001 * DRAWS)
+    of_r, of_c = made or products(term, j)
+    return (F.lit(1.0) - of_c) * of_r * words <= weight * F.lit(1.001 * DRAWS)
 
 
 def _below(values: Column, words: Column) -> Column:
@@ -92,9 +98,16 @@ def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples:
     value = lambda j: sample(F.col("_term"), F.ln("_n"), j)
     if known is not None:
         terms = terms.join(F.broadcast(known), ["_term", "_n"], "left")
-        new = lambda j: sample(F.col("_term"), F.ln("_n"), j)
-        rest = new if words is None else lambda j: F.when(may_be_least(F.col("_term"), F.col("_n"), F.col(words), j), new(j))
-        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(rest(j))
+        new = value
+        if words is not None:
+            # Columns of their own: written out at each of their uses, they make plans that a driver has hardly room for.
+            unknown = F.col("_known").isNull()
+            terms = terms.select("*", F.ln("_n").alias("_log"), *[F.when(unknown, p).alias(f"_{name}{j}") for j in range(samples)
+                                                                  for name, p in zip("rc", products(F.col("_term"), j), strict=True)])
+            made = lambda j: (F.col(f"_r{j}"), F.col(f"_c{j}"))
+            new = lambda j: F.when(may_be_least(F.col("_term"), F.col("_n"), F.col(words), j, made(j)),
+                                   sample(F.col("_term"), F.col("_log"), j, made(j)))
+        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(new(j))
     least = terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)], F.min("_term").alias("_first"))
     return least.select(*keys, F.array(*[f"_m{j}" for j in range(samples)]).alias("_v"), "_first")
 

@@ -126,3 +126,10 @@ def test_bound_changes_nothing(spark, make_docs, monkeypatch):
     terms = spark.range(1000).select(F.xxhash64("id").alias("t"))
     asked = terms.where(W.may_be_least(F.col("t"), F.lit(1), F.lit(1000), 0)).count()
     assert 24 <= asked < 400
+
+
+def test_plan_of_the_samples_is_small(spark):
+    texts = spark.createDataFrame([(1, "a b c a", "a b d")], "id bigint, text string, edited string")
+    known = W.known_samples(texts)
+    plan = W._pair_signatures(texts, ["id"], known, W.SAMPLES, bounded=True)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") < 8 * W.SAMPLES
