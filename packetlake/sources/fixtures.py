@@ -31,6 +31,7 @@ HTTP_HOST = "shop.example.com"
 PNAMES = ["curl", "wget", "chrome", "python3", "mDNSResponder"]   # by event_id % 5
 DST_PORTS = [80, 443, 8080, 53, 3306, 443, 443]                   # by event_id % 7
 LOOPBACK = "127.0.0.1"                                            # dst_ip when event_id % 11 = 0
+LONG_TEXT = 256                      # bytes of a payload that is kept beside its equals
 THIRD_STATE_EVERY = 97                                            # kind 6 when event_id % 97 = 0
 # kind 0 GET request, 1 props JSON, 2 login form, 3 binary (ffd8 + md5),
 # 4 document text, 5 empty, 6 120 × 'a' then 0xff (text prefix, invalid whole)
@@ -58,7 +59,12 @@ def _case(key: Column, values: list) -> Column:
     return expr
 
 
-def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
+def document_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
+    """(rows, bytes of text) of the documents."""
+    return measure(table(spark, sf_dir, "documents").select("text"), F.octet_length("text"))
+
+
+def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None) -> DataFrame:
     """Decoded events with byte payloads (FIXTURES §2), schema ``RAW_EVENT_SCHEMA``.
 
     ``by_range`` range-partitions the events by ``event_id`` (= ``recv_seq``)
@@ -71,7 +77,7 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
     ts_type = ev.schema["ts"].dataType
     ev = ev.select("event_id", "ts", "user_id", "props")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n_docs, doc_bytes = measure(docs, F.octet_length("text"))
+    n_docs, doc_bytes = measured or document_size(spark, sf_dir)
     eid, uid = F.col("event_id"), F.col("user_id")
     uses_doc = _kind(eid).eqNullSafe(4)
     doc = F.when(uses_doc, F.call_function("div", eid, F.lit(KINDS)) % max(n_docs, 1)).alias("_doc")
@@ -115,9 +121,19 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False) -> Data
                 "pid", "pname", "type", "length", "payload"))
 
 
-def packets(spark: SparkSession, sf_dir: str, by_range: bool = False) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None) -> DataFrame:
     """The ``packets`` table of the fixture; ``index`` = ``recv_seq`` (gap-free here)."""
-    return events_to_packets(raw_events(spark, sf_dir, by_range), index="recv_seq")
+    return events_to_packets(raw_events(spark, sf_dir, by_range, measured), index="recv_seq")
+
+
+def laid_out(rows: DataFrame, by_range: bool) -> DataFrame:
+    """Packets in the order that their files keep: by ``index``, or, where the partitions are not ranges of it, equal long texts
+    next to each other first.  The codec then stores a text that many packets carry about once.
+    """
+    if by_range:
+        return rows.sortWithinPartitions("index")
+    long_text = F.when(F.col("length") >= LONG_TEXT, F.xxhash64("payload_utf8"))
+    return rows.sortWithinPartitions(long_text.asc_nulls_first(), "index")
 
 
 TABLE_VERSION = 1  # bump when the table layout changes
@@ -151,7 +167,8 @@ def packets_path(spark: SparkSession, sf_dir: str) -> str:
     ``index`` so that each file covers one index range: a cursor (``index >
     n``) or a lookup (``index = n``) skips files and row groups by their
     min/max statistics, and conditions reach the Parquet reader as pushed
-    filters.  The key changes whenever the input tables change.
+    filters.  With documents too big to broadcast, the files that hold them are laid out
+    by text (``laid_out``).  The key changes whenever the input tables change.
     """
     sources = [os.path.join(sf_dir, f"{t}.parquet") for t in ("events", "documents")]
     key = storage.fingerprint(spark, sources, extra=_code_version())
@@ -161,8 +178,9 @@ def packets_path(spark: SparkSession, sf_dir: str) -> str:
             # Written aside and renamed into place: a concurrent writer of the
             # same table never sees (or deletes) a half-written folder.
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
+            measured = document_size(spark, sf_dir)
             with shuffles_freed(spark):
-                (packets(spark, sf_dir, by_range=True).sortWithinPartitions("index")
+                (laid_out(packets(spark, sf_dir, by_range=True, measured=measured), fits(*measured))
                  .write.option("compression", storage.PAYLOAD_CODEC).parquet(tmp))
             if not storage.rename(spark, tmp, path):
                 storage.delete(spark, tmp)

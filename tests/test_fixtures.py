@@ -44,3 +44,12 @@ def test_shuffles_are_freed_inside_only(spark):
     with shuffles_freed(spark):
         assert spark.conf.get(FREE_SHUFFLES) == "true"
     assert spark.conf.get(FREE_SHUFFLES) == before
+
+
+def test_equal_long_texts_are_stored_side_by_side(spark):
+    texts = ["a" * 300, "b" * 300, "c" * 300, "short"]
+    rows = spark.createDataFrame([(i, texts[i % 4], len(texts[i % 4])) for i in range(40)], "index bigint, payload_utf8 string, length bigint").coalesce(1)
+    kept = [(r[0], r[1]) for r in fixtures.laid_out(rows, False).collect()]
+    assert [i for i, t in kept if t == "short"] == [i for i, _ in kept[:10]] == list(range(3, 40, 4))
+    assert sum(a != b for (_, a), (_, b) in zip(kept, kept[1:], strict=False)) == 3
+    assert [r[0] for r in fixtures.laid_out(rows, True).collect()] == list(range(40))
