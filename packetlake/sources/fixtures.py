@@ -32,6 +32,7 @@ PNAMES = ["curl", "wget", "chrome", "python3", "mDNSResponder"]   # by event_id
 DST_PORTS = [80, 443, 8080, 53, 3306, 443, 443]                   # by event_id % 7
 LOOPBACK = "127.0.0.1"                                            # dst_ip when event_id % 11 = 0
 LONG_TEXT = 256                      # bytes of a payload that is kept beside its equals
+DOCUMENT_PARTS = 4                   # parts, by document, that a table is written in where the documents are shuffled
 THIRD_STATE_EVERY = 97                                            # kind 6 when event_id % 97 = 0
 # kind 0 GET request, 1 props JSON, 2 login form, 3 binary (ffd8 + md5),
 # 4 document text, 5 empty, 6 120 × 'a' then 0xff (text prefix, invalid whole)
@@ -64,7 +65,8 @@ def document_size(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
     return measure(table(spark, sf_dir, "documents").select("text"), F.octet_length("text"))
 
 
-def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None) -> DataFrame:
+def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None,
+               part: int | None = None) -> DataFrame:
     """Decoded events with byte payloads (FIXTURES §2), schema ``RAW_EVENT_SCHEMA``.
 
     ``by_range`` range-partitions the events by ``event_id`` (= ``recv_seq``)
@@ -72,6 +74,7 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measure
     and every later step is narrow, so the ranges reach the output as they are.
     Documents too big to broadcast are joined by a shuffle on their id instead: only the
     events that look one up are shuffled, by their key columns; the others stay in their splits.
+    ``part`` of such a join: the events of every ``DOCUMENT_PARTS``-th document, and in part 0 those that look none up.
     """
     ev = table(spark, sf_dir, "events")
     ts_type = ev.schema["ts"].dataType
@@ -92,8 +95,11 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measure
         joined = with_text(ev.select("*", doc))
     else:
         looking_up = ev.where(uses_doc).select("event_id", "ts", "user_id", doc)
-        others = spread(ev.where(~uses_doc), "event_id")
-        joined = with_text(looking_up).unionByName(others, allowMissingColumns=True)
+        if part is not None:
+            looking_up, docs = (rows.where(F.pmod(key, F.lit(DOCUMENT_PARTS)) == part) for rows, key in ((looking_up, "_doc"), (docs, "doc_id")))
+        joined = with_text(looking_up).withColumn("props", F.lit(None).cast(ev.schema["props"].dataType))
+        if not part:
+            joined = joined.unionByName(spread(ev.where(~uses_doc), "event_id"), allowMissingColumns=True)
     kind = _kind(eid)
     text = (F.when(kind == 0, F.concat(F.lit("GET /item/"), uid.cast("string"), F.lit(" HTTP/1.1\nHost: " + HTTP_HOST)))
             .when(kind == 1, F.col("props"))
@@ -121,9 +127,10 @@ def raw_events(spark: SparkSession, sf_dir: str, by_range: bool = False, measure
                 "pid", "pname", "type", "length", "payload"))
 
 
-def packets(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None) -> DataFrame:
+def packets(spark: SparkSession, sf_dir: str, by_range: bool = False, measured: tuple[int, int] | None = None,
+            part: int | None = None) -> DataFrame:
     """The ``packets`` table of the fixture; ``index`` = ``recv_seq`` (gap-free here)."""
-    return events_to_packets(raw_events(spark, sf_dir, by_range, measured), index="recv_seq")
+    return events_to_packets(raw_events(spark, sf_dir, by_range, measured, part), index="recv_seq")
 
 
 def laid_out(rows: DataFrame, by_range: bool) -> DataFrame:
@@ -179,9 +186,12 @@ def packets_path(spark: SparkSession, sf_dir: str) -> str:
             # same table never sees (or deletes) a half-written folder.
             tmp = f"{path}.tmp-{uuid.uuid4().hex}"
             measured = document_size(spark, sf_dir)
-            with shuffles_freed(spark):
-                (laid_out(packets(spark, sf_dir, by_range=True, measured=measured), fits(*measured))
-                 .write.option("compression", storage.PAYLOAD_CODEC).parquet(tmp))
+            by_range = fits(*measured)
+            for part in [None] if by_range else range(DOCUMENT_PARTS):
+                # The shuffle files of a part go before those of the next come.
+                with shuffles_freed(spark):
+                    (laid_out(packets(spark, sf_dir, by_range=True, measured=measured, part=part), by_range)
+                     .write.mode("append").option("compression", storage.PAYLOAD_CODEC).parquet(tmp))
             if not storage.rename(spark, tmp, path):
                 storage.delete(spark, tmp)
     return path

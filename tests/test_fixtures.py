@@ -53,3 +53,18 @@ def test_equal_long_texts_are_stored_side_by_side(spark):
     assert [i for i, t in kept if t == "short"] == [i for i, _ in kept[:10]] == list(range(3, 40, 4))
     assert sum(a != b for (_, a), (_, b) in zip(kept, kept[1:], strict=False)) == 3
     assert [r[0] for r in fixtures.laid_out(rows, True).collect()] == list(range(40))
+
+
+def test_table_is_written_in_document_parts(spark, never_fits, tmp_path, monkeypatch):
+    """Each part shuffles its share of the documents only; together they are the whole table, each event once."""
+    parts = [fixtures.raw_events(spark, SF001, part=p) for p in range(fixtures.DOCUMENT_PARTS)]
+    sizes = [p.count() for p in parts]
+    assert sum(sizes) == 1000 and all(0 < n < 100 for n in sizes[1:])
+    got = sorted(tuple(r) for p in parts for r in p.collect())
+    written = []
+    monkeypatch.setattr(fixtures, "checkpoint_dir", lambda _: str(tmp_path))
+    monkeypatch.setattr(fixtures, "shuffles_freed", lambda s: written.append(s) or shuffles_freed(s))
+    stored = sorted(r["index"] for r in fixtures.packets_table(spark, SF001).select("index").collect())
+    assert stored == list(range(1000)) and len(written) == fixtures.DOCUMENT_PARTS
+    monkeypatch.undo()
+    assert got == sorted(map(tuple, fixtures.raw_events(spark, SF001).collect()))
