@@ -17,6 +17,8 @@ text with a sample that is not below the bound is sampled again in full, so the
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ from ..operators.numbering import assign_index
 from . import common
 
 SAMPLES = 64             # a multiple of 4: four samples of 16 bits make 16 hex digits
+TOGETHER = 8             # samples, at most, that one row of a term takes: code for more is too long for the JVM to compile
 KNOWN_TERMS = 32_768     # frequent (word, weight) pairs whose samples are taken once and broadcast: 520 bytes each
 COUNTED_DOCS = 16_384    # documents, about, that these are found in; which pairs are known changes no result
 SPACE = r"[\x20\x09-\x0D]+"
@@ -32,9 +35,14 @@ DRAWS = 24.0             # values are sampled below DRAWS / words of the text
 SCALE = float(1 << 23)   # steps of a value; (value + LOWEST) * SCALE stays below 2**31
 
 
-def _constant(j: int) -> Column:
-    """The j-th of a run of 64-bit constants (multiples of the golden ratio's)."""
-    c = (j + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+Sample = int | tuple[Column, list[int]]     # a sample's number, or numbers and the column of the place of a row's number among them
+
+
+def _constant(j: Sample, i: int) -> Column:
+    """The i-th of a sample's three 64-bit constants (multiples of the golden ratio's)."""
+    if not isinstance(j, int):
+        return F.get(F.array(*[_constant(x, i) for x in j[1]]), j[0])
+    c = (3 * j + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
     return F.lit(c - (1 << 64) if c >= 1 << 63 else c)
 
 
@@ -44,16 +52,16 @@ def _uniforms(h: Column) -> tuple[Column, Column]:
             (h.bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) / F.lit(float(1 << 32)))
 
 
-def products(term: Column, j: int) -> tuple[Column, Column]:
+def products(term: Column, j: Sample) -> tuple[Column, Column]:
     """The products of two uniform numbers of a term in sample ``j`` that give r and c."""
-    (u1, u2), (u3, u4) = (_uniforms(F.xxhash64(term.bitwiseXOR(_constant(3 * j + i)))) for i in range(2))
+    (u1, u2), (u3, u4) = (_uniforms(F.xxhash64(term.bitwiseXOR(_constant(j, i)))) for i in range(2))
     return u1 * u2, u3 * u4
 
 
-def sample(term: Column, log_weight: Column, j: int, made: tuple[Column, Column] | None = None) -> Column:
+def sample(term: Column, log_weight: Column, j: Sample, made: tuple[Column, Column] | None = None) -> Column:
     """The value of a term in sample ``j`` above, 32 bits of (term, t) below: the least wins.  ``made``: its ``products``."""
     of_r, of_c = made or products(term, j)
-    m = F.xxhash64(term.bitwiseXOR(_constant(3 * j + 2)))
+    m = F.xxhash64(term.bitwiseXOR(_constant(j, 2)))
     b, _ = _uniforms(m)
     r = -F.ln(of_r)
     t = F.floor(log_weight / r + b)
@@ -62,7 +70,7 @@ def sample(term: Column, log_weight: Column, j: int, made: tuple[Column, Column]
     return F.shiftleft(F.floor((value + F.lit(LOWEST)) * F.lit(SCALE)), 32).bitwiseOR(mark)
 
 
-def may_be_least(term: Column, weight: Column, words: Column, j: int, made: tuple[Column, Column] | None = None) -> Column:
+def may_be_least(term: Column, weight: Column, words: Column, j: Sample, made: tuple[Column, Column] | None = None) -> Column:
     """Whether the term's value in sample ``j`` may lie below ln(DRAWS / words); a thousandth covers rounding."""
     of_r, of_c = made or products(term, j)
     return (F.lit(1.0) - of_c) * of_r * words <= weight * F.lit(1.001 * DRAWS)
@@ -94,22 +102,32 @@ def _least(terms: DataFrame, keys: list[str], known: DataFrame | None, samples:
     """(keys, _v, _first): the least value of each sample over the rows (keys, _term, _n), and the least _term.
 
     With ``words``, a column of the texts' sizes, values that are not below the bound may be left out.
+    The samples are taken ``TOGETHER`` at a time, each time by a row of the term's own.
     """
-    value = lambda j: sample(F.col("_term"), F.ln("_n"), j)
+    together = math.gcd(samples, TOGETHER)
+    parts = samples // together
     if known is not None:
         terms = terms.join(F.broadcast(known), ["_term", "_n"], "left")
+    terms = terms.withColumn("_log", F.ln("_n")).withColumn("_part", F.explode(F.array(*[F.lit(p) for p in range(parts)])))
+    numbers = [(F.col("_part"), list(range(j, samples, together))) for j in range(together)]
+    value = lambda j: sample(F.col("_term"), F.col("_log"), numbers[j])
+    if known is not None:
         new = value
         if words is not None:
             # Columns of their own: written out at each of their uses, they make plans that a driver has hardly room for.
             unknown = F.col("_known").isNull()
-            terms = terms.select("*", F.ln("_n").alias("_log"), *[F.when(unknown, p).alias(f"_{name}{j}") for j in range(samples)
-                                                                  for name, p in zip("rc", products(F.col("_term"), j), strict=True)])
+            terms = terms.select("*", *[F.when(unknown, p).alias(f"_{name}{j}") for j in range(together)
+                                        for name, p in zip("rc", products(F.col("_term"), numbers[j]), strict=True)])
             made = lambda j: (F.col(f"_r{j}"), F.col(f"_c{j}"))
-            new = lambda j: F.when(may_be_least(F.col("_term"), F.col("_n"), F.col(words), j, made(j)),
-                                   sample(F.col("_term"), F.col("_log"), j, made(j)))
-        value = lambda j: F.when(F.col("_known").isNotNull(), F.col("_known")[j]).otherwise(new(j))
-    least = terms.groupBy(*keys).agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(samples)], F.min("_term").alias("_first"))
-    return least.select(*keys, F.array(*[f"_m{j}" for j in range(samples)]).alias("_v"), "_first")
+            new = lambda j: F.when(may_be_least(F.col("_term"), F.col("_n"), F.col(words), numbers[j], made(j)),
+                                   sample(F.col("_term"), F.col("_log"), numbers[j], made(j)))
+        place = lambda j: F.col("_part") * together + j
+        value = lambda j: F.when(F.col("_known").isNotNull(), F.get("_known", place(j))).otherwise(new(j))
+    least = terms.groupBy(*keys, "_part").agg(*[F.min(value(j)).alias(f"_m{j}") for j in range(together)], F.min("_term").alias("_first"))
+    values = F.array(*[F.col(f"_m{j}") for j in range(together)])
+    of_parts = F.array_sort(F.collect_list(F.struct("_part", values.alias("_v"))))
+    return (least.groupBy(*keys).agg(of_parts.alias("_v"), F.min("_first").alias("_first"))
+            .select(*keys, F.flatten(F.col("_v._v")).alias("_v"), "_first"))
 
 
 def _digits(values: Column) -> Column:

@@ -133,3 +133,20 @@ def test_plan_of_the_samples_is_small(spark):
     known = W.known_samples(texts)
     plan = W._pair_signatures(texts, ["id"], known, W.SAMPLES, bounded=True)
     assert plan._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") < 8 * W.SAMPLES
+
+
+def test_code_of_the_samples_is_short(spark):
+    """The JVM interprets methods of more than 8,000 bytes, and Spark makes no code for rows of more than 100 columns."""
+    texts = spark.createDataFrame([(1, "a b c a", "a b d")], "id bigint, text string, edited string")
+    known = W.known_samples(texts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        query = W._pair_signatures(texts, ["id"], known, W.SAMPLES, bounded=True)._jdf.queryExecution()
+        made = query.debug().codegenToSeq()
+        assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8000
+        nodes = [query.optimizedPlan()]
+        for node in nodes:
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        assert max(node.output().size() for node in nodes) <= int(spark.conf.get("spark.sql.codegen.maxFields", "100"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
